@@ -24,17 +24,21 @@ def block_of(index: str, size: int) -> Column:
 
 
 def running(
-    df: DataFrame, keys: list[str], block: str, order: list, specs: dict[str, tuple[str, Column]]
+    df: DataFrame, keys: list[str], block: str, order: list, specs: dict[str, tuple[str, Column]],
+    long_keys: bool = True,
 ) -> DataFrame:
     """Add running totals along ``order`` inside ``keys``, the current row included.
 
     ``specs`` maps an output name to ``("sum" | "max", value)``; nulls are skipped. ``block`` must grow
-    along the order.
+    along the order. ``long_keys=False`` says that no key has more than one block, as the caller has
+    checked: then there is nothing to carry over.
     """
     values = {f"_v_{name}": value for name, (_, value) in specs.items()}
     base = df.withColumns(values)
     within = Window.partitionBy(*keys, block).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = base.withColumns({n: _LOCAL[kind](f"_v_{n}").over(within) for n, (kind, _) in specs.items()})
+    if not long_keys:
+        return local.drop(*values)
     totals = base.groupBy(*keys, block).agg(*[_LOCAL[kind](f"_v_{n}").alias(f"_c_{n}") for n, (kind, _) in specs.items()])
     before = Window.partitionBy(*keys).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
     carry = totals.select(
@@ -49,9 +53,11 @@ def running(
     return joined.withColumns(merged).drop(*values, *[f"_c_{n}" for n in specs])
 
 
-def row_index(df: DataFrame, keys: list[str], block: str, order: list, name: str) -> DataFrame:
+def row_index(
+    df: DataFrame, keys: list[str], block: str, order: list, name: str, long_keys: bool = True
+) -> DataFrame:
     """Dense index from 0 along ``order`` inside ``keys``."""
-    return running(df, keys, block, order, {name: ("sum", F.lit(1))}).withColumn(
+    return running(df, keys, block, order, {name: ("sum", F.lit(1))}, long_keys).withColumn(
         name, (F.col(name) - 1).cast("bigint")
     )
 
@@ -68,6 +74,24 @@ def with_halo(df: DataFrame, index: str, reach: int, size: int = ROWS_PER_BLOCK)
     )
 
 
+def has_long_keys(df: DataFrame, index: str, size: int) -> bool:
+    """Whether any index (from 0 or 1) leaves the first block. One pruned scan that stops at a hit."""
+    return not df.where(F.col(index) >= size).limit(1).isEmpty()
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Deal rows out over the cores when the input has fewer splits than cores, as one small or
+    unsplittable file has. A large input keeps its splits and is not moved."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+
+
+def busy_partitions(df: DataFrame, *keys: str) -> DataFrame:
+    """Exchange before work that is heavy per row. The number of partitions is the session's, so that
+    adaptive coalescing, which looks at bytes only, does not fold the work into a few tasks."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
