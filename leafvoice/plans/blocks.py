@@ -62,6 +62,29 @@ def row_index(
     )
 
 
+def previous(df: DataFrame, keys: list[str], block: str, order: list[str], cols: list[str], name: str) -> DataFrame:
+    """Add ``name``: a struct of ``cols`` of the row before, null at the first row of a key."""
+    row = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], F.struct(*cols).alias("v"))
+    base = df.withColumn("_row", row)
+    within = Window.partitionBy(*keys, block).orderBy(*order)
+    ends = base.groupBy(*keys, block).agg(F.max_by("_row", F.struct(*order)).alias("_end"))
+    before = Window.partitionBy(*keys).orderBy(block)
+    carry = ends.select(*keys, block, F.lag("_end").over(before).alias("_end"))
+    local = base.withColumn("_prev", F.lag("_row").over(within))
+    return (
+        local.join(carry, [*keys, block], "left")
+        .withColumn(name, F.coalesce("_prev", "_end")["v"])
+        .drop("_row", "_prev", "_end")
+    )
+
+
+def hand_out(rows: DataFrame, facts: DataFrame, keys: list[str], block: str, how: str = "inner") -> DataFrame:
+    """Join one fact per key to the rows of keys of any size: the fact goes to every block first, so
+    the rows meet it on ``(key, block)``."""
+    places = rows.select(*keys, block).distinct().join(facts, keys, how)
+    return rows.join(places, [*keys, block], how)
+
+
 def with_halo(df: DataFrame, index: str, reach: int, size: int = ROWS_PER_BLOCK) -> DataFrame:
     """Blocks over a dense index with ``reach`` rows of each neighbour copied in, so that ``lag`` and
     ``lead`` up to ``reach`` are right inside ``(key, _block)``. Keep ``_own`` rows afterwards."""
