@@ -104,3 +104,108 @@ def events_as_playback(events: DataFrame) -> DataFrame:
         "event_id", F.col("user_id").alias("session_id"), _key("props").alias("book_id"), "ts", kind.alias("kind"),
         F.floor("value").cast("bigint").alias("position"),
     )
+
+
+def paragraphs_as_sentences(paragraphs: DataFrame, per_chapter: int = 5) -> DataFrame:
+    """Lines that are sentences already, a fixed number to a chapter."""
+    n = F.lit(per_chapter)
+    chapter = F.floor(F.col("para_idx") / n).cast("bigint")
+    return paragraphs.select(
+        "doc_id", chapter.alias("chapter_idx"), F.concat(F.lit("ch_"), chapter + 1).alias("chapter_id"),
+        (F.col("para_idx") % n).alias("sentence_idx"), F.col("para_idx").alias("global_idx"), "text",
+    )
+
+
+def paragraphs_as_raw_items(paragraphs: DataFrame) -> DataFrame:
+    """Words as decoder items: every seventh word is set larger, the baseline wobbles, some line ends are
+    missing and the word gaps are left to the coordinates."""
+    words = F.filter(F.split("text", " "), lambda w: w != "")
+    rows = paragraphs.select("doc_id", "page", "para_idx", F.size(words).alias("n"), F.posexplode(words).alias("w", "str"))
+    size = F.when(F.col("w") % 7 == 0, 12.4).otherwise(11.0)
+    y = F.lit(800.0) - F.col("para_idx") % LINES_PER_PAGE * 14 - F.col("w") % 3 * 0.75
+    last = F.col("w") == F.col("n") - 1
+    return rows.select(
+        "doc_id", "page", (F.col("para_idx") % LINES_PER_PAGE * 10000 + F.col("w")).cast("int").alias("item_idx"), "str",
+        F.array(size, F.lit(0.0), F.lit(0.0), -size, F.lit(72.0) + F.col("w") * 80.0, y).alias("transform"),
+        F.when(F.col("w") % 5 == 0, F.lit(0.0)).when(F.col("w") % 5 == 1, F.lit(80.0)).otherwise(F.length("str") * 5.0).alias("width"),
+        size.alias("height"), (last & (F.col("para_idx") % 4 != 3)).alias("has_eol"),
+    )
+
+
+def words_as_paragraphs(paragraphs: DataFrame) -> DataFrame:
+    """A paragraph per word, two-letter words cut to a capital: many lone capitals before lowercase.
+    Within a page the order is ``seq``."""
+    words = F.filter(F.split("text", " "), lambda w: w != "")
+    rows = paragraphs.select("doc_id", "para_idx", F.posexplode(words).alias("w", "word"))
+    rows = row_index(
+        rows.withColumn("block", block_of("para_idx", 1024)), ["doc_id"], "block", ["para_idx", "w"], "idx"
+    )
+    page = (F.floor(F.col("idx") / LINES_PER_PAGE) + 1).cast("int")
+    return rows.select(
+        "doc_id", page.alias("page"), (F.col("idx") % LINES_PER_PAGE).cast("int").alias("seq"), "idx",
+        F.when(F.length("word") == 2, F.upper(F.substring("word", 1, 1))).otherwise(F.col("word")).alias("text"),
+        F.lit(BODY_SIZE).alias("font_size"),
+    ).withColumn("block", block_of("page", PAGES_PER_BLOCK))
+
+
+def documents_as_docs(documents: DataFrame) -> DataFrame:
+    """File and metadata columns for plain documents: every third has no title of its own."""
+    return documents.select(
+        F.col("doc_id").cast("string").alias("doc_id"),
+        F.concat("source", F.lit("_"), "doc_id", F.when(F.col("doc_id") % 4 == 0, ".PDF").otherwise(".pdf")).alias("file_name"),
+        F.when(F.col("doc_id") % 3 != 0, F.trim(F.substring_index("text", "\n", 1))).otherwise(" ").alias("meta_title"),
+        F.greatest(F.lit(1), F.floor(F.col("n_chars") / 60)).cast("int").alias("page_count"),
+    )
+
+
+def documents_as_books(documents: DataFrame, sentences: DataFrame) -> DataFrame:
+    """Book rows over :func:`paragraphs_as_sentences`, added one a minute."""
+    from leafvoice.sources.library import book_id
+    from leafvoice.sources.readers import resolve_title
+
+    counts = sentences.groupBy("doc_id").agg(
+        F.count_distinct("chapter_idx").alias("chapter_count"), F.count("*").alias("sentence_count")
+    )
+    docs = resolve_title(documents_as_docs(documents))
+    return docs.join(counts, "doc_id").select(
+        book_id("doc_id").alias("book_id"), "doc_id", "title", "file_name", "page_count", "chapter_count", "sentence_count",
+        F.lit(None).cast("string").alias("voice"), F.lit("wordSplit").alias("detection_mode"),
+        F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id").cast("bigint") % 500 * 60).alias("added_at"),
+    )
+
+
+def events_as_positions(events: DataFrame) -> DataFrame:
+    """:func:`events_as_progress` as full progress rows: the event decides chapter and sentence, and every
+    third row is of the old kind that has no character."""
+    from leafvoice.sources.library import book_id
+
+    e = F.col("event_id")
+    return events_as_progress(events).select(
+        book_id("book_id").alias("book_id"), F.col("book_id").cast("string").alias("doc_id"), "reader_id", "event_id",
+        F.concat(F.lit("ch_"), e % 4 + 1).alias("chapter_id"), (e % 5).alias("sentence_idx"), "offset_sec",
+        F.when(e % 3 != 0, F.floor("offset_sec").cast("int")).alias("char_index"), "updated_at",
+    )
+
+
+def events_as_speech(events: DataFrame) -> DataFrame:
+    """One utterance per reader and book: signup starts, purchase reports, the rest are ticks."""
+    kind = F.when(F.col("event_type") == "signup", "start").when(F.col("event_type") == "purchase", "boundary").otherwise("tick")
+    return events.select(
+        F.col("user_id").alias("session_id"), "event_id", "ts", kind.alias("kind"),
+        F.when(kind != "tick", F.floor("value").cast("int")).alias("char"), F.lit(0.001).alias("rate"),
+        F.lit(300).alias("text_len"),
+    )
+
+
+def nations_as_voices(customer: DataFrame) -> DataFrame:
+    """Customers as the voices of devices (their nations): names and languages follow the key."""
+    k = F.col("c_custkey")
+    name = (
+        F.when(k % 11 == 0, "Siri Voice").when(k % 13 == 0, "Microsoft Aria Neural - English")
+        .when(k % 7 == 0, "Google UK English Female").when(k % 5 == 0, "Daniel").otherwise(F.concat(F.lit("Voice "), k))
+    )
+    lang = F.when(k % 4 == 0, "en-US").when(k % 9 == 0, "EN").otherwise("fr-FR")
+    return customer.select(
+        F.col("c_nationkey").cast("string").alias("device_id"), k.cast("int").alias("ord"),
+        F.concat(F.lit("v"), k).alias("voice_id"), name.alias("name"), lang.alias("lang"), (k % 10 == 0).alias("is_default"),
+    )
