@@ -798,7 +798,7 @@ def listening_sessions_stream(spark, sf):
 def incremental_chapters(spark, sf):
     """Chapters of documents that arrive as a stream of runs."""
     root = f"{checkpoint_root(spark)}/arrivals-{uuid4().hex}"
-    A.paragraphs_as_runs(page_lines(spark, sf)).coalesce(1).write.parquet(f"{root}/runs")
+    A.paragraphs_as_runs(page_lines(spark, sf)).repartition("doc_id").write.parquet(f"{root}/runs")
 
     def sink(built: X.Books, n: int) -> None:
         built.chapters.write.mode("overwrite").parquet(f"{root}/chapters/batch={n}")

@@ -38,7 +38,8 @@ def listening_sessions(events: DataFrame, gap: str = "30 minutes", lateness: str
 
 def incremental_chapters(runs: DataFrame, sink: Callable[[Books, int], None], checkpoint: str, **options):
     """Build chapters for the documents of each micro-batch and hand them to ``sink(books, batch_id)``.
-    A document arrives whole: write its runs as one file. ``sink`` must be idempotent per batch."""
+    A document arrives whole: partition the runs by document when writing them, so that each is in one
+    file. ``sink`` must be idempotent per batch."""
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         if not batch.limit(1).isEmpty():
