@@ -1,7 +1,8 @@
 """Playback events in batch: the rules of the streaming operators over stored events.
 
 A session or a reader may be of any size, so events are ordered within slices of time and only the last
-state of a slice is carried to the next.
+state of a slice is carried to the next. The slice is chosen so that no key has more than
+``ROWS_PER_SLICE`` events in one, which is counted, not assumed.
 """
 
 from __future__ import annotations
@@ -14,36 +15,58 @@ from leafvoice.functions.measures import round_half_up
 from leafvoice.plans.anchored import anchored_marks
 from leafvoice.plans.blocks import previous, running
 
-SLICE_MS = 15 * 60 * 1000
+ROWS_PER_SLICE = 50_000
 
 
 def millis(ts: str) -> Column:
     return F.unix_millis(F.col(ts).cast("timestamp"))
 
 
-def _sliced(df: DataFrame, ts: str, slice_ms: int) -> DataFrame:
-    return df.withColumn("ms", millis(ts)).withColumn("block", F.floor(F.col("ms") / slice_ms).cast("bigint"))
+def fit_slice(df: DataFrame, keys: list[str], ts: str, max_rows: int | None = None) -> int | None:
+    """Length in ms of the slices of time, or None when every key fits into one."""
+    max_rows = max_rows or ROWS_PER_SLICE
+    rows = df.select(*keys, millis(ts).alias("ms"))
+    per_key = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min("ms").alias("lo"), F.max("ms").alias("hi"))
+    most = per_key.agg(F.max("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).first()
+    if (most.n or 0) <= max_rows:
+        return None
+    slice_ms = max(1, (most.hi - most.lo) * max_rows // most.n)
+    while slice_ms > 1:
+        slices = rows.groupBy(*keys, F.floor(F.col("ms") / slice_ms).alias("s")).count()
+        fullest = slices.agg(F.max("count").alias("n")).first().n
+        if fullest <= max_rows:
+            break
+        # Events come in bursts: shrink by how far the fullest slice is over.
+        slice_ms = max(1, slice_ms * max_rows // (2 * fullest))
+    return slice_ms
+
+
+def _sliced(df: DataFrame, keys: list[str], ts: str, slice_ms: int | None) -> tuple[DataFrame, bool]:
+    """Rows with ``ms`` and ``block``, and whether a key may have several blocks."""
+    slice_ms = slice_ms or fit_slice(df, keys, ts)
+    block = F.floor(F.col("ms") / slice_ms) if slice_ms else F.lit(0)
+    return df.withColumn("ms", millis(ts)).withColumn("block", block.cast("bigint")), slice_ms is not None
 
 
 def coalesce_updates(
-    updates: DataFrame, keys: list[str], delay_ms: int = fixed.DEBOUNCE_MS, slice_ms: int = SLICE_MS
+    updates: DataFrame, keys: list[str], delay_ms: int = fixed.DEBOUNCE_MS, slice_ms: int | None = None
 ) -> DataFrame:
     """Save at most once per ``delay_ms`` and key: the first update starts the wait, its end writes the
     latest value. ``updates`` has ``ts``, a unique ``event_id`` and ``kind``; an event of kind ``close``
     writes what is pending at once. Returns keys, ``fired_at_ms``, ``updates`` and the fields of the
     update written.
     """
-    rows = _sliced(updates, "ts", slice_ms)
+    rows, long = _sliced(updates, keys, "ts", slice_ms)
     rest = [c for c in updates.columns if c not in keys]
     # A close starts a new life of the key; what was pending cannot outlast it.
     close = F.col("kind") == "close"
-    rows = running(rows, keys, "block", ["ms", "event_id"], {"closes": ("sum", close.cast("int"))})
+    rows = running(rows, keys, "block", ["ms", "event_id"], {"closes": ("sum", close.cast("int"))}, long)
     life = [*keys, "life"]
     closed = rows.where(close).select(*keys, (F.col("closes") - 1).alias("life"), F.col("ms").alias("closed_ms"))
     live = rows.where(~close).withColumn("life", F.col("closes"))
     # Rows of one instant are ordered by their id.
     live = live.withColumn("at", F.struct("ms", "event_id"))
-    marked = anchored_marks(live, life, "block", "at", F.col("ms"), delay_ms, None, [c for c in rest if c != "event_id"])
+    marked = anchored_marks(live, life, "block", "at", F.col("ms"), delay_ms, None, [c for c in rest if c != "event_id"], long)
     waits = (
         marked.withColumn("wait", F.col("marks_before") + F.col("marked").cast("int"))
         .withColumn("event_id", F.col("at.event_id"))
@@ -55,15 +78,15 @@ def coalesce_updates(
     )
 
 
-def monotonic_position(boundaries: DataFrame, keys: list[str], slice_ms: int = SLICE_MS) -> DataFrame:
+def monotonic_position(boundaries: DataFrame, keys: list[str], slice_ms: int | None = None) -> DataFrame:
     """Adds ``position``: the furthest ``reported`` offset so far in the utterance."""
-    rows = _sliced(boundaries, "ts", slice_ms)
-    return running(rows, keys, "block", ["ms", "event_id"], {"position": ("max", F.col("reported"))}).drop("block", "ms")
+    rows, long = _sliced(boundaries, keys, "ts", slice_ms)
+    return running(rows, keys, "block", ["ms", "event_id"], {"position": ("max", F.col("reported"))}, long).drop("block", "ms")
 
 
 def interpolate_position(
     events: DataFrame, keys: list[str], chars_per_sec: int = fixed.CHARS_PER_SEC,
-    drift: int = fixed.MAX_DRIFT_CHARS, slice_ms: int = SLICE_MS,
+    drift: int = fixed.MAX_DRIFT_CHARS, slice_ms: int | None = None,
 ) -> DataFrame:
     """Position at every ``tick`` of an utterance.
 
@@ -72,33 +95,33 @@ def interpolate_position(
     estimate runs on from the last start or boundary, at most ``drift`` characters past a boundary, never
     past the text, and never goes back.
     """
-    rows = _sliced(events, "ts", slice_ms)
+    rows, long = _sliced(events, keys, "ts", slice_ms)
     order = ["ms", "event_id"]
     known = F.col("kind") != "tick"
     rows = running(rows, keys, "block", order, {
         "anchor": ("max", F.when(known, F.struct("ms", "event_id", F.col("char").cast("double").alias("char")))),
         "seen": ("max", F.when(F.col("kind") == "boundary", 1)),
-    })
+    }, long)
     ahead = F.col("anchor.char") + (F.col("ms") - F.col("anchor.ms")) / 1000 * chars_per_sec * F.col("rate")
     capped = F.least(
         ahead, F.when(F.col("seen") == 1, F.col("anchor.char") + drift), F.col("text_len").cast("double")
     )
     rows = rows.withColumn("estimate", F.when(known, F.col("char").cast("bigint")).otherwise(round_half_up(capped)))
-    rows = running(rows, keys, "block", order, {"position": ("max", F.col("estimate"))})
+    rows = running(rows, keys, "block", order, {"position": ("max", F.col("estimate"))}, long)
     return rows.where("kind = 'tick'").select(*keys, "event_id", "ts", F.col("position").cast("bigint").alias("position"))
 
 
 def detect_stalls(
     events: DataFrame, keys: list[str], seen_ms: int = fixed.STALL_SEEN_MS, unseen_ms: int = fixed.STALL_UNSEEN_MS,
-    slice_ms: int = SLICE_MS,
+    slice_ms: int | None = None,
 ) -> DataFrame:
     """Silences while playing: no event for longer than ``seen_ms`` after a boundary was heard, or
     ``unseen_ms`` before one. ``kind`` is play, boundary, or anything else, which stops playing. The last
     event of a session is not judged: nothing after it says how long the silence was."""
-    rows = _sliced(events, "ts", slice_ms)
+    rows, long = _sliced(events, keys, "ts", slice_ms)
     order = ["ms", "event_id"]
-    rows = running(rows, keys, "block", order, {"seen": ("max", (F.col("kind") == "boundary").cast("int"))})
-    rows = previous(rows, keys, "block", order, ["ms", "kind", "seen"], "before")
+    rows = running(rows, keys, "block", order, {"seen": ("max", (F.col("kind") == "boundary").cast("int"))}, long)
+    rows = previous(rows, keys, "block", order, ["ms", "kind", "seen"], "before", long)
     limit = F.when(F.col("before.seen") == 1, seen_ms).otherwise(unseen_ms)
     silence = F.col("ms") - F.col("before.ms")
     return rows.where(F.col("before.kind").isin("play", "boundary") & (silence > limit)).select(
@@ -106,15 +129,15 @@ def detect_stalls(
     )
 
 
-def sessionize_playback(events: DataFrame, keys: list[str], slice_ms: int = SLICE_MS) -> DataFrame:
+def sessionize_playback(events: DataFrame, keys: list[str], slice_ms: int | None = None) -> DataFrame:
     """Per session: times played, seconds listened (from a play to the next pause) and the furthest
     position reached. ``events`` is (keys, event_id, ts, kind, position)."""
-    rows = _sliced(events, "ts", slice_ms)
+    rows, long = _sliced(events, keys, "ts", slice_ms)
     order = ["ms", "event_id"]
     switch = F.when(F.col("kind").isin("play", "pause"), F.struct("ms", "event_id", (F.col("kind") == "play").alias("on")))
-    rows = running(rows, keys, "block", order, {"state": ("max", switch)})
+    rows = running(rows, keys, "block", order, {"state": ("max", switch)}, long)
     rows = rows.withColumn("playing", F.coalesce("state.on", F.lit(False)))
-    rows = previous(rows, keys, "block", order, ["ms", "playing"], "before")
+    rows = previous(rows, keys, "block", order, ["ms", "playing"], "before", long)
     return rows.groupBy(*keys).agg(
         F.count_if(F.col("kind") == "play").alias("plays"),
         (F.sum(F.when(F.col("before.playing"), F.col("ms") - F.col("before.ms")).otherwise(0)) / 1000).alias("listened_sec"),

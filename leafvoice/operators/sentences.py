@@ -88,19 +88,20 @@ def explode_sentences(chapters: DataFrame) -> DataFrame:
 
 def explode_words(sentences: DataFrame) -> DataFrame:
     """One row per word with its index and character offset in the sentence. Filter sentences first."""
-    pieces = sentences.withColumn("pieces", split_keeping_gaps("text"))
-    offset = lambda i: F.aggregate(
-        F.slice("pieces", F.lit(1), i), F.lit(0), lambda acc, p: acc + F.length(p["text"])
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    offsets = F.aggregate(
+        "pieces", start,
+        lambda acc, p: F.struct(
+            (acc["at"] + F.length(p["text"])).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")
+        ),
+        lambda acc: acc["out"],
     )
+    words = F.filter(F.arrays_zip("pieces", "offsets"), lambda p: p["pieces"]["is_word"])
+    keep = [c for c in sentences.columns if c != "text"]
     return (
-        pieces.select("*", F.posexplode("pieces").alias("at", "piece"))
-        .where("piece.is_word")
-        .withColumns({
-            "char_index": offset(F.col("at")),
-            "word_idx": F.size(F.filter(F.slice("pieces", F.lit(1), F.col("at")), lambda p: p["is_word"])),
-            "word": F.col("piece.text"),
-        })
-        .drop("pieces", "piece", "at", "text")
+        sentences.withColumn("pieces", split_keeping_gaps("text")).withColumn("offsets", offsets)
+        .select(*keep, F.posexplode(words).alias("word_idx", "w"))
+        .select(*keep, "word_idx", F.col("w.offsets").alias("char_index"), F.col("w.pieces.text").alias("word"))
     )
 
 

@@ -266,6 +266,7 @@ def sections(pre: str, src: str, outline: str | None, max_words: int) -> None:
 
 def numbered(pre: str, members: str) -> None:
     """Defines ``{pre}_chapters`` from members with mode and key; headings and entries give the titles."""
+    CTE.pop(f"{pre}_chapters", None)
     CTE[f"{pre}_chapters"] = f"""
       SELECT m.doc_id, row_number() OVER (PARTITION BY m.doc_id ORDER BY m.key) - 1 AS chapter_idx, m.key,
         'ch_' || row_number() OVER (PARTITION BY m.doc_id ORDER BY m.key) AS chapter_id,
@@ -310,8 +311,8 @@ numbered("toc", "toc_members2")
 sections("plain", "web", None, 3000)
 CTE["plain_members2"] = "SELECT doc_id, para_idx, page, 'heading' AS mode, key FROM plain_under WHERE doc_id IN (SELECT doc_id FROM plain_heads GROUP BY doc_id HAVING count(*) >= 3)"
 numbered("plain", "plain_members2")
-sections("text", "lines11", None, 3000)
 CTE["lines11"] = "SELECT *, 11.0::DOUBLE AS font_size FROM lines"
+sections("text", "lines11", None, 3000)
 joined("text", "lines11", "text_members")
 sentence_rows("text")
 sections("bits", "lines11", None, 200)
@@ -402,10 +403,10 @@ CTE["marked_up"] = r"""
 SQL["strip_markup"] = with_(f"SELECT doc_id, para_idx, {strip('text')} AS text FROM marked_up")
 SQL["word_functions"] = with_("""
 SELECT doc_id, para_idx, len(regexp_split_to_array(trim(text), '\\s+'))::INTEGER AS words,
-  CASE WHEN at <= 0 THEN 0 ELSE greatest(0, least(len(ws) - 1, len(list_filter(ends, lambda e: e <= at)))) END::INTEGER AS word_at,
+  CASE WHEN pos <= 0 THEN 0 ELSE greatest(0, least(len(ws) - 1, len(list_filter(ends, lambda e: e <= pos)))) END::INTEGER AS word_at,
   CASE WHEN para_idx % 12 < len(ws) THEN ends[para_idx % 12 + 1] - length(ws[para_idx % 12 + 1]) ELSE 0 END::INTEGER AS char_of,
   len(regexp_extract_all(text, '\\S+|\\s+'))::INTEGER AS pieces
-FROM (SELECT *, para_idx * 7 + length(text) % 90 AS at, regexp_extract_all(text, '\\S+') AS ws,
+FROM (SELECT *, para_idx * 7 + length(text) % 90 AS pos, regexp_extract_all(text, '\\S+') AS ws,
   list_transform(range(1, len(regexp_extract_all(text, '\\s*\\S+')) + 1),
     lambda i: list_sum(list_transform(regexp_extract_all(text, '\\s*\\S+')[1:i], lambda s: length(s)))) AS ends FROM lines)""")
 SQL["label_functions"] = """
@@ -432,7 +433,7 @@ SQL["dominant_font_size"] = with_("SELECT doc_id, page, line, font_size FROM lin
 SQL["lines_to_paragraphs"] = with_("SELECT doc_id, page, seq, text, font_size FROM raw_paras")
 CTE["tiny_paras"] = """
   SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY para_idx, w) - 1 AS idx,
-    CASE WHEN length(str) = 2 THEN upper(left(str, 1)) ELSE str END AS text FROM words"""
+    CASE WHEN length(str) = 2 AND regexp_matches(str, '^[A-Za-z]') THEN upper(left(str, 1)) ELSE str END AS text FROM words"""
 CTE["cap_fold"] = """
   SELECT doc_id, ts, list_reduce(list_transform(ts, lambda t: {'a': t, 'b': '', 'c': '', 'o': []::INTEGER[]}),
     lambda s, t: CASE WHEN regexp_matches(t.a, '^[A-Z]$') THEN {'a': t.a, 'b': s.a, 'c': s.b, 'o': list_append(s.o, 0)}
@@ -473,7 +474,6 @@ SELECT c.doc_id, c.chapter_idx, c.chapter_id, c.title, c.start_page, c.detection
   round(coalesce(sum(greatest(0.4, length(s.text) / 14::DOUBLE)), 0), 6) AS est_seconds
 FROM text_chapters c LEFT JOIN text_sentences s ON s.doc_id = c.doc_id AND s.chapter_idx = c.chapter_idx
 GROUP BY ALL""")
-SQL["incremental_chapters"] = ""
 
 # --- sentences -------------------------------------------------------------------------------
 
@@ -484,7 +484,7 @@ SQL["split_sentences_simple"] = with_("SELECT conv_id, turn, pos, text FROM turn
 SQL["enforce_max_length"] = with_("SELECT conv_id, turn, CAST(row_number() OVER (PARTITION BY conv_id, turn ORDER BY part) - 1 AS INTEGER) AS pos, text FROM turn_cap")
 CTE["short_pieces"] = """
   SELECT conv_id, turn, unnest(range(0, len(ps))) AS i, unnest(ps) AS p FROM (SELECT conv_id, turn,
-    string_split(replace(regexp_replace(text, '([a-z]) ([a-z])\\b', '\\1 \\2.', 'g'), '. ', '.' || chr(64976)), chr(64976)) AS ps FROM turns)"""
+    string_split(replace(regexp_replace(text, '([a-z]) ([a-z]) ', '\\1 \\2. ', 'g'), '. ', '.' || chr(64976)), chr(64976)) AS ps FROM turns)"""
 CTE["short_groups"] = f"""
   SELECT conv_id, turn, i, p, sum(starts) OVER (PARTITION BY conv_id, turn ORDER BY i) AS g FROM (
     SELECT conv_id, turn, i, p, CASE WHEN {abbr("lag(p) OVER w")} THEN 0 ELSE 1 END AS starts
@@ -584,14 +584,8 @@ SELECT doc_id, chapter_idx, sentence_idx, round(c + p, 6) AS chapter_pos_sec, ro
   SELECT *, round(length(text) / 28::DOUBLE, 6) AS p, coalesce(sum(sec) OVER (PARTITION BY doc_id, chapter_idx ORDER BY global_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c,
     coalesce(sum(sec) OVER (PARTITION BY doc_id ORDER BY global_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b
   FROM (SELECT *, greatest(0.4, length(text) / 14::DOUBLE) AS sec FROM spoken)) WHERE length(text) > 60""")
-SQL["neighbour_targets"] = with_("""
-SELECT s.doc_id, s.chapter_idx, s.sentence_idx, s.global_idx, greatest(0, s.global_idx - 1) AS prev_sentence,
-  lead(s.global_idx) OVER (PARTITION BY s.doc_id ORDER BY s.global_idx) AS next_sentence,
-  CASE WHEN s.global_idx > c.g THEN c.g ELSE p.g END AS prev_chapter, n.g AS next_chapter
-FROM spoken s JOIN begins c ON c.doc_id = s.doc_id AND c.chapter_idx = s.chapter_idx
-LEFT JOIN begins p ON p.doc_id = s.doc_id AND p.chapter_idx = s.chapter_idx - 1 LEFT JOIN begins n ON n.doc_id = s.doc_id AND n.chapter_idx = s.chapter_idx + 1""")
 CTE["begins"] = "SELECT doc_id, chapter_idx, min(global_idx) AS g FROM spoken GROUP BY ALL"
-SQL["neighbour_targets"] = with_(SQL["neighbour_targets"].split("\n", 1)[1] if False else """
+SQL["neighbour_targets"] = with_("""
 SELECT s.doc_id, s.chapter_idx, s.sentence_idx, s.global_idx, greatest(0, s.global_idx - 1) AS prev_sentence,
   lead(s.global_idx) OVER (PARTITION BY s.doc_id ORDER BY s.global_idx) AS next_sentence,
   CASE WHEN s.global_idx > c.g THEN c.g ELSE p.g END AS prev_chapter, n.g AS next_chapter
@@ -631,7 +625,7 @@ LEFT JOIN spoken n ON n.doc_id = a.doc_id AND n.global_idx = a.global_idx + 1"""
 
 _DELAY = 2 * 24 * 3600 * 1000
 CTE["updates"] = """
-  SELECT user_id AS reader_id, event_id, epoch_ms(ts) AS ms, event_type = 'signup' AND event_id % 4 = 0 AS closes, value FROM events"""
+  SELECT user_id AS reader_id, event_id, epoch_us(ts) // 1000 AS ms, event_type = 'signup' AND event_id % 4 = 0 AS closes, value FROM events"""
 CTE["update_fold"] = f"""
   SELECT reader_id, es, list_reduce(list_transform(es, lambda e: {{'a': e.ms, 'c': e.closes, 'w': 0, 'o': []::INTEGER[]}}),
     lambda s, e: CASE WHEN e.c THEN {{'a': NULL, 'c': true, 'w': s.w, 'o': list_append(s.o, -1)}}
@@ -647,18 +641,18 @@ SQL["coalesce_updates"] = with_(f"""
 SELECT reader_id, CAST(coalesce(least(first_ms + {_DELAY}, (SELECT min(ms) FROM update_rows c WHERE c.reader_id = u.reader_id AND c.closes AND c.ms >= u.last_ms)), first_ms + {_DELAY}) AS BIGINT) AS fired_at_ms,
   updates, event_id, value FROM update_waits u""")
 CTE["played"] = """
-  SELECT event_id, user_id AS session_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS book_id, epoch_ms(ts) AS ms,
+  SELECT event_id, user_id AS session_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS book_id, epoch_us(ts) // 1000 AS ms,
     CASE event_type WHEN 'signup' THEN 'play' WHEN 'error' THEN 'pause' ELSE 'boundary' END AS kind, CAST(floor(value) AS BIGINT) AS position FROM events"""
 SQL["monotonic_position"] = with_("SELECT event_id, max(position) OVER (PARTITION BY session_id, book_id ORDER BY ms, event_id) AS position FROM played")
 CTE["speech"] = """
-  SELECT event_id, user_id AS session_id, epoch_ms(ts) AS ms, CASE event_type WHEN 'signup' THEN 'start' WHEN 'purchase' THEN 'boundary' ELSE 'tick' END AS kind,
+  SELECT event_id, user_id AS session_id, epoch_us(ts) // 1000 AS ms, CASE event_type WHEN 'signup' THEN 'start' WHEN 'purchase' THEN 'boundary' ELSE 'tick' END AS kind,
     CASE WHEN event_type IN ('signup', 'purchase') THEN CAST(floor(value) AS BIGINT) END AS c FROM events"""
 CTE["speech_anchor"] = """
-  SELECT *, last_value(c IGNORE NULLS) OVER w AS a, last_value(CASE WHEN c IS NOT NULL THEN ms END IGNORE NULLS) OVER w AS at, bool_or(kind = 'boundary') OVER w AS seen
+  SELECT *, last_value(c IGNORE NULLS) OVER w AS a, last_value(CASE WHEN c IS NOT NULL THEN ms END IGNORE NULLS) OVER w AS since, bool_or(kind = 'boundary') OVER w AS seen
   FROM speech WINDOW w AS (PARTITION BY session_id ORDER BY ms, event_id ROWS UNBOUNDED PRECEDING)"""
 SQL["interpolate_position"] = with_("""
 SELECT event_id, position FROM (SELECT event_id, kind, max(p) OVER (PARTITION BY session_id ORDER BY ms, event_id ROWS UNBOUNDED PRECEDING) AS position FROM (
-  SELECT *, CASE WHEN kind <> 'tick' THEN c WHEN a IS NULL THEN 300 ELSE CAST(floor(least(a + (ms - at) / 1000::DOUBLE * 14 * 0.001::DOUBLE, CASE WHEN seen THEN a + 90 ELSE 300 END, 300) + 0.5) AS BIGINT) END AS p
+  SELECT *, CASE WHEN kind <> 'tick' THEN c WHEN a IS NULL THEN 300 ELSE CAST(floor(least(a + (ms - since) / 1000::DOUBLE * 14 * 0.001::DOUBLE, CASE WHEN seen THEN a + 90 ELSE 300 END, 300) + 0.5) AS BIGINT) END AS p
   FROM speech_anchor)) WHERE kind = 'tick'""")
 CTE["gaps"] = """
   SELECT *, lag(ms) OVER w AS pms, lag(kind) OVER w AS pkind, bool_or(kind = 'boundary') OVER (PARTITION BY session_id ORDER BY ms, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen
@@ -671,7 +665,6 @@ CTE["playing"] = """
   WINDOW w AS (PARTITION BY session_id ORDER BY ms, event_id)"""
 SQL["sessionize_playback"] = with_("""
 SELECT session_id, count(*) FILTER (kind = 'play') AS plays, round(sum(CASE WHEN was_on THEN ms - pms ELSE 0 END) / 1000::DOUBLE, 6) AS listened_sec, max(position) AS furthest FROM playing GROUP BY session_id""")
-SQL["incremental_chapters"] = with_("SELECT doc_id, chapter_idx, title, start_page, detection_mode FROM arrived_chapters") if "arrived_chapters" in CTE else ""
 CTE["arrived"] = "SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY para_idx) - 1 AS para_idx, page, text, font_size FROM chromeless"
 sections("arr", "arrived", None, 3000)
 SQL["incremental_chapters"] = with_("SELECT doc_id, chapter_idx, title, start_page, detection_mode FROM arr_chapters")

@@ -62,11 +62,15 @@ def row_index(
     )
 
 
-def previous(df: DataFrame, keys: list[str], block: str, order: list[str], cols: list[str], name: str) -> DataFrame:
+def previous(
+    df: DataFrame, keys: list[str], block: str, order: list[str], cols: list[str], name: str, long_keys: bool = True
+) -> DataFrame:
     """Add ``name``: a struct of ``cols`` of the row before, null at the first row of a key."""
     row = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], F.struct(*cols).alias("v"))
     base = df.withColumn("_row", row)
     within = Window.partitionBy(*keys, block).orderBy(*order)
+    if not long_keys:
+        return df.withColumn(name, F.lag(F.struct(*cols)).over(within))
     ends = base.groupBy(*keys, block).agg(F.max_by("_row", F.struct(*order)).alias("_end"))
     before = Window.partitionBy(*keys).orderBy(block)
     carry = ends.select(*keys, block, F.lag("_end").over(before).alias("_end"))

@@ -458,7 +458,7 @@ def segment_sentences(spark, sf):
 
 @query
 def merge_abbreviations(spark, sf):
-    pieces = F.split(F.regexp_replace("text", "([a-z]) ([a-z])\\b", "$1 $2."), "(?<=[.]) ")
+    pieces = F.split(F.regexp_replace("text", "([a-z]) ([a-z]) ", "$1 $2. "), "(?<=[.]) ")
     return _turns(spark, sf).select("conv_id", "turn", F.posexplode(N.merge_abbreviations(pieces)).alias("pos", "text"))
 
 

@@ -143,7 +143,7 @@ def words_as_paragraphs(paragraphs: DataFrame) -> DataFrame:
     page = (F.floor(F.col("idx") / LINES_PER_PAGE) + 1).cast("int")
     return rows.select(
         "doc_id", page.alias("page"), (F.col("idx") % LINES_PER_PAGE).cast("int").alias("seq"), "idx",
-        F.when(F.length("word") == 2, F.upper(F.substring("word", 1, 1))).otherwise(F.col("word")).alias("text"),
+        F.when((F.length("word") == 2) & F.col("word").rlike("^[A-Za-z]"), F.upper(F.substring("word", 1, 1))).otherwise(F.col("word")).alias("text"),
         F.lit(BODY_SIZE).alias("font_size"),
     ).withColumn("block", block_of("page", PAGES_PER_BLOCK))
 

@@ -31,7 +31,7 @@ def update_events(rng, keys=15):
     return out
 
 
-@pytest.mark.parametrize("slice_ms", [P.SLICE_MS, 2000])
+@pytest.mark.parametrize("slice_ms", [None, 2000])
 def test_coalesce_batch(spark, slice_ms):
     ev = update_events(random.Random(1))
     df = spark.createDataFrame([(k, at(m), i, kind, v) for k, rows in ev.items() for m, i, kind, v in rows],
@@ -42,7 +42,7 @@ def test_coalesce_batch(spark, slice_ms):
     assert got == {k: w for k, rows in ev.items() if (w := loops.debounced(rows, 3000))}
 
 
-@pytest.mark.parametrize("slice_ms", [P.SLICE_MS, 1500])
+@pytest.mark.parametrize("slice_ms", [None, 1500])
 def test_positions_and_stalls(spark, slice_ms):
     rng = random.Random(2)
     ticks, plays, n = {}, {}, 0
@@ -77,6 +77,16 @@ def test_positions_and_stalls(spark, slice_ms):
         assert got[k] == (sum(r[2] == "play" for r in rows), total / 1000, max(r[3] for r in rows))
 
 
+def test_slices_fit(spark):
+    """A burst makes the slices shorter until none is overfull."""
+    rows = [("hot", 1000 * i) for i in range(400)] + [("hot", 200_000 + i) for i in range(300)] + [("cold", 5)]
+    df = spark.createDataFrame([(k, at(m)) for k, m in rows], "key string, ts timestamp")
+    assert P.fit_slice(df, ["key"], "ts") is None
+    s = P.fit_slice(df, ["key"], "ts", 50)
+    n = df.groupBy("key", F.floor(P.millis("ts") / s)).count().agg(F.max("count")).first()[0]
+    assert 1 < s and n <= 50
+
+
 def test_monotonic(spark):
     df = spark.createDataFrame([("s", i, at(i * 700), v) for i, v in enumerate([3, 1, 7, 5, 9])],
                                "key string, event_id long, ts timestamp, reported int")
