@@ -14,6 +14,7 @@ from leafvoice.functions import fixed
 BLANKS = "\\s\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff"
 WS = f"[{BLANKS}]"
 NWS = f"[^{BLANKS}]"
+BLANK_CHARS = "\t\n\x0b\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 # Unicode noncharacters, reserved for a program's own marks: they cannot occur in interchanged text.
 MARK = "\ufdd0"
@@ -30,7 +31,7 @@ def let(value: Column, body) -> Column:
 
 
 def js_trim(c) -> Column:
-    return F.regexp_replace(col(c), f"^{WS}+|{WS}+\\z", "")
+    return F.btrim(col(c), F.lit(BLANK_CHARS))
 
 
 # --- predicates ------------------------------------------------------------------------------
@@ -76,9 +77,24 @@ ABBREVIATION_TAIL = (
 )
 
 
+_TAIL_CHARS = 40
+
+
 def ends_with_abbreviation(c) -> Column:
-    """The whole word before a final period is an abbreviation, dotted letters or one letter."""
-    return col(c).rlike(ABBREVIATION_TAIL)
+    """The whole word before a final period is an abbreviation, dotted letters or one letter.
+
+    The longest such word is far shorter than ``_TAIL_CHARS``, so the end of the text decides, unless a
+    row of dots reaches further back.
+    """
+    text = F.rtrim(col(c), F.lit(BLANK_CHARS))
+
+    def judge(t: Column) -> Column:
+        tail = F.right(t, F.lit(_TAIL_CHARS))
+        return F.when(~F.endswith(t, F.lit(".")), F.lit(False)).when(
+            F.startswith(tail, F.lit(".")), t.rlike(ABBREVIATION_TAIL)
+        ).otherwise(tail.rlike(ABBREVIATION_TAIL))
+
+    return let(text, judge)
 
 
 def is_whitespace_gap(gap, size, prev_text, text) -> Column:
@@ -107,8 +123,9 @@ def heading_title(c) -> Column:
 
 # --- repairs ---------------------------------------------------------------------------------
 
+# Starts at a word or where the last match ended, so that no word is tried at each of its letters.
 _HYPHEN = (
-    "([A-Za-z]{2,})(?:([-\\u2010\\u2011\\u00ad] (?:"
+    "(?:(?<![A-Za-z])|\\G)([A-Za-z]{2,}+)(?:([-\\u2010\\u2011\\u00ad] (?:"
     + "|".join(fixed.HYPHEN_FOLLOWERS)
     + ")(?![a-z]))|[-\\u2010\\u2011\\u00ad] ([a-z]{2,}))"
 )
@@ -116,7 +133,8 @@ _HYPHEN = (
 
 def repair_hyphenation(c) -> Column:
     """Join ``head- tail``; a hyphen before a conjunction is kept with its blank."""
-    return F.regexp_replace(col(c), _HYPHEN, "$1$2$3")
+    dashed = lambda t: t.rlike("[-\\u2010\\u2011\\u00ad] ")
+    return let(col(c), lambda t: F.when(dashed(t), F.regexp_replace(t, _HYPHEN, "$1$2$3")).otherwise(t))
 
 
 def _either(words) -> str:
@@ -228,7 +246,8 @@ def strip_latex(c) -> Column:
 
 
 def strip_box_drawing(c) -> Column:
-    return F.regexp_replace(col(c), fixed.BOX_DRAWING, " ")
+    # The plain range fails fast on ordinary letters.
+    return F.regexp_replace(col(c), "(?=[\\u2500-\\u257f])" + fixed.BOX_DRAWING, " ")
 
 
 def strip_soft_hyphens(c) -> Column:
@@ -240,7 +259,8 @@ def dehyphenate_newlines(c) -> Column:
 
 
 def collapse_whitespace(c) -> Column:
-    return F.trim(F.regexp_replace(col(c), f"{WS}+", " "))
+    # Single plain blanks, nearly all there are, are left alone.
+    return F.trim(F.regexp_replace(col(c), f" *[{BLANKS}&&[^ ]]{WS}*| {{2,}}{WS}*", " "))
 
 
 def clean_for_speech(c, repair: bool = True) -> Column:

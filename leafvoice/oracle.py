@@ -105,6 +105,42 @@ def simple_split(name: str, src: str, keys: str, x: str) -> None:
       FROM (SELECT {keys}, list_filter(list_append(f.o, trim(f.b)), lambda p: p <> '') AS s FROM {name}_fold)"""
 
 
+CLOSERS = "[\"'()\\[\\]{}‘’“”«»‹›]"
+
+
+def unicode_pieces(x: str) -> tuple[str, str]:
+    """The candidates ``c`` of ``x`` and the pieces made of them: every end mark with what closes it is a candidate, and the
+    text on both sides decides."""
+    candidates = f"string_split(regexp_replace({x}, {q('([.!?]+' + CLOSERS + '* *)')}, '\\1' || {MARK}, 'g'), {MARK})"
+    closed = f"regexp_matches(s, {q('[.!?]' + CLOSERS + '* +$')}) OR regexp_matches(s, {q('[.!?]' + CLOSERS + '+ *$')})"
+    joins = "regexp_matches(n, '^[.!?,:;\\-–—]')"
+    strong = f"regexp_matches(s, {q('[!?]' + CLOSERS + '* *$')})"
+    ends = (
+        f"CASE WHEN n IS NULL THEN false WHEN {strong} THEN ({closed}) OR NOT {joins} "
+        f"WHEN regexp_matches(n, '^[^\\p{{L}}.!?]*\\p{{Ll}}') THEN false WHEN {closed} THEN true "
+        f"ELSE NOT ({joins} OR regexp_matches(n, '^[0-9]') OR (regexp_matches(s, '\\p{{L}}\\.$') AND regexp_matches(n, '^\\p{{Lu}}'))) END"
+    )
+    # A joining mark right behind a closer takes the closer with it.
+    split_closer = f"{joins} AND regexp_matches(s, {q(CLOSERS + '$')})"
+    ends, split_closer = (e.replace("(n, ", "(p.n, ").replace("n IS NULL", "p.n IS NULL").replace("(s, ", "(p.s, ") for e in (ends, split_closer))
+    pieces = (
+        f"list_transform(list_transform(range(1, len(c) + 1), lambda i: {{'s': c[i], 'n': nullif(c[i + 1], '')}}), "
+        f"lambda p: CASE WHEN NOT ({ends}) THEN p.s WHEN {split_closer} THEN left(p.s, length(p.s) - 1) || {MARK} || right(p.s, 1) ELSE p.s || {MARK} END)"
+    )
+    return pieces, candidates
+
+
+def unicode_split(name: str, src: str, keys: str, x: str, merge: bool = True) -> None:
+    """Defines ``name(keys, pos, text)``: ``x`` of ``src`` cut by the Unicode rules."""
+    pieces, candidates = unicode_pieces(x)
+    clean = lambda s: f"list_filter(list_transform(string_split(array_to_string({s}, ''), {MARK}), lambda t: trim(t)), lambda t: t <> '')"
+    CTE[f"{name}_cand"] = f"SELECT {keys}, {candidates} AS c FROM {src}"
+    CTE[f"{name}_seg"] = f"SELECT {keys}, {clean(pieces)} AS s FROM {name}_cand"
+    glued = f"list_transform(s, lambda t: t || CASE WHEN {abbr('t')} THEN ' ' ELSE {MARK} END)"
+    CTE[f"{name}_all"] = f"SELECT {keys}, {clean(glued) if merge else 's'} AS s FROM {name}_seg"
+    CTE[name] = f"SELECT {keys}, CAST(unnest(range(0, len(s))) AS INTEGER) AS pos, unnest(s) AS text FROM {name}_all"
+
+
 def capped(name: str, src: str, keys: str, x: str = "text") -> None:
     """Defines ``name(keys, part, text)``: ``x`` of ``src`` cut to 350 characters."""
     n = fixed.MAX_SENTENCE_CHARS
@@ -287,17 +323,18 @@ def joined(pre: str, src: str, members: str) -> None:
       GROUP BY doc_id, key"""
 
 
-def sentence_rows(pre: str) -> None:
-    """Defines ``{pre}_sentences`` from ``{pre}_text`` and ``{pre}_chapters``."""
-    CTE[f"{pre}_hyph"] = f"SELECT doc_id, key, {hyphens('text')} AS text FROM {pre}_text"
+def sentence_rows(pre: str, splitter=None, base: str | None = None) -> None:
+    """Defines ``{pre}_sentences`` from the text and chapters of ``base``."""
+    base = base or pre
+    CTE[f"{pre}_hyph"] = f"SELECT doc_id, key, {hyphens('text')} AS text FROM {base}_text"
     ligatures(f"{pre}_lig", f"{pre}_hyph", "doc_id, key", "text")
     CTE[f"{pre}_clean"] = f"SELECT doc_id, key, {strip('text')} AS text FROM {pre}_lig"
-    simple_split(f"{pre}_split", f"{pre}_clean", "doc_id, key", "text")
+    (splitter or simple_split)(f"{pre}_split", f"{pre}_clean", "doc_id, key", "text")
     capped(f"{pre}_cap", f"{pre}_split", "doc_id, key, pos")
     CTE[f"{pre}_sentences"] = f"""
       SELECT doc_id, chapter_idx, chapter_id, row_number() OVER (PARTITION BY doc_id, chapter_idx ORDER BY pos, part) - 1 AS sentence_idx,
         row_number() OVER (PARTITION BY doc_id ORDER BY chapter_idx, pos, part) - 1 AS global_idx, text
-      FROM {pre}_cap JOIN {pre}_chapters USING (doc_id, key)"""
+      FROM {pre}_cap JOIN {base}_chapters USING (doc_id, key)"""
 
 
 CTE["web_outline"] = "SELECT doc_id, para_idx AS entry_idx, text AS title, page FROM web WHERE font_size = 22"
@@ -305,6 +342,7 @@ CTE["half_outline"] = "SELECT * FROM web_outline WHERE CAST(doc_id AS BIGINT) %
 sections("book", "web", "half_outline", 3000)
 joined("book", "web", "book_members")
 sentence_rows("book")
+sentence_rows("unibook", unicode_split, "book")
 sections("toc", "web", "web_outline", 3000)
 CTE["toc_members2"] = "SELECT doc_id, para_idx, page, 'outline' AS mode, key FROM toc_listed"
 numbered("toc", "toc_members2")
@@ -407,8 +445,8 @@ SELECT doc_id, para_idx, len(regexp_split_to_array(trim(text), '\\s+'))::INTEGER
   CASE WHEN para_idx % 12 < len(ws) THEN ends[para_idx % 12 + 1] - length(ws[para_idx % 12 + 1]) ELSE 0 END::INTEGER AS char_of,
   len(regexp_extract_all(text, '\\S+|\\s+'))::INTEGER AS pieces
 FROM (SELECT *, para_idx * 7 + length(text) % 90 AS pos, regexp_extract_all(text, '\\S+') AS ws,
-  list_transform(range(1, len(regexp_extract_all(text, '\\s*\\S+')) + 1),
-    lambda i: list_sum(list_transform(regexp_extract_all(text, '\\s*\\S+')[1:i], lambda s: length(s)))) AS ends FROM lines)""")
+  list_reduce(list_transform(regexp_extract_all(text, '\\s*\\S+'), lambda t: {'z': length(t), 'o': []::BIGINT[]}),
+    lambda a, t: {'z': a.z + t.z, 'o': list_append(a.o, a.z + t.z)}, {'z': 0::BIGINT, 'o': []::BIGINT[]}).o AS ends FROM lines)""")
 SQL["label_functions"] = """
 SELECT doc_id, CAST(abs(list_reduce(list_transform(string_split(left(text, 40), ''), lambda c: ord(c)::BIGINT),
     lambda h, u: ((h * 31 + u + 2147483648) % 4294967296 + 4294967296) % 4294967296 - 2147483648, 0::BIGINT)) % 360 AS INTEGER) AS hue,
@@ -469,6 +507,7 @@ SELECT doc_id, row_number() OVER w - 1 AS chapter_idx, para_idx AS chapter_key,
   'heading' AS detection_mode FROM web WHERE font_size > 11 WINDOW w AS (PARTITION BY doc_id ORDER BY para_idx)""")
 SQL["build_chapters"] = with_("SELECT * FROM run_sentences")
 SQL["build_web_chapters"] = with_("SELECT * FROM book_sentences")
+SQL["build_chapters_unicode"] = with_("SELECT * FROM unibook_sentences")
 SQL["narration_chapters"] = with_("""
 SELECT c.doc_id, c.chapter_idx, c.chapter_id, c.title, c.start_page, c.detection_mode, count(s.text) AS sentence_count,
   round(coalesce(sum(greatest(0.4, length(s.text) / 14::DOUBLE)), 0), 6) AS est_seconds
@@ -480,6 +519,8 @@ GROUP BY ALL""")
 CTE["turns"] = "SELECT conv_id, turn, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text FROM conversations"
 simple_split("turn_split", "turns", "conv_id, turn", "text")
 capped("turn_cap", "turns", "conv_id, turn")
+unicode_split("turn_seg", "turns", "conv_id, turn", "text", merge=False)
+SQL["segment_sentences"] = with_("SELECT conv_id, turn, pos, text FROM turn_seg")
 SQL["split_sentences_simple"] = with_("SELECT conv_id, turn, pos, text FROM turn_split")
 SQL["enforce_max_length"] = with_("SELECT conv_id, turn, CAST(row_number() OVER (PARTITION BY conv_id, turn ORDER BY part) - 1 AS INTEGER) AS pos, text FROM turn_cap")
 CTE["short_pieces"] = """
@@ -493,6 +534,9 @@ SQL["merge_abbreviations"] = with_("SELECT conv_id, turn, CAST(row_number() OVER
 simple_split("doc_split", "doc_clean", "doc_id", "text")
 capped("doc_cap", "doc_split", "doc_id, pos")
 SQL["split_sentences"] = with_("SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos, part) - 1 AS INTEGER) AS pos, text FROM doc_cap")
+unicode_split("doc_uni", "doc_clean", "doc_id", "text")
+capped("doc_unicap", "doc_uni", "doc_id, pos")
+SQL["split_sentences_unicode"] = with_("SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos, part) - 1 AS INTEGER) AS pos, text FROM doc_unicap")
 SQL["explode_sentences"] = with_("""
 SELECT CAST(conv_id AS VARCHAR) AS doc_id, turn AS chapter_idx, 'ch_' || (turn + 1) AS chapter_id, CAST(pos AS BIGINT) AS sentence_idx,
   row_number() OVER (PARTITION BY conv_id ORDER BY turn, pos) - 1 AS global_idx, text FROM turn_split""")
@@ -637,9 +681,12 @@ CTE["update_rows"] = "SELECT reader_id, unnest(es, recursive := true), unnest(f.
 CTE["update_waits"] = """
   SELECT reader_id, w, min(ms) AS first_ms, max(ms) AS last_ms, count(*) AS updates, arg_max(event_id, ms * 1000000 + event_id) AS event_id, arg_max(value, ms * 1000000 + event_id) AS value
   FROM update_rows WHERE w > 0 GROUP BY reader_id, w"""
-SQL["coalesce_updates"] = with_(f"""
+CTE["saves"] = f"""
 SELECT reader_id, CAST(coalesce(least(first_ms + {_DELAY}, (SELECT min(ms) FROM update_rows c WHERE c.reader_id = u.reader_id AND c.closes AND c.ms >= u.last_ms)), first_ms + {_DELAY}) AS BIGINT) AS fired_at_ms,
-  updates, event_id, value FROM update_waits u""")
+  updates, event_id, value FROM update_waits u"""
+SQL["coalesce_updates"] = with_("SELECT * FROM saves")
+# A stream writes what its watermark, one second behind the newest event, has passed.
+SQL["coalesce_updates_stream"] = with_("SELECT * FROM saves WHERE fired_at_ms <= (SELECT max(ms) - 1000 FROM updates)")
 CTE["played"] = """
   SELECT event_id, user_id AS session_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS book_id, epoch_us(ts) // 1000 AS ms,
     CASE event_type WHEN 'signup' THEN 'play' WHEN 'error' THEN 'pause' ELSE 'boundary' END AS kind, CAST(floor(value) AS BIGINT) AS position FROM events"""
@@ -659,6 +706,18 @@ CTE["gaps"] = """
   FROM played WINDOW w AS (PARTITION BY session_id ORDER BY ms, event_id)"""
 SQL["detect_stalls"] = with_("""
 SELECT session_id, event_id, pms AS stalled_from_ms, ms - pms AS silence_ms FROM gaps WHERE pkind IN ('play', 'boundary') AND ms - pms > CASE WHEN seen THEN 28800000 ELSE 14400000 END""")
+CTE["silences"] = """
+  SELECT *, lead(ms) OVER w AS nms, CASE WHEN bool_or(kind = 'boundary') OVER (PARTITION BY session_id ORDER BY ms, event_id ROWS UNBOUNDED PRECEDING) THEN 28800000 ELSE 14400000 END AS quiet,
+    (SELECT max(ms) - 1000 FROM played) AS mark FROM played WINDOW w AS (PARTITION BY session_id ORDER BY ms, event_id)"""
+SQL["detect_stalls_stream"] = with_("""
+SELECT CAST(session_id AS VARCHAR) AS key, ms AS stalled_from_ms, CAST(quiet AS BIGINT) AS limit_ms FROM silences
+WHERE kind IN ('play', 'boundary') AND CASE WHEN nms <= mark THEN nms - ms > quiet ELSE ms + quiet < mark END""")
+CTE["spells"] = """
+  SELECT session_id, us, kind, position, sum(CASE WHEN us < pus + 21600000000 THEN 0 ELSE 1 END) OVER (PARTITION BY session_id ORDER BY us, event_id) AS n FROM (
+    SELECT p.*, epoch_us(ts) AS us, lag(epoch_us(ts)) OVER (PARTITION BY session_id ORDER BY ts, event_id) AS pus FROM played p JOIN (SELECT event_id, ts FROM events) USING (event_id))"""
+SQL["listening_sessions_stream"] = with_("""
+SELECT session_id, min(us) // 1000 AS started_ms, count(*) AS events, count(*) FILTER (kind = 'play') AS plays, max(position) AS furthest FROM spells
+GROUP BY session_id, n HAVING max(us) + 21600000000 <= (SELECT max(ms) - 3600000 FROM played) * 1000""")
 CTE["playing"] = """
   SELECT *, lag(ms) OVER w AS pms, lag(on_now) OVER w AS was_on FROM (
     SELECT *, coalesce(last_value(CASE kind WHEN 'play' THEN true WHEN 'pause' THEN false END IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY ms, event_id ROWS UNBOUNDED PRECEDING), false) AS on_now FROM played)

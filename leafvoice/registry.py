@@ -259,7 +259,7 @@ def repair_text(spark, sf):
 
 @query
 def clean_for_speech(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", T.clean_for_speech("text").alias("text"))
+    return A.spread(table(spark, sf, "documents"), "doc_id").select("doc_id", T.clean_for_speech("text").alias("text"))
 
 
 @query
