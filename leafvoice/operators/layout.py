@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from leafvoice.functions import fixed
 from leafvoice.functions.measures import run_end, size_bucket
 from leafvoice.functions.text import is_continuation, is_drop_cap, is_page_number, is_whitespace_gap, js_trim
-from leafvoice.plans.blocks import PAGES_PER_BLOCK, block_of, materialize, row_index, with_halo
+from leafvoice.plans.blocks import PAGES_PER_BLOCK, block_of, has_long_keys, materialize, row_index, with_halo
 
 PAGE = ["doc_id", "block", "page"]
 
@@ -211,21 +211,21 @@ def merge_drop_caps(paras: DataFrame) -> DataFrame:
         n.withColumn("gone", (F.col("kind") == "cap") & taken)
         .where("_own and (gone or takes is not null)")
         .select(
-            *PAGE, "seq",
+            "doc_id", "block", "idx",
             F.when(F.col("takes") == 1, F.col("l1")).when(F.col("takes") == 2, F.col("l2"))
-            .when(F.col("takes") == 3, F.col("l3")).alias("cap"),
+            .when(F.col("takes") == 3, F.col("l3")).otherwise("").alias("cap"),
         )
         .groupBy("doc_id", "block")
-        .agg(F.map_from_entries(F.collect_list(F.struct(F.struct("page", "seq"), "cap"))).alias("caps"))
+        .agg(F.array_sort(F.collect_list(F.struct("idx", "cap"))).alias("caps"))
+        .select("doc_id", "block", F.transform("caps", lambda c: c["idx"]).alias("at"), F.transform("caps", lambda c: c["cap"]).alias("cap"))
     )
-    mine = F.struct(F.col("page"), F.col("seq"))
     return (
         paras.join(effect, ["doc_id", "block"], "left")
-        .withColumn("hit", F.coalesce(F.map_contains_key("caps", mine), F.lit(False)))
-        .withColumn("cap", F.when(F.col("hit"), F.element_at("caps", mine)))
-        .where("not hit or cap is not null")
-        .withColumn("text", F.when(F.col("hit"), F.concat("cap", text)).otherwise(F.col("text")))
-        .drop("caps", "hit", "cap")
+        .withColumn("pos", F.coalesce(F.array_position("at", F.col("idx")), F.lit(0)).cast("int"))
+        .withColumn("cap", F.when(F.col("pos") > 0, F.get("cap", F.col("pos") - 1)))
+        .where("cap is null or cap != ''")
+        .withColumn("text", F.when(F.col("cap").isNotNull(), F.concat("cap", text)).otherwise(F.col("text")))
+        .drop("at", "pos", "cap")
     )
 
 
@@ -271,9 +271,11 @@ def to_paragraphs(runs: DataFrame, tolerance: float = fixed.LINE_TOLERANCE, gap:
 
 
 def refine_paragraphs(raw: DataFrame) -> DataFrame:
+    long_keys = has_long_keys(raw, "page", PAGES_PER_BLOCK)
     raw = raw.repartition("doc_id", "block")
-    numbered = row_index(raw, ["doc_id"], "block", ["page", "seq"], "idx")
+    order = ["page", "seq"]
+    numbered = row_index(raw, ["doc_id"], "block", order, "idx", long_keys)
     kept = drop_chrome(merge_drop_caps(numbered))
-    return row_index(kept, ["doc_id"], "block", ["page", "seq"], "para_idx").select(
+    return row_index(kept, ["doc_id"], "block", order, "para_idx", long_keys).select(
         "doc_id", "para_idx", "page", "text", "font_size"
     )

@@ -27,11 +27,14 @@ def sentence_starts(sentences: DataFrame) -> DataFrame:
     """Adds ``chapter_sec`` and ``book_sec``: estimated seconds before the sentence, in its chapter and
     in its book."""
     rows = sentences.withColumns({"block": block_of("global_idx", ROWS_PER_BLOCK), "sec": est_sentence_seconds("text")})
-    rows = running(rows, ["doc_id", "chapter_idx"], "block", ["global_idx"], {"in_chapter": ("sum", F.col("sec"))})
-    rows = running(rows, ["doc_id"], "block", ["global_idx"], {"in_book": ("sum", F.col("sec"))})
-    return rows.withColumns({
-        "chapter_sec": F.col("in_chapter") - F.col("sec"), "book_sec": F.col("in_book") - F.col("sec"),
-    }).drop("block", "sec", "in_chapter", "in_book")
+    rows = running(rows, ["doc_id"], "block", ["global_idx"], {"through": ("sum", F.col("sec"))})
+    rows = rows.withColumn("book_sec", F.col("through") - F.col("sec"))
+    # Times only grow, so the latest chapter start is the largest one.
+    begins = F.when(F.col("sentence_idx") == 0, F.col("book_sec"))
+    rows = running(rows, ["doc_id"], "block", ["global_idx"], {"chapter_from": ("max", begins)})
+    return rows.withColumn("chapter_sec", F.col("book_sec") - F.col("chapter_from")).drop(
+        "block", "sec", "through", "chapter_from"
+    )
 
 
 def chapter_position(starts: DataFrame, positions: DataFrame) -> DataFrame:

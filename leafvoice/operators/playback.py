@@ -15,7 +15,7 @@ from leafvoice.functions.measures import round_half_up
 from leafvoice.plans.anchored import anchored_marks
 from leafvoice.plans.blocks import previous, running
 
-ROWS_PER_SLICE = 50_000
+ROWS_PER_SLICE = 8192
 
 
 def millis(ts: str) -> Column:

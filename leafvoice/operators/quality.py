@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from leafvoice.functions import fixed
 from leafvoice.functions.text import js_trim
 from leafvoice.operators.sections import features, weighted_median_size
-from leafvoice.plans.blocks import with_halo
+from leafvoice.plans.blocks import hand_out, with_halo
 
 CHECKS = ["lowercase_start", "broken_hyphen", "orphan_capital", "tiny", "over_cap", "double_blank"]
 
@@ -79,17 +79,21 @@ def integrity_checks(sentences: DataFrame, expectations: DataFrame, reach: int =
     ``expectations`` is (case_id, doc_id, must_contain, must_not_contain). A string may run over up to
     ``reach`` sentence ends.
     """
-    spoken = _with_next(sentences, reach)
-    spoken = spoken.withColumn("span", F.concat_ws(" ", "text", *[f"next{k}" for k in range(1, reach + 1)])).select("doc_id", "span")
+    spoken = _with_next(sentences, reach).withColumn(
+        "span", F.concat_ws(" ", "text", *[f"next{k}" for k in range(1, reach + 1)])
+    ).select("doc_id", F.col("_block").alias("block"), "span")
     needles = lambda c, wanted: expectations.select("case_id", "doc_id", F.explode(c).alias("needle"), F.lit(wanted).alias("wanted"))
-    asked = needles("must_contain", True).unionByName(needles("must_not_contain", False))
-    found = asked.join(spoken, "doc_id").groupBy("case_id", "needle", "wanted").agg(
-        F.bool_or(F.contains("span", F.col("needle"))).alias("found")
+    asked = needles("must_contain", True).unionByName(needles("must_not_contain", False)).distinct()
+    # A sentence is looked through for all strings of its document at once; only hits become rows.
+    lists = asked.groupBy("doc_id").agg(F.collect_set("needle").alias("needles"))
+    hits = (
+        hand_out(spoken, lists, ["doc_id"], "block")
+        .select("doc_id", F.explode(F.filter("needles", lambda n: F.contains(F.col("span"), n))).alias("needle"))
+        .distinct().withColumn("found", F.lit(True))
     )
-    judged = asked.select("case_id", "needle", "wanted").distinct().join(found, ["case_id", "needle", "wanted"], "left")
     ok = F.coalesce("found", F.lit(False)) == F.col("wanted")
-    return judged.groupBy("case_id").agg(
-        F.bool_and(ok).alias("passed"), F.count_if(~ok).alias("failures"),
+    return asked.join(hits, ["doc_id", "needle"], "left").groupBy("case_id").agg(
+        F.bool_and(ok).alias("passed"), F.count_if(~ok).alias("failures")
     )
 
 

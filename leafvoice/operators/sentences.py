@@ -50,24 +50,20 @@ def number_sentences(passages: DataFrame, chapters: DataFrame) -> DataFrame:
 
     Only the sentence counts per passage are summed over a document; the sentences stay where they are.
     """
-    placed = passages.join(
-        chapters.select("doc_id", "chapter_key", "chapter_idx", "chapter_id"), ["doc_id", "chapter_key"]
-    )
-    sizes = placed.select(
-        "doc_id", "chapter_idx", "passage", F.size("sentences").cast("bigint").alias("n"),
-        block_of("chapter_idx", ROWS_PER_BLOCK).alias("block"),
+    places = chapters.select("doc_id", "chapter_key", "chapter_idx", "chapter_id", block_of("chapter_idx", ROWS_PER_BLOCK).alias("block"))
+    sizes = passages.select("doc_id", "chapter_key", "passage", F.size("sentences").cast("bigint").alias("n")).join(
+        places, ["doc_id", "chapter_key"]
     )
     order = ["chapter_idx", "passage"]
     ahead = running(sizes, ["doc_id"], "block", order, {"through": ("sum", F.col("n"))}).withColumn(
         "before", F.col("through") - F.col("n")
     )
-    # A chapter begins where its first passage does; passages before it in the chapter are few.
-    begins = ahead.groupBy("doc_id", "chapter_idx").agg(F.min("before").alias("chapter_from"))
-    offsets = ahead.join(begins, ["doc_id", "chapter_idx"]).select(
-        "doc_id", "chapter_idx", "passage", "before", "chapter_from"
+    begins = ahead.groupBy("doc_id", "chapter_key").agg(F.min("before").alias("chapter_from"))
+    offsets = ahead.join(begins, ["doc_id", "chapter_key"]).select(
+        "doc_id", "chapter_key", "passage", "chapter_idx", "chapter_id", "before", "chapter_from"
     )
     return (
-        placed.join(offsets, ["doc_id", "chapter_idx", "passage"])
+        passages.join(offsets, ["doc_id", "chapter_key", "passage"])
         .select("doc_id", "chapter_idx", "chapter_id", "before", "chapter_from", F.posexplode("sentences").alias("pos", "text"))
         .select(
             "doc_id", "chapter_idx", "chapter_id",
@@ -136,12 +132,10 @@ def build_chapters(
 
 
 def book_content(books: Books) -> DataFrame:
-    """One row per chapter with its sentences as an array, for readers that want them nested. A chapter
-    of the size of a book is the largest value built."""
-    ordered = books.sentences.groupBy("doc_id", "chapter_idx").agg(
-        F.array_sort(F.collect_list(F.struct("sentence_idx", "text"))).alias("s")
-    )
-    return books.chapters.join(ordered, ["doc_id", "chapter_idx"], "left").select(
-        "doc_id", "chapter_idx", "chapter_id", "title", "start_page", "detection_mode",
-        F.coalesce(F.transform("s", lambda x: x["text"]), F.array().cast("array<string>")).alias("sentences"),
+    """Chapters with their sentences nested: one row per chapter, or per passage of a chapter that is
+    kept in several."""
+    keys = ["doc_id", "chapter_key"]
+    return books.chapters.join(books.passages, keys, "left").select(
+        "doc_id", "chapter_idx", "chapter_id", "title", "start_page", "detection_mode", "passage",
+        F.coalesce("sentences", F.array().cast("array<string>")).alias("sentences"),
     )

@@ -133,18 +133,20 @@ def anchored_marks(
     else:
         at = arrays.withColumns({"_anchor": F.lit(start).cast("bigint"), "_before": F.lit(0).cast("bigint")})
 
-    order_type = dict(rows.dtypes)[order]
-    begin = F.struct(F.col("_anchor").alias("a"), F.array().cast(f"array<{order_type}>").alias("out"))
+    # One running count per row; a row is a mark where it grows.
+    begin = F.struct(F.col("_anchor").alias("a"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("out"))
 
     def step(acc: Column, it: Column) -> Column:
         hit = F.coalesce(it["pos"] >= acc["a"] + width, F.lit(True))
-        return F.when(
-            hit, F.struct(it["pos"].alias("a"), F.concat(acc["out"], F.array(it[order])).alias("out"))
-        ).otherwise(acc)
-
-    marks = at.withColumn("_marks", F.aggregate("_items", begin, step, lambda acc: acc["out"]))
-    return marks.select(*keys, block, F.explode("_items").alias("_it"), "_marks", "_before").select(
-        *keys, block, F.col(f"_it.{order}").alias(order), *[F.col(f"_it.{c}").alias(c) for c in extra],
-        F.array_contains("_marks", F.col(f"_it.{order}")).alias("marked"),
-        (F.col("_before") + F.size(F.filter("_marks", lambda m: m < F.col(f"_it.{order}")))).alias("marks_before"),
+        n = acc["n"] + hit.cast("int")
+        return F.struct(
+            F.when(hit, it["pos"]).otherwise(acc["a"]).alias("a"), n.alias("n"), F.concat(acc["out"], F.array(n)).alias("out")
+        )
+
+    counted = at.withColumn("_counts", F.aggregate("_items", begin, step, lambda acc: acc["out"]))
+    shifted = F.concat(F.array(F.lit(0)), F.slice("_counts", F.lit(1), F.size("_counts") - 1))
+    rows_out = F.arrays_zip(F.col("_items").alias("it"), F.col("_counts").alias("n"), shifted.alias("m"))
+    return counted.select(*keys, block, "_before", F.explode(rows_out).alias("_r")).select(
+        *keys, block, F.col(f"_r.it.{order}").alias(order), *[F.col(f"_r.it.{c}").alias(c) for c in extra],
+        (F.col("_r.n") > F.col("_r.m")).alias("marked"), (F.col("_before") + F.col("_r.m")).alias("marks_before"),
     )

@@ -64,7 +64,9 @@ def append_batch(spark: SparkSession, path: str, tables: dict[str, DataFrame]) -
     batch = uuid.uuid4().hex
     for name, df in tables.items():
         bucket = F.pmod(F.xxhash64("book_id"), F.lit(BUCKETS)).cast("int")
-        df.withColumn("bucket", bucket).write.partitionBy("bucket").parquet(f"{path}/{name}/batch={batch}")
+        # Files of even size: rows of one bucket come together, a bucket that is too large is divided.
+        rows = df.withColumn("bucket", bucket).hint("rebalance", F.col("bucket"))
+        rows.write.partitionBy("bucket").parquet(f"{path}/{name}/batch={batch}")
     spark.range(1).select(F.lit(batch).alias("batch"), F.current_timestamp().alias("written_at")).coalesce(1).write.mode(
         "append"
     ).parquet(f"{path}/manifest")

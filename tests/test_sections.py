@@ -35,9 +35,13 @@ def frames(spark, docs, outlines):
 
 
 def collect(books):
-    out = {}
-    for r in N.book_content(books).orderBy("doc_id", "chapter_idx").collect():
+    out, last = {}, None
+    for r in N.book_content(books).orderBy("doc_id", "chapter_idx", "passage").collect():
         mode, chapters = out.setdefault(r.doc_id, (r.detection_mode, []))
+        if last == (r.doc_id, r.chapter_idx):
+            chapters[-1][2].extend(r.sentences)
+            continue
+        last = (r.doc_id, r.chapter_idx)
         assert mode == r.detection_mode and r.chapter_id == f"ch_{len(chapters) + 1}"
         chapters.append((r.title, r.start_page, r.sentences))
     return out
