@@ -22,37 +22,47 @@ def by_page_block(df: DataFrame) -> DataFrame:
     return df.withColumn("block", block_of("page", PAGES_PER_BLOCK)).repartition("doc_id", "block")
 
 
-def _line_of_run(items: Column, tolerance: float) -> Column:
-    """Line number of every run of a page, -1 for a line end. A run belongs to the open line while its
-    height is within ``tolerance`` of that line's first run."""
+def _drifting_lines(items: Column, tolerance: float) -> Column:
+    """Line number of every run where the height drifts: a run belongs to the open line while its height
+    is within ``tolerance`` of that line's first run."""
     start = F.struct(
-        F.lit(-1).alias("line"), F.lit(None).cast("double").alias("anchor"), F.array().cast("array<int>").alias("out")
+        F.lit(0).alias("line"), items[0]["y"].alias("anchor"), F.array().cast("array<int>").alias("out")
     )
 
     def step(acc: Column, it: Column) -> Column:
-        stays = acc["anchor"].isNotNull() & (F.abs(acc["anchor"] - it["y"]) <= tolerance)
-        line = F.when(it["is_eol"] | stays, acc["line"]).otherwise(acc["line"] + 1)
-        anchor = F.when(it["is_eol"], F.lit(None).cast("double")).when(stays, acc["anchor"]).otherwise(it["y"])
-        tag = F.when(it["is_eol"], F.lit(-1)).otherwise(line)
-        return F.struct(line.alias("line"), anchor.alias("anchor"), F.concat(acc["out"], F.array(tag)).alias("out"))
+        stays = F.abs(acc["anchor"] - it["y"]) <= tolerance
+        line = F.when(stays, acc["line"]).otherwise(acc["line"] + 1)
+        anchor = F.when(stays, acc["anchor"]).otherwise(it["y"])
+        return F.struct(line.alias("line"), anchor.alias("anchor"), F.concat(acc["out"], F.array(line)).alias("out"))
 
     return F.aggregate(items, start, step, lambda acc: acc["out"])
 
 
 def group_lines(runs: DataFrame, tolerance: float = fixed.LINE_TOLERANCE) -> DataFrame:
-    """Runs with a ``line`` number per page; line ends are dropped."""
+    """Runs with a ``line`` number per page; line ends are dropped.
+
+    A line end, or a step of more than twice the tolerance, certainly opens a line. Between two of these
+    nearly always lies one line; only where heights drift is the stretch folded run by run.
+    """
     if "block" not in runs.columns:
         runs = by_page_block(runs)
-    run = F.struct(
-        "run_idx", "text", "font_size", "x", "y", "width", (F.col("text") == "\n").alias("is_eol")
+    place = Window.partitionBy(*PAGE).orderBy("run_idx")
+    opens = F.lag(F.col("text") == "\n").over(place) | (F.abs(F.col("y") - F.lag("y").over(place)) > 2 * tolerance)
+    parts = (
+        runs.withColumn("opens", F.coalesce(opens, F.lit(True)).cast("int"))
+        .withColumn("part", F.sum("opens").over(place.rowsBetween(Window.unboundedPreceding, 0)))
+        .where(F.col("text") != "\n")
+        .groupBy(*PAGE, "part")
+        .agg(F.array_sort(F.collect_list(F.struct("run_idx", "text", "font_size", "x", "y", "width"))).alias("items"))
     )
-    pages = runs.groupBy(*PAGE).agg(F.array_sort(F.collect_list(run)).alias("items"))
-    tagged = pages.withColumn("lines", _line_of_run(F.col("items"), tolerance))
+    drifts = F.exists("items", lambda r: F.abs(r["y"] - F.col("items")[0]["y"]) > tolerance)
+    before = Window.partitionBy(*PAGE).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     return (
-        tagged.select(*PAGE, F.inline(F.arrays_zip("items", "lines")))
-        .where("lines >= 0")
-        .select(*PAGE, F.col("lines").alias("line"), "items.*")
-        .drop("is_eol")
+        parts.withColumn("subs", F.when(drifts, _drifting_lines(F.col("items"), tolerance)))
+        .withColumn("lines", F.coalesce(F.array_max("subs") + 1, F.lit(1)))
+        .withColumn("from", F.coalesce(F.sum("lines").over(before), F.lit(0)))
+        .select(*PAGE, "from", "subs", F.posexplode("items").alias("i", "r"))
+        .select(*PAGE, (F.col("from") + F.coalesce(F.get("subs", F.col("i")), F.lit(0))).cast("int").alias("line"), "r.*")
     )
 
 
