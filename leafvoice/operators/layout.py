@@ -285,7 +285,8 @@ def refine_paragraphs(raw: DataFrame) -> DataFrame:
     raw = raw.repartition("doc_id", "block")
     order = ["page", "seq"]
     numbered = row_index(raw, ["doc_id"], "block", order, "idx", long_keys)
-    kept = drop_chrome(merge_drop_caps(numbered))
+    # Counting headers reads the merged paragraphs several times, a few columns each.
+    kept = drop_chrome(materialize(merge_drop_caps(numbered), "merged").repartition("doc_id", "block"))
     return row_index(kept, ["doc_id"], "block", order, "para_idx", long_keys).select(
         "doc_id", "para_idx", "page", "text", "font_size"
     )

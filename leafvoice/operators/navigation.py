@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from leafvoice.functions.measures import clamp, est_sentence_seconds, round_half_up, seek_char
 from leafvoice.functions import fixed
 from leafvoice.functions.text import char_index_of_word
-from leafvoice.plans.blocks import ROWS_PER_BLOCK, block_of, hand_out, running
+from leafvoice.plans.blocks import ROWS_PER_BLOCK, block_of, hand_out, materialize, running
 
 CHARS_PER_SLOT = 1024
 
@@ -24,9 +24,14 @@ def chapter_starts(durations: DataFrame) -> DataFrame:
 
 
 def sentence_starts(sentences: DataFrame) -> DataFrame:
-    """Adds ``chapter_sec`` and ``book_sec``: estimated seconds before the sentence, in its chapter and
-    in its book."""
-    rows = sentences.withColumns({"block": block_of("global_idx", ROWS_PER_BLOCK), "sec": est_sentence_seconds("text")})
+    """``(doc_id, chapter_idx, sentence_idx, global_idx, book_sec, chapter_sec)``: estimated seconds before
+    the sentence, in its book and in its chapter."""
+    rows = sentences.select(
+        "doc_id", "chapter_idx", "sentence_idx", "global_idx", block_of("global_idx", ROWS_PER_BLOCK).alias("block"),
+        est_sentence_seconds("text").alias("sec"),
+    )
+    # The text is read once; the totals work on numbers.
+    rows = materialize(rows, "seconds")
     rows = running(rows, ["doc_id"], "block", ["global_idx"], {"through": ("sum", F.col("sec"))})
     rows = rows.withColumn("book_sec", F.col("through") - F.col("sec"))
     # Times only grow, so the latest chapter start is the largest one.
@@ -75,7 +80,7 @@ def char_spans(sentences: DataFrame) -> DataFrame:
     rows = sentences.select("doc_id", "global_idx", F.length("text").cast("bigint").alias("len")).withColumn(
         "block", block_of("global_idx", ROWS_PER_BLOCK)
     )
-    out = running(rows, ["doc_id"], "block", ["global_idx"], {"end_char": ("sum", F.col("len"))})
+    out = running(materialize(rows, "lengths"), ["doc_id"], "block", ["global_idx"], {"end_char": ("sum", F.col("len"))})
     return out.withColumn("start_char", F.col("end_char") - F.col("len")).drop("block")
 
 
@@ -86,7 +91,6 @@ def skip_seconds(sentences: DataFrame, requests: DataFrame, spans: DataFrame | N
     in the few slots it touches, so each request meets only the sentences of its own slot.
     """
     spans = char_spans(sentences) if spans is None else spans
-    # Kept out of the lookup are sentences without text: they cannot be landed on.
     ends = spans.groupBy("doc_id").agg(
         F.max("end_char").alias("total"), F.max("global_idx").alias("last_idx"), F.max_by("len", "global_idx").alias("last_len")
     )
@@ -97,6 +101,7 @@ def skip_seconds(sentences: DataFrame, requests: DataFrame, spans: DataFrame | N
         "way": F.when(F.col("pos") < 0, -1).when(F.col("pos") > F.col("len"), 1).otherwise(0),
     })
     slot = lambda c: F.floor(c / CHARS_PER_SLOT).cast("bigint")
+    # Sentences without text are not listed: they cannot be landed on.
     listed = spans.where("len > 0").select(
         "doc_id", F.col("global_idx").alias("to_idx"), F.col("start_char").alias("to_start"),
         F.col("end_char").alias("to_end"),

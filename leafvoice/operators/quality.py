@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from leafvoice.functions import fixed
 from leafvoice.functions.text import js_trim
 from leafvoice.operators.sections import features, weighted_median_size
-from leafvoice.plans.blocks import hand_out, with_halo
+from leafvoice.plans.blocks import hand_out, materialize, with_halo
 
 CHECKS = ["lowercase_start", "broken_hyphen", "orphan_capital", "tiny", "over_cap", "double_blank"]
 
@@ -52,9 +52,13 @@ def _by_check(checked: DataFrame) -> DataFrame:
 
 def audit_examples(sentences: DataFrame, k: int = 4, snippet: int = 60) -> DataFrame:
     """The first ``k`` hits of every check. Each task keeps at most ``k`` per check before the exchange."""
+    return _first_hits(_by_check(checked_sentences(sentences)), k, snippet)
+
+
+def _first_hits(hits: DataFrame, k: int, snippet: int) -> DataFrame:
     first = Window.partitionBy("check_name").orderBy("doc_id", "global_idx")
     return (
-        _by_check(checked_sentences(sentences)).withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k)
+        hits.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k)
         .select("check_name", "rank", "doc_id", "global_idx", F.substring("text", 1, snippet).alias("example"))
     )
 
@@ -63,8 +67,9 @@ def corpus_audit(sentences: DataFrame, k: int = 4) -> DataFrame:
     """``(check_name, n, examples)`` over the whole corpus, checks without hits included."""
     spark = sentences.sparkSession
     names = spark.createDataFrame([(i, c) for i, c in enumerate(CHECKS)], "ord int, check_name string")
-    hits = _by_check(checked_sentences(sentences)).groupBy("check_name").agg(F.sum("n").alias("n"))
-    shown = audit_examples(sentences, k).groupBy("check_name").agg(
+    found = materialize(_by_check(checked_sentences(sentences)), "hits")
+    hits = found.groupBy("check_name").agg(F.sum("n").alias("n"))
+    shown = _first_hits(found, k, 60).groupBy("check_name").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("rank", "example"))), lambda x: x["example"]).alias("examples")
     )
     return names.join(hits, "check_name", "left").join(shown, "check_name", "left").select(

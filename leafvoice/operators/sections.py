@@ -283,7 +283,7 @@ def _assemble(
         "start_page": F.coalesce("at_page", "first_page"),
         "block": block_of("chapter_key", ROWS_PER_BLOCK),
     })
-    return Sections(members, renumber_chapters(titled))
+    return Sections(members, materialize(renumber_chapters(titled), "chapters"))
 
 
 def renumber_chapters(chapters: DataFrame) -> DataFrame:

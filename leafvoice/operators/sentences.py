@@ -45,15 +45,19 @@ def chapter_sentences(
     return split_passages(chapter_passages(paragraphs, sections.members), splitter, max_chars, repair)
 
 
+def counted(passages: DataFrame) -> DataFrame:
+    """Stores the number of sentences next to them, so that numbering reads no text."""
+    return passages.withColumn("n", F.size("sentences").cast("bigint"))
+
+
 def number_sentences(passages: DataFrame, chapters: DataFrame) -> DataFrame:
     """One row per sentence with its place in the chapter and in the document.
 
-    Only the sentence counts per passage are summed over a document; the sentences stay where they are.
+    Only the sentence counts per passage (``n``) are summed over a document; the sentences stay where
+    they are.
     """
     places = chapters.select("doc_id", "chapter_key", "chapter_idx", "chapter_id", block_of("chapter_idx", ROWS_PER_BLOCK).alias("block"))
-    sizes = passages.select("doc_id", "chapter_key", "passage", F.size("sentences").cast("bigint").alias("n")).join(
-        places, ["doc_id", "chapter_key"]
-    )
+    sizes = passages.select("doc_id", "chapter_key", "passage", "n").join(places, ["doc_id", "chapter_key"])
     order = ["chapter_idx", "passage"]
     ahead = running(sizes, ["doc_id"], "block", order, {"through": ("sum", F.col("n"))}).withColumn(
         "before", F.col("through") - F.col("n")
@@ -78,8 +82,9 @@ def explode_sentences(chapters: DataFrame) -> DataFrame:
     passages = chapters.select(
         "doc_id", F.col("chapter_idx").alias("chapter_key"), F.lit(0).alias("passage"), "sentences"
     )
+    stored = materialize(counted(passages), "passages")
     keys = chapters.select("doc_id", F.col("chapter_idx").alias("chapter_key"), "chapter_idx", "chapter_id")
-    return number_sentences(passages, keys)
+    return number_sentences(stored, keys)
 
 
 def explode_words(sentences: DataFrame) -> DataFrame:
@@ -118,7 +123,7 @@ def books_from_paragraphs(
     max_words: int = fixed.PART_WORDS, max_chars: int = fixed.MAX_SENTENCE_CHARS, repair: bool = True,
 ) -> Books:
     sections = choose_sections(paragraphs, outline, max_words)
-    passages = materialize(chapter_sentences(paragraphs, sections, splitter, max_chars, repair), "passages")
+    passages = materialize(counted(chapter_sentences(paragraphs, sections, splitter, max_chars, repair)), "passages")
     return Books(sections.chapters, passages, number_sentences(passages, sections.chapters))
 
 
