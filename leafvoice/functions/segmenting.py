@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from leafvoice.functions import fixed
-from leafvoice.functions.text import MARK, WS, clean_for_speech, col, ends_with_abbreviation, js_trim, let
+from leafvoice.functions.text import MARK, WIDE_MARK, WS, clean_for_speech, col, ends_with_abbreviation, js_trim
 
 # Unicode sentence boundaries of cleaned English text (see README, "Sentence boundaries").
 _CLOSERS = "[\"'()\\[\\]{}‘’“”«»‹›]*"
@@ -37,22 +37,34 @@ def merge_abbreviations(sentences) -> Column:
 
 
 def split_sentences_simple(c) -> Column:
-    """Punctuation followed by a capital, quote or bracket ends a sentence unless it is an abbreviation."""
-    pieces = F.split(F.regexp_replace(col(c), _SIMPLE_BOUNDARY, f"$1{MARK}"), MARK)
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("buf"))
+    """Punctuation followed by a capital, quote or bracket ends a sentence unless it is an abbreviation.
+
+    The word before a candidate may run on over candidates that were turned down (``Dr.A.``), but not over
+    a blank. So the text is first cut at candidates before a blank; the few others are folded inside their
+    stretch, and all the rest is linear.
+    """
+    marked = F.regexp_replace(col(c), _SIMPLE_BOUNDARY, f"$1{MARK}")
+    stretches = F.split(F.regexp_replace(marked, f"{MARK}(?={WS})", WIDE_MARK), WIDE_MARK)
+    start = F.struct(F.lit("").alias("out"), F.lit("").alias("buf"))
 
     def step(acc: Column, piece: Column) -> Column:
-        return let(
-            F.concat(acc["buf"], piece),
-            lambda buf: F.when(
-                ends_with_abbreviation(js_trim(buf)), F.struct(acc["out"].alias("out"), buf.alias("buf"))
-            ).otherwise(
-                F.struct(F.concat(acc["out"], F.array(js_trim(buf))).alias("out"), F.lit("").alias("buf"))
-            ),
+        whole = F.concat(acc["buf"], piece)
+        return F.when(
+            ends_with_abbreviation(whole), F.struct(acc["out"].alias("out"), whole.alias("buf"))
+        ).otherwise(F.struct(F.concat(acc["out"], whole, F.lit(MARK)).alias("out"), F.lit("").alias("buf")))
+
+    def settle(stretch: Column) -> Column:
+        pieces = F.split(stretch, MARK)
+        inner = F.aggregate(F.slice(pieces, F.lit(1), F.size(pieces) - 1), start, step)
+        return F.when(F.size(pieces) == 1, stretch).otherwise(
+            F.concat(inner["out"], inner["buf"], F.element_at(pieces, -1))
         )
 
-    folded = F.aggregate(pieces, start, step, lambda acc: F.concat(acc["out"], F.array(js_trim(acc["buf"]))))
-    return F.filter(folded, lambda s: s != "")
+    def close(stretch: Column) -> Column:
+        last = F.substring_index(stretch, MARK, -1)
+        return F.concat(stretch, F.when(ends_with_abbreviation(last), "").otherwise(MARK))
+
+    return _pieces(F.array_join(F.transform(F.transform(stretches, settle), close), ""))
 
 
 def _cap_pattern(n: int) -> str:

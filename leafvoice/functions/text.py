@@ -17,7 +17,7 @@ NWS = f"[^{BLANKS}]"
 BLANK_CHARS = "\t\n\x0b\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 # Unicode noncharacters, reserved for a program's own marks: they cannot occur in interchanged text.
-MARK = "\ufdd0"
+MARK, WIDE_MARK = "\ufdd0", "\ufdd4"
 PAIR_OPEN, PAIR_CLOSE, FRAGMENT = "\ufdd1", "\ufdd2", "\ufdd3"
 
 
