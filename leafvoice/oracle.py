@@ -109,20 +109,19 @@ CLOSERS = "[\"'()\\[\\]{}‘’“”«»‹›]"
 
 
 def unicode_pieces(x: str) -> tuple[str, str]:
-    """The candidates ``c`` of ``x`` and the pieces made of them: every end mark with what closes it is a candidate, and the
-    text on both sides decides."""
+    """The candidates ``c`` of ``x`` and the pieces made of them: every end mark with what closes it is a
+    candidate, and the text on both sides (``p.s`` and ``p.n``) decides."""
     candidates = f"string_split(regexp_replace({x}, {q('([.!?]+' + CLOSERS + '* *)')}, '\\1' || {MARK}, 'g'), {MARK})"
-    closed = f"regexp_matches(s, {q('[.!?]' + CLOSERS + '* +$')}) OR regexp_matches(s, {q('[.!?]' + CLOSERS + '+ *$')})"
-    joins = "regexp_matches(n, '^[.!?,:;\\-–—]')"
-    strong = f"regexp_matches(s, {q('[!?]' + CLOSERS + '* *$')})"
+    closed = f"regexp_matches(p.s, {q('[.!?]' + CLOSERS + '* +$')}) OR regexp_matches(p.s, {q('[.!?]' + CLOSERS + '+ *$')})"
+    joins = "regexp_matches(p.n, '^[.!?,:;\\-–—]')"
+    strong = f"regexp_matches(p.s, {q('[!?]' + CLOSERS + '* *$')})"
     ends = (
-        f"CASE WHEN n IS NULL THEN false WHEN {strong} THEN ({closed}) OR NOT {joins} "
-        f"WHEN regexp_matches(n, '^[^\\p{{L}}.!?]*\\p{{Ll}}') THEN false WHEN {closed} THEN true "
-        f"ELSE NOT ({joins} OR regexp_matches(n, '^[0-9]') OR (regexp_matches(s, '\\p{{L}}\\.$') AND regexp_matches(n, '^\\p{{Lu}}'))) END"
+        f"CASE WHEN p.n IS NULL THEN false WHEN {strong} THEN ({closed}) OR NOT {joins} "
+        f"WHEN regexp_matches(p.n, '^[^\\p{{L}}.!?]*\\p{{Ll}}') THEN false WHEN {closed} THEN true "
+        f"ELSE NOT ({joins} OR regexp_matches(p.n, '^[0-9]') OR (regexp_matches(p.s, '\\p{{L}}\\.$') AND regexp_matches(p.n, '^\\p{{Lu}}'))) END"
     )
     # A joining mark right behind a closer takes the closer with it.
-    split_closer = f"{joins} AND regexp_matches(s, {q(CLOSERS + '$')})"
-    ends, split_closer = (e.replace("(n, ", "(p.n, ").replace("n IS NULL", "p.n IS NULL").replace("(s, ", "(p.s, ") for e in (ends, split_closer))
+    split_closer = f"{joins} AND regexp_matches(p.s, {q(CLOSERS + '$')})"
     pieces = (
         f"list_transform(list_transform(range(1, len(c) + 1), lambda i: {{'s': c[i], 'n': nullif(c[i + 1], '')}}), "
         f"lambda p: CASE WHEN NOT ({ends}) THEN p.s WHEN {split_closer} THEN left(p.s, length(p.s) - 1) || {MARK} || right(p.s, 1) ELSE p.s || {MARK} END)"

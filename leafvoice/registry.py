@@ -8,11 +8,11 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafvoice.functions import fixed, measures as M, segmenting as N, text as T
+from leafvoice.functions import measures as M, segmenting as N, text as T
 from leafvoice.oracle import SQL
 from leafvoice.operators import catalog as C, layout as L, navigation as G, playback as P, quality as Q
 from leafvoice.operators import sections as S, sentences as X
-from leafvoice.plans.blocks import PAGES_PER_BLOCK, block_of, checkpoint_root, materialize
+from leafvoice.plans.blocks import PAGES_PER_BLOCK, block_of, checkpoint_root
 from leafvoice.sources import adapters as A, library as B, readers as R
 from leafvoice.streaming import queries as SQ, stateful as ST
 

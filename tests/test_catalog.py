@@ -2,11 +2,9 @@ import datetime as dt
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from leafvoice import schema
 from leafvoice.operators import catalog as C, navigation as G, quality as Q, sentences as N
-from leafvoice.plans import blocks
 from leafvoice.sources import library as B, readers as R
 from tests import fixtures
 
