@@ -29,15 +29,6 @@ def documents_as_paragraphs(documents: DataFrame) -> DataFrame:
     )
 
 
-def conversations_as_paragraphs(conversations: DataFrame) -> DataFrame:
-    """One paragraph per turn, 20 turns to a page; ``turn`` counts from 0 without gaps."""
-    return spread(conversations.select("conv_id", "turn", "text"), "conv_id", "turn").select(
-        F.col("conv_id").cast("string").alias("doc_id"), F.col("turn").cast("bigint").alias("para_idx"),
-        (F.floor(F.col("turn") / LINES_PER_PAGE) + 1).cast("int").alias("page"), F.trim("text").alias("text"),
-        F.lit(BODY_SIZE).alias("font_size"),
-    )
-
-
 def html_lines(html: Column) -> Column:
     """Blocks of a page in order; first-level headings are marked with ``#H ``."""
     t = F.regexp_replace(html, "(?s)<script.*?</script>|<style.*?</style>|<title.*?</title>|<!--.*?-->", "")
