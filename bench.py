@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -23,7 +24,7 @@ HEADLINE = [
 def main() -> None:
     sf = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cores = int(os.environ.get("BENCH_CPUS", "8"))
-    spark = local_session(cores, "leafvoice-bench")
+    spark = local_session(cores, "leafvoice-bench", tempfile.mkdtemp(prefix="run-"))
     names = sys.argv[1:] or HEADLINE
     run = lambda name: QUERIES[name](spark, sf).write.format("noop").mode("overwrite").save()
     run(names[-1])  # start the workers

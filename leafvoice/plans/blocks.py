@@ -120,14 +120,17 @@ def busy_partitions(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share. There is no fallback to a local one: on a cluster each
+    executor would write to its own disk."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        import tempfile
+        raise RuntimeError("spark.checkpoint.dir is not set: name a folder that all executors share")
+    return root.rstrip("/")
 
-        # Only where no shared folder is named: a local run.
-        root = tempfile.mkdtemp(prefix="leafvoice-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root
+
+def run_folder(spark: SparkSession) -> str:
+    """Where this application keeps its intermediate tables; ``drop_run`` removes it as a whole."""
+    return f"{checkpoint_root(spark)}/leafvoice-{spark.sparkContext.applicationId}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -135,6 +138,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     The files are in the shared checkpoint folder, so a lost executor costs nothing, and each branch
     reads only its columns."""
     spark = df.sparkSession
-    path = f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of intermediate data, in whatever store it lies."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def drop_run(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this application. Results must have been written by then."""
+    remove(spark, run_folder(spark))

@@ -12,7 +12,7 @@ from leafvoice.functions import measures as M, segmenting as N, text as T
 from leafvoice.oracle import SQL
 from leafvoice.operators import catalog as C, layout as L, navigation as G, playback as P, quality as Q
 from leafvoice.operators import sections as S, sentences as X
-from leafvoice.plans.blocks import PAGES_PER_BLOCK, block_of, checkpoint_root
+from leafvoice.plans.blocks import PAGES_PER_BLOCK, block_of, run_folder
 from leafvoice.sources import adapters as A, library as B, readers as R
 from leafvoice.streaming import queries as SQ, stateful as ST
 
@@ -71,7 +71,7 @@ def ms(c: str):
 
 @query
 def read_runs(spark, sf):
-    path = f"{checkpoint_root(spark)}/runs-{uuid4().hex}"
+    path = f"{run_folder(spark)}/runs-{uuid4().hex}"
     A.paragraphs_as_runs(lines(spark, sf)).write.parquet(path)
     return R.read_runs(spark, path).groupBy("doc_id", "page").agg(
         F.count("*").alias("runs"), F.sum(F.length("text")).alias("chars"), r6(F.sum("width")).alias("width")
@@ -118,7 +118,7 @@ def flatten_outline(spark, sf):
 @query
 def write_library(spark, sf):
     """Build chapters and sentences, write them with their book rows, and read the library back."""
-    path = f"{checkpoint_root(spark)}/library-{uuid4().hex}"
+    path = f"{run_folder(spark)}/library-{uuid4().hex}"
     B.create_tables(spark, path)
     built = X.books_from_paragraphs(page_lines(spark, sf), splitter="simple")
     docs = built.chapters.select("doc_id").distinct().select(
@@ -709,7 +709,7 @@ def _stream(spark, sf) -> DataFrame:
 
 def _drain(spark, df: DataFrame, name: str) -> DataFrame:
     """Run a stream over all of its input into files and read them."""
-    root = f"{checkpoint_root(spark)}/{name}-{uuid4().hex}"
+    root = f"{run_folder(spark)}/{name}-{uuid4().hex}"
     q = (
         df.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/log")
         .trigger(availableNow=True).start()
@@ -740,7 +740,7 @@ def latest_position_stream(spark, sf):
     """Last write per book, kept by a stream and replaced per micro-batch."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     rows = A.events_as_positions(_stream(spark, sf)).withColumn("updated_at", F.col("updated_at").cast("timestamp"))
-    root = f"{checkpoint_root(spark)}/latest-{uuid4().hex}"
+    root = f"{run_folder(spark)}/latest-{uuid4().hex}"
     latest = SQ.latest_position(rows)
 
     def replace(batch: DataFrame, n: int) -> None:
@@ -797,7 +797,7 @@ def listening_sessions_stream(spark, sf):
 @query
 def incremental_chapters(spark, sf):
     """Chapters of documents that arrive as a stream of runs."""
-    root = f"{checkpoint_root(spark)}/arrivals-{uuid4().hex}"
+    root = f"{run_folder(spark)}/arrivals-{uuid4().hex}"
     A.paragraphs_as_runs(page_lines(spark, sf)).repartition("doc_id").write.parquet(f"{root}/runs")
 
     def sink(built: X.Books, n: int) -> None:

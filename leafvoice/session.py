@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark import SparkConf
 from pyspark.sql import SparkSession
 
 
-def local_session(cores: int = 8, app: str = "leafvoice") -> SparkSession:
+def local_session(cores: int = 8, app: str = "leafvoice", checkpoint_dir: str | None = None) -> SparkSession:
+    """``checkpoint_dir`` is used only where the defaults name no folder."""
+    builder = SparkSession.builder
+    if checkpoint_dir and not SparkConf().get("spark.checkpoint.dir"):
+        builder = builder.config("spark.checkpoint.dir", checkpoint_dir)
     spark = (
-        SparkSession.builder.master(f"local[{cores}]")
+        builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(cores))
         .config("spark.sql.adaptive.enabled", "true")

@@ -12,11 +12,9 @@ sys.path.insert(0, ROOT)
 def spark():
     from leafvoice.session import local_session
 
-    session = local_session(cores=8, app="leafvoice-tests")
+    session = local_session(cores=8, app="leafvoice-tests", checkpoint_dir=tempfile.mkdtemp(prefix="run-"))
     # Small inputs: few partitions, but more than one.
     session.conf.set("spark.sql.shuffle.partitions", "3")
-    if not session.conf.get("spark.checkpoint.dir", None):
-        session.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="run-"))
     yield session
     session.stop()
 
