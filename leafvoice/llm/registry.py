@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from leafvoice.llm import minhash
+from leafvoice.llm import chat, decontaminate, minhash, mixing, rules, tokens
 
 QUERIES = {
+    "op2_token_packs": tokens.op2_token_packs,
     "op3_minhash_near_dedup": minhash.op3_minhash_near_dedup,
+    "op4_pareto_mixing": mixing.op4_pareto_mixing,
+    "op5_decision_rules": rules.op5_decision_rules,
+    "op6_chat_formatting": chat.op6_chat_formatting,
+    "op8_benchmark_decontamination": decontaminate.op8_benchmark_decontamination,
 }
-ORACLES: dict[str, str] = {}
+ORACLES = {"op6_chat_formatting": chat.OP6_SQL}
