@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from leafvoice.llm.buffers import LOWER, text_slices, words
 from leafvoice.llm.tables import table
@@ -24,6 +25,9 @@ SEPARATOR[[*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]] = True
 _NORMAL = bytes(0x20 if SEPARATOR[LOWER[b]] else int(LOWER[b]) for b in range(256))
 
 
+_FOUND = "n_words long, n_hit long, items array<string>, spans array<struct<start: long, end: long>>"
+
+
 def normal_words(text: bytes) -> list[bytes]:
     return text.translate(_NORMAL).split()
 
@@ -82,15 +86,16 @@ def _scan(shared, width: int):
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], inside.astype(np.int8), [0]])))
                 spans.append([{"start": int(starts[a]), "end": int(ends[b - 1])} for a, b in zip(edge[::2], edge[1::2])])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int64()), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()),
+                [batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()),
                  pa.array(items, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))],
-                names=["doc_id", "n_words", "n_hit", "items", "spans"],
+                names=["key", "n_words", "n_hit", "items", "spans"],
             )
     return run
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
-    """``doc_id, n_words, n_hit, items, spans`` of each row of ``docs`` (doc_id, text).
+def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, keep: list[str] | None = None) -> DataFrame:
+    """``doc_id, n_words, n_hit, items, spans`` of each row of ``docs`` (doc_id, text). With ``keep``, the struct ``_row`` of
+    those columns takes the place of ``doc_id``.
 
     ``items`` are the ids (as strings) of the items of ``benchmark`` (item_id, text) of which a window occurs;
     ``spans`` are the hit words as byte offsets into the original UTF-8 text. An item of fewer than ``width`` words is one
@@ -106,8 +111,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10) -
         raise ValueError(f"the test items hold {size} characters, more than one automaton takes")
     found = [(r["item_id"], r["text"]) for r in items.collect()]
     shared = docs.sparkSession.sparkContext.broadcast(found)
-    return docs.select("doc_id", "text").mapInArrow(
-        _scan(shared, width), "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start: long, end: long>>")
+    key = F.struct(*keep) if keep else F.col("doc_id")
+    rows = docs.select(key.alias("key"), F.col("text").alias("text"))
+    found = rows.mapInArrow(_scan(shared, width), T.StructType([rows.schema["key"], *T.StructType.fromDDL(_FOUND)]))
+    return found.withColumnRenamed("key", "_row" if keep else "doc_id")
 
 
 def op8_benchmark_decontamination(spark, sf_dir):

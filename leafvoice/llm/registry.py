@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from leafvoice.llm import chat, decontaminate, minhash, mixing, rules, tokens
+from leafvoice.llm import chat, decontaminate, minhash, mixing, quality, rules, tokens
 
 QUERIES = {
+    "op1_pu_quality": quality.op1_pu_quality,
     "op2_token_packs": tokens.op2_token_packs,
     "op3_minhash_near_dedup": minhash.op3_minhash_near_dedup,
     "op4_pareto_mixing": mixing.op4_pareto_mixing,
