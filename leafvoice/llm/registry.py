@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from leafvoice.llm import chat, decontaminate, minhash, mixing, quality, rules, tokens
+from leafvoice.llm import chat, decontaminate, minhash, mixing, quality, rules, suffixtree, tokens
 
 QUERIES = {
     "op1_pu_quality": quality.op1_pu_quality,
@@ -12,5 +12,6 @@ QUERIES = {
     "op5_decision_rules": rules.op5_decision_rules,
     "op6_chat_formatting": chat.op6_chat_formatting,
     "op8_benchmark_decontamination": decontaminate.op8_benchmark_decontamination,
+    "op10_suffix_tree_scores": suffixtree.op10_suffix_tree_scores,
 }
 ORACLES = {"op6_chat_formatting": chat.OP6_SQL}
