@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from leafvoice.llm import chat, decontaminate, minhash, mixing, quality, rules, suffixtree, tokens
+from leafvoice.llm import chat, decontaminate, minhash, mixing, quality, rules, suffixarray, suffixtree, tokens
 
 QUERIES = {
     "op1_pu_quality": quality.op1_pu_quality,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_pareto_mixing": mixing.op4_pareto_mixing,
     "op5_decision_rules": rules.op5_decision_rules,
     "op6_chat_formatting": chat.op6_chat_formatting,
+    "op7_suffix_array_dedup": suffixarray.op7_suffix_array_dedup,
     "op8_benchmark_decontamination": decontaminate.op8_benchmark_decontamination,
     "op10_suffix_tree_scores": suffixtree.op10_suffix_tree_scores,
 }
