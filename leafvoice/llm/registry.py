@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from leafvoice.llm import chat, decontaminate, minhash, mixing, quality, rules, suffixarray, suffixtree, tokens
+from leafvoice.llm import chat, decontaminate, fmindex, minhash, mixing, quality, rules, suffixarray, suffixtree, tokens
 
 QUERIES = {
     "op1_pu_quality": quality.op1_pu_quality,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_chat_formatting": chat.op6_chat_formatting,
     "op7_suffix_array_dedup": suffixarray.op7_suffix_array_dedup,
     "op8_benchmark_decontamination": decontaminate.op8_benchmark_decontamination,
+    "op9_fm_index_dedup": fmindex.op9_fm_index_dedup,
     "op10_suffix_tree_scores": suffixtree.op10_suffix_tree_scores,
 }
 ORACLES = {"op6_chat_formatting": chat.OP6_SQL}
