@@ -1,4 +1,4 @@
-"""Connected components by minimum labels with pointer jumping."""
+"""Connected components by contraction."""
 
 from __future__ import annotations
 
@@ -11,26 +11,29 @@ from leafvoice.llm.tables import Steps
 def components(edges: DataFrame, steps: Steps) -> DataFrame:
     """``node, label`` for each node of ``edges`` (a, b: long); the label is the smallest node reachable.
 
-    Each round takes the least label among the neighbours (summed up before the exchange, so a hub costs no more
-    than its edges) and jumps to that label's label; the number of rounds follows the logarithm of the longest
-    path. Rounds are written to the shared folder; only a count comes to the driver. No edges: no rows."""
-    both = steps.keep(
-        edges.select("a", "b").union(edges.select("b", "a")).where("a is not null and b is not null").distinct(), "edges")
-    labels = steps.keep(
-        both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("label")),
-        "labels")
-    while True:
-        seen = labels.select(F.col("node").alias("b"), "label")
-        near = both.join(seen, "b").groupBy("a").agg(F.min("label").alias("least")).withColumnRenamed("a", "node")
-        met = steps.keep(
-            labels.join(near, "node", "left").select("node", "label", F.least("label", "least").alias("least")), "met")
-        jump = met.select(F.col("node").alias("least"), F.col("least").alias("beyond"))
-        new = steps.keep(
-            met.join(jump, "least").select("node", F.least("least", "beyond").alias("label"), (F.col("label") > F.col("beyond")).alias("moved")),
-            "labels")
-        done = new.where("moved").limit(1).isEmpty()
-        steps.free(labels, met)
-        labels = new
-        if done:
-            steps.free(both)
-            return labels.select("node", "label")
+    In each round every node takes the least of its neighbours and itself, then that one's choice; edges are renamed by
+    these choices, and those inside one name are gone. A star is done in one round, and edges only get fewer. Minima are
+    summed up before the exchange, so a hub isn't gathered anywhere. Each round is written to the shared folder; only
+    whether edges are left comes to the driver. Nulls and loops are left out; no edges: no rows."""
+    left = steps.keep(
+        edges.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    rounds: list[DataFrame] = []
+    while not rounds or not left.limit(1).isEmpty():
+        ends = left.select("a", "b").union(left.select("b", "a"))
+        chosen = steps.keep(
+            ends.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("least")), "chosen")
+        further = chosen.select(F.col("node").alias("n"), F.col("least").alias("label"))
+        labels = steps.keep(chosen.join(further, F.col("least") == F.col("n")).select("node", "label"), "labels")
+        rounds.append(labels)
+        of_a = labels.select(F.col("node").alias("a"), F.col("label").alias("la"))
+        of_b = labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
+        renamed = left.join(of_a, "a").join(of_b, "b").where("la != lb")
+        fewer = steps.keep(renamed.select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct(), "edges")
+        steps.free(chosen, left)
+        left = fewer
+    # A later round names the names of the one before.
+    final = rounds[-1]
+    for labels in reversed(rounds[:-1]):
+        later = final.select(F.col("node").alias("n"), F.col("label").alias("l"))
+        final = steps.keep(labels.join(later, F.col("label") == F.col("n"), "left").select("node", F.coalesce("l", "label").alias("label")), "labels")
+    return final
