@@ -39,7 +39,9 @@ def windows_of(items, width: int) -> dict[bytes, tuple[int, set[str]]]:
         w = normal_words((text or "").encode())
         n = min(width, len(w))
         for i in range(len(w) - n + 1 if n else 0):
-            out.setdefault(b" ".join(w[i: i + n]), (n, set()))[1].add(item_id)
+            ids = out.setdefault(b" ".join(w[i: i + n]), (n, set()))[1]
+            if item_id is not None:
+                ids.add(item_id)
     return out
 
 
