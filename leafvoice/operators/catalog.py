@@ -87,5 +87,6 @@ def preferred_voice(voices: DataFrame) -> DataFrame:
         named = F.when(F.col("name").rlike(pattern), k).otherwise(named)
     n = len(fixed.VOICE_PATTERNS)
     priority = F.coalesce(named, F.when(F.col("is_default"), n).otherwise(n + 1))
-    rank = F.struct((~is_english_voice("lang")).alias("foreign"), priority.alias("priority"), F.col("ord"))
+    english = F.coalesce(is_english_voice("lang"), F.lit(False))  # a voice without a language isn't English
+    rank = F.struct((~english).alias("foreign"), priority.alias("priority"), F.col("ord"))
     return voices.groupBy("device_id").agg(F.min_by("voice_id", rank).alias("voice_id"))

@@ -91,14 +91,16 @@ def interpolate_position(
     """Position at every ``tick`` of an utterance.
 
     ``events`` is (keys, event_id, ts, kind, char, rate, text_len) with kinds ``start`` (``char`` is
-    where speaking began), ``boundary`` (``char`` is where the engine says it is) and ``tick``. The
-    estimate runs on from the last start or boundary, at most ``drift`` characters past a boundary, never
+    where speaking began), ``boundary`` (``char`` is where the engine says it is) and ``tick``. Each start begins
+    an utterance of its own; what comes before the first start is left out. The estimate runs on from the last start or boundary, at most ``drift`` characters past a boundary, never
     past the text, and never goes back.
     """
     rows, long = _sliced(events, keys, "ts", slice_ms)
     order = ["ms", "event_id"]
     known = F.col("kind") != "tick"
-    rows = running(rows, keys, "block", order, {
+    rows = running(rows, keys, "block", order, {"utterance": ("sum", F.when(F.col("kind") == "start", 1))}, long).where("utterance > 0")
+    own = [*keys, "utterance"]
+    rows = running(rows, own, "block", order, {
         "anchor": ("max", F.when(known, F.struct("ms", "event_id", F.col("char").cast("double").alias("char")))),
         "seen": ("max", F.when(F.col("kind") == "boundary", 1)),
     }, long)
@@ -107,7 +109,7 @@ def interpolate_position(
         ahead, F.when(F.col("seen") == 1, F.col("anchor.char") + drift), F.col("text_len").cast("double")
     )
     rows = rows.withColumn("estimate", F.when(known, F.col("char").cast("bigint")).otherwise(round_half_up(capped)))
-    rows = running(rows, keys, "block", order, {"position": ("max", F.col("estimate"))}, long)
+    rows = running(rows, own, "block", order, {"position": ("max", F.col("estimate"))}, long)
     return rows.where("kind = 'tick'").select(*keys, "event_id", "ts", F.col("position").cast("bigint").alias("position"))
 
 

@@ -693,12 +693,14 @@ SQL["monotonic_position"] = with_("SELECT event_id, max(position) OVER (PARTITIO
 CTE["speech"] = """
   SELECT event_id, user_id AS session_id, epoch_us(ts) // 1000 AS ms, CASE event_type WHEN 'signup' THEN 'start' WHEN 'purchase' THEN 'boundary' ELSE 'tick' END AS kind,
     CASE WHEN event_type IN ('signup', 'purchase') THEN CAST(floor(value) AS BIGINT) END AS c FROM events"""
+CTE["utterances"] = """
+  SELECT *, count(*) FILTER (kind = 'start') OVER (PARTITION BY session_id ORDER BY ms, event_id ROWS UNBOUNDED PRECEDING) AS utterance FROM speech"""
 CTE["speech_anchor"] = """
   SELECT *, last_value(c IGNORE NULLS) OVER w AS a, last_value(CASE WHEN c IS NOT NULL THEN ms END IGNORE NULLS) OVER w AS since, bool_or(kind = 'boundary') OVER w AS seen
-  FROM speech WINDOW w AS (PARTITION BY session_id ORDER BY ms, event_id ROWS UNBOUNDED PRECEDING)"""
+  FROM utterances WHERE utterance > 0 WINDOW w AS (PARTITION BY session_id, utterance ORDER BY ms, event_id ROWS UNBOUNDED PRECEDING)"""
 SQL["interpolate_position"] = with_("""
-SELECT event_id, position FROM (SELECT event_id, kind, max(p) OVER (PARTITION BY session_id ORDER BY ms, event_id ROWS UNBOUNDED PRECEDING) AS position FROM (
-  SELECT *, CASE WHEN kind <> 'tick' THEN c WHEN a IS NULL THEN 300 ELSE CAST(floor(least(a + (ms - since) / 1000::DOUBLE * 14 * 0.001::DOUBLE, CASE WHEN seen THEN a + 90 ELSE 300 END, 300) + 0.5) AS BIGINT) END AS p
+SELECT event_id, position FROM (SELECT event_id, kind, max(p) OVER (PARTITION BY session_id, utterance ORDER BY ms, event_id ROWS UNBOUNDED PRECEDING) AS position FROM (
+  SELECT *, CASE WHEN kind <> 'tick' THEN c ELSE CAST(floor(least(a + (ms - since) / 1000::DOUBLE * 14 * 0.001::DOUBLE, CASE WHEN seen THEN a + 90 ELSE 300 END, 300) + 0.5) AS BIGINT) END AS p
   FROM speech_anchor)) WHERE kind = 'tick'""")
 CTE["gaps"] = """
   SELECT *, lag(ms) OVER w AS pms, lag(kind) OVER w AS pkind, bool_or(kind = 'boundary') OVER (PARTITION BY session_id ORDER BY ms, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen

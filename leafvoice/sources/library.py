@@ -37,9 +37,11 @@ def book_counts(chapters: DataFrame, sentences: DataFrame) -> DataFrame:
 
 
 def book_rows(docs: DataFrame, counts: DataFrame, voice: str | None = None, added_at: Column | None = None) -> DataFrame:
-    return docs.join(counts, "doc_id").select(
-        book_id("doc_id").alias("book_id"), "doc_id", "title", "file_name", "page_count", "chapter_count",
-        "sentence_count", F.lit(voice).cast("string").alias("voice"), "detection_mode",
+    """A book per document; one without chapters counts none."""
+    none = lambda c: F.coalesce(F.col(c), F.lit(0).cast("bigint")).alias(c)
+    return docs.join(counts, "doc_id", "left").select(
+        book_id("doc_id").alias("book_id"), "doc_id", "title", "file_name", "page_count", none("chapter_count"),
+        none("sentence_count"), F.lit(voice).cast("string").alias("voice"), "detection_mode",
         (F.current_timestamp() if added_at is None else added_at).alias("added_at"),
     )
 

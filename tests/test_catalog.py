@@ -201,3 +201,20 @@ def test_quality(spark):
     runs = spark.createDataFrame([("d", 1, i * 2, f"run {i}", 11.0, 0.0, 0.0, 0.0) for i in range(10)], schema.RUNS)
     got = Q.runs_in_context(runs, "run 1").orderBy("match", "pos").collect()
     assert [(r.match, r.pos, r.is_match) for r in got] == [(1, p, p == 1) for p in range(0, 5)]
+
+
+def test_voice_without_language_is_not_english(spark):
+    from leafvoice.operators.catalog import preferred_voice
+
+    rows = [("d", 0, "a", "plain", None, True), ("d", 1, "b", "plain", "en-US", False)]
+    got = preferred_voice(spark.createDataFrame(rows, "device_id string, ord int, voice_id string, name string, lang string, is_default boolean"))
+    assert [r.voice_id for r in got.collect()] == ["b"]
+
+
+def test_book_without_chapters_is_kept(spark):
+    from leafvoice.sources.library import book_counts, book_rows
+
+    docs = spark.createDataFrame([("x", "t", "f", 1), ("y", "t", "f", 2)], "doc_id string, title string, file_name string, page_count int")
+    chapters = spark.createDataFrame([("x", "outline")], "doc_id string, detection_mode string")
+    got = book_rows(docs, book_counts(chapters, chapters.select("doc_id"))).collect()
+    assert sorted((r.doc_id, r.chapter_count, r.sentence_count) for r in got) == [("x", 1, 1), ("y", 0, 0)]

@@ -49,12 +49,13 @@ def test_positions_and_stalls(spark, slice_ms):
     for k in range(12):
         ms, rows, other = 0, [], []
         n_chars, rate = rng.randint(20, 400), rng.choice([0.5, 1.0, 2.0])
-        rows.append((0, n, "start", rng.randint(0, 10), rate, n_chars))
+        first = rng.choice(["start", "tick"])
+        rows.append((0, n, first, rng.randint(0, 10) if first == "start" else None, rate, n_chars))
         for _ in range(rng.randint(1, 60)):
             n += 1
             ms += rng.choice([120, 120, 500, 1499, 1501, 2499, 2501, 8000])
-            kind = rng.choice(["tick", "tick", "tick", "boundary"])
-            rows.append((ms, n, kind, rng.randint(0, n_chars) if kind == "boundary" else None, rate, n_chars))
+            kind = rng.choice(["tick"] * 6 + ["boundary"] * 2 + ["start"])
+            rows.append((ms, n, kind, rng.randint(0, n_chars) if kind != "tick" else None, rate, n_chars))
             other.append((ms, n, rng.choice(["play", "boundary", "pause", "seek"]), rng.randint(0, 99)))
         ticks[f"k{k}"], plays[f"k{k}"] = rows, other
         n += 1
