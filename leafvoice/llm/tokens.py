@@ -173,7 +173,8 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2,
         .write.mode("overwrite").parquet(f"{folder}/dictionary")
     shared = spark.sparkContext.broadcast(dictionary)
     order = [F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()]
-    (docs.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
+    # Only doc_id is sampled for the ranges; equal ones fall into one.
+    (docs.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), order[0]).sortWithinPartitions(*order)
      .mapInArrow(_pack(shared, level, tokenizer, end_id), _PACKS).write.mode("overwrite").parquet(f"{folder}/packs"))
 
 
