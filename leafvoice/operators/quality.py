@@ -8,16 +8,16 @@ from pyspark.sql import functions as F
 from leafvoice.functions import fixed
 from leafvoice.functions.text import js_trim
 from leafvoice.operators.sections import features, weighted_median_size
-from leafvoice.plans.blocks import hand_out, materialize, with_halo
+from leafvoice.plans.blocks import ROWS_PER_BLOCK, block_of, hand_out, materialize, running, with_halo
 
 CHECKS = ["lowercase_start", "broken_hyphen", "orphan_capital", "tiny", "over_cap", "double_blank"]
 
 
-def _with_next(sentences: DataFrame, reach: int = 1) -> DataFrame:
-    """Sentences with the ``reach`` following ones of the document as ``next1``…"""
+def _with_next(sentences: DataFrame) -> DataFrame:
+    """Sentences with the following one of the document as ``next1``."""
     near = Window.partitionBy("doc_id", "_block").orderBy("global_idx")
-    out = with_halo(sentences.select("doc_id", "global_idx", "text"), "global_idx", reach)
-    return out.withColumns({f"next{k}": F.lead("text", k).over(near) for k in range(1, reach + 1)}).where("_own")
+    out = with_halo(sentences.select("doc_id", "global_idx", "text"), "global_idx", 1)
+    return out.withColumn("next1", F.lead("text").over(near)).where("_own")
 
 
 def check_columns() -> dict[str, Column]:
@@ -78,21 +78,47 @@ def corpus_audit(sentences: DataFrame, k: int = 4) -> DataFrame:
     )
 
 
-def integrity_checks(sentences: DataFrame, expectations: DataFrame, reach: int = 2) -> DataFrame:
-    """Per case whether every wanted string occurs and no unwanted one does.
+def _spans(sentences: DataFrame, longest: DataFrame, chars: int) -> DataFrame:
+    """``(doc_id, part, span)``: the running text of the documents in ``longest(doc_id, longest)``, sentences joined by a
+    blank, in parts of about ``chars``. Each part goes on for ``longest`` characters into what follows, so
+    whatever is no longer than that and begins in it lies in it."""
+    rows = hand_out(
+        sentences.select("doc_id", "global_idx", "text", block_of("global_idx", ROWS_PER_BLOCK).alias("block")), longest, ["doc_id"], "block"
+    )
+    size = F.length("text") + 1
+    placed = running(rows, ["doc_id"], "block", ["global_idx"], {"through": ("sum", size)}).withColumn("at", F.col("through") - size)
+    # A part is at least as wide as the longest string: the text after a part reaches into two parts at most.
+    placed = placed.withColumn("part", F.floor(F.col("at") / F.greatest("longest", F.lit(chars))))
+    along = Window.partitionBy("doc_id").orderBy("part")
+    begins = placed.groupBy("doc_id", "part").agg(F.min("at").alias("first")).select(
+        "doc_id", "part", "first", F.lag("first").over(along).alias("first1"),
+        F.lag("part").over(along).alias("part1"), F.lag("part", 2).over(along).alias("part2"),
+    )
+    near = lambda first, part: F.when(F.col("at") < F.col(first) + F.col("longest"), F.col(part))
+    copies = F.array_compact(F.array("part", near("first", "part1"), near("first1", "part2")))
+    # A copy needs no more than the longest string's length of a sentence.
+    return (
+        placed.join(begins, ["doc_id", "part"])
+        .select("doc_id", "global_idx", "text", "longest", F.col("part").alias("own"), F.explode(copies).alias("part"))
+        .withColumn("text", F.when(F.col("part") == F.col("own"), F.col("text")).otherwise(F.left("text", F.col("longest").cast("int"))))
+        .groupBy("doc_id", "part").agg(F.array_sort(F.collect_list(F.struct("global_idx", "text"))).alias("s"))
+        .select("doc_id", "part", F.array_join(F.transform("s", lambda s: s["text"]), " ").alias("span"))
+    )
+
+
+def integrity_checks(sentences: DataFrame, expectations: DataFrame, chars: int = 65536) -> DataFrame:
+    """Per case whether every wanted string occurs in the document's running text and no unwanted one does.
 
-    ``expectations`` is (case_id, doc_id, must_contain, must_not_contain). A string may run over up to
-    ``reach`` sentence ends.
+    ``expectations`` is (case_id, doc_id, must_contain, must_not_contain). A string may run over any number of
+    sentence ends; a document is looked through in parts of about ``chars``. Null strings ask for nothing.
     """
-    spoken = _with_next(sentences, reach).withColumn(
-        "span", F.concat_ws(" ", "text", *[f"next{k}" for k in range(1, reach + 1)])
-    ).select("doc_id", F.col("_block").alias("block"), "span")
-    needles = lambda c, wanted: expectations.select("case_id", "doc_id", F.explode(c).alias("needle"), F.lit(wanted).alias("wanted"))
+    needles = lambda c, wanted: expectations.select("case_id", "doc_id", F.explode(c).alias("needle"), F.lit(wanted).alias("wanted")).where("needle is not null")
     asked = needles("must_contain", True).unionByName(needles("must_not_contain", False)).distinct()
-    # A sentence is looked through for all strings of its document at once; only hits become rows.
-    lists = asked.groupBy("doc_id").agg(F.collect_set("needle").alias("needles"))
+    # A part is looked through for all strings of its document at once; only hits become rows.
+    lists = asked.groupBy("doc_id").agg(F.collect_set("needle").alias("needles"), F.max(F.length("needle")).alias("longest"))
+    spans = _spans(sentences, lists.select("doc_id", "longest"), chars)
     hits = (
-        hand_out(spoken, lists, ["doc_id"], "block")
+        hand_out(spans, lists.select("doc_id", "needles"), ["doc_id"], "part")
         .select("doc_id", F.explode(F.filter("needles", lambda n: F.contains(F.col("span"), n))).alias("needle"))
         .distinct().withColumn("found", F.lit(True))
     )

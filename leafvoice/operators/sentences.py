@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafvoice.functions import fixed
@@ -87,16 +87,31 @@ def explode_sentences(chapters: DataFrame) -> DataFrame:
     return number_sentences(stored, keys)
 
 
-def explode_words(sentences: DataFrame) -> DataFrame:
-    """One row per word with its index and character offset in the sentence. Filter sentences first."""
+def sums_before(sizes: Column, levels: int = 3, chunk: int = 64) -> Column:
+    """For each element the sum of those before it. Only folds over a chunk grow an array, so the time follows
+    the length up to ``chunk ** levels`` elements and beyond."""
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
-    offsets = F.aggregate(
-        "pieces", start,
-        lambda acc, p: F.struct(
-            (acc["at"] + F.length(p["text"])).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")
-        ),
+    fold = lambda xs: F.aggregate(
+        xs, start, lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")),
         lambda acc: acc["out"],
     )
+    if not levels:
+        return fold(sizes)
+    # Bound to a name first: an expression inside the lambda would be computed once per chunk.
+    bound = lambda c, f: F.transform(F.array(c), f)[0]
+    chunks = lambda xs: F.transform(
+        F.filter(F.sequence(F.lit(0), F.size(xs), F.lit(chunk)), lambda k: k < F.size(xs)), lambda k: F.slice(xs, k + 1, chunk)
+    )
+    total = lambda c: F.aggregate(c, F.lit(0), lambda a, x: a + x)
+    added = lambda cs: F.flatten(F.zip_with(
+        cs, sums_before(F.transform(cs, total), levels - 1, chunk), lambda c, s: F.transform(fold(c), lambda x: x + s)
+    ))
+    return bound(sizes, lambda xs: bound(chunks(xs), added))
+
+
+def explode_words(sentences: DataFrame) -> DataFrame:
+    """One row per word with its index and character offset in the sentence. Filter sentences first."""
+    offsets = sums_before(F.transform("pieces", lambda p: F.length(p["text"])))
     words = F.filter(F.arrays_zip("pieces", "offsets"), lambda p: p["pieces"]["is_word"])
     keep = [c for c in sentences.columns if c != "text"]
     return (

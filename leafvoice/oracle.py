@@ -596,11 +596,11 @@ CTE["ranked"] = "SELECT *, CAST(row_number() OVER (PARTITION BY check_name ORDER
 SQL["audit_examples"] = with_("SELECT check_name, rank, doc_id, global_idx, left(text, 60) AS example FROM ranked WHERE rank <= 6")
 SQL["corpus_audit"] = with_("SELECT check_name, coalesce(n, 0)::BIGINT AS n, coalesce(examples, '') AS examples FROM (SELECT unnest(["
     + ", ".join(q(c) for c in _CHECKS) + "]) AS check_name) LEFT JOIN (SELECT check_name, sum(n) AS n, string_agg(left(text, 60), '|' ORDER BY rank) FILTER (rank <= 4) AS examples FROM ranked GROUP BY check_name) USING (check_name)")
-CTE["spans"] = """
-  SELECT doc_id, concat_ws(' ', text, lead(text) OVER w, lead(text, 2) OVER w) AS s FROM spoken WINDOW w AS (PARTITION BY doc_id ORDER BY global_idx)"""
-CTE["needles"] = """
-  SELECT CAST(item_id AS VARCHAR) AS case_id, unnest([left(text, 2), 'and', text, ', the']) AS needle, unnest([true, true, false, false]) AS wanted FROM benchmark"""
-CTE["found"] = "SELECT case_id, needle, wanted, EXISTS (SELECT 1 FROM spans WHERE doc_id = case_id AND contains(s, needle)) AS found FROM needles"
+CTE["whole"] = """
+  SELECT doc_id, string_agg(text, ' ' ORDER BY global_idx) AS s, string_agg(text, ' ' ORDER BY global_idx) FILTER (global_idx < 5) AS run,
+    string_agg(text, ' ' ORDER BY global_idx) FILTER (global_idx IN (0, 2)) AS gap FROM spoken GROUP BY doc_id"""
+CTE["needles"] = "SELECT doc_id AS case_id, s, unnest([run, 'and', gap, ', the']) AS needle, unnest([true, true, false, false]) AS wanted FROM whole"
+CTE["found"] = "SELECT case_id, needle, wanted, contains(s, needle) AS found FROM needles"
 SQL["integrity_checks"] = with_("SELECT case_id, bool_and(found = wanted) AS passed, count(*) FILTER (found <> wanted) AS failures FROM (SELECT DISTINCT * FROM found) GROUP BY case_id")
 SQL["punctuation_checks"] = with_("SELECT doc_id, bool_or(contains(text, '..')) AS doubled_period, bool_or(contains(text, ' .')) AS blank_before_period FROM spoken GROUP BY doc_id")
 CTE["placed_runs"] = "SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY run_idx) - 1 AS pos FROM word_runs"
@@ -608,8 +608,8 @@ CTE["run_hits"] = """
   SELECT doc_id, page, pos, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page, pos) AS INTEGER) AS match FROM placed_runs WHERE contains(text, 'tion')
   QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY page, pos) <= 3"""
 SQL["runs_in_context"] = with_("""
-SELECT r.doc_id, match, r.page, CAST(r.pos AS INTEGER) AS pos, r.pos = h.pos AS is_match, text, x FROM run_hits h JOIN placed_runs r
-ON r.doc_id = h.doc_id AND r.page = h.page AND r.pos BETWEEN h.pos - 3 AND h.pos + 3""")
+SELECT r.doc_id, match, r.page, CAST(r.pos AS INTEGER) AS pos, r.pos = h.pos AS is_match, text, x FROM (SELECT *, unnest(range(pos - 3, pos + 4)) AS near FROM run_hits) h JOIN placed_runs r
+ON r.doc_id = h.doc_id AND r.page = h.page AND r.pos = h.near""")
 SQL["detection_mode_summary"] = with_("""
 SELECT detection_mode, count(DISTINCT c.doc_id) AS documents, count(*) AS chapters, sum(coalesce(n, 0))::BIGINT AS sentences FROM book_chapters c
 LEFT JOIN (SELECT doc_id, chapter_idx, count(*) AS n FROM book_sentences GROUP BY ALL) s ON s.doc_id = c.doc_id AND s.chapter_idx = c.chapter_idx GROUP BY detection_mode""")
@@ -684,12 +684,12 @@ CTE["saves"] = f"""
 SELECT reader_id, CAST(coalesce(least(first_ms + {_DELAY}, (SELECT min(ms) FROM update_rows c WHERE c.reader_id = u.reader_id AND c.closes AND c.ms >= u.last_ms)), first_ms + {_DELAY}) AS BIGINT) AS fired_at_ms,
   updates, event_id, value FROM update_waits u"""
 SQL["coalesce_updates"] = with_("SELECT * FROM saves")
-# A stream writes what its watermark, one second behind the newest event, has passed.
-SQL["coalesce_updates_stream"] = with_("SELECT * FROM saves WHERE fired_at_ms <= (SELECT max(ms) - 1000 FROM updates)")
+SQL["coalesce_updates_stream"] = with_("SELECT * FROM saves")
 CTE["played"] = """
   SELECT event_id, user_id AS session_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS book_id, epoch_us(ts) // 1000 AS ms,
     CASE event_type WHEN 'signup' THEN 'play' WHEN 'error' THEN 'pause' ELSE 'boundary' END AS kind, CAST(floor(value) AS BIGINT) AS position FROM events"""
 SQL["monotonic_position"] = with_("SELECT event_id, max(position) OVER (PARTITION BY session_id, book_id ORDER BY ms, event_id) AS position FROM played")
+SQL["furthest_position"] = with_("SELECT session_id, book_id, max(position) AS position FROM played GROUP BY ALL")
 CTE["speech"] = """
   SELECT event_id, user_id AS session_id, epoch_us(ts) // 1000 AS ms, CASE event_type WHEN 'signup' THEN 'start' WHEN 'purchase' THEN 'boundary' ELSE 'tick' END AS kind,
     CASE WHEN event_type IN ('signup', 'purchase') THEN CAST(floor(value) AS BIGINT) END AS c FROM events"""
@@ -708,17 +708,17 @@ CTE["gaps"] = """
 SQL["detect_stalls"] = with_("""
 SELECT session_id, event_id, pms AS stalled_from_ms, ms - pms AS silence_ms FROM gaps WHERE pkind IN ('play', 'boundary') AND ms - pms > CASE WHEN seen THEN 28800000 ELSE 14400000 END""")
 CTE["silences"] = """
-  SELECT *, lead(ms) OVER w AS nms, CASE WHEN bool_or(kind = 'boundary') OVER (PARTITION BY session_id ORDER BY ms, event_id ROWS UNBOUNDED PRECEDING) THEN 28800000 ELSE 14400000 END AS quiet,
-    (SELECT max(ms) - 1000 FROM played) AS mark FROM played WINDOW w AS (PARTITION BY session_id ORDER BY ms, event_id)"""
+  SELECT *, lead(ms) OVER w AS nms, CASE WHEN bool_or(kind = 'boundary') OVER (PARTITION BY session_id ORDER BY ms, event_id ROWS UNBOUNDED PRECEDING) THEN 28800000 ELSE 14400000 END AS quiet
+    FROM played WINDOW w AS (PARTITION BY session_id ORDER BY ms, event_id)"""
 SQL["detect_stalls_stream"] = with_("""
 SELECT CAST(session_id AS VARCHAR) AS key, ms AS stalled_from_ms, CAST(quiet AS BIGINT) AS limit_ms FROM silences
-WHERE kind IN ('play', 'boundary') AND CASE WHEN nms <= mark THEN nms - ms > quiet ELSE ms + quiet < mark END""")
+WHERE kind IN ('play', 'boundary') AND (nms IS NULL OR nms - ms > quiet)""")
 CTE["spells"] = """
   SELECT session_id, us, kind, position, sum(CASE WHEN us < pus + 21600000000 THEN 0 ELSE 1 END) OVER (PARTITION BY session_id ORDER BY us, event_id) AS n FROM (
     SELECT p.*, epoch_us(ts) AS us, lag(epoch_us(ts)) OVER (PARTITION BY session_id ORDER BY ts, event_id) AS pus FROM played p JOIN (SELECT event_id, ts FROM events) USING (event_id))"""
 SQL["listening_sessions_stream"] = with_("""
 SELECT session_id, min(us) // 1000 AS started_ms, count(*) AS events, count(*) FILTER (kind = 'play') AS plays, max(position) AS furthest FROM spells
-GROUP BY session_id, n HAVING max(us) + 21600000000 <= (SELECT max(ms) - 3600000 FROM played) * 1000""")
+GROUP BY session_id, n""")
 CTE["playing"] = """
   SELECT *, lag(ms) OVER w AS pms, lag(on_now) OVER w AS was_on FROM (
     SELECT *, coalesce(last_value(CASE kind WHEN 'play' THEN true WHEN 'pause' THEN false END IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY ms, event_id ROWS UNBOUNDED PRECEDING), false) AS on_now FROM played)

@@ -28,11 +28,12 @@ def chunk_key(book, chapter, sentence_idx) -> Column:
     return F.concat_ws("::", col(book), col(chapter), col(sentence_idx).cast("string"))
 
 
-def book_counts(chapters: DataFrame, sentences: DataFrame) -> DataFrame:
+def book_counts(chapters: DataFrame, sentences: DataFrame, number: Column | None = None) -> DataFrame:
+    """Chapters and sentences per document. ``sentences`` has a row per sentence, or ``number`` of them in each row."""
     n = chapters.groupBy("doc_id").agg(
         F.count("*").alias("chapter_count"), F.first("detection_mode").alias("detection_mode")
     )
-    s = sentences.groupBy("doc_id").agg(F.count("*").alias("sentence_count"))
+    s = sentences.groupBy("doc_id").agg((F.count("*") if number is None else F.sum(number)).alias("sentence_count"))
     return n.join(s, "doc_id", "left").withColumn("sentence_count", F.coalesce("sentence_count", F.lit(0)))
 
 
@@ -61,40 +62,54 @@ def create_tables(spark: SparkSession, path: str) -> None:
             empty.write.partitionBy("bucket").parquet(f"{path}/{name}/batch=none")
 
 
-def append_batch(spark: SparkSession, path: str, tables: dict[str, DataFrame]) -> str:
-    """Write the tables as one batch; readers see all of it or nothing."""
-    batch = uuid.uuid4().hex
+def bucket_of(book: Column) -> Column:
+    return F.pmod(F.xxhash64(book), F.lit(BUCKETS)).cast("int")
+
+
+def append_batch(spark: SparkSession, path: str, tables: dict[str, DataFrame], batch: str | None = None) -> str:
+    """Write the tables as one batch; readers see all of it or nothing.
+
+    A caller that may come again with the same rows gives the ``batch`` a name: one that is listed already
+    is left as it is, and what a broken attempt has written under that name is replaced.
+    """
+    if batch is not None and not spark.read.schema(MANIFEST).parquet(f"{path}/manifest").where(F.col("batch") == batch).isEmpty():
+        return batch
+    batch = batch or uuid.uuid4().hex
     for name, df in tables.items():
-        bucket = F.pmod(F.xxhash64("book_id"), F.lit(BUCKETS)).cast("int")
+        bucket = bucket_of(F.col("book_id"))
         # Files of even size: rows of one bucket come together, a bucket that is too large is divided.
         rows = df.withColumn("bucket", bucket).hint("rebalance", F.col("bucket"))
-        rows.write.partitionBy("bucket").parquet(f"{path}/{name}/batch={batch}")
+        rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/{name}/batch={batch}")
     spark.range(1).select(F.lit(batch).alias("batch"), F.current_timestamp().alias("written_at")).coalesce(1).write.mode(
         "append"
     ).parquet(f"{path}/manifest")
     return batch
 
 
-def read_store(spark: SparkSession, path: str, name: str) -> DataFrame:
+def read_store(spark: SparkSession, path: str, name: str, book: str | None = None) -> DataFrame:
+    """The listed batches of a store; of one ``book``, from the folders of its bucket alone."""
     ddl = schema.STORES[name] + ", bucket int, batch string"
     committed = spark.read.schema(MANIFEST).parquet(f"{path}/manifest").select("batch")
+    rows = spark.read.schema(ddl).option("basePath", f"{path}/{name}").parquet(f"{path}/{name}")
+    if book is not None:
+        rows = rows.where((F.col("bucket") == bucket_of(F.lit(book))) & (F.col("book_id") == book))
     return (
-        spark.read.schema(ddl).option("basePath", f"{path}/{name}").parquet(f"{path}/{name}")
-        .join(committed, "batch", "left_semi").drop("batch", "bucket")
+        rows.join(committed, "batch", "left_semi").drop("batch", "bucket")
     )
 
 
 def write_library(
     spark: SparkSession, books: Books, docs: DataFrame, path: str, voice: str | None = None,
-    added_at: Column | None = None,
+    added_at: Column | None = None, batch: str | None = None,
 ) -> str:
-    """Add documents: the book row with its counts, the chapters and the sentences."""
-    rows = book_rows(docs, book_counts(books.chapters, books.sentences), voice, added_at)
+    """Add documents: the book row with its counts, the chapters and the sentences. A ``batch`` that is written
+    already is not written again."""
+    rows = book_rows(docs, book_counts(books.chapters, books.passages, F.col("n")), voice, added_at)
     owned = lambda df, name: df.withColumn("book_id", book_id("doc_id")).select(*_names(schema.STORES[name]))
     return append_batch(spark, path, {
         "sentences": owned(books.sentences, "sentences"), "chapters": owned(books.chapters, "chapters"),
         "books": rows.select(*_names(schema.BOOKS)),
-    })
+    }, batch)
 
 
 def reset(spark: SparkSession, path: str) -> None:

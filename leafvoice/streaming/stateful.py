@@ -54,28 +54,23 @@ class CoalesceUpdates(StatefulProcessor):
 
     def _fire(self, key, rows: list[tuple], upto: int) -> tuple[list[dict], list[tuple]]:
         """Write every wait that has ended by ``upto`` and return the rest."""
-        out = []
-        while rows:
-            end = rows[0][0] + self.delay_ms
-            closes = [r for r in rows if r[2] == "close" and r[0] < end]
-            if rows[0][2] == "close":
-                if rows[0][0] > upto:
+        out, begin = [], 0
+        while begin < len(rows):
+            if rows[begin][2] == "close":
+                if rows[begin][0] > upto:
                     break
-                rows = rows[1:]
+                begin += 1
                 continue
-            if closes:
-                at = rows.index(closes[0])
-                if closes[0][0] > upto:
-                    break
-                out.append(self._write(key, closes[0][0], rows[:at]))
-                rows = rows[at + 1:]
-                continue
-            if end > upto:
+            end, at = rows[begin][0] + self.delay_ms, begin + 1
+            while at < len(rows) and rows[at][0] < end and rows[at][2] != "close":
+                at += 1
+            closed = at < len(rows) and rows[at][0] < end
+            fired = rows[at][0] if closed else end
+            if fired > upto:
                 break
-            wait = [r for r in rows if r[0] < end]
-            out.append(self._write(key, end, wait))
-            rows = rows[len(wait):]
-        return out, rows
+            out.append(self._write(key, fired, rows[begin:at]))
+            begin = at + closed
+        return out, rows[begin:]
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         waiting = self._rows()
@@ -130,17 +125,18 @@ class WatchStalls(StatefulProcessor):
     def _settle(self, key, rows: list[tuple], watermark: int) -> list[dict]:
         """Judge the silence after every event the watermark has passed; keep the ones still open."""
         out, seen = [], bool(self.seen.exists() and self.seen.get()[0])
-        rows = sorted(rows, key=lambda r: r[:2])
-        while rows:
-            ms, _, kind = rows[0]
+        rows, at = sorted(rows, key=lambda r: r[:2]), 0
+        while at < len(rows):
+            ms, _, kind = rows[at]
             heard = seen or kind == "boundary"
             limit = self._limit(heard)
-            until = rows[1][0] if len(rows) > 1 and rows[1][0] <= watermark else None
+            until = rows[at + 1][0] if at + 1 < len(rows) and rows[at + 1][0] <= watermark else None
             if until is None and ms + limit >= watermark:
                 break
             if kind in ("play", "boundary") and (until is None or until - ms > limit):
                 out.append({"key": key[0], "stalled_from_ms": ms, "limit_ms": limit})
-            seen, rows = heard, rows[1:]
+            seen, at = heard, at + 1
+        rows = rows[at:]
         self.seen.update((seen,))
         for at in list(self.handle.listTimers()):
             self.handle.deleteTimer(at)

@@ -9,6 +9,7 @@ from leafvoice.sources import library as B, readers as R
 from tests import fixtures
 
 T0 = dt.datetime(2024, 1, 1)
+N_SENTENCES = 18  # of the harbour book
 
 
 def sentence_rows(rng, docs=12):
@@ -54,17 +55,21 @@ def test_library(spark, tmp):
     B.create_tables(spark, path)
     B.create_tables(spark, path)
     assert B.read_store(spark, path, "books").count() == 0
-    runs = spark.createDataFrame(fixtures.book_runs("b", fixtures.REAL_BOOK), schema.RUNS)
-    docs = R.resolve_title(spark.createDataFrame([("b", "long.pdf", "The Long Quiet", 5)], schema.DOCS))
+    runs = spark.createDataFrame(fixtures.book_runs("b", fixtures.HARBOUR_BOOK), schema.RUNS)
+    docs = R.resolve_title(spark.createDataFrame([("b", "salt.pdf", "Salt and Lanterns", 5)], schema.DOCS))
     books = N.build_chapters(runs)
-    B.write_library(spark, books, docs, path, "v1")
+    B.write_library(spark, books, docs, path, "v1", batch="one")
+    B.write_library(spark, books, docs, path, "v1", batch="one")
     spark.createDataFrame([("bk_x", "x")], "book_id string, doc_id string").write.parquet(f"{path}/chapters/batch=half/bucket=1")
-    row = B.read_store(spark, path, "books").first()
+    (row,) = B.read_store(spark, path, "books").collect()
+    one = B.read_store(spark, path, "sentences", row.book_id)
+    assert one.count() == N_SENTENCES and B.read_store(spark, path, "sentences", "bk_none").count() == 0
+    assert "bucket" in one._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: [")[1].split("]")[0]
     assert (row.title, row.chapter_count, row.sentence_count, row.detection_mode, row.voice) == (
-        "The Long Quiet", 5, 19, "heading", "v1")
+        "Salt and Lanterns", 5, N_SENTENCES, "heading", "v1")
     assert len(row.book_id) == 14 and B.read_store(spark, path, "chapters").count() == 5
     store = B.read_store(spark, path, "sentences")
-    assert B.get_content(store, B.get_book(B.read_store(spark, path, "books"), row.book_id)).count() == 19
+    assert B.get_content(store, B.get_book(B.read_store(spark, path, "books"), row.book_id)).count() == N_SENTENCES
     B.reset(spark, path)
     B.create_tables(spark, path)
     assert B.read_store(spark, path, "books").count() == 0
@@ -198,6 +203,16 @@ def test_quality(spark):
     ex = spark.createDataFrame([("ok", "d", ["un- certain", "alone Ok."], ["zzz"]), ("bad", "d", ["absent"], ["two  gaps"])],
                                "case_id string, doc_id string, must_contain array<string>, must_not_contain array<string>")
     assert {(r.case_id, r.passed, r.failures) for r in Q.integrity_checks(s, ex).collect()} == {("ok", True, 0), ("bad", False, 2)}
+    # Strings over many sentences, in parts of any width.
+    line = " ".join(texts)
+    cuts = [line[a:b] for a in range(0, len(line), 37) for b in (a + 1, a + 90, a + 500) if b <= len(line)]
+    ex = spark.createDataFrame([("all", "d", cuts + [line], [c + "#" for c in cuts]), ("not", "d", [" ".join(texts[::2])], [line]), ("no", "e", ["x"], ["y"]), ("null", "d", [None, "Ok."], [])],
+                               "case_id string, doc_id string, must_contain array<string>, must_not_contain array<string>")
+    for chars in (1, 7, 64, 65536):
+        assert {tuple(r) for r in Q.integrity_checks(s, ex, chars).collect()} == {("all", True, 0), ("not", False, 2), ("no", False, 1), ("null", True, 0)}
+    short = ex.where("case_id = 'null'").unionByName(spark.createDataFrame([("few", "d", ["alone Ok. y", "un- certain"], ["Ok. yx"])], ex.schema))
+    for chars in (1, 7, 64):
+        assert {tuple(r) for r in Q.integrity_checks(s, short, chars).collect()} == {("null", True, 0), ("few", True, 0)}
     runs = spark.createDataFrame([("d", 1, i * 2, f"run {i}", 11.0, 0.0, 0.0, 0.0) for i in range(10)], schema.RUNS)
     got = Q.runs_in_context(runs, "run 1").orderBy("match", "pos").collect()
     assert [(r.match, r.pos, r.is_match) for r in got] == [(1, p, p == 1) for p in range(0, 5)]

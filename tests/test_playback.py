@@ -176,7 +176,7 @@ def test_native_streams(spark, tmp):
 
 
 def test_incremental(spark, tmp):
-    one = spark.createDataFrame(fixtures.book_runs("b1", fixtures.REAL_BOOK), schema.RUNS)
+    one = spark.createDataFrame(fixtures.book_runs("b1", fixtures.HARBOUR_BOOK), schema.RUNS)
     one.coalesce(1).write.parquet(f"{tmp}/runs")
     seen = []
     src = spark.readStream.schema(schema.RUNS).parquet(f"{tmp}/runs")
