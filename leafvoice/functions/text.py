@@ -263,8 +263,12 @@ def collapse_whitespace(c) -> Column:
     return F.trim(F.regexp_replace(col(c), f" *[{BLANKS}&&[^ ]]{WS}*| {{2,}}{WS}*", " "))
 
 
-def clean_for_speech(c, repair: bool = True) -> Column:
-    t = repair_text(c) if repair else col(c)
+def clean_for_speech(c, repair: bool | Column = True) -> Column:
+    """``repair`` may be a condition per row, as the word list is English; where it is null, nothing is repaired."""
+    if isinstance(repair, Column):
+        t = F.when(repair, repair_text(c)).otherwise(col(c))
+    else:
+        t = repair_text(c) if repair else col(c)
     for step in (
         strip_code_fences, strip_latex, strip_box_drawing, strip_soft_hyphens,
         dehyphenate_newlines, collapse_whitespace,

@@ -45,21 +45,22 @@ def sentence_audit(sentences: DataFrame) -> DataFrame:
     )
 
 
-def _by_check(checked: DataFrame) -> DataFrame:
+def _by_check(checked: DataFrame, snippet: int = 60) -> DataFrame:
+    """One row per sentence and check that hits, with the sentence's beginning."""
     pairs = F.array(*[F.struct(F.lit(c).alias("check_name"), F.col(c).cast("bigint").alias("n")) for c in CHECKS])
-    return checked.select("doc_id", "global_idx", "text", F.inline(pairs)).where("n > 0")
+    return checked.select("doc_id", "global_idx", F.substring("text", 1, snippet).alias("example"), F.inline(pairs)).where("n > 0")
 
 
 def audit_examples(sentences: DataFrame, k: int = 4, snippet: int = 60) -> DataFrame:
     """The first ``k`` hits of every check. Each task keeps at most ``k`` per check before the exchange."""
-    return _first_hits(_by_check(checked_sentences(sentences)), k, snippet)
+    return _first_hits(_by_check(checked_sentences(sentences), snippet), k)
 
 
-def _first_hits(hits: DataFrame, k: int, snippet: int) -> DataFrame:
+def _first_hits(hits: DataFrame, k: int) -> DataFrame:
     first = Window.partitionBy("check_name").orderBy("doc_id", "global_idx")
     return (
         hits.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k)
-        .select("check_name", "rank", "doc_id", "global_idx", F.substring("text", 1, snippet).alias("example"))
+        .select("check_name", "rank", "doc_id", "global_idx", "example")
     )
 
 
@@ -69,7 +70,7 @@ def corpus_audit(sentences: DataFrame, k: int = 4) -> DataFrame:
     names = spark.createDataFrame([(i, c) for i, c in enumerate(CHECKS)], "ord int, check_name string")
     found = materialize(_by_check(checked_sentences(sentences)), "hits")
     hits = found.groupBy("check_name").agg(F.sum("n").alias("n"))
-    shown = _first_hits(found, k, 60).groupBy("check_name").agg(
+    shown = _first_hits(found, k).groupBy("check_name").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("rank", "example"))), lambda x: x["example"]).alias("examples")
     )
     return names.join(hits, "check_name", "left").join(shown, "check_name", "left").select(

@@ -24,10 +24,12 @@ class Books:
 
 
 def split_passages(
-    passages: DataFrame, splitter: str = "unicode", max_chars: int = fixed.MAX_SENTENCE_CHARS, repair: bool = True
+    passages: DataFrame, splitter: str = "unicode", max_chars: int = fixed.MAX_SENTENCE_CHARS,
+    repair: bool | Column = True,
 ) -> DataFrame:
     """Adds ``sentences``, an array; the text column goes. The repair of broken words is for English:
-    switch it off for other languages, where its word list hits ordinary words."""
+    switch it off for other languages, where its word list hits ordinary words, or give a condition on the
+    columns of ``passages``."""
     cleaned = passages.withColumn("cleaned", clean_for_speech("text", repair)).drop("text")
     return cleaned.withColumn(
         "sentences",

@@ -56,6 +56,13 @@ def test_repair_cases(spark):
         assert r.o == src
 
 
+def test_repair_per_row(spark):
+    rows = [("a scienti c voyage", "en"), ("le scienti c voyage", "fr"), ("the rst ferry", None)]
+    df = spark.createDataFrame(rows, "t string, lang string")
+    got = [r.o for r in df.select(T.clean_for_speech("t", F.col("lang") == "en").alias("o")).collect()]
+    assert got == ["a scientific voyage", "le scienti c voyage", "the rst ferry"]
+
+
 def test_clean(spark):
     cases = {
         "a ```code\nmore``` b": "a b",
