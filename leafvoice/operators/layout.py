@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from leafvoice.functions import fixed
 from leafvoice.functions.measures import run_end, size_bucket
 from leafvoice.functions.text import is_continuation, is_drop_cap, is_page_number, is_whitespace_gap, js_trim
-from leafvoice.plans.blocks import PAGES_PER_BLOCK, block_of, has_long_keys, materialize, row_index, with_halo
+from leafvoice.plans.blocks import PAGES_PER_BLOCK, block_of, materialize, row_index, with_halo
 
 PAGE = ["doc_id", "block", "page"]
 
@@ -221,21 +221,22 @@ def merge_drop_caps(paras: DataFrame) -> DataFrame:
         n.withColumn("gone", (F.col("kind") == "cap") & taken)
         .where("_own and (gone or takes is not null)")
         .select(
-            "doc_id", "block", "idx",
+            *PAGE, "idx",
             F.when(F.col("takes") == 1, F.col("l1")).when(F.col("takes") == 2, F.col("l2"))
             .when(F.col("takes") == 3, F.col("l3")).otherwise("").alias("cap"),
         )
+        .groupBy(*PAGE)
+        .agg(F.map_from_entries(F.collect_list(F.struct("idx", "cap"))).alias("caps"))
         .groupBy("doc_id", "block")
-        .agg(F.array_sort(F.collect_list(F.struct("idx", "cap"))).alias("caps"))
-        .select("doc_id", "block", F.transform("caps", lambda c: c["idx"]).alias("at"), F.transform("caps", lambda c: c["cap"]).alias("cap"))
+        .agg(F.map_from_entries(F.collect_list(F.struct("page", "caps"))).alias("pages"))
     )
+    # The text keeps its partitioning by block; a row looks up its page, then its place on it.
     return (
         paras.join(effect, ["doc_id", "block"], "left")
-        .withColumn("pos", F.coalesce(F.array_position("at", F.col("idx")), F.lit(0)).cast("int"))
-        .withColumn("cap", F.when(F.col("pos") > 0, F.get("cap", F.col("pos") - 1)))
+        .withColumn("cap", F.col("pages")[F.col("page")][F.col("idx")])
         .where("cap is null or cap != ''")
         .withColumn("text", F.when(F.col("cap").isNotNull(), F.concat("cap", text)).otherwise(F.col("text")))
-        .drop("at", "pos", "cap")
+        .drop("pages", "cap")
     )
 
 
@@ -281,12 +282,11 @@ def to_paragraphs(runs: DataFrame, tolerance: float = fixed.LINE_TOLERANCE, gap:
 
 
 def refine_paragraphs(raw: DataFrame) -> DataFrame:
-    long_keys = has_long_keys(raw, "page", PAGES_PER_BLOCK)
     raw = raw.repartition("doc_id", "block")
     order = ["page", "seq"]
-    numbered = row_index(raw, ["doc_id"], "block", order, "idx", long_keys)
+    numbered = row_index(raw, ["doc_id"], "block", order, "idx")
     # Counting headers reads the merged paragraphs several times, a few columns each.
     kept = drop_chrome(materialize(merge_drop_caps(numbered), "merged").repartition("doc_id", "block"))
-    return row_index(kept, ["doc_id"], "block", order, "para_idx", long_keys).select(
+    return row_index(kept, ["doc_id"], "block", order, "para_idx").select(
         "doc_id", "para_idx", "page", "text", "font_size"
     )

@@ -95,8 +95,12 @@ def skip_seconds(sentences: DataFrame, requests: DataFrame, spans: DataFrame | N
         F.max("end_char").alias("total"), F.max("global_idx").alias("last_idx"), F.max_by("len", "global_idx").alias("last_len")
     )
     moved = F.col("char_index") + round_half_up(F.col("delta") * float(fixed.CHARS_PER_SEC) * F.col("rate"))
-    here = spans.select("doc_id", "global_idx", "len", "start_char")
-    asked = requests.join(here, ["doc_id", "global_idx"]).join(ends, "doc_id").withColumn("pos", moved).withColumns({
+    # The book's end goes to its blocks of sentences first, so requests meet a sentence and never a whole book.
+    here = hand_out(
+        spans.select("doc_id", "global_idx", "len", "start_char", block_of("global_idx", ROWS_PER_BLOCK).alias("_block")),
+        ends, ["doc_id"], "_block",
+    ).drop("_block")
+    asked = requests.join(here, ["doc_id", "global_idx"]).withColumn("pos", moved).withColumns({
         "target": F.col("start_char") + F.col("pos"),
         "way": F.when(F.col("pos") < 0, -1).when(F.col("pos") > F.col("len"), 1).otherwise(0),
     })

@@ -385,9 +385,10 @@ SQL["flatten_outline"] = """
 SELECT CAST(page_id // 10 AS VARCHAR) AS doc_id, row_number() OVER (PARTITION BY page_id // 10 ORDER BY page_id) - 1 AS entry_idx, url AS title,
   CAST(page_id % 10 + 1 AS INTEGER) AS page FROM pages WHERE page_id % 7 <> 3"""
 SQL["write_library"] = with_("""
-SELECT 'bk_' || substr(sha256(c.doc_id), 1, 11) AS book_id, c.doc_id, 'book ' || c.doc_id AS title, chapter_count, coalesce(n, 0) AS sentence_count, detection_mode, 'v1' AS voice
-FROM (SELECT doc_id, count(*) AS chapter_count, any_value(detection_mode) AS detection_mode FROM solo_chapters GROUP BY doc_id) c
-LEFT JOIN (SELECT doc_id, count(*) AS n FROM solo_sentences GROUP BY doc_id) s ON s.doc_id = c.doc_id""")
+SELECT 'bk_' || substr(sha256(c.doc_id), 1, 11) AS book_id, c.doc_id, 'book ' || c.doc_id AS title, chapter_count, coalesce(n, 0) AS sentence_count, detection_mode, 'v1' AS voice,
+  chapter_count AS chapters_stored, title_chars AS chapters_chars, n AS sentences_stored, chars AS sentences_chars
+FROM (SELECT doc_id, count(*) AS chapter_count, sum(length(title))::BIGINT AS title_chars, any_value(detection_mode) AS detection_mode FROM solo_chapters GROUP BY doc_id) c
+LEFT JOIN (SELECT doc_id, count(*) AS n, sum(length(text))::BIGINT AS chars FROM solo_sentences GROUP BY doc_id) s ON s.doc_id = c.doc_id""")
 SQL["book_id"] = "SELECT doc_id, 'bk_' || substr(sha256(CAST(doc_id AS VARCHAR)), 1, 11) AS book_id FROM documents"
 SQL["list_books"] = with_("SELECT book_id, doc_id, title, chapter_count, sentence_count, added_at FROM shelf ORDER BY added_at DESC, doc_id")
 SQL["get_content"] = with_("""
@@ -447,7 +448,7 @@ FROM (SELECT *, para_idx * 7 + length(text) % 90 AS pos, regexp_extract_all(text
   list_reduce(list_transform(regexp_extract_all(text, '\\s*\\S+'), lambda t: {'z': length(t), 'o': []::BIGINT[]}),
     lambda a, t: {'z': a.z + t.z, 'o': list_append(a.o, a.z + t.z)}, {'z': 0::BIGINT, 'o': []::BIGINT[]}).o AS ends FROM lines)""")
 SQL["label_functions"] = """
-SELECT doc_id, CAST(abs(list_reduce(list_transform(string_split(left(text, 40), ''), lambda c: ord(c)::BIGINT),
+SELECT doc_id, CAST(abs(list_reduce(list_transform(string_split(text, ''), lambda c: ord(c)::BIGINT),
     lambda h, u: ((h * 31 + u + 2147483648) % 4294967296 + 4294967296) % 4294967296 - 2147483648, 0::BIGINT)) % 360 AS INTEGER) AS hue,
   coalesce(nullif(upper(left(trim(text), 1)), ''), '?') AS initial,
   CASE WHEN s >= 3600 THEN (s // 3600) || ':' || lpad(CAST(s % 3600 // 60 AS VARCHAR), 2, '0') ELSE CAST(s // 60 AS VARCHAR) END || ':' || lpad(CAST(s % 60 AS VARCHAR), 2, '0') AS time,
@@ -506,6 +507,10 @@ SELECT doc_id, row_number() OVER w - 1 AS chapter_idx, para_idx AS chapter_key,
   'heading' AS detection_mode FROM web WHERE font_size > 11 WINDOW w AS (PARTITION BY doc_id ORDER BY para_idx)""")
 SQL["build_chapters"] = with_("SELECT * FROM run_sentences")
 SQL["build_web_chapters"] = with_("SELECT * FROM book_sentences")
+SQL["book_content"] = with_("""
+SELECT c.doc_id, c.chapter_idx, c.chapter_id, c.title, c.start_page, c.detection_mode, count(s.text) AS sentences,
+  coalesce(string_agg(s.text, chr(10) ORDER BY s.sentence_idx), '') AS text
+FROM book_chapters c LEFT JOIN book_sentences s ON s.doc_id = c.doc_id AND s.chapter_idx = c.chapter_idx GROUP BY ALL""")
 SQL["build_chapters_unicode"] = with_("SELECT * FROM unibook_sentences")
 SQL["narration_chapters"] = with_("""
 SELECT c.doc_id, c.chapter_idx, c.chapter_id, c.title, c.start_page, c.detection_mode, count(s.text) AS sentence_count,
@@ -553,7 +558,8 @@ SQL["chapter_seconds"] = with_("SELECT doc_id, chapter_idx, round(s, 6) AS est_s
 SQL["book_duration"] = with_("SELECT doc_id, round(sum(s), 6) AS est_seconds FROM chapter_sec GROUP BY doc_id")
 SQL["books_with_progress"] = with_("SELECT s.book_id, title, chapter_id, sentence_idx, offset_sec, char_index FROM shelf s LEFT JOIN last_saved l ON l.book_id = s.book_id")
 SQL["books_with_content"] = with_("""
-SELECT book_id, n AS later_sentences FROM shelf LEFT JOIN (SELECT doc_id, count(*) AS n FROM spoken WHERE chapter_idx > 0 GROUP BY doc_id) USING (doc_id)""")
+SELECT book_id, n AS sentences, later AS later_sentences FROM shelf
+LEFT JOIN (SELECT doc_id, count(*) AS n, count(*) FILTER (chapter_idx > 0) AS later FROM spoken GROUP BY doc_id) USING (doc_id)""")
 SQL["place_progress"] = with_("""
 SELECT event_id, book_id, coalesce(global_idx, 0) AS global_idx FROM saved LEFT JOIN (SELECT doc_id, chapter_id, sentence_idx, global_idx FROM spoken) USING (doc_id, chapter_id, sentence_idx)""")
 CTE["overview"] = """
@@ -626,7 +632,7 @@ SQL["chapter_position"] = with_("""
 SELECT doc_id, chapter_idx, sentence_idx, round(c + p, 6) AS chapter_pos_sec, round(b + p, 6) AS book_pos_sec FROM (
   SELECT *, round(length(text) / 28::DOUBLE, 6) AS p, coalesce(sum(sec) OVER (PARTITION BY doc_id, chapter_idx ORDER BY global_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c,
     coalesce(sum(sec) OVER (PARTITION BY doc_id ORDER BY global_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b
-  FROM (SELECT *, greatest(0.4, length(text) / 14::DOUBLE) AS sec FROM spoken)) WHERE length(text) > 60""")
+  FROM (SELECT *, greatest(0.4, length(text) / 14::DOUBLE) AS sec FROM spoken))""")
 CTE["begins"] = "SELECT doc_id, chapter_idx, min(global_idx) AS g FROM spoken GROUP BY ALL"
 SQL["neighbour_targets"] = with_("""
 SELECT s.doc_id, s.chapter_idx, s.sentence_idx, s.global_idx, greatest(0, s.global_idx - 1) AS prev_sentence,
@@ -727,4 +733,8 @@ SQL["sessionize_playback"] = with_("""
 SELECT session_id, count(*) FILTER (kind = 'play') AS plays, round(sum(CASE WHEN was_on THEN ms - pms ELSE 0 END) / 1000::DOUBLE, 6) AS listened_sec, max(position) AS furthest FROM playing GROUP BY session_id""")
 CTE["arrived"] = "SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY para_idx) - 1 AS para_idx, page, text, font_size FROM chromeless"
 sections("arr", "arrived", None, 3000)
-SQL["incremental_chapters"] = with_("SELECT doc_id, chapter_idx, title, start_page, detection_mode FROM arr_chapters")
+joined("arr", "arrived", "arr_members")
+sentence_rows("arr")
+SQL["incremental_chapters"] = with_("""
+SELECT c.doc_id, c.chapter_idx, c.title, c.start_page, c.detection_mode, count(s.text) AS sentences, coalesce(sum(length(s.text)), 0)::BIGINT AS chars
+FROM arr_chapters c LEFT JOIN arr_sentences s ON s.doc_id = c.doc_id AND s.chapter_idx = c.chapter_idx GROUP BY ALL""")

@@ -127,7 +127,12 @@ def write_library(spark, sf):
     )
     B.write_library(spark, built, docs, path, "v1", batch="first")
     B.write_library(spark, built, docs, path, "v1", batch="first")  # a replay adds nothing
-    return B.read_store(spark, path, "books").select("book_id", "doc_id", "title", "chapter_count", "sentence_count", "detection_mode", "voice")
+    stored = lambda name, key: B.read_store(spark, path, name).groupBy("book_id").agg(
+        F.count("*").alias(f"{name}_stored"), F.sum(F.length(key)).alias(f"{name}_chars"))
+    return (
+        B.read_store(spark, path, "books").select("book_id", "doc_id", "title", "chapter_count", "sentence_count", "detection_mode", "voice")
+        .join(stored("chapters", "title"), "book_id", "left").join(stored("sentences", "text"), "book_id", "left")
+    )
 
 
 @query
@@ -283,7 +288,7 @@ def word_functions(spark, sf):
 @query
 def label_functions(spark, sf):
     return table(spark, sf, "documents").select(
-        "doc_id", T.title_hash_bucket(F.substring("text", 1, 40)).alias("hue"), T.title_initial("text").alias("initial"),
+        "doc_id", T.title_hash_bucket("text").alias("hue"), T.title_initial("text").alias("initial"),
         T.fmt_time(F.col("n_chars") / 3.0).alias("time"), T.fmt_mins(F.col("n_chars") / 7.0).alias("mins"),
         T.chapter_index_from_id(F.concat(F.lit("ch_"), F.col("n_chars") % 40)).alias("chapter"),
         T.voice_label(F.concat(F.lit("Google "), "source", F.lit(" - "), "lang")).alias("voice"),
@@ -428,6 +433,17 @@ def build_web_chapters(spark, sf):
     return X.books_from_paragraphs(p, _outline(p), splitter="simple").sentences
 
 
+@query
+def book_content(spark, sf):
+    """The same books as chapters with their sentences nested."""
+    p = page_lines(spark, sf)
+    nested = X.book_content(X.books_from_paragraphs(p, _outline(p), splitter="simple"))
+    return nested.groupBy("doc_id", "chapter_idx", "chapter_id", "title", "start_page", "detection_mode").agg(
+        F.sum(F.size("sentences")).alias("sentences"),
+        F.array_join(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("passage", "sentences"))), lambda x: x["sentences"])), "\n").alias("text"),
+    )
+
+
 @query
 def build_chapters_unicode(spark, sf):
     """The same with Unicode sentence boundaries, the default."""
@@ -529,11 +545,13 @@ def books_with_progress(spark, sf):
 
 @query
 def books_with_content(spark, sf):
-    n = spoken(spark, sf).where("chapter_idx > 0").groupBy("doc_id").agg(F.count("*").alias("later_sentences"))
-    content = n.select(B.book_id("doc_id").alias("book_id"), "later_sentences")
+    n = spoken(spark, sf).groupBy("doc_id").agg(
+        F.count("*").alias("sentences"), F.count_if(F.col("chapter_idx") > 0).alias("later_sentences"))
+    content = n.select(B.book_id("doc_id").alias("book_id"), "sentences", "later_sentences")
     b = books(spark, sf)
-    return C.books_with_content(b, content).select("book_id", "later_sentences").unionByName(
-        C.missing_content(b, content).select("book_id", F.lit(None).cast("bigint").alias("later_sentences"))
+    none = F.lit(None).cast("bigint")
+    return C.books_with_content(b, content).select("book_id", "sentences", "later_sentences").unionByName(
+        C.missing_content(b, content).select("book_id", none.alias("sentences"), none.alias("later_sentences"))
     )
 
 
@@ -636,7 +654,7 @@ def chapter_starts(spark, sf):
 @query
 def chapter_position(spark, sf):
     s = spoken(spark, sf)
-    at = s.where("length(text) > 60").select("doc_id", "chapter_idx", "sentence_idx", r6(F.length("text") / 28.0).alias("position_sec"))
+    at = s.select("doc_id", "chapter_idx", "sentence_idx", r6(F.length("text") / 28.0).alias("position_sec"))
     return G.chapter_position(G.sentence_starts(s), at).select(
         "doc_id", "chapter_idx", "sentence_idx", r6(F.col("chapter_pos_sec")).alias("chapter_pos_sec"),
         r6(F.col("book_pos_sec")).alias("book_pos_sec"),
@@ -822,15 +840,22 @@ def listening_sessions_stream(spark, sf):
 
 @query
 def incremental_chapters(spark, sf):
-    """Chapters of documents that arrive as a stream of runs."""
+    """Chapters and sentences of documents that arrive as a stream of runs, in two micro-batches."""
     root = f"{run_folder(spark)}/arrivals-{uuid4().hex}"
     A.paragraphs_as_runs(page_lines(spark, sf)).repartition("doc_id").write.parquet(f"{root}/runs")
 
     def sink(built: X.Books, n: int) -> None:
         built.chapters.write.mode("overwrite").parquet(f"{root}/chapters/batch={n}")
-
-    SQ.incremental_chapters(R.stream_runs(spark, f"{root}/runs"), sink, f"{root}/log", splitter="simple").awaitTermination()
-    return spark.read.parquet(f"{root}/chapters").select("doc_id", "chapter_idx", "title", "start_page", "detection_mode")
+        built.sentences.write.mode("overwrite").parquet(f"{root}/sentences/batch={n}")
+
+    files = -(-len(spark.read.parquet(f"{root}/runs").inputFiles()) // 2)  # two micro-batches
+    SQ.incremental_chapters(R.stream_runs(spark, f"{root}/runs", maxFilesPerTrigger=files), sink, f"{root}/log", splitter="simple").awaitTermination()
+    spoken_in = spark.read.parquet(f"{root}/sentences").groupBy("doc_id", "chapter_idx").agg(
+        F.count("*").alias("sentences"), F.sum(F.length("text")).alias("chars"))
+    return spark.read.parquet(f"{root}/chapters").join(spoken_in, ["doc_id", "chapter_idx"], "left").select(
+        "doc_id", "chapter_idx", "title", "start_page", "detection_mode", F.coalesce("sentences", F.lit(0)).alias("sentences"),
+        F.coalesce("chars", F.lit(0)).alias("chars"),
+    )
 
 
 ORACLES: dict[str, str] = {name: text for name, text in SQL.items() if name in QUERIES}
