@@ -1,13 +1,17 @@
 """Language-model scores with a probabilistic suffix tree over words.
 
-States are contexts of up to ``DEPTH`` words before a token. A context is a candidate if it is frequent enough; it is kept if
-its next-symbol distribution diverges from that of its parent, the context without its first word, or if a longer kept
-one needs it. Distributions are smoothed towards the parent's, and a token is scored in the state of the longest kept
-suffix.
-
-The tree's symbols are the frequent words, the end of a text, and one symbol for all other words. Those are told apart by
-their counts over the whole corpus; words that were never seen are one symbol among them, as in the base score, with the
-share that words seen once suggest.
+States are contexts of up to ``DEPTH`` words before a token. A context is a candidate if it occurs ``LEAST_COUNT`` times; it
+is kept if its next-word distribution diverges from that of its parent, the context without its first word, or if a
+longer kept one needs it. Distributions are smoothed towards the parent's, and a token is scored in the state of the
+longest kept suffix.
+
+Every word is a symbol of its own, and so is the end of a text. Words that were never seen are one symbol, with the share
+that words seen once suggest.
+
+Contexts and their next words are tables keyed by 64-bit fingerprints, and grow with the corpus. With W =
+``PARENT_WEIGHT`` a state c with n occurrences gives p(x | c) = (n(c, x) + W p(x | parent)) / (n + W). So a token's score
+is a sum: log p(x), and for each kept suffix c the log of W / (n + W), and for each (c, x) that was seen what the ratio of
+p(x | c) to p(x | parent) is above that. These summands are what the tables hold; a text's are found by one join.
 """
 
 from __future__ import annotations
@@ -19,35 +23,55 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafvoice.llm.buffers import lists, rows_of, text_slices, word_hashes
+from leafvoice.llm.buffers import lists, mix, rows_of, text_slices, word_hashes
 from leafvoice.llm.tables import Steps, fold_of, table
 
 DEPTH = 3
-#: A symbol of its own, and a candidate context, makes up this share of all tokens. So there are at most 2,500 symbols
-#: and 2,500 candidates of each length, whatever the corpus: 75 MB for all states.
-LEAST_SHARE = 4e-4
+#: Occurrences that make a context a candidate, in a corpus of any size.
+LEAST_COUNT = 32
 #: Bits by which the next symbol of a state must diverge from its parent's.
 LEAST_DIVERGENCE = 0.02
 #: Weight of the parent's distribution in a state's, as so many occurrences.
 PARENT_WEIGHT = 20.0
 #: Words of at least this share of all tokens are looked up where the text is: at most 1 / COMMON_SHARE of them (1 MB).
 COMMON_SHARE = 1.5e-5
+#: The same for contexts and for contexts with a next word, of each length (at most 8 MB each); all others by the join.
+COMMON_CONTEXT_SHARE = 2e-6
+#: Bits of the filter that says of most contexts that they are none of a table's. What passes it is decided by the table.
+FILTER_BITS = 1 << 26
+#: Large joins are made in so many parts, one after the other, so that their exchanges take less disk.
+PARTS = 4
 SLICE = 4 << 20
-_END, _REST = 0, 1
+_U = np.uint64
+#: As words: the end of a text (which stands before a text, too), and any word.
+_END, _ANY = (int(mix(np.array([x], _U)).view(np.int64)[0]) for x in (0x656E64, 0x616E79))
+
+
+def _step(h: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Spark's xxhash64 of one long."""
+    p1, p2, p3, p4, p5 = (_U(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    x = x * p2
+    h = (h + (p5 + _U(8))) ^ (((x << _U(31)) | (x >> _U(33))) * p1)
+    h = ((h << _U(27)) | (h >> _U(37))) * p1 + p4
+    h = (h ^ (h >> _U(33))) * p2
+    h = (h ^ (h >> _U(29))) * p3
+    return h ^ (h >> _U(32))
+
+
+def pair_hash(c: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """F.xxhash64(c, x): fingerprint of a context with its next word, which is the longer context's."""
+    return _step(_step(np.full(len(c), 42, _U), c), x)
 
 
 @dataclass
 class Vocabulary:
-    """Common words (sorted) with counts and symbols; totals over the corpus; ``rest``: tokens under the rest symbol."""
+    """Common words (sorted) with counts; totals over the corpus; ``unseen``: the share of words that were never seen."""
 
     words: np.ndarray
     counts: np.ndarray
-    symbols: np.ndarray
-    n_symbols: int
     tokens: int
     kinds: int
     ends: int
-    rest: int
     unseen: float
 
 
@@ -59,19 +83,18 @@ def lookup(sorted_: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return i, sorted_[i] == keys
 
 
-def symbols_of(v: Vocabulary, data: np.ndarray, offsets: np.ndarray):
-    """Symbols of each row's words and its end, rows' offsets, and for the words: place in the common words, whether common."""
+def symbols_of(data: np.ndarray, offsets: np.ndarray):
+    """Each row's words and its end, rows' offsets, the words alone, and the rows' first ones."""
     h, first = word_hashes(data, offsets, lower=True)
-    i, common = lookup(v.words, h)
     at = first + np.arange(len(first))
-    out = np.zeros(at[-1], np.int64)
+    out = np.full(at[-1], _END, np.int64).view(_U)
     word = np.ones(at[-1], bool)
     word[at[1:] - 1] = False
-    out[word] = np.where(common, v.symbols[i], _REST) if len(v.words) else _REST
-    return out, at, h, first, i, common
+    out[word] = h
+    return out, at, h, first
 
 
-def _shifted(s: np.ndarray, at: np.ndarray, fill: int) -> np.ndarray:
+def _shifted(s: np.ndarray, at: np.ndarray, fill) -> np.ndarray:
     """What stands one place before; ``fill`` at the rows' beginnings."""
     out = np.empty_like(s)
     out[1:] = s[:-1]
@@ -79,102 +102,143 @@ def _shifted(s: np.ndarray, at: np.ndarray, fill: int) -> np.ndarray:
     return out
 
 
-def context_ids(s: np.ndarray, at: np.ndarray, maps: list[np.ndarray], n: int) -> list[np.ndarray]:
-    """For each length 1, 2, ... the candidate that stands before each token, -1 if none. maps[k]: (candidate of length
-    k + 1, next symbol) -> candidate of length k + 2. Before a text stands an end."""
-    before = _shifted(s, at, _END)
-    out = [before]
-    for m in maps:
-        longer = _shifted(out[-1], at, -1)
-        key = longer * n + before
-        out.append(np.where(longer >= 0, m[key], -1))
-    return out
+def context_ids(s: np.ndarray, at: np.ndarray, depth: int):
+    """For each length 1, 2, ... the context that stands before each token, and whether there is one. Before a text stands
+    an end."""
+    before = _shifted(s, at, np.int64(_END).view(_U))
+    ids, there = before, np.ones(len(s), bool)
+    for k in range(depth):
+        if k:
+            ids, there = pair_hash(_shifted(ids, at, _U(0)), before), _shifted(there, at, False)
+        yield ids, there
 
 
-def _context_counts(shared, candidates: int):
-    """(candidate of the last length, next symbol) over all texts of a task."""
+def make_filter(contexts: DataFrame) -> np.ndarray:
+    """Bits of ``contexts`` (c); its size does not depend on the table's."""
+    place = F.col("c").bitwiseAND(FILTER_BITS - 1)
+    rows = contexts.select(F.shiftright(place, 6).alias("block"), F.expr("shiftleft(1L, cast(c & 63 as int))").alias("bit")) \
+        .groupBy("block").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(FILTER_BITS >> 6, np.int64)
+    out[np.asarray(rows.column(0))] = np.asarray(rows.column(1))
+    return out.view(_U)
+
+
+def passes(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    return (bits[(ids & _U(FILTER_BITS - 1)) >> _U(6)] >> (ids & _U(63))) & _U(1) > 0
+
+
+def _pair_counts(shared, length: int):
+    """(context, next, count) over a task's texts of the contexts that pass the filter, summed up as far as memory allows."""
     def run(batches):
-        v, maps = shared.value
-        total = np.zeros(candidates * v.n_symbols, np.int64)
-        for _, data, offsets in text_slices(batches, most=SLICE):
-            s, at, *_ = symbols_of(v, data, offsets)
-            ids = context_ids(s, at, maps, v.n_symbols)[-1]
-            ok = ids >= 0
-            total += np.bincount(ids[ok] * v.n_symbols + s[ok], minlength=len(total))
-        k = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(total[k])], names=["key", "n"])
-    return run
+        bits = shared.value
+        held, n = [], 0
 
+        def merged():
+            c, x, often = (np.concatenate([h[k] for h in held]) for k in range(3))
+            _, first, inv = np.unique(pair_hash(c, x), return_index=True, return_inverse=True)
+            # Equal contexts in a row take less room in the exchange.
+            order = np.argsort(c[first])
+            return c[first][order], x[first][order], np.bincount(inv, often, len(first)).astype(np.int64)[order]
 
-@dataclass
-class SuffixTree:
-    """maps lead from shorter to longer contexts; state[k]: of each candidate of length k + 1, -1 if not kept; logp: of each
-    symbol in each state, the root first."""
+        def out(rows):
+            return pa.RecordBatch.from_arrays([pa.array(rows[0].view(np.int64)), pa.array(rows[1].view(np.int64)), pa.array(rows[2])], names=["c", "x", "n"])
 
-    maps: list[np.ndarray]
-    state: list[np.ndarray]
-    logp: np.ndarray
+        for _, data, offsets in text_slices(batches, most=SLICE):
+            s, at, *_ = symbols_of(data, offsets)
+            *_, (ids, ok) = context_ids(s, at, length)
+            ok = ok & passes(bits, ids)
+            held.append((ids[ok], s[ok], np.ones(int(ok.sum()), np.int64)))
+            n += len(held[-1][0])
+            if n > 1_500_000:
+                held = [merged()]
+                n = len(held[0][0])
+                if n > 1_000_000:
+                    yield out(held[0])
+                    held, n = [], 0
+        if n:
+            yield out(merged())
+    return run
 
 
-def _smooth(counts: np.ndarray, parent: np.ndarray) -> np.ndarray:
-    return (counts + PARENT_WEIGHT * parent) / (counts.sum(-1, keepdims=True) + PARENT_WEIGHT)
+def _part(df: DataFrame, column: str, part: int, parts: int) -> DataFrame:
+    return df.where(F.pmod(F.col(column), F.lit(parts)) == part) if parts > 1 else df
 
 
-def _diverges(p: np.ndarray, q: np.ndarray) -> np.ndarray:
-    return (p * np.log2(p / q)).sum(-1) >= LEAST_DIVERGENCE
+def _union(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.union(t)
+    return out
 
 
-def grow(docs: DataFrame, v: Vocabulary) -> SuffixTree:
-    """One pass over all texts per length. Counts are summed up per task and by key; the driver gets at most candidates
-    times symbols of them."""
-    n, cut = v.n_symbols, max(1, int(LEAST_SHARE * v.tokens))
-    maps: list[np.ndarray] = []
-    counts, parents = [], []  # per length: candidates x symbols; the parent (next shorter candidate) of each
-    size = n
-    parents.append(np.zeros(n, np.int64))
+@dataclass
+class SuffixTree:
+    """``summands`` (key, value, n): of contexts with any word, and of contexts with a next word that was seen, per length;
+    ``filters`` of the kept contexts per length; keys (sorted) and values of the common ones."""
+
+    summands: list[DataFrame]
+    filters: list[np.ndarray]
+    keys: np.ndarray
+    values: np.ndarray
+
+
+def grow(docs: DataFrame, v: Vocabulary, counts: DataFrame, steps: Steps) -> SuffixTree:
+    """One pass over all texts per length. ``counts``: word, n of all of ``docs``."""
+    spark, w = docs.sparkSession, PARENT_WEIGHT
+    n_all = float(max(1, v.tokens))
+    end = spark.range(1 if v.ends else 0).select(F.lit(_END).alias("word"), F.lit(v.ends).cast("long").alias("n"))
+    words = counts.select("word", "n").union(end)
+    before = words.select(F.col("word").alias("up"), (F.col("n") * ((1 - v.unseen) / n_all)).alias("q"))
+    contexts = steps.keep(words.where(F.col("n") >= LEAST_COUNT).select(F.col("word").alias("c"), F.lit(None).cast("long").alias("parent"), F.col("n").alias("total")), "contexts")
+    parent_p = (F.col("p") * (F.col("total") + w) - F.col("n")) / w
+    levels = []
     for length in range(1, DEPTH + 1):
-        shared = docs.sparkSession.sparkContext.broadcast((v, list(maps)))
-        rows = docs.select("text").mapInArrow(_context_counts(shared, size), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
-        c = np.zeros(size * n, np.int64)
-        c[np.asarray(rows.column(0))] = np.asarray(rows.column(1))
-        counts.append(c.reshape(size, n))
-        if length == DEPTH:
-            break
-        # The context w1 w2 .. wk x is as frequent as x after w1 .. wk.
-        found = np.flatnonzero(c >= cut)
-        found = found[(found % n != _END)]
-        if not len(found):
+        bits = make_filter(contexts)
+        if not bits.any():
             break
-        longer = np.full(len(c), -1)
-        longer[found] = np.arange(len(found))
-        # Its parent leaves out w1: x after the parent of w1 .. wk.
-        shorter = parents[-1][found // n] * n + found % n if length > 1 else found % n
-        parents.append(maps[-1][shorter] if length > 1 else shorter)
-        maps.append(longer)
-        size = len(found)
-    root = (counts[0].sum(0) + 1.0) / (counts[0].sum() + n)
-    dists, keep = [], []
-    for k, c in enumerate(counts):
-        parent = root[None] if k == 0 else dists[-1][parents[k]]
-        p = _smooth(c, parent)
-        dists.append(p)
-        keep.append((c.sum(-1) >= cut) & _diverges(p, np.broadcast_to(parent, p.shape)))
-    for k in range(len(keep) - 1, 0, -1):
-        keep[k - 1][parents[k][keep[k]]] = True
-    state, at = [], 1
-    for k in keep:
-        state.append(np.where(k, at - 1 + np.cumsum(k), -1))
-        at += int(k.sum())
-    return SuffixTree(maps, state, np.log10(np.concatenate([root[None], *(d[k] for d, k in zip(dists, keep))])).astype(np.float32))
-
-
-def tree_scores(tree: SuffixTree, s: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
-    """log10 probability of each row's symbols, each in the state of the longest kept suffix."""
-    state = np.zeros(len(s), np.int64)
-    for ids, known in zip(context_ids(s, at, tree.maps, n), tree.state):
-        deeper = np.where(ids >= 0, known[ids], -1)
-        state = np.where(deeper >= 0, deeper, state)
-    return np.add.reduceat(tree.logp[state, s].astype(float), at[:-1]) if len(at) > 1 else np.zeros(0)
+        shared = spark.sparkContext.broadcast(bits)
+        counted = steps.keep(docs.select("text").mapInArrow(_pair_counts(shared, length), "c long, x long, n long").groupBy("c", "x").agg(F.sum("n").alias("n")), "counted")
+        shared.destroy()
+        up = F.col("x") if length == 1 else F.xxhash64("parent", "x")
+        longer = F.when((F.col("n") >= LEAST_COUNT) & (F.col("x") != _END), up)
+        p = (F.col("n") + w * F.col("q")) / (F.col("total") + w)
+        parts, pairs = PARTS if length == 1 else 1, []
+        for part in range(parts):
+            known = _part(counted, "x", part, parts).join(contexts, "c").select("c", F.xxhash64("c", "x").alias("key"), longer.alias("longer"), "n", "total", up.alias("up"))
+            # What follows a context has followed its parent, too.
+            q = _part(before, "up", part, parts)
+            pairs.append(steps.keep(known.join(q, "up").select("c", "key", F.col("longer").alias("up"), "n", "total", p.alias("p")), "pairs"))
+        steps.free(counted)
+        one = _union(pairs)
+        # Next words that were not seen have w / (total + w) of what the parent gives them.
+        share = w / (F.max("total") + w)
+        ratio = F.sum(F.col("p") * F.log2(F.col("p") / parent_p)) + share * F.greatest(1 - F.sum(parent_p), F.lit(0.0)) * F.log2(share)
+        judged = one.groupBy("c").agg((ratio >= LEAST_DIVERGENCE).alias("kept"), F.max("total").alias("total"))
+        judged = steps.keep(judged.join(contexts.select("c", "parent"), "c"), "judged")
+        levels.append((pairs, judged))
+        before = one.select(F.col("key").alias("up"), F.col("p").alias("q"))
+        # w1 .. wk x is as frequent as x after w1 .. wk; its parent leaves out w1.
+        contexts = steps.keep(one.where("up is not null").select(F.col("key").alias("c"), F.col("up").alias("parent"), F.col("n").alias("total")), "contexts")
+    summands, filters, needed = [], [], None
+    for pairs, judged in reversed(levels):
+        kept = judged.where("kept")
+        if needed is not None:
+            kept = judged.join(needed.withColumn("needed", F.lit(True)), "c", "left").where("kept or needed")
+        kept = steps.keep(kept.select("c", "parent", "total"), "kept")
+        needed = kept.select(F.col("parent").alias("c")).where("c is not null").distinct()
+        filters.append(make_filter(kept))
+        alone = F.log10(w / (F.col("total") + w))
+        summands.append(steps.keep(kept.select(F.xxhash64("c", F.lit(_ANY)).alias("key"), alone.alias("value"), F.col("total").alias("n")), "summands"))
+        for one in pairs:
+            seen = one.join(kept.select("c"), "c", "left_semi").select("key", (F.log10(F.col("p") / parent_p) - alone).alias("value"), "n")
+            summands.append(steps.keep(seen, "summands"))
+            steps.free(one)
+        steps.free(judged)
+    common = [d.where(F.col("n") >= max(1.0, COMMON_CONTEXT_SHARE * v.tokens)).select("key", "value").toArrow() for d in summands]
+    keys = np.concatenate([np.zeros(0, np.int64), *(np.asarray(c.column(0)) for c in common)]).view(_U)
+    values = np.concatenate([np.zeros(0), *(np.asarray(c.column(1)) for c in common)])
+    order = np.argsort(keys)
+    return SuffixTree(summands, filters[::-1], keys[order], values[order])
 
 
 def _word_counts(batches):
@@ -202,25 +266,43 @@ def _word_counts(batches):
 
 
 def _scored(shared):
-    """Per document: tokens; of common words: how many, sum of log10(c + 1), and of log10 c under the rest symbol with
-    their number; the tree's score; all other words."""
+    """Per document: tokens; of common words: how many, sum of log10(c + 1) and of log10 c; the common summands of the tree;
+    and how often each other word and each other context occurs, alone and with its next word."""
     def run(batches):
-        v, tree = shared.value
+        v, filters, tree_keys, tree_values = shared.value
         logs, plain = np.log10(v.counts + 1.0), np.log10(np.maximum(v.counts, 1))
         for batch, data, offsets in text_slices(batches, most=SLICE):
-            s, at, h, first, i, common = symbols_of(v, data, offsets)
-            own, n = rows_of(first), len(first) - 1
-            sums = lambda mask, values: np.bincount(own[mask], values[i[mask]], n).astype(float) if mask.any() else np.zeros(n)
-            apart = common & (v.symbols[i] == _REST) if len(v.words) else common
+            s, at, h, first = symbols_of(data, offsets)
+            own, row, n = rows_of(first), rows_of(at), len(first) - 1
+            i, common = lookup(v.words, h)
+            sums = lambda values: np.bincount(own[common], values[i[common]], n).astype(float) if common.any() else np.zeros(n)
+            tree = np.zeros(n)
+            rows, keys = [own[~common]], [h[~common]]
+            for bits, (ids, ok) in zip(filters, context_ids(s, at, len(filters))):
+                at_ = np.flatnonzero(ok & passes(bits, ids))
+                c = ids[at_]
+                for x in (s[at_], np.full(len(c), _ANY, np.int64).view(_U)):
+                    key = pair_hash(c, x)
+                    j, there = lookup(tree_keys, key)
+                    if there.any():
+                        tree += np.bincount(row[at_[there]], tree_values[j[there]], n)
+                    rows.append(row[at_[~there]])
+                    keys.append(key[~there])
+            rows, keys = np.concatenate(rows), np.concatenate(keys)
+            order = np.lexsort((keys, rows))
+            rows, keys = rows[order], keys[order]
+            new = np.ones(len(keys), bool)
+            new[1:] = (rows[1:] != rows[:-1]) | (keys[1:] != keys[:-1])
+            start = np.flatnonzero(new)
+            begin = np.searchsorted(rows[start], np.arange(n + 1))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int64()), pa.array(np.diff(at)), pa.array(np.bincount(own[common], minlength=n)), pa.array(sums(common, logs)),
-                 pa.array(np.bincount(own[apart], minlength=n)), pa.array(sums(apart, plain)), pa.array(tree_scores(tree, s, at, v.n_symbols)),
-                 lists(pa.array(h[~common].view(np.int64)), np.searchsorted(own[~common], np.arange(n + 1)))],
-                names=["doc_id", "n_tokens", "n_common", "base", "n_apart", "apart", "tree", "rest"])
+                [batch.column(0).cast(pa.int64()), pa.array(np.diff(at)), pa.array(np.bincount(own[common], minlength=n)), pa.array(sums(logs)), pa.array(sums(plain)),
+                 pa.array(tree), lists(pa.array(keys[start].view(np.int64)), begin), lists(pa.array(np.diff(np.append(start, len(keys))).astype(np.int32)), begin)],
+                names=["doc_id", "n_tokens", "n_common", "base", "plain", "tree", "keys", "often"])
     return run
 
 
-_SCORED = "doc_id long, n_tokens long, n_common long, base double, n_apart long, apart double, tree double, rest array<long>"
+_SCORED = "doc_id long, n_tokens long, n_common long, base double, plain double, tree double, keys array<long>, often array<int>"
 
 
 def learn_vocabulary(docs: DataFrame, counts: DataFrame) -> Vocabulary:
@@ -229,13 +311,9 @@ def learn_vocabulary(docs: DataFrame, counts: DataFrame) -> Vocabulary:
     t = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.count_if(F.col("n") == 1).alias("once")).first()
     tokens = t["n"] + ends
     top = counts.where(F.col("n") >= max(1.0, COMMON_SHARE * tokens)).toArrow()
-    words, often = np.asarray(top.column(0)).view(np.uint64), np.asarray(top.column(1))
+    words, often = np.asarray(top.column(0)).view(_U), np.asarray(top.column(1))
     order = np.argsort(words)
-    words, often = words[order], often[order]
-    own = often >= max(1.0, LEAST_SHARE * tokens)
-    symbols = np.where(own, _REST + np.cumsum(own), _REST)
-    rest = int(t["n"] - often[own].sum())
-    return Vocabulary(words, often, symbols, 2 + int(own.sum()), tokens, t["v"] + (ends > 0), ends, rest, float(np.clip(t["once"] / max(1, rest), 1e-6, 0.5)))
+    return Vocabulary(words[order], often[order], tokens, t["v"] + (ends > 0), ends, float(np.clip(t["once"] / max(1, tokens), 1e-6, 0.5)))
 
 
 def score_documents(docs: DataFrame, learn_from: DataFrame) -> DataFrame:
@@ -243,27 +321,35 @@ def score_documents(docs: DataFrame, learn_from: DataFrame) -> DataFrame:
     rows of ``learn_from`` (text).
 
     Null and empty texts are the end alone. ``base_score`` is the add-one unigram score over words and end. Counts of all
-    words come from one aggregation; common words are looked up in a list of bounded size, all others by a join. A
-    repeated row is scored like the first; nothing to learn from makes all symbols equally likely.
+    words come from one aggregation; common words and contexts are looked up in lists of bounded size, all others by a
+    join. A repeated row is scored like the first; nothing to learn from makes all symbols equally likely.
     """
     spark = docs.sparkSession
     steps = Steps(spark, "suffixtree")
     counts = steps.keep(learn_from.select("text").mapInArrow(_word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
     v = learn_vocabulary(learn_from, counts)
-    shared = spark.sparkContext.broadcast((v, grow(learn_from, v)))
+    tree = grow(learn_from, v, counts, steps)
+    shared = spark.sparkContext.broadcast((v, tree.filters, tree.keys, tree.values))
     scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scored(shared), _SCORED)
     scored = steps.keep(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
-    words = scored.select("row", F.explode("rest").alias("word")).join(counts, "word")
-    found = words.groupBy("row").agg(F.sum(F.log10(F.col("n") + 1.0)).alias("more"), F.sum(F.log10("n")).alias("plain"), F.count("*").alias("found"))
+    weights = counts.select(F.col("word").alias("key"), F.log10(F.col("n") + 1.0).alias("more"), F.log10("n").alias("value"), F.lit(1).alias("word"))
+    for d in tree.summands:
+        weights = weights.union(d.select("key", F.lit(0.0).alias("more"), "value", F.lit(0).alias("word")))
+    asked = scored.select("row", F.inline(F.arrays_zip("keys", "often"))).withColumnRenamed("keys", "key")
+    times = lambda c: F.sum(F.col("often") * F.col(c)).alias(c)
+    found = [steps.keep(_part(asked, "key", part, PARTS).join(_part(weights, "key", part, PARTS), "key").groupBy("row").agg(times("more"), times("value"), times("word")), "found")
+             for part in range(PARTS)]
+    found = _union(found).groupBy("row").agg(*(F.sum(c).alias(c) for c in ("more", "value", "word")))
+    steps.free(*tree.summands)
     log = lambda x: float(np.log10(x)) if x > 0 else 0.0
     number = lambda c: F.coalesce(F.col(c), F.lit(0))
-    known = F.col("n_common") + number("found")
-    seen_rest = F.col("n_apart") + number("found")
-    rest = F.col("apart") + number("plain") + seen_rest * log((1 - v.unseen) / max(1, v.rest)) + (F.col("n_tokens") - 1 - known) * log(v.unseen)
-    return scored.drop("rest").join(found, "row", "left").select(
-        "doc_id", "n_tokens", (known + int(v.ends > 0)).cast("long").alias("n_known"), F.lit(v.tokens).cast("long").alias("train_tokens"),
+    # The end counts as a word here.
+    known = F.col("n_common") + number("word") + int(v.ends > 0)
+    score = F.col("plain") + log(v.ends) + F.col("tree") + number("value") + known * log((1 - v.unseen) / max(1, v.tokens)) + (F.col("n_tokens") - known) * log(v.unseen)
+    return scored.drop("keys", "often").join(found, "row", "left").select(
+        "doc_id", "n_tokens", known.cast("long").alias("n_known"), F.lit(v.tokens).cast("long").alias("train_tokens"),
         (F.col("base") + number("more") + log(v.ends + 1.0) - F.col("n_tokens") * log(v.tokens + v.kinds + 1.0)).alias("base_score"),
-        (F.col("tree") + rest).alias("score"))
+        score.alias("score"))
 
 
 def op10_suffix_tree_scores(spark, sf_dir):
