@@ -26,7 +26,7 @@ def shingles(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndar
     h, first = word_hashes(data, offsets, lower=True)
     n = len(h)
     whole = h * _U(3)
-    for k in range(1, width):
+    for k in range(1, min(width, n)):
         whole[: n - k] = mix(whole[: n - k]) + h[k:] * _U(2 * k + 3)
     whole = mix(whole)
     out, at = [], np.zeros(len(first), np.int64)
