@@ -72,9 +72,11 @@ class WordEncoder(dict):
     def __missing__(self, piece: str) -> bytes:
         out = self.old.get(piece)
         if out is None:
-            if _PLAIN.fullmatch(piece):
-                out = self._plain(piece)
-            elif (m := _PLAIN_AND_MARKS.fullmatch(piece)) and m[2].isascii():
+            # The tokenizer finds its added tokens before it lower-cases, so only letters are lower-cased here.
+            low = piece.lower() if piece.isascii() else piece
+            if _PLAIN.fullmatch(low):
+                out = self._plain(low)
+            elif (m := _PLAIN_AND_MARKS.fullmatch(low)) and m[2].isascii():
                 out = self[m[1]] + self[m[2]]
             else:
                 out = array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
@@ -85,7 +87,7 @@ class WordEncoder(dict):
         return out
 
     def encode(self, text: str) -> bytes:
-        return b"".join([self[p] for p in (text.lower() if text.isascii() else text).replace("\n", " ").split(" ")])
+        return b"".join([self[p] for p in text.replace("\n", " ").split(" ")])
 
 
 def train_dictionary(samples: list[bytes]) -> bytes:
