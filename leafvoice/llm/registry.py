@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from leafvoice.llm import chat, decontaminate, fmindex, minhash, mixing, quality, rules, suffixarray, suffixtree, tokens
+from leafvoice.llm import alignment, chat, decontaminate, fmindex, minhash, mixing, quality, ranking, ring, rules, suffixarray, suffixtree, tokens
 
 QUERIES = {
     "op1_pu_quality": quality.op1_pu_quality,
@@ -15,5 +15,8 @@ QUERIES = {
     "op8_benchmark_decontamination": decontaminate.op8_benchmark_decontamination,
     "op9_fm_index_dedup": fmindex.op9_fm_index_dedup,
     "op10_suffix_tree_scores": suffixtree.op10_suffix_tree_scores,
+    "op11_token_alignment": alignment.op11_token_alignment,
+    "op12_ring_shards": ring.op12_ring_shards,
+    "op13_hybrid_search": ranking.op13_hybrid_search,
 }
-ORACLES = {"op6_chat_formatting": chat.OP6_SQL}
+ORACLES = {"op6_chat_formatting": chat.OP6_SQL, "op13_hybrid_search": ranking.OP13_SQL}
