@@ -16,6 +16,8 @@ from leafvoice.plans.anchored import anchored_marks
 from leafvoice.plans.blocks import previous, running
 
 ROWS_PER_SLICE = 8192
+#: A key that is silent for longer starts anew.
+IDLE_MS = 6 * 3600 * 1000
 
 
 def millis(ts: str) -> Column:
@@ -78,28 +80,45 @@ def coalesce_updates(
     )
 
 
-def monotonic_position(boundaries: DataFrame, keys: list[str], slice_ms: int | None = None) -> DataFrame:
-    """Adds ``position``: the furthest ``reported`` offset so far in the utterance."""
+def _after_silence(rows: DataFrame, keys: list[str], idle_ms: int | None, long: bool) -> DataFrame:
+    """Adds ``fresh``: 1 at a row that comes more than ``idle_ms`` after the one before it, else 0."""
+    if idle_ms is None:
+        return rows.withColumn("fresh", F.lit(0))
+    rows = previous(rows, keys, "block", ["ms", "event_id"], ["ms"], "before", long)
+    return rows.withColumn("fresh", F.coalesce((F.col("ms") - F.col("before.ms") > idle_ms).cast("int"), F.lit(0))).drop("before")
+
+
+def monotonic_position(boundaries: DataFrame, keys: list[str], slice_ms: int | None = None, idle_ms: int | None = None) -> DataFrame:
+    """Adds ``position``: the furthest ``reported`` offset so far in the utterance. With ``idle_ms`` an utterance ends with a
+    longer silence, as in the stream."""
     rows, long = _sliced(boundaries, keys, "ts", slice_ms)
-    return running(rows, keys, "block", ["ms", "event_id"], {"position": ("max", F.col("reported"))}, long).drop("block", "ms")
+    rows, own = _after_silence(rows, keys, idle_ms, long), keys
+    if idle_ms is not None:
+        rows, own = running(rows, keys, "block", ["ms", "event_id"], {"_spell": ("sum", F.col("fresh"))}, long), [*keys, "_spell"]
+    return running(rows, own, "block", ["ms", "event_id"], {"position": ("max", F.col("reported"))}, long).drop("block", "ms", "fresh", "_spell")
 
 
 def interpolate_position(
     events: DataFrame, keys: list[str], chars_per_sec: int = fixed.CHARS_PER_SEC,
-    drift: int = fixed.MAX_DRIFT_CHARS, slice_ms: int | None = None,
+    drift: int = fixed.MAX_DRIFT_CHARS, slice_ms: int | None = None, idle_ms: int | None = None,
 ) -> DataFrame:
     """Position at every ``tick`` of an utterance.
 
     ``events`` is (keys, event_id, ts, kind, char, rate, text_len) with kinds ``start`` (``char`` is
     where speaking began), ``boundary`` (``char`` is where the engine says it is) and ``tick``. Each start begins
     an utterance of its own; what comes before the first start is left out. The estimate runs on from the last start or boundary, at most ``drift`` characters past a boundary, never
-    past the text, and never goes back.
+    past the text, and never goes back. With ``idle_ms`` a longer silence ends the utterance: ticks after it wait for the
+    next start. Starts and boundaries without ``char`` are left out.
     """
-    rows, long = _sliced(events, keys, "ts", slice_ms)
+    rows, long = _sliced(events.where("kind = 'tick' or char is not null"), keys, "ts", slice_ms)
     order = ["ms", "event_id"]
-    known = F.col("kind") != "tick"
-    rows = running(rows, keys, "block", order, {"utterance": ("sum", F.when(F.col("kind") == "start", 1))}, long).where("utterance > 0")
+    known, start = F.col("kind") != "tick", F.col("kind") == "start"
+    rows = _after_silence(rows, keys, idle_ms, long)
+    rows = running(rows, keys, "block", order, {"utterance": ("sum", F.when(start | (F.col("fresh") == 1), 1))}, long).where("utterance > 0")
     own = [*keys, "utterance"]
+    if idle_ms is not None:
+        # Only a start opens an utterance.
+        rows = running(rows, own, "block", order, {"opened": ("max", F.when(start, 1))}, long).where("opened = 1")
     rows = running(rows, own, "block", order, {
         "anchor": ("max", F.when(known, F.struct("ms", "event_id", F.col("char").cast("double").alias("char")))),
         "seen": ("max", F.when(F.col("kind") == "boundary", 1)),
@@ -145,3 +164,22 @@ def sessionize_playback(events: DataFrame, keys: list[str], slice_ms: int | None
         (F.sum(F.when(F.col("before.playing"), F.col("ms") - F.col("before.ms")).otherwise(0)) / 1000).alias("listened_sec"),
         F.max("position").alias("furthest"),
     )
+
+
+def playback_sessions(events: DataFrame, keys: list[str], gap_ms: int = IDLE_MS, slice_ms: int | None = None) -> DataFrame:
+    """Sessions of a key: they end with a silence of more than ``gap_ms``, which also stops the clock. Keys, ``started_ms``,
+    ``ended_ms``, ``events``, ``plays``, ``listened_sec`` and ``furthest``; ``events`` as for :func:`sessionize_playback`."""
+    rows, long = _sliced(events.where("ts is not null"), keys, "ts", slice_ms)
+    order, own = ["ms", "event_id"], [*keys, "session"]
+    rows = _after_silence(rows, keys, gap_ms, long)
+    rows = running(rows, keys, "block", order, {"session": ("sum", F.col("fresh"))}, long)
+    switch = F.when(F.col("kind").isin("play", "pause"), F.struct("ms", "event_id", (F.col("kind") == "play").alias("on")))
+    rows = running(rows, own, "block", order, {"state": ("max", switch)}, long)
+    rows = rows.withColumn("playing", F.coalesce("state.on", F.lit(False)))
+    rows = previous(rows, own, "block", order, ["ms", "playing"], "before", long)
+    return rows.groupBy(*own).agg(
+        F.min("ms").alias("started_ms"), F.max("ms").alias("ended_ms"), F.count("*").alias("events"),
+        F.count_if(F.col("kind") == "play").alias("plays"),
+        (F.sum(F.when(F.col("before.playing"), F.col("ms") - F.col("before.ms")).otherwise(0)) / 1000).alias("listened_sec"),
+        F.max("position").alias("furthest"),
+    ).drop("session")

@@ -708,6 +708,27 @@ SQL["interpolate_position"] = with_("""
 SELECT event_id, position FROM (SELECT event_id, kind, max(p) OVER (PARTITION BY session_id, utterance ORDER BY ms, event_id ROWS UNBOUNDED PRECEDING) AS position FROM (
   SELECT *, CASE WHEN kind <> 'tick' THEN c ELSE CAST(floor(least(a + (ms - since) / 1000::DOUBLE * 14 * 0.001::DOUBLE, CASE WHEN seen THEN a + 90 ELSE 300 END, 300) + 0.5) AS BIGINT) END AS p
   FROM speech_anchor)) WHERE kind = 'tick'""")
+CTE["late_utterances"] = """
+  SELECT *, count(*) FILTER (kind = 'start' OR silent) OVER (PARTITION BY session_id ORDER BY ms, event_id ROWS UNBOUNDED PRECEDING) AS utterance
+  FROM (SELECT *, coalesce(ms - lag(ms) OVER (PARTITION BY session_id ORDER BY ms, event_id) > 21600000, false) AS silent FROM speech)"""
+CTE["late_anchor"] = """
+  SELECT *, last_value(c IGNORE NULLS) OVER w AS a, last_value(CASE WHEN c IS NOT NULL THEN ms END IGNORE NULLS) OVER w AS since, bool_or(kind = 'boundary') OVER w AS seen
+  FROM (SELECT * FROM late_utterances QUALIFY first_value(kind) OVER (PARTITION BY session_id, utterance ORDER BY ms, event_id) = 'start')
+  WINDOW w AS (PARTITION BY session_id, utterance ORDER BY ms, event_id ROWS UNBOUNDED PRECEDING)"""
+SQL["interpolate_position_late"] = SQL["interpolate_position_stream"] = with_("""
+SELECT event_id, position FROM (SELECT event_id, kind, max(p) OVER (PARTITION BY session_id, utterance ORDER BY ms, event_id ROWS UNBOUNDED PRECEDING) AS position FROM (
+  SELECT *, CASE WHEN kind <> 'tick' THEN c ELSE CAST(floor(least(a + (ms - since) / 1000::DOUBLE * 14 * 0.001::DOUBLE, CASE WHEN seen THEN a + 90 ELSE 300 END, 300) + 0.5) AS BIGINT) END AS p
+  FROM late_anchor)) WHERE kind = 'tick'""")
+SQL["monotonic_position_stream"] = SQL["monotonic_position"]
+CTE["session_rows"] = """
+  SELECT *, lag(ms) OVER w AS pms, lag(on_now) OVER w AS was_on FROM (
+    SELECT *, coalesce(last_value(CASE kind WHEN 'play' THEN true WHEN 'pause' THEN false END IGNORE NULLS) OVER (PARTITION BY session_id, spell ORDER BY ms, event_id ROWS UNBOUNDED PRECEDING), false) AS on_now
+    FROM (SELECT *, count(*) FILTER (gap > 21600000) OVER (PARTITION BY session_id ORDER BY ms, event_id ROWS UNBOUNDED PRECEDING) AS spell
+      FROM (SELECT *, ms - lag(ms) OVER (PARTITION BY session_id ORDER BY ms, event_id) AS gap FROM played)))
+  WINDOW w AS (PARTITION BY session_id, spell ORDER BY ms, event_id)"""
+SQL["playback_sessions"] = SQL["playback_sessions_stream"] = with_("""
+SELECT session_id, min(ms) AS started_ms, max(ms) AS ended_ms, count(*) AS events, count(*) FILTER (kind = 'play') AS plays,
+  round(sum(CASE WHEN was_on THEN ms - pms ELSE 0 END) / 1000::DOUBLE, 6) AS listened_sec, max(position) AS furthest FROM session_rows GROUP BY session_id, spell""")
 CTE["gaps"] = """
   SELECT *, lag(ms) OVER w AS pms, lag(kind) OVER w AS pkind, bool_or(kind = 'boundary') OVER (PARTITION BY session_id ORDER BY ms, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen
   FROM played WINDOW w AS (PARTITION BY session_id ORDER BY ms, event_id)"""

@@ -6,6 +6,7 @@ late an update may be. Output of a key that has gone quiet appears when the wate
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from leafvoice.functions import fixed
+from leafvoice.operators.playback import IDLE_MS
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -170,3 +172,180 @@ def watch_stalls(events: DataFrame, lateness: str = "1 second", **limits) -> Dat
     return rows.groupBy("key").transformWithStateInPandas(
         WatchStalls(**limits), outputStructType=WatchStalls.OUTPUT, outputMode="Append", timeMode="EventTime"
     )
+
+
+class InOrder(StatefulProcessor):
+    """Rows of a key in the order of their time, whatever order they arrive in.
+
+    A row waits in the state until the watermark has passed it; then nothing older can come any more, and the rows that
+    are due go through ``step`` one by one. After a silence of more than ``idle_ms`` the key starts anew: ``end`` says what is
+    written then, and a timer drops the state of a key that sends no more. Without ``idle_ms`` a key never ends.
+    """
+
+    #: Fields of a row, ``ms`` and ``event_id`` first, and of the state, with the last row's ``ms`` first.
+    EVENT = STATE = ""
+
+    def __init__(self, keys: list[str], idle_ms: int | None):
+        self.keys, self.idle_ms = keys, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.fields = [f.split()[0] for f in self.EVENT.split(", ")]
+        self.waiting = handle.getListState("waiting", self.EVENT)
+        self.state = handle.getValueState("state", self.STATE)
+
+    def step(self, state: tuple | None, row: tuple) -> tuple[tuple | None, dict | None]:
+        """The state after ``row``, and what the row writes."""
+        raise NotImplementedError
+
+    def end(self, state: tuple) -> dict | None:
+        """What is written when the key falls silent."""
+        return None
+
+    def _advance(self, key, watermark: int) -> Iterator[pd.DataFrame]:
+        rows = sorted((tuple(r) for r in self.waiting.get()), key=lambda r: (r[0], r[1] is not None, r[1]))
+        due = next((i for i, r in enumerate(rows) if r[0] >= watermark), len(rows))
+        state, out = (tuple(self.state.get()) if self.state.exists() else None), []
+        for row in rows[:due]:
+            if self._over(state, row[0]):
+                out.append(self.end(state))
+                state = None
+            state, written = self.step(state, row)
+            out.append(written)
+        # Whatever is still to come is not older than the watermark.
+        if self._over(state, watermark):
+            out.append(self.end(state))
+            state = None
+        self._keep(state, rows[due:], due > 0)
+        out = [dict(zip(self.keys, key)) | r for r in out if r is not None]
+        if out:
+            yield pd.DataFrame(out).astype(object)
+
+    def _over(self, state: tuple | None, ms: int) -> bool:
+        return state is not None and self.idle_ms is not None and ms - state[0] > self.idle_ms
+
+    def _keep(self, state: tuple | None, rest: list[tuple], fewer: bool) -> None:
+        if not rest:
+            self.waiting.clear()
+        elif fewer:
+            self.waiting.put(rest)
+        if state is None:
+            self.state.clear()
+        else:
+            self.state.update(state)
+        for at in list(self.handle.listTimers()):
+            self.handle.deleteTimer(at)
+        next_ = [rest[0][0] + 1] if rest else []
+        if state is not None and self.idle_ms is not None:
+            next_.append(state[0] + self.idle_ms + 1)
+        if next_:
+            self.handle.registerTimer(min(next_))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for pdf in rows:
+            columns = [[None if pd.isna(v) else getattr(v, "item", lambda v=v: v)() for v in pdf[f]] for f in self.fields]
+            self.waiting.appendList([self._typed(r) for r in zip(*columns)])
+        yield from self._advance(key, timerValues.getCurrentWatermarkInMs())
+
+    def _typed(self, row: tuple) -> tuple:
+        """A column with nulls comes as floats."""
+        return tuple(int(v) if isinstance(v, float) and " bigint" in f else v for v, f in zip(row, self.EVENT.split(", ")))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield from self._advance(key, timerValues.getCurrentWatermarkInMs())
+
+    def close(self) -> None:
+        pass
+
+
+def _in_order(events: DataFrame, processor: InOrder, lateness: str, output: str) -> DataFrame:
+    """``events`` through ``processor``; rows that come more than ``lateness`` after newer ones are dropped by Spark."""
+    keys = processor.keys
+    types = ", ".join([f"`{k}` {events.schema[k].dataType.simpleString()}" for k in keys] + [output])
+    fields = [f.split()[0] for f in processor.EVENT.split(", ")[1:]]
+    rows = events.where("ts is not null").withWatermark("ts", lateness).select(*keys, "ts", F.unix_millis("ts").alias("ms"), *(F.col(f) for f in fields))
+    return rows.groupBy(*keys).transformWithStateInPandas(processor, outputStructType=types, outputMode="Append", timeMode="EventTime")
+
+
+class InterpolatePosition(InOrder):
+    """The last start or boundary is the anchor; a tick runs on from it."""
+
+    EVENT = "ms bigint, event_id bigint, kind string, char bigint, rate double, text_len bigint"
+    STATE = "last_ms bigint, anchor_ms bigint, anchor bigint, seen boolean, position bigint"
+    OUTPUT = "event_id bigint, position bigint"
+
+    def __init__(self, keys: list[str], idle_ms: int | None, chars_per_sec: int, drift: int):
+        super().__init__(keys, idle_ms)
+        self.chars_per_sec, self.drift = chars_per_sec, drift
+
+    def step(self, state, row):
+        ms, event_id, kind, char, rate, text_len = row
+        if kind == "start":
+            return (ms, ms, char, False, char), None
+        if state is None:
+            return None, None
+        _, anchor_ms, anchor, seen, position = state
+        if kind != "tick":
+            return (ms, ms, char, seen or kind == "boundary", max(position, char)), None
+        ahead = None if rate is None else anchor + (ms - anchor_ms) / 1000 * self.chars_per_sec * rate
+        ends = [x for x in (ahead, anchor + self.drift if seen else None, text_len) if x is not None]
+        if ends:
+            position = max(position, math.floor(min(ends) + 0.5))
+        return (ms, anchor_ms, anchor, seen, position), {"event_id": event_id, "position": position}
+
+
+def interpolate_position(
+    events: DataFrame, keys: list[str], chars_per_sec: int = fixed.CHARS_PER_SEC, drift: int = fixed.MAX_DRIFT_CHARS,
+    idle_ms: int | None = IDLE_MS, lateness: str = "10 seconds",
+) -> DataFrame:
+    """Stream form of ``playback.interpolate_position``: keys, ``event_id`` and ``position`` of each tick, once the watermark has
+    passed it. State per key: its rows of the last ``lateness``, and one anchor until it has been silent for ``idle_ms``."""
+    rows = events.where("kind = 'tick' or char is not null").withColumn("char", F.col("char").cast("bigint")).withColumn("text_len", F.col("text_len").cast("bigint"))
+    return _in_order(rows, InterpolatePosition(keys, idle_ms, chars_per_sec, drift), lateness, InterpolatePosition.OUTPUT)
+
+
+class FurthestSoFar(InOrder):
+    """The furthest reported offset up to each row."""
+
+    EVENT = "ms bigint, event_id bigint, reported bigint"
+    STATE = "last_ms bigint, position bigint"
+    OUTPUT = "event_id bigint, position bigint"
+
+    def step(self, state, row):
+        ms, event_id, reported = row
+        known = [x for x in (state and state[1], reported) if x is not None]
+        position = max(known, default=None)
+        return (ms, position), {"event_id": event_id, "position": position}
+
+
+def monotonic_position(boundaries: DataFrame, keys: list[str], idle_ms: int | None = IDLE_MS, lateness: str = "10 seconds") -> DataFrame:
+    """Stream form of ``playback.monotonic_position``: one row per boundary with the furthest offset so far in event time."""
+    rows = boundaries.withColumn("reported", F.col("reported").cast("bigint"))
+    return _in_order(rows, FurthestSoFar(keys, idle_ms), lateness, FurthestSoFar.OUTPUT)
+
+
+class PlaybackSessions(InOrder):
+    """A clock that a play starts and a pause stops; the session ends with a silence."""
+
+    EVENT = "ms bigint, event_id bigint, kind string, position bigint"
+    STATE = "last_ms bigint, started_ms bigint, events bigint, plays bigint, playing boolean, listened_ms bigint, furthest bigint"
+    OUTPUT = "started_ms bigint, ended_ms bigint, events bigint, plays bigint, listened_sec double, furthest bigint"
+
+    def step(self, state, row):
+        ms, _, kind, position = row
+        last, started, events, plays, playing, listened, furthest = state or (ms, ms, 0, 0, False, 0, None)
+        listened += ms - last if playing else 0
+        playing = kind == "play" or (playing and kind != "pause")
+        furthest = max((x for x in (furthest, position) if x is not None), default=None)
+        return (ms, started, events + 1, plays + (kind == "play"), playing, listened, furthest), None
+
+    def end(self, state):
+        last, started, events, plays, _, listened, furthest = state
+        return {"started_ms": started, "ended_ms": last, "events": events, "plays": plays, "listened_sec": listened / 1000, "furthest": furthest}
+
+
+def playback_sessions(events: DataFrame, keys: list[str], gap_ms: int = IDLE_MS, lateness: str = "10 seconds") -> DataFrame:
+    """Stream form of ``playback.playback_sessions``: a session is written when the watermark is ``gap_ms`` past its last event. A
+    pause that comes late, but within ``lateness``, is counted in its place."""
+    rows = events.withColumn("position", F.col("position").cast("bigint"))
+    return _in_order(rows, PlaybackSessions(keys, gap_ms), lateness, PlaybackSessions.OUTPUT)

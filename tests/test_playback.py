@@ -183,3 +183,112 @@ def test_incremental(spark, tmp):
     q = SQ.incremental_chapters(src, lambda books, n: seen.append(books.chapters.count()), f"{tmp}/cp")
     q.awaitTermination(240)
     assert seen == [5]
+
+
+SPEECH = "key string, event_id long, ts timestamp, kind string, char int, rate double, text_len int, position int, reported int"
+
+
+def late_rows(rng, keys=6, most=60):
+    """Rows (ms, id, kind, char, rate, length, position) of each key, in order."""
+    out, n = {}, 0
+    for k in range(keys):
+        ms, rows = rng.randint(0, 5000), []
+        for _ in range(rng.randint(1, most)):
+            ms += rng.choice([0, 120, 500, 2400, 7999, 8000, 8001, 20_000])
+            kind = rng.choice(["tick"] * 5 + ["boundary"] * 2 + ["start", "play", "pause"])
+            char = None if kind == "tick" or rng.random() < 0.05 else rng.randint(0, 300)
+            rows.append((ms, n, kind, char, rng.choice([0.5, 1.0, None]), rng.choice([300, None]), rng.choice([None, rng.randint(0, 99)])))
+            n += 1
+        out[f"k{k}"] = rows
+    return out
+
+
+def arriving(spark, tmp, events, lateness, batches, seed):
+    """The rows as a stream in micro-batches, each up to ``lateness`` ms late; a last one passes every timer."""
+    rng = random.Random(seed)
+    rows = [(m + rng.randint(0, lateness - 1), k, m, i, *r) for k, es in events.items() for m, i, *r in es]
+    rows.sort()
+    size = -(-len(rows) // batches)
+    asdict = lambda k, m, i, kind, c, rate, n, p: {"key": k, "event_id": i, "ts": at(m).isoformat(timespec="milliseconds"), "kind": kind, "char": c,
+                                                   "rate": rate, "text_len": n, "position": p, "reported": p}
+    files = [[asdict(*r[1:]) for r in part] for part in in_batches(rows, size)]
+    files.append([asdict("end", 10**9, -1, "tick", None, None, None, None)])
+    write_json(f"{tmp}/late", files)
+    return spark.readStream.schema(SPEECH).option("maxFilesPerTrigger", 1).json(f"{tmp}/late")
+
+
+@pytest.mark.parametrize("idle", [None, 8000])
+def test_position_stream_equals_batch_and_loop(spark, tmp, idle):
+    ST.use_rocksdb(spark)
+    ev = late_rows(random.Random(11))
+    src = arriving(spark, tmp, ev, 30_000, 4, 1).where("kind in ('tick', 'boundary', 'start')")
+    # Without lateness left over the order is the stream's own doing.
+    out = drain(spark, ST.interpolate_position(src, ["key"], idle_ms=idle, lateness="30 seconds"), "append", tmp, f"p{idle}")
+    got = {(r.key, r.event_id): r.position for r in out.collect()}
+    want = {}
+    for k, rows in ev.items():
+        spoken = [r[:6] for r in rows if r[2] == "tick" or (r[2] in ("boundary", "start") and r[3] is not None)]
+        for spell in loops.spells(spoken, idle):
+            first = next((i for i, r in enumerate(spell) if r[2] == "start"), len(spell))
+            want |= {(k, i): p for i, p in plain_positions(spell[first:]).items()}
+    assert got == want and (idle is None or len(want) < sum(r[2] == "tick" for rows in ev.values() for r in rows))
+    df = spark.createDataFrame([(k, i, at(m), *r) for k, rows in ev.items() for m, i, *r in rows if r[0] in ("tick", "boundary", "start")],
+                               "key string, event_id long, ts timestamp, kind string, char int, rate double, text_len int, position int")
+    for slice_ms in (None, 3000):
+        batch = P.interpolate_position(df, ["key"], slice_ms=slice_ms, idle_ms=idle)
+        assert {(r.key, r.event_id): r.position for r in batch.collect()} == want
+
+
+def plain_positions(rows):
+    out, anchor, since, seen, position = {}, None, None, False, None
+    for ms, i, kind, char, rate, n in rows:
+        if kind == "start":
+            anchor, since, seen, position = char, ms, False, char
+        elif kind == "boundary":
+            anchor, since, seen, position = char, ms, True, max(position, char)
+        else:
+            limits = [x for x in (None if rate is None else anchor + (ms - since) / 1000 * 14 * rate, anchor + 90 if seen else None, n) if x is not None]
+            position = max([position] + [int(min(limits) + 0.5)] if limits else [position])
+            out[i] = position
+    return out
+
+
+@pytest.mark.parametrize("idle", [None, 8000])
+def test_monotonic_stream_has_a_row_per_boundary(spark, tmp, idle):
+    ST.use_rocksdb(spark)
+    ev = late_rows(random.Random(12))
+    out = drain(spark, ST.monotonic_position(arriving(spark, tmp, ev, 30_000, 4, 2), ["key"], idle, "30 seconds"), "append", tmp, f"m{idle}")
+    want = {}
+    for k, rows in ev.items():
+        for spell in loops.spells(rows, idle):
+            for n, r in enumerate(spell):
+                want[k, r[1]] = max((x[6] for x in spell[: n + 1] if x[6] is not None), default=None)
+    assert {(r.key, r.event_id): r.position for r in out.collect() if r.key != "end"} == want
+    df = spark.createDataFrame([(k, i, at(m), r[-1]) for k, rows in ev.items() for m, i, *r in rows], "key string, event_id long, ts timestamp, reported int")
+    assert {(r.key, r.event_id): r.position for r in P.monotonic_position(df, ["key"], 2500, idle).collect()} == want
+
+
+def test_session_stream_counts_late_pauses(spark, tmp):
+    ST.use_rocksdb(spark)
+    ev = late_rows(random.Random(13))
+    ev["late"] = [(0, -5, "play", None, None, None, 1), (4000, -4, "pause", None, None, None, 2), (9000, -3, "boundary", None, None, None, 3)]
+    out = drain(spark, ST.playback_sessions(arriving(spark, tmp, ev, 30_000, 5, 3), ["key"], 8000, "30 seconds"), "append", tmp, "spells")
+    row = lambda r: (r.key, r.started_ms - BASE, r.ended_ms - BASE, r.events, r.plays, r.listened_sec, r.furthest)
+    want = sorted((k, *s) for k, rows in ev.items() for s in loops.sessions([(m, i, kind, p) for m, i, kind, *_, p in rows], 8000))
+    assert sorted(row(r) for r in out.collect() if r.key != "end") == want
+    assert ("late", 0, 9000, 3, 1, 4.0, 3) in want
+    df = spark.createDataFrame([(k, i, at(m), r[0], r[-1]) for k, rows in ev.items() for m, i, *r in rows],
+                               "key string, event_id long, ts timestamp, kind string, position int")
+    for slice_ms in (None, 2500):
+        assert sorted(row(r) for r in P.playback_sessions(df, ["key"], 8000, slice_ms).collect()) == want
+
+
+def test_silent_keys_leave_no_state(spark, tmp):
+    """After the last timer only the key that moved the watermark is still there."""
+    ST.use_rocksdb(spark)
+    ev = late_rows(random.Random(14))
+    src = arriving(spark, tmp, ev, 30_000, 3, 4)
+    drain(spark, ST.playback_sessions(src, ["key"], 8000, "30 seconds"), "append", tmp, "left")
+    left = spark.read.format("statestore").option("stateVarName", "state").load(f"{tmp}/cp-left")
+    waiting = spark.read.format("statestore").option("stateVarName", "waiting").load(f"{tmp}/cp-left")
+    assert left.count() == 0 and waiting.select("key").distinct().count() == 1
