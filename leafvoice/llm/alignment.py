@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +29,10 @@ from leafvoice.llm.tokens import byte_letters
 SEGMENT_BYTES = 4 << 20
 #: A longer text is encoded in pieces of at least so many characters, cut before a single space: no token goes across one.
 PIECE_CHARS = 1 << 18
-#: Window alignments kept by a worker before it starts anew.
-CACHE_WINDOWS = 400_000
+#: Bytes of text encoded at once; the tokenizers hold some hundred bytes per token.
+ENCODED_BYTES = 1 << 18
+#: Window alignments kept by a worker before it starts anew, in two generations of some 300 bytes each.
+CACHE_WINDOWS = 100_000
 #: Windows looked up at once.
 WINDOWS = 1 << 18
 #: An id pair as a number; ids of B are below this.
@@ -71,6 +74,19 @@ class Encoder:
             b.append(ids_b)
         return a, b
 
+    def encoded(self, texts: list[bytes]):
+        """Ids of A and of B of each text, encoded some at a time; None for a text that is empty or not held by both."""
+        at = 0
+        while at < len(texts):
+            end, size = at + 1, len(texts[at])
+            while end < len(texts) and size + len(texts[end]) <= ENCODED_BYTES:
+                size += len(texts[end])
+                end += 1
+            for text, a, b in zip(texts[at:end], *self.encode([t.decode() for t in texts[at:end]])):
+                good = text and self.holds(text, a, b)
+                yield (np.array(a, np.int32), np.array(b, np.int32)) if good else (None, None)
+            at = end
+
     def holds(self, text: bytes, a: list[int], b: list[int]) -> bool:
         """Whether both tokenizers' bytes are those of space + text."""
         whole = b" " + text
@@ -90,8 +106,8 @@ def pieces_of(text: str, least: int = 0):
     yield text[begin:]
 
 
-def align(a: list[int], b: list[int], a_sizes, b_sizes) -> tuple[bytes, int, list[int]]:
-    """Groups as text, how many there are, and the linked pairs of ids, of one window."""
+def align(a: list[int], b: list[int], a_sizes, b_sizes) -> tuple[bytes, int, bytes]:
+    """Groups as text, how many there are, and the linked pairs of ids (64 bits each), of one window."""
     i = j = begin_a = begin_b = 0
     end_a, end_b = a_sizes[a[0]], b_sizes[b[0]]
     groups, links = [], []
@@ -102,7 +118,7 @@ def align(a: list[int], b: list[int], a_sizes, b_sizes) -> tuple[bytes, int, lis
             i, j = i + 1, j + 1
             begin_a, begin_b = i, j
             if i == len(a):
-                return ";".join(groups).encode(), len(groups), links
+                return ";".join(groups).encode(), len(groups), array("q", links).tobytes()
             end_a += a_sizes[a[i]]
             end_b += b_sizes[b[j]]
         elif end_a < end_b:
@@ -131,7 +147,7 @@ class Windows:
         self.sizes = e.a_sizes.tolist(), e.b_sizes.tolist()
         self.young, self.old = {}, {}
 
-    def get(self, key: tuple[bytes, bytes]) -> tuple[bytes, int, list[int]]:
+    def get(self, key: tuple[bytes, bytes]) -> tuple[bytes, int, bytes]:
         found = self.young.get(key)
         if found is None:
             found = self.old.get(key) or align(*(np.frombuffer(k, np.int32).tolist() for k in key), *self.sizes)
@@ -170,17 +186,14 @@ def _aligned(paths: tuple[str, str]):
         memo, task, number = Windows(e), TaskContext.get().partitionId(), 0
         for batch, data, offsets in text_slices(batches, most=SEGMENT_BYTES):
             raw, n = data.tobytes(), batch.num_rows
-            own = [raw[offsets[r]: offsets[r + 1]] for r in range(n)]
-            encoded = zip(*e.encode([t.decode() for t in own]))
             n_a, n_b, n_groups, sha, sizes = [], [], [], [], []
             numbers, kinds, used = {}, [], []
-            for text, (a, b) in zip(own, encoded):
-                if not text or not e.holds(text, a, b):
+            for a, b in e.encoded([raw[offsets[r]: offsets[r + 1]] for r in range(n)]):
+                if a is None:
                     for x in (n_a, n_b, n_groups, sizes):
                         x.append(0)
                     sha.append("")
                     continue
-                a, b = np.array(a, np.int32), np.array(b, np.int32)
                 to_a, to_b = anchors(e, a, b)
                 raw_a, raw_b, digest, groups = a.tobytes(), b.tobytes(), hashlib.sha256(), 0
                 begin_a = begin_b = 0
@@ -205,8 +218,8 @@ def _aligned(paths: tuple[str, str]):
                 sha.append(digest.hexdigest())
                 sizes.append(len(to_a))
             windows = np.concatenate([np.zeros(0, np.int64), *used])
-            counts = np.array([len(k[2]) for k in kinds], np.int64)
-            links = np.array([x for k in kinds for x in k[2]], np.int64)
+            counts = np.array([len(k[2]) // 8 for k in kinds], np.int64)
+            links = np.frombuffer(b"".join([k[2] for k in kinds]), np.int64)
             pairs, links = np.unique(links, return_inverse=True)
             often = np.bincount(links, np.repeat(np.bincount(windows, minlength=len(kinds)), counts), len(pairs)).astype(np.int64) if len(links) else links
             row = [f"{task}-{number}", batch.column(0).cast(pa.int64()), n_a, n_b, n_groups, sha, *map(squeeze, (np.array(sizes), windows, counts, links)),
@@ -270,13 +283,12 @@ def _triples(batches, paths: tuple[str, str]):
     e = Encoder(*paths)
     for batch, data, offsets in text_slices(batches, most=SEGMENT_BYTES):
         raw = data.tobytes()
-        own = [raw[offsets[r]: offsets[r + 1]] for r in range(batch.num_rows)]
         out = []
-        for text, a, b in zip(own, *e.encode([t.decode() for t in own])):
-            if not text or not e.holds(text, a, b):
+        for a, b in e.encoded([raw[offsets[r]: offsets[r + 1]] for r in range(batch.num_rows)]):
+            if a is None:
                 out.append(([], [], []))
                 continue
-            to_a, to_b = anchors(e, np.array(a), np.array(b))
+            to_a, to_b = anchors(e, a, b)
             out.append((a, b, [{"a": x, "b": y} for x, y in zip(to_a.tolist(), to_b.tolist())]))
         types = pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
         yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array([o[k] for o in out], t) for k, t in enumerate(types))],
