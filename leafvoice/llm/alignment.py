@@ -13,8 +13,10 @@ summed over all segments, and the sums go back to the segments, not to the texts
 from __future__ import annotations
 
 import hashlib
+import json
 import os
-from array import array
+from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,139 +24,205 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafvoice.llm.buffers import text_slices
+from leafvoice.llm.buffers import mix, prefix_sums, span_hashes, text_slices
 from leafvoice.llm.tables import Steps, table
 from leafvoice.llm.tokens import byte_letters
 
 SEGMENT_BYTES = 4 << 20
-#: A longer text is encoded in pieces of at least so many characters, cut before a single space: no token goes across one.
-PIECE_CHARS = 1 << 18
 #: Bytes of text encoded at once; the tokenizers hold some hundred bytes per token.
-ENCODED_BYTES = 1 << 18
+ENCODED_BYTES = 1 << 19
 #: Window alignments kept by a worker before it starts anew, in two generations of some 300 bytes each.
 CACHE_WINDOWS = 100_000
-#: Windows looked up at once.
+#: Windows put together at once for a digest.
 WINDOWS = 1 << 18
+# --- fixed value: how byte-level BPE files of this kind cut a text before merging
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: An id pair as a number; ids of B are below this.
 B_IDS = 1 << 32
 
 
+def byte_level(path: str) -> tuple[list[bytes], Callable[[list[str]], list[list[int]]]]:
+    """Bytes of each id of a byte-level BPE file, and a function from a list of texts to their lists of ids; strings of
+    special tokens are ordinary text.
+
+    Where ids are numbered in the order of the merges, and texts are cut by the usual pattern only, merging by least id
+    is the file's own rule; ``tiktoken`` does so several times faster."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    letters = {c: b for b, c in byte_letters().items()}
+    special = {t["id"] for t in spec.get("added_tokens", [])}
+    vocab = {t: i for t, i in spec["model"]["vocab"].items() if i not in special}
+    held = {i: bytes(letters[c] for c in t) for t, i in vocab.items()}
+    merged = [vocab["".join(m.split(" ") if isinstance(m, str) else m)] for m in spec["model"]["merges"]]
+    plain = spec.get("normalizer") is None and spec["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+    if plain and not spec["model"].get("ignore_merges") and merged == sorted(merged) and min(merged, default=256) >= 256 and len(merged) + 256 == len(held):
+        import tiktoken
+
+        ranked = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks={b: i for i, b in held.items()}, special_tokens={})
+        encode = lambda texts: [ranked.encode_ordinary(t) for t in texts]
+    else:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        own = Tokenizer.from_file(path)
+        own.encode_special_tokens = True
+        encode = lambda texts: [x.ids for x in own.encode_batch_fast(texts, add_special_tokens=False)]
+    return [held.get(i, b"") for i in range(max(held) + 1)], encode
+
+
 class Encoder:
     """The two tokenizers: A, byte-level BPE (a JSON file), over space + text; B, pieces (a model file), over the text."""
 
     def __init__(self, a_path: str, b_path: str) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
-        from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_file(a_path)
-        self.a.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.a_bytes, self.a = byte_level(a_path)
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
-        letters = {c: b for b, c in byte_letters().items()}
-        by_id = {i: t for t, i in self.a.get_vocab().items()}
-        self.a_bytes = [bytes(letters.get(c, 0) for c in by_id.get(i, "")) for i in range(max(by_id) + 1)]
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        # How an id is written: of A before another one of its group or before those of B, of B before another one or at the end.
+        self.written = [str(i).encode() + mark for ids, marks in ((self.a_bytes, (b",", b"|")), (self.b_bytes, (b",", b";"))) for mark in marks for i in range(len(ids))]
+        self.written_sizes = np.array([len(x) for x in self.written], np.int64)
         self.a_sizes, self.b_sizes = (np.array([len(t) for t in x], np.int64) for x in (self.a_bytes, self.b_bytes))
         self.a_spaced, self.b_spaced = (np.array([t[:1] == b" " for t in x]) for x in (self.a_bytes, self.b_bytes))
 
-    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        if max(map(len, texts), default=0) <= 2 * PIECE_CHARS:
-            a = [e.ids for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
-            return a, self.b.encode(texts, num_threads=1)
-        a, b = [], []
-        for t in texts:
-            ids_a, ids_b, first = [], [], True
-            for piece in pieces_of(t):
-                # A later piece begins with its space, which B adds by itself.
-                ids_a += self.a.encode(" " + piece if first else piece, add_special_tokens=False).ids
-                ids_b += self.b.encode(piece if first else piece[1:], num_threads=1)
-                first = False
-            a.append(ids_a)
-            b.append(ids_b)
-        return a, b
-
-    def encoded(self, texts: list[bytes]):
-        """Ids of A and of B of each text, encoded some at a time; None for a text that is empty or not held by both."""
-        at = 0
-        while at < len(texts):
-            end, size = at + 1, len(texts[at])
-            while end < len(texts) and size + len(texts[end]) <= ENCODED_BYTES:
-                size += len(texts[end])
+    def _checked(self, pieces: list[bytes], ids: list[list[int]], held: list[bytes], sizes: np.ndarray):
+        """Ids one after the other, how many each piece has, and whether they give back its bytes."""
+        n = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.fromiter(chain.from_iterable(ids), np.int32, int(n.sum()))
+        lengths = _sums(sizes[flat], n)
+        if (lengths == np.fromiter(map(len, pieces), np.int64, len(pieces))).all() and b"".join(map(held.__getitem__, flat.tolist())) == b"".join(pieces):
+            return flat, n, np.ones(len(n), bool)
+        return flat, n, np.array([b"".join(map(held.__getitem__, x)) == p for p, x in zip(pieces, ids)])
+
+    def encode_pieces(self, pieces: list[bytes]):
+        """Ids of A and of B, one piece after the other, how many of each a piece has, and whether both give back its bytes.
+        Pieces begin with a space, which B adds by itself."""
+        parts, at = [], 0
+        while at < len(pieces):
+            end, size = at + 1, len(pieces[at])
+            while end < len(pieces) and size + len(pieces[end]) <= ENCODED_BYTES:
+                size += len(pieces[end])
                 end += 1
-            for text, a, b in zip(texts[at:end], *self.encode([t.decode() for t in texts[at:end]])):
-                good = text and self.holds(text, a, b)
-                yield (np.array(a, np.int32), np.array(b, np.int32)) if good else (None, None)
+            some = pieces[at:end]
+            texts = [x.decode() for x in some]
+            a = self._checked(some, self.a(texts), self.a_bytes, self.a_sizes)
+            b = self._checked(some, self.b.encode([t[1:] for t in texts], num_threads=1), self.b_bytes, self.b_sizes)
+            parts.append((a[0], b[0], a[1], b[1], a[2] & b[2]))
             at = end
-
-    def holds(self, text: bytes, a: list[int], b: list[int]) -> bool:
-        """Whether both tokenizers' bytes are those of space + text."""
-        whole = b" " + text
-        return b"".join(map(self.a_bytes.__getitem__, a)) == whole and b"".join(map(self.b_bytes.__getitem__, b)) == whole
-
-
-def pieces_of(text: str, least: int = 0):
-    """The text cut before single spaces that stand between ASCII letters, in pieces of ``least`` characters or more."""
-    least = least or PIECE_CHARS
-    begin, at = 0, least
-    while (at := text.find(" ", at)) > 0:
-        if at + 1 < len(text) and text[at - 1].isascii() and text[at - 1].isalpha() and text[at + 1].isascii() and text[at + 1].isalpha():
-            yield text[begin:at]
-            begin, at = at, at + least
-        else:
-            at += 1
-    yield text[begin:]
-
-
-def align(a: list[int], b: list[int], a_sizes, b_sizes) -> tuple[bytes, int, bytes]:
-    """Groups as text, how many there are, and the linked pairs of ids (64 bits each), of one window."""
-    i = j = begin_a = begin_b = 0
-    end_a, end_b = a_sizes[a[0]], b_sizes[b[0]]
-    groups, links = [], []
-    while True:
-        links.append(a[i] * B_IDS + b[j])
-        if end_a == end_b:
-            groups.append(f"{','.join(map(str, a[begin_a:i + 1]))}|{','.join(map(str, b[begin_b:j + 1]))}")
-            i, j = i + 1, j + 1
-            begin_a, begin_b = i, j
-            if i == len(a):
-                return ";".join(groups).encode(), len(groups), array("q", links).tobytes()
-            end_a += a_sizes[a[i]]
-            end_b += b_sizes[b[j]]
-        elif end_a < end_b:
-            i += 1
-            end_a += a_sizes[a[i]]
-        else:
-            j += 1
-            end_b += b_sizes[b[j]]
-
-
-def anchors(e: Encoder, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where windows end, as numbers of tokens of A and of B, for one text; verified: both have the same bytes before."""
+        return [np.concatenate(x) for x in zip(*parts)] if parts else [np.zeros(0, t) for t in (np.int32, np.int32, np.int64, np.int64, bool)]
+
+    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of A and of B of the texts, one after the other, and how many each text has: none if it is empty or if one of
+        the tokenizers doesn't give back its bytes.
+
+        Neither tokenizer has a token across a single space between ASCII letters. So texts are cut there, and equal
+        pieces are encoded once."""
+        whole = np.frombuffer(b"".join([b" " + t for t in texts]), np.uint8)
+        begins = np.cumsum([0] + [len(t) + 1 for t in texts])
+        letter = _LETTER[whole]
+        cut = np.zeros(len(whole) + 1, bool)
+        cut[1:-2] = (whole[1:-1] == 0x20) & letter[:-2] & letter[2:]
+        cut[begins] = True
+        cuts = np.flatnonzero(cut)
+        start, end = cuts[:-1], cuts[1:]
+        first, kind = kinds_of([(whole, start, end)])
+        raw = whole.tobytes()
+        a, b, n_a, n_b, good = self.encode_pieces([raw[x:y] for x, y in zip(start[first].tolist(), end[first].tolist())])
+        of = np.searchsorted(begins, start, "right") - 1
+        held = np.bincount(of, ~good[kind], len(texts)) == 0
+        held &= np.diff(begins) > 1
+        kind, of = kind[held[of]], of[held[of]]
+        from_a, from_b = np.cumsum(n_a) - n_a, np.cumsum(n_b) - n_b
+        counts = (np.bincount(of, n[kind], len(texts)).astype(np.int64) for n in (n_a, n_b))
+        return gathered(a, from_a[kind], n_a[kind]), gathered(b, from_b[kind], n_b[kind]), *counts
+
+
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+
+
+def gathered(values: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """``values[start:start + size]`` for each, one after the other."""
+    ends = np.cumsum(size)
+    return values[np.repeat(start - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+def kinds_of(spans: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """One item of each kind, and the kind of each item; items are equal if all their spans (symbols, starts, ends) are.
+    Fingerprints find equal ones, the symbols confirm it."""
+    prints = np.uint64(0)
+    for x, start, end in spans:
+        prints = mix(prints + span_hashes(prefix_sums(x), start, end))
+    _, first, kind = np.unique(prints, return_index=True, return_inverse=True)
+    same = all(bool(((end - start) == (end - start)[first[kind]]).all()) for _, start, end in spans)
+    if same and all(bool((gathered(x, start, end - start) == gathered(x, start[first[kind]], end - start)).all()) for x, start, end in spans):
+        return first, kind
+    seen, first, kind = {}, [], np.empty(len(spans[0][1]), np.int64)
+    for i in range(len(kind)):
+        k = kind[i] = seen.setdefault(tuple(x[start[i]: end[i]].tobytes() for x, start, end in spans), len(first))
+        if k == len(first):
+            first.append(i)
+    return np.array(first, np.int64), kind
+
+
+def align(e: Encoder, a: np.ndarray, b: np.ndarray, to_a: np.ndarray, to_b: np.ndarray) -> tuple[list[bytes], list[bytes]]:
+    """For windows that follow each other: their groups as text, each group with a ``;`` behind, and their linked pairs of
+    ids, 64 bits each. A pair is linked where both tokens hold the byte before one of their ends."""
+    ends_a, ends_b = np.cumsum(e.a_sizes[a]), np.cumsum(e.b_sizes[b])
+    ends = np.union1d(ends_a, ends_b)
+    links = a[np.searchsorted(ends_a, ends)].astype(np.int64) * B_IDS + b[np.searchsorted(ends_b, ends)]
+    upto = (np.searchsorted(ends, ends_a[to_a - 1]) + 1) * 8
+    cuts = ends_b[np.isin(ends_b, ends_a, assume_unique=True)]
+    group_a, group_b = np.searchsorted(cuts, ends_a), np.searchsorted(cuts, ends_b)
+    # A group's tokens of A come first, then those of B.
+    n_a, n_b = len(e.a_bytes), len(e.b_bytes)
+    out = np.empty(len(a) + len(b), np.int64)
+    out[np.arange(len(a)) + np.searchsorted(group_b, group_a)] = a + n_a * np.append(group_a[1:] != group_a[:-1], True)
+    out[np.arange(len(b)) + np.searchsorted(group_a, group_b, "right")] = b + 2 * n_a + n_b * np.append(group_b[1:] != group_b[:-1], True)
+    text = b"".join(map(e.written.__getitem__, out.tolist()))
+    text_ends = np.cumsum(e.written_sizes[out])[to_a + to_b - 1]
+    pieces = lambda raw, ends: [raw[x:y] for x, y in zip([0, *ends], ends)]
+    return pieces(text, text_ends.tolist()), pieces(links.tobytes(), upto.tolist())
+
+
+def anchors(e: Encoder, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """After how many tokens of A and of B windows end, and after how many of A groups do. Verified: the bytes before are
+    the same."""
     ends_a, ends_b = np.cumsum(e.a_sizes[a]), np.cumsum(e.b_sizes[b])
     i = np.searchsorted(ends_a, ends_b)
     j = np.flatnonzero(ends_a[i] == ends_b)
     i, j = i[j] + 1, j + 1
     anchor = np.ones(len(i), bool)
     anchor[:-1] = e.a_spaced[a[i[:-1]]] & e.b_spaced[b[j[:-1]]]
-    return i[anchor], j[anchor]
+    return i[anchor], j[anchor], i
 
 
 class Windows:
     """Alignments of windows by their id tuples, remembered by a worker in two generations."""
 
     def __init__(self, e: Encoder) -> None:
-        self.sizes = e.a_sizes.tolist(), e.b_sizes.tolist()
-        self.young, self.old = {}, {}
-
-    def get(self, key: tuple[bytes, bytes]) -> tuple[bytes, int, bytes]:
-        found = self.young.get(key)
-        if found is None:
-            found = self.old.get(key) or align(*(np.frombuffer(k, np.int32).tolist() for k in key), *self.sizes)
+        self.e, self.young, self.old = e, {}, {}
+
+    def get(self, a: np.ndarray, b: np.ndarray, to_a: np.ndarray, to_b: np.ndarray, wanted: np.ndarray) -> list[tuple[bytes, bytes]]:
+        """Groups and links of the windows number ``wanted``; those that aren't remembered are aligned in one go."""
+        begin_a, begin_b = (np.concatenate([[0], x[:-1]])[wanted] for x in (to_a, to_b))
+        size_a, size_b = to_a[wanted] - begin_a, to_b[wanted] - begin_b
+        raw_a, raw_b = a.tobytes(), b.tobytes()
+        spans = zip(*((x * 4).tolist() for x in (begin_a, begin_a + size_a, begin_b, begin_b + size_b)))
+        keys = [(raw_a[w:x], raw_b[y:z]) for w, x, y, z in spans]
+        young, old = self.young, self.old
+        out = [young.get(k) or old.get(k) for k in keys]
+        new = np.array([i for i, x in enumerate(out) if x is None], np.int64)
+        if len(new):
+            found = align(self.e, gathered(a, begin_a[new], size_a[new]), gathered(b, begin_b[new], size_b[new]), np.cumsum(size_a[new]), np.cumsum(size_b[new]))
+            for i, x in zip(new.tolist(), zip(*found)):
+                out[i] = x
+        for k, x in zip(keys, out):
             if len(self.young) >= CACHE_WINDOWS:
                 self.old, self.young = self.young, {}
-            self.young[key] = found
-        return found
+            self.young[k] = x
+        return out
 
 
 def squeeze(x: np.ndarray) -> bytes:
@@ -176,56 +244,50 @@ _SEGMENTS = ("segment string, doc_id array<long>, n_a array<long>, n_b array<lon
              "sizes binary, windows binary, link_counts binary, links binary, a array<long>, b array<long>, often array<long>")
 
 
+def _segment(e: Encoder, memo: Windows, texts: list[bytes]) -> list:
+    """What a segment's row holds of its texts, see ``align_segments``."""
+    a, b, n_a, n_b = e.encode(texts)
+    good = n_a > 0
+    n_groups, sizes, sha = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64), [""] * len(texts)
+    if not len(a):
+        none = np.zeros(0, np.int64)
+        return [n_a, n_b, n_groups, sha, sizes, none, none, none, none, none, none]
+    # One text follows the other; each begins with a space, so that its beginning is an anchor, too.
+    to_a, to_b, shared = anchors(e, a, b)
+    first, kind = kinds_of([(x, np.concatenate([[0], to[:-1]]), to) for x, to in ((a, to_a), (b, to_b))])
+    kinds = memo.get(a, b, to_a, to_b, first)
+    ends = np.cumsum(n_a[good])
+    upto = np.searchsorted(to_a, ends) + 1
+    sizes[good] = np.diff(upto, prepend=0)
+    n_groups[good] = np.diff(np.searchsorted(shared, ends) + 1, prepend=0)
+    groups, at = [k[0] for k in kinds], 0
+    for r, end in zip(np.flatnonzero(good).tolist(), upto.tolist()):
+        digest = hashlib.sha256()
+        for c in range(at, end, WINDOWS):
+            text = b"".join([groups[k] for k in kind[c: min(c + WINDOWS, end)].tolist()])
+            digest.update(text if c + WINDOWS < end else text[:-1])
+        sha[r], at = digest.hexdigest(), end
+    counts = np.array([len(k[1]) // 8 for k in kinds], np.int64)
+    pairs, links = np.unique(np.frombuffer(b"".join([k[1] for k in kinds]), np.int64), return_inverse=True)
+    often = np.bincount(links, np.repeat(np.bincount(kind, minlength=len(kinds)), counts), len(pairs)).astype(np.int64)
+    return [n_a, n_b, n_groups, sha, sizes, kind, counts, links, pairs // B_IDS, pairs % B_IDS, often]
+
+
 def _aligned(paths: tuple[str, str]):
-    """One row per segment: its texts' figures, how many windows each has, their numbers, each different window's links as
-    numbers of pairs, and the pairs with how often the segment links them."""
+    """One row per segment: its texts' figures, how many windows each has, their kinds, each kind's links as numbers of
+    pairs, and the pairs with how often the segment links them."""
     def run(batches):
         from pyspark import TaskContext
 
         e = Encoder(*paths)
         memo, task, number = Windows(e), TaskContext.get().partitionId(), 0
         for batch, data, offsets in text_slices(batches, most=SEGMENT_BYTES):
-            raw, n = data.tobytes(), batch.num_rows
-            n_a, n_b, n_groups, sha, sizes = [], [], [], [], []
-            numbers, kinds, used = {}, [], []
-            for a, b in e.encoded([raw[offsets[r]: offsets[r + 1]] for r in range(n)]):
-                if a is None:
-                    for x in (n_a, n_b, n_groups, sizes):
-                        x.append(0)
-                    sha.append("")
-                    continue
-                to_a, to_b = anchors(e, a, b)
-                raw_a, raw_b, digest, groups = a.tobytes(), b.tobytes(), hashlib.sha256(), 0
-                begin_a = begin_b = 0
-                for c in range(0, len(to_a), WINDOWS):
-                    mine = []
-                    for end_a, end_b in zip((to_a[c: c + WINDOWS] * 4).tolist(), (to_b[c: c + WINDOWS] * 4).tolist()):
-                        key = raw_a[begin_a:end_a], raw_b[begin_b:end_b]
-                        begin_a, begin_b = end_a, end_b
-                        w = numbers.get(key)
-                        if w is None:
-                            w = numbers[key] = len(kinds)
-                            kinds.append(memo.get(key))
-                        mine.append(w)
-                    if c:
-                        digest.update(b";")
-                    digest.update(b";".join([kinds[w][0] for w in mine]))
-                    groups += sum([kinds[w][1] for w in mine])
-                    used.append(np.array(mine, np.int64))
-                n_a.append(len(a))
-                n_b.append(len(b))
-                n_groups.append(groups)
-                sha.append(digest.hexdigest())
-                sizes.append(len(to_a))
-            windows = np.concatenate([np.zeros(0, np.int64), *used])
-            counts = np.array([len(k[2]) // 8 for k in kinds], np.int64)
-            links = np.frombuffer(b"".join([k[2] for k in kinds]), np.int64)
-            pairs, links = np.unique(links, return_inverse=True)
-            often = np.bincount(links, np.repeat(np.bincount(windows, minlength=len(kinds)), counts), len(pairs)).astype(np.int64) if len(links) else links
-            row = [f"{task}-{number}", batch.column(0).cast(pa.int64()), n_a, n_b, n_groups, sha, *map(squeeze, (np.array(sizes), windows, counts, links)),
-                   pairs // B_IDS, pairs % B_IDS, often]
+            raw = data.tobytes()
+            found = _segment(e, memo, [raw[offsets[r]: offsets[r + 1]] for r in range(batch.num_rows)])
+            found[4:8] = map(squeeze, found[4:8])
+            row = [f"{task}-{number}", batch.column(0).cast(pa.int64()).to_pylist(), *found]
             number += 1
-            yield pa.RecordBatch.from_arrays([pa.array([v.to_pylist() if isinstance(v, pa.Array) else v], t) for v, t in zip(row, _SEGMENT_TYPES.types)], schema=_SEGMENT_TYPES)
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, _SEGMENT_TYPES.types)], schema=_SEGMENT_TYPES)
     return run
 
 
@@ -282,14 +344,11 @@ def align_documents(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
 def _triples(batches, paths: tuple[str, str]):
     e = Encoder(*paths)
     for batch, data, offsets in text_slices(batches, most=SEGMENT_BYTES):
-        raw = data.tobytes()
-        out = []
-        for a, b in e.encoded([raw[offsets[r]: offsets[r + 1]] for r in range(batch.num_rows)]):
-            if a is None:
-                out.append(([], [], []))
-                continue
-            to_a, to_b = anchors(e, a, b)
-            out.append((a, b, [{"a": x, "b": y} for x, y in zip(to_a.tolist(), to_b.tolist())]))
+        raw, out = data.tobytes(), []
+        a, b, n_a, n_b = e.encode([raw[offsets[r]: offsets[r + 1]] for r in range(batch.num_rows)])
+        for own_a, own_b in zip(np.split(a, np.cumsum(n_a)[:-1]), np.split(b, np.cumsum(n_b)[:-1])):
+            to_a, to_b, _ = anchors(e, own_a, own_b) if len(own_a) else (own_a,) * 3
+            out.append((own_a, own_b, [{"a": x, "b": y} for x, y in zip(to_a.tolist(), to_b.tolist())]))
         types = pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
         yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array([o[k] for o in out], t) for k, t in enumerate(types))],
                                          names=["doc_id", "a_ids", "b_ids", "windows"])

@@ -107,13 +107,23 @@ def test_null_ids_and_empty_table(spark):
     assert alignment.align_documents(docs.limit(0), A, B).collect() == []
 
 
-def test_long_texts_are_encoded_in_pieces(rows, monkeypatch):
+def test_pieces_give_the_ids_of_whole_texts(rows, tokenizers, spark, sf, monkeypatch):
+    """Also where pieces are encoded a few at a time, and where one of them holds what the pieces' tokenizer loses."""
     e = alignment.Encoder(A, B)
-    for _, text in rows:
-        whole = e.encode([text or ""])
-        monkeypatch.setattr(alignment, "PIECE_CHARS", 7)
-        assert e.encode([text or "", "x" * 15]) [0][0] == whole[0][0] and e.encode([text or "", "x" * 15])[1][0] == whole[1][0]
-        monkeypatch.undo()
+    texts = [t or "" for _, t in rows] + [r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()]
+    texts += ["lost a▁b here", "a b c d", "x 1 y", "a  b", "A B", "é a b é", "a b\n", " a b "]
+    for some in (1 << 18, 50):
+        monkeypatch.setattr(alignment, "ENCODED_BYTES", some)
+        a, b, n_a, n_b = e.encode([t.encode() for t in texts])
+        at_a = at_b = 0
+        for t, x, y in zip(texts, n_a.tolist(), n_b.tolist()):
+            if x:
+                assert a[at_a: at_a + x].tolist() == tokenizers[0].encode(" " + t, add_special_tokens=False).ids
+                assert b[at_b: at_b + y].tolist() == tokenizers[1].encode(t)
+            else:
+                assert not t or "▁" in t
+            at_a, at_b = at_a + x, at_b + y
+        assert at_a == len(a) and at_b == len(b)
 
 
 def test_windows_cut_at_shared_ends_before_spaces(spark):
@@ -130,9 +140,25 @@ def test_windows_cut_at_shared_ends_before_spaces(spark):
 def test_memo_is_bounded(monkeypatch):
     monkeypatch.setattr(alignment, "CACHE_WINDOWS", 5)
     e = alignment.Encoder(A, B)
-    memo = alignment.Windows(e)
-    for text in ["one", "two", "three", "one", "four", "five", "six", "seven", "one", "eight", "nine", "ten", "eleven"] * 2:
-        (a,), (b,) = e.encode([text])
-        key = np.array(a, np.int32).tobytes(), np.array(b, np.int32).tobytes()
-        assert memo.get(key) == alignment.align(a, b, *memo.sizes)
+    memo, fresh = alignment.Windows(e), lambda *w: alignment.Windows(e).get(*w)
+    for text in ["one two", "two three one", "four five six seven", "one eight nine ten eleven"] * 3:
+        a, b, _, _ = e.encode([text.encode()])
+        to_a, to_b, _ = alignment.anchors(e, a, b)
+        wanted = np.arange(len(to_a))
+        assert memo.get(a, b, to_a, to_b, wanted) == fresh(a, b, to_a, to_b, wanted)
         assert len(memo.young) <= 5 and len(memo.old) <= 5
+
+
+def test_byte_level_ids_are_the_tokenizers(spark, tokenizers, rows, sf):
+    """Also on whole documents, and with the strings of special tokens as ordinary text."""
+    _, encode = alignment.byte_level(A)
+    texts = [t or "" for _, t in rows] + [r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()]
+    texts += ["  \n\n  a b　c  ", "it's I'LL we'd", "١٢٣ ½ ⅷ x²", "áë", "​zero", "🏳️‍🌈🏳️‍🌈 ok", "﻿bom", "<|endoftext|>" * 3]
+    assert encode(texts) == [tokenizers[0].encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_equal_fingerprints_dont_decide(monkeypatch):
+    monkeypatch.setattr(alignment, "mix", lambda x: x * 0)
+    a, b = np.array([1, 2, 3, 1, 2, 9], np.int32), np.array([5, 6, 5, 7], np.int32)
+    first, kind = alignment.kinds_of([(a, np.array([0, 2, 3, 5]), np.array([2, 3, 5, 6])), (b, np.arange(4), np.arange(1, 5))])
+    assert first.tolist() == [0, 1, 3] and kind.tolist() == [0, 1, 0, 2]
