@@ -28,11 +28,11 @@ from leafvoice.llm.buffers import mix, prefix_sums, span_hashes, text_slices
 from leafvoice.llm.tables import Steps, table
 from leafvoice.llm.tokens import byte_letters
 
-SEGMENT_BYTES = 4 << 20
-#: Bytes of text encoded at once; the tokenizers hold some hundred bytes per token.
-ENCODED_BYTES = 1 << 19
+SEGMENT_BYTES = 3 << 19
+#: Texts are cut into pieces of about this size before they are encoded, so many bytes of them at once.
+PIECE_BYTES, ENCODED_BYTES = 128, 1 << 19
 #: Window alignments kept by a worker before it starts anew, in two generations of some 300 bytes each.
-CACHE_WINDOWS = 100_000
+CACHE_WINDOWS = 60_000
 #: Windows put together at once for a digest.
 WINDOWS = 1 << 18
 # --- fixed value: how byte-level BPE files of this kind cut a text before merging
@@ -83,17 +83,19 @@ class Encoder:
         # How an id is written: of A before another one of its group or before those of B, of B before another one or at the end.
         self.written = [str(i).encode() + mark for ids, marks in ((self.a_bytes, (b",", b"|")), (self.b_bytes, (b",", b";"))) for mark in marks for i in range(len(ids))]
         self.written_sizes = np.array([len(x) for x in self.written], np.int64)
+        self.a_flat, self.b_flat = (np.frombuffer(b"".join(x), np.uint8) for x in (self.a_bytes, self.b_bytes))
         self.a_sizes, self.b_sizes = (np.array([len(t) for t in x], np.int64) for x in (self.a_bytes, self.b_bytes))
         self.a_spaced, self.b_spaced = (np.array([t[:1] == b" " for t in x]) for x in (self.a_bytes, self.b_bytes))
 
-    def _checked(self, pieces: list[bytes], ids: list[list[int]], held: list[bytes], sizes: np.ndarray):
+    def _checked(self, pieces: list[bytes], ids: list[list[int]], held: list[bytes], flat_bytes: np.ndarray, sizes: np.ndarray):
         """Ids one after the other, how many each piece has, and whether they give back its bytes."""
         n = np.fromiter(map(len, ids), np.int64, len(ids))
         flat = np.fromiter(chain.from_iterable(ids), np.int32, int(n.sum()))
-        lengths = _sums(sizes[flat], n)
-        if (lengths == np.fromiter(map(len, pieces), np.int64, len(pieces))).all() and b"".join(map(held.__getitem__, flat.tolist())) == b"".join(pieces):
-            return flat, n, np.ones(len(n), bool)
-        return flat, n, np.array([b"".join(map(held.__getitem__, x)) == p for p, x in zip(pieces, ids)])
+        size = sizes[flat]
+        same = _sums(size, n) == np.fromiter(map(len, pieces), np.int64, len(pieces))
+        if same.all() and (gathered(flat_bytes, (np.cumsum(sizes) - sizes)[flat], size) == np.frombuffer(b"".join(pieces), np.uint8)).all():
+            return flat, n, same
+        return flat, n, np.array([b"".join([held[i] for i in x]) == p for p, x in zip(pieces, ids)], bool)
 
     def encode_pieces(self, pieces: list[bytes]):
         """Ids of A and of B, one piece after the other, how many of each a piece has, and whether both give back its bytes.
@@ -106,8 +108,8 @@ class Encoder:
                 end += 1
             some = pieces[at:end]
             texts = [x.decode() for x in some]
-            a = self._checked(some, self.a(texts), self.a_bytes, self.a_sizes)
-            b = self._checked(some, self.b.encode([t[1:] for t in texts], num_threads=1), self.b_bytes, self.b_sizes)
+            a = self._checked(some, self.a(texts), self.a_bytes, self.a_flat, self.a_sizes)
+            b = self._checked(some, self.b.encode([t[1:] for t in texts], num_threads=1), self.b_bytes, self.b_flat, self.b_sizes)
             parts.append((a[0], b[0], a[1], b[1], a[2] & b[2]))
             at = end
         return [np.concatenate(x) for x in zip(*parts)] if parts else [np.zeros(0, t) for t in (np.int32, np.int32, np.int64, np.int64, bool)]
@@ -116,26 +118,20 @@ class Encoder:
         """Ids of A and of B of the texts, one after the other, and how many each text has: none if it is empty or if one of
         the tokenizers doesn't give back its bytes.
 
-        Neither tokenizer has a token across a single space between ASCII letters. So texts are cut there, and equal
-        pieces are encoded once."""
-        whole = np.frombuffer(b"".join([b" " + t for t in texts]), np.uint8)
+        Neither tokenizer has a token across a single space between ASCII letters. So texts are cut there every
+        ``PIECE_BYTES`` or so: short pieces are encoded several times faster, and a long text needs no more memory."""
+        raw = b"".join([b" " + t for t in texts])
+        whole = np.frombuffer(raw, np.uint8)
         begins = np.cumsum([0] + [len(t) + 1 for t in texts])
         letter = _LETTER[whole]
-        cut = np.zeros(len(whole) + 1, bool)
-        cut[1:-2] = (whole[1:-1] == 0x20) & letter[:-2] & letter[2:]
-        cut[begins] = True
-        cuts = np.flatnonzero(cut)
-        start, end = cuts[:-1], cuts[1:]
-        first, kind = kinds_of([(whole, start, end)])
-        raw = whole.tobytes()
-        a, b, n_a, n_b, good = self.encode_pieces([raw[x:y] for x, y in zip(start[first].tolist(), end[first].tolist())])
-        of = np.searchsorted(begins, start, "right") - 1
-        held = np.bincount(of, ~good[kind], len(texts)) == 0
-        held &= np.diff(begins) > 1
-        kind, of = kind[held[of]], of[held[of]]
-        from_a, from_b = np.cumsum(n_a) - n_a, np.cumsum(n_b) - n_b
-        counts = (np.bincount(of, n[kind], len(texts)).astype(np.int64) for n in (n_a, n_b))
-        return gathered(a, from_a[kind], n_a[kind]), gathered(b, from_b[kind], n_b[kind]), *counts
+        at = np.flatnonzero((whole[1:-1] == 0x20) & letter[:-2] & letter[2:]) + 1
+        cuts = np.union1d(begins, at[np.diff(at // PIECE_BYTES, prepend=-1) > 0])
+        a, b, n_a, n_b, good = self.encode_pieces([raw[x:y] for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist())])
+        of = np.searchsorted(begins, cuts[:-1], "right") - 1
+        held = (np.bincount(of, ~good, len(texts)) == 0) & (np.diff(begins) > 1)
+        if not held.all():
+            a, b = a[np.repeat(held[of], n_a)], b[np.repeat(held[of], n_b)]
+        return a, b, *((np.bincount(of, n, len(texts)) * held).astype(np.int64) for n in (n_a, n_b))
 
 
 _LETTER = np.zeros(256, bool)
@@ -211,17 +207,22 @@ class Windows:
         raw_a, raw_b = a.tobytes(), b.tobytes()
         spans = zip(*((x * 4).tolist() for x in (begin_a, begin_a + size_a, begin_b, begin_b + size_b)))
         keys = [(raw_a[w:x], raw_b[y:z]) for w, x, y, z in spans]
-        young, old = self.young, self.old
-        out = [young.get(k) or old.get(k) for k in keys]
-        new = np.array([i for i, x in enumerate(out) if x is None], np.int64)
-        if len(new):
-            found = align(self.e, gathered(a, begin_a[new], size_a[new]), gathered(b, begin_b[new], size_b[new]), np.cumsum(size_a[new]), np.cumsum(size_b[new]))
-            for i, x in zip(new.tolist(), zip(*found)):
+        out = list(map(self.young.get, keys))
+        new = []
+        for i, x in enumerate(out):
+            if x is None:
+                x = out[i] = self.old.get(keys[i])
+                if x is None:
+                    new.append(i)
+        if new:
+            at = np.array(new)
+            size_a, size_b = size_a[at], size_b[at]
+            found = list(zip(*align(self.e, gathered(a, begin_a[at], size_a), gathered(b, begin_b[at], size_b), np.cumsum(size_a), np.cumsum(size_b))))
+            for i, x in zip(new, found):
                 out[i] = x
-        for k, x in zip(keys, out):
             if len(self.young) >= CACHE_WINDOWS:
                 self.old, self.young = self.young, {}
-            self.young[k] = x
+            self.young.update(zip([keys[i] for i in new[:CACHE_WINDOWS]], found))
         return out
 
 

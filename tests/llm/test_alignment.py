@@ -112,8 +112,9 @@ def test_pieces_give_the_ids_of_whole_texts(rows, tokenizers, spark, sf, monkeyp
     e = alignment.Encoder(A, B)
     texts = [t or "" for _, t in rows] + [r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()]
     texts += ["lost a▁b here", "a b c d", "x 1 y", "a  b", "A B", "é a b é", "a b\n", " a b "]
-    for some in (1 << 18, 50):
+    for some in (1 << 18, 50, 3):
         monkeypatch.setattr(alignment, "ENCODED_BYTES", some)
+        monkeypatch.setattr(alignment, "PIECE_BYTES", max(1, min(some // 10, 128)))
         a, b, n_a, n_b = e.encode([t.encode() for t in texts])
         at_a = at_b = 0
         for t, x, y in zip(texts, n_a.tolist(), n_b.tolist()):
@@ -146,7 +147,7 @@ def test_memo_is_bounded(monkeypatch):
         to_a, to_b, _ = alignment.anchors(e, a, b)
         wanted = np.arange(len(to_a))
         assert memo.get(a, b, to_a, to_b, wanted) == fresh(a, b, to_a, to_b, wanted)
-        assert len(memo.young) <= 5 and len(memo.old) <= 5
+        assert len(memo.young) <= 9 and len(memo.old) <= 9
 
 
 def test_byte_level_ids_are_the_tokenizers(spark, tokenizers, rows, sf):
