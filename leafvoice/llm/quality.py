@@ -160,8 +160,9 @@ def fit(rows: DataFrame, prior: float, weights: np.ndarray) -> np.ndarray:
 def _score(weights: np.ndarray):
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(_sigmoid(_matrix(batch.column(1)) @ weights) if batch.num_rows else np.zeros(0))], names=["doc_id", "score"])
+            # No weights: nothing was learnt.
+            at = _matrix(batch.column(1)) @ weights if batch.num_rows and len(weights) else np.zeros(batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_sigmoid(at))], names=["doc_id", "score"])
     return run
 
 
@@ -195,7 +196,7 @@ def train(measured: DataFrame, positives: DataFrame) -> QualityModel:
     marks = positives.select("doc_id").where("doc_id is not null").distinct().withColumn("positive", F.lit(True))
     row = measured.select("x").first()
     if row is None:
-        return QualityModel(np.zeros(1), 0.5)
+        return QualityModel(np.zeros(0), 0.5)
     d = expand(np.zeros((1, len(row["x"])))).shape[1]
     joined = measured.join(marks, "doc_id", "left")
     # Positives are counted in both sets, as they are part of the corpus.
