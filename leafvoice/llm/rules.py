@@ -213,12 +213,12 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are kept, in all their columns. The rules are learnt from the labelled rows, then
-    each row is judged where it is; nothing is joined back."""
+    """The rows of ``docs`` that are kept, in all their columns. Texts are measured once and stored with their counts; the
+    counts alone meet the labels, and each row is judged where it is stored."""
     steps = Steps(docs.sparkSession, "rules")
-    some = docs.select("doc_id", "text").join(labels.select("doc_id").distinct(), "doc_id", "left_semi")
-    rules = learn_rules(_labelled(measured(some, ["doc_id"]).select("_row.doc_id", *COUNTS), labels, "doc_id"), steps)
-    return measured(docs, docs.columns).where(~base_failed() & decision(rules).isNull()).select("_row.*")
+    rows = steps.keep(measured(docs, docs.columns), "measured")
+    rules = learn_rules(_labelled(rows.select("_row.doc_id", *COUNTS), labels, "doc_id"), steps)
+    return rows.where(~base_failed() & decision(rules).isNull()).select("_row.*")
 
 
 def op5_decision_rules(spark, sf_dir):
