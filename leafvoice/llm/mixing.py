@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafvoice.llm.tables import Steps, table, word_count
+from leafvoice.llm.tables import Steps, numbered, table, word_count
 
-#: Ranks are dealt into so many buckets per source, so that no source is ordered in one task.
-BUCKETS = 1024
+#: Ranges of rank whose words are counted per source; one of them is ordered.
+RANGES = 1 << 14
 CYCLE = (5, 2, 1)
 MOST_COPIES = 3
 
@@ -41,59 +41,115 @@ def source_targets(sizes: DataFrame, cycle: tuple[int, ...] = CYCLE, most: int =
         "source", "source_size", F.coalesce(F.least(F.col("least") * F.col("weight"), F.col("top")), F.col("top")).alias("target"))
 
 
-def _uniform(seed: int, *cols: str) -> Column:
-    """A number in (0, 1) from the row's columns; the same on every run."""
-    return (F.pmod(F.xxhash64(F.lit(seed), *cols), F.lit(1 << 52)).cast("double") + 0.5) / F.lit(float(1 << 52))
+def expected_copies(classes: DataFrame, targets: DataFrame, most: int = MOST_COPIES) -> DataFrame:
+    """``source, measure, source_size, target, whole, p`` from ``classes`` (source, measure, words): how often a document is
+    taken for certain, and with which probability once more.
+
+    Expected copies are in proportion to the measure, at most ``most``, and such that a source's words come to its target
+    on average. With the largest measures first the capped ones are a prefix, found by running sums."""
+    facts = classes.withColumnRenamed("source", "s").join(targets, F.col("s").eqNullSafe(F.col("source"))).drop("s")
+    falling = Window.partitionBy("source").orderBy(F.desc("measure"))
+    capped = F.coalesce(F.sum("words").over(falling.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    open_ = F.sum(F.col("words") * F.col("measure")).over(falling.rowsBetween(0, Window.unboundedFollowing))
+    # Copies per unit of measure if exactly the measures before this one are capped.
+    facts = facts.withColumn("unit", F.try_divide(F.col("target") - most * capped, open_))
+    fits = F.when(F.col("unit") * F.col("measure") <= most, F.col("unit"))
+    facts = facts.withColumn("level", F.first(fits, ignorenulls=True).over(falling.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    highest = F.lit(float(most))
+    facts = facts.withColumn("copies", F.greatest(F.least(F.coalesce(F.col("level") * F.col("measure"), highest), highest), F.lit(0.0)))
+    # Rounding must not make a whole number a copy less.
+    whole = F.floor(F.col("copies") + 1e-9)
+    return facts.withColumn("whole", whole.cast("long")).withColumn("p", F.col("copies") - F.col("whole")).select(
+        "source", "measure", "words", "source_size", "target", "whole", F.when(F.col("p") > 1e-9, F.col("p")).alias("p"))
+
+
+def sized(docs: DataFrame, seed: int, *keep: Column) -> DataFrame:
+    """``keep``, ``source``, ``size``, ``measure`` and ``draw`` of each row: a random number from id, source and text, so that reruns agree."""
+    text = F.coalesce("text", F.lit(""))
+    return docs.select(
+        *keep, F.col("source").alias("source"), word_count("text").alias("size"),
+        F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("source"), F.col("source").isNull(), text).alias("draw"),
+    ).withColumn("measure", F.length(F.bin("size")))
+
+
+def _ranked(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """Rows with their facts and ``rank``, the ratio r of random odds to inclusion odds as r / (1 + r); null for who can't be taken
+    once more. About p of those with probability p rank below a half."""
+    u = (F.pmod("draw", F.lit(1 << 52)).cast("double") + 0.5) / F.lit(float(1 << 52))
+    odds = (u / (1 - u)) / (F.col("p") / (1 - F.col("p")))
+    plan = plan.withColumnsRenamed({"source": "s", "measure": "m"})
+    joined = rows.join(plan, F.col("source").eqNullSafe(F.col("s")) & (F.col("measure") == F.col("m"))).drop("s", "m", "words")
+    return joined.withColumn("rank", F.when((F.col("size") > 0) & F.col("p").isNotNull(), odds / (1 + odds)))
+
+
+def sampling_plan(rows: DataFrame, steps: Steps, cycle: tuple[int, ...] = CYCLE, most: int = MOST_COPIES) -> DataFrame:
+    """What decides on each document, one row per source and measure: ``expected_copies``, and where the source's order of
+    ranks is cut: taken are ranks below (``cut``, ``cut_draw``) and, of the ``equals`` rows there, the first ``of_equals``.
+
+    ``rows`` as from :func:`sized`. The words of ``RANGES`` ranges of rank say in which one the target is met; only that
+    one, a thousandth of a source's documents at most, is ordered."""
+    classes = steps.keep(rows.groupBy("source", "measure").agg(F.sum("size").alias("words")), "classes")
+    targets = source_targets(classes.select("source", F.col("words").alias("size")), cycle, most)
+    facts = steps.keep(expected_copies(classes, targets, most), "facts")
+    rest = facts.groupBy("source").agg(F.greatest(F.max("target") - F.sum(F.col("whole") * F.col("words")), F.lit(0.0)).alias("rest"))
+    ranked = _ranked(rows, facts).where("rank is not null").withColumn("range", F.least(F.floor(F.col("rank") * RANGES), F.lit(RANGES - 1)))
+    sums = ranked.groupBy("source", "range").agg(F.sum("size").alias("n"))
+    before = lambda column, *order: F.coalesce(
+        F.sum(column).over(Window.partitionBy("source").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    null_safe = lambda a, b: F.col(a).eqNullSafe(F.col(b))
+    sums = sums.withColumn("begin", before("n", "range")).join(rest.withColumnRenamed("source", "s"), null_safe("source", "s")).drop("s")
+    met = sums.where("begin + n > rest and begin <= rest").groupBy("source", "rest").agg(F.min("range").alias("range"), F.min_by("begin", "range").alias("begin"))
+    met = steps.keep(met.select(F.col("source").alias("s"), F.col("range").alias("r"), "rest", "begin"), "met")
+    # Rows equal in all that matters are one from here on, however many they are.
+    edge = ranked.join(met, null_safe("source", "s") & (F.col("range") == F.col("r"))).groupBy("source", "rank", "draw", "rest", "begin") \
+        .agg(F.count("*").alias("equals"), F.first("size").alias("size"))
+    ahead = F.col("begin") + before(F.col("equals") * F.col("size"), "rank", "draw")
+    # One more row is taken as long as that brings the words taken nearer to the target.
+    takes = F.least(F.floor((F.col("rest") - ahead) / F.col("size") + 0.5), F.col("equals"))
+    last = edge.withColumn("takes", takes).where("takes > 0").groupBy("source").agg(F.max(F.struct("rank", "draw", "takes", "equals")).alias("last"))
+    cuts = met.join(last, null_safe("s", "source"), "left").select(
+        "s", F.coalesce("last.rank", F.col("r") / F.lit(float(RANGES))).alias("cut"), F.coalesce("last.draw", F.lit(-(1 << 63))).alias("cut_draw"),
+        F.coalesce("last.takes", F.lit(0)).alias("of_equals"), F.coalesce("last.equals", F.lit(0)).alias("equals"))
+    # No cut: all that can be taken once more is.
+    return steps.keep(facts.join(cuts, null_safe("source", "s"), "left").drop("s").fillna({"cut": 2.0, "cut_draw": 0, "of_equals": 0, "equals": 0}), "plan")
+
+
+def _decided(rows: DataFrame, plan: DataFrame, steps: Steps) -> DataFrame:
+    """``rows`` (as from :func:`sized`) with ``copies``. Each row is decided where it is; rows that are equal at the cut are numbered."""
+    ranked = _ranked(rows, plan)
+    at_cut = F.coalesce((F.col("rank") == F.col("cut")) & (F.col("draw") == F.col("cut_draw")), F.lit(False))
+    once_more = lambda taken: F.when(F.col("size") > 0, F.col("whole") + F.coalesce(taken, F.lit(False)).cast("long")).otherwise(0).cast("long")
+    below = (F.col("rank") < F.col("cut")) | ((F.col("rank") == F.col("cut")) & (F.col("draw") < F.col("cut_draw")))
+    some = F.col("of_equals") < F.col("equals")
+    out = ranked.where(~(at_cut & some)).withColumn("copies", once_more(below | at_cut))
+    if plan.where(some).limit(1).isEmpty():
+        return out
+    key = F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))
+    split = numbered(ranked.where(at_cut & some).withColumn("_key", key), "_key", steps)
+    return out.union(split.withColumn("copies", once_more(F.col("number") < F.col("of_equals"))).select(out.columns))
 
 
 def mix_sources(docs: DataFrame, seed: int = 17, cycle: tuple[int, ...] = CYCLE, most: int = MOST_COPIES) -> DataFrame:
     """``doc_id, source, size, source_size, target, copies`` of each row of ``docs`` (doc_id, source, text).
 
-    Size is the number of words; null and empty texts have size 0 and are never taken. A source with target t and
-    size S takes floor(t / S) certain copies of each document. The rest is one more copy of some: documents are
-    ranked by the ratio of random odds u / (1 - u) to inclusion odds p / (1 - p), p = rest / S, and are taken in that
-    order as long as this brings the words taken nearer to the target. Equal ranks are ordered by doc_id and size.
-
-    The ranks of a source are dealt into ``BUCKETS`` ranges. Sums of the ranges say where a range begins, and rows are
-    ordered within (source, range) only.
+    Size is the number of words; null and empty texts have size 0 and are never taken. A document's expected copies are
+    in proportion to its measure, the number of binary digits of its size, so that long documents are preferred mildly.
+    Their whole part is certain. With the fraction p as inclusion probability, documents are ranked by the ratio of random
+    odds u / (1 - u) to inclusion odds p / (1 - p), and are taken once more in that order as long as this brings the
+    source's words nearer to its target. Equal rows are decided one by one; null is a source like any other, the last one.
     """
     steps = Steps(docs.sparkSession, "mixing")
-    sizes = steps.keep(docs.select("doc_id", "source", word_count("text").alias("size")), "sizes")
-    targets = steps.keep(source_targets(sizes, cycle, most), "targets")
-    rate = F.col("target") / F.col("source_size")
-    # A target is at most a whole number of times its source; rounding must not make it a copy more.
-    whole = F.when(F.col("source_size") > 0, F.least(F.floor(rate + 1e-9), F.lit(most))).otherwise(0).cast("long")
-    facts = targets.withColumn("whole", whole).withColumn("rest", F.greatest(F.col("target") - F.col("whole") * F.col("source_size"), F.lit(0.0)))
-    share = F.col("rest") / F.col("source_size")
-    u = _uniform(seed, "doc_id", "size")
-    odds = (u / (1 - u)) / (share / (1 - share))
-    ranked = sizes.withColumnRenamed("source", "s").join(facts, F.col("s").eqNullSafe(F.col("source"))).select(
-        "doc_id", "source", "size", "source_size", "target", "whole", "rest",
-        F.when((F.col("size") > 0) & (share > 0), odds / (1 + odds)).alias("rank"))
-    ranked = steps.keep(ranked.withColumn("range", F.least(F.floor(F.col("rank") * BUCKETS), F.lit(BUCKETS - 1))), "ranked")
-    ranges = ranked.where("rank is not null").groupBy("source", "range").agg(F.sum("size").alias("n"))
-    begin = steps.keep(ranges.select(
-        F.col("source").alias("s"), F.col("range").alias("r"),
-        F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("begin")), "ranges")
-    within = Window.partitionBy("source", "range").orderBy("rank", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = ranked.join(begin, F.col("source").eqNullSafe(F.col("s")) & F.col("range").eqNullSafe(F.col("r")), "left").withColumn(
-        "taken_before", F.col("begin") + F.coalesce(F.sum("size").over(within), F.lit(0)))
-    more = F.coalesce((F.col("taken_before") + F.col("size") / 2.0 <= F.col("rest")) & F.col("rank").isNotNull(), F.lit(False))
-    return placed.select(
-        "doc_id", "source", "size", "source_size", "target",
-        F.when(F.col("size") > 0, F.col("whole") + more.cast("long")).otherwise(F.lit(0)).cast("long").alias("copies"))
-
-
-def mixed_documents(docs: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs`` as often as the mix takes them."""
-    plan = mix_sources(docs, **how).groupBy(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_n")) \
-        .agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
-    # Rows equal in id, source and size are taken equally often, the remainder by one of them.
-    plan = Steps(docs.sparkSession, "mixing").keep(plan.where("_copies > 0"), "plan")
-    keyed = docs.withColumn("_size", word_count("text"))
-    joined = keyed.join(plan, F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_n")))
-    times = F.ceil(F.col("_copies") / F.col("_rows")).cast("int")
-    return joined.withColumn("_times", F.explode(F.array_repeat(F.lit(1), times))).select(*docs.columns)
+    rows = steps.keep(sized(docs, seed, F.col("doc_id")), "sizes")
+    plan = sampling_plan(rows, steps, cycle, most)
+    return _decided(rows, plan, steps).select("doc_id", "source", "size", "source_size", "target", "copies")
+
+
+def mixed_documents(docs: DataFrame, seed: int = 17, cycle: tuple[int, ...] = CYCLE, most: int = MOST_COPIES) -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them. The plan is made of sizes; texts stay where they are."""
+    steps = Steps(docs.sparkSession, "mixing")
+    plan = sampling_plan(steps.keep(sized(docs, seed), "sizes"), steps, cycle, most)
+    rows = _decided(sized(docs, seed, F.struct(*docs.columns).alias("_row")), plan, steps).where("copies > 0")
+    return rows.select("_row", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select("_row.*")
 
 
 def op4_pareto_mixing(spark, sf_dir):

@@ -5,7 +5,7 @@ from __future__ import annotations
 import gc
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leafvoice.plans.blocks import remove, run_folder
@@ -35,6 +35,18 @@ def fold_of(doc_id: str, folds: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string")) % folds
 
 
+def numbered(rows: DataFrame, key: str, steps: "Steps") -> DataFrame:
+    """Adds ``number``, from 0, of each row among those of equal ``key`` (not null). Rows are counted per part of the written
+    table first, so a key's rows are never in one task. Columns ``_part`` and ``number`` are taken."""
+    rows = steps.keep(rows.withColumn("_part", F.spark_partition_id()), "numbered")
+    counts = rows.groupBy(key, "_part").agg(F.count("*").alias("_n"))
+    ahead = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(key, "_part", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy(key, "_part").orderBy("_part")) - 1
+    return rows.withColumn("_inside", inside).join(counts, [key, "_part"]).withColumn("number", F.col("_before") + F.col("_inside")) \
+        .drop("_part", "_inside", "_before")
+
+
 class Steps:
     """Intermediate tables of one run of an operator, in the shared folder; ``free`` deletes those that are used
     up, so that a long operator holds no more than it still needs."""
