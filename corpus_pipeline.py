@@ -22,11 +22,23 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, 0.8): the one with the smallest doc_id. Of repeated
-    rows one stays; rows without doc_id all stay."""
-    kept = Steps(spark, "pipeline").keep(near_duplicates(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept")).distinct(), "kept")
-    known = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
-    return known.union(docs.where("doc_id is null"))
+    """One document of each group of near copies (five-word shingles, 0.8): the one with the smallest doc_id, one without an id
+    only where there is no other. Groups are of texts, so different texts that share a doc_id, or have none, are judged
+    each on its own. Texts without words link with nothing. Of rows equal in doc_id and text one stays, the least by its columns.
+
+    Texts are told apart by 64-bit fingerprints here."""
+    steps = Steps(spark, "pipeline")
+    own = F.xxhash64(F.coalesce("text", F.lit("")), F.col("text").isNull())
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), own.alias("own"))
+    found = near_duplicates(docs.select(own.alias("doc_id"), "text")).groupBy(F.col("doc_id").alias("own")) \
+        .agg(F.first("component_id").alias("group"), F.first("n_shingles").alias("n"))
+    members = steps.keep(rows.select("id", "own").distinct().join(found, "own"), "members")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "own")).alias("first")
+    kept = members.where("n > 0").groupBy("group").agg(first).select("first.id", "first.own").union(members.where("n = 0").select("id", "own"))
+    kept = steps.keep(kept.select(F.col("id").alias("kept_id"), F.col("own").alias("kept_own")), "kept")
+    # Repeats are reduced before the exchange.
+    once = rows.groupBy("own", "id").agg(F.min("row").alias("row"))
+    return once.join(kept, (F.col("own") == F.col("kept_own")) & F.col("id").eqNullSafe(F.col("kept_id")), "left_semi").select("row.*")
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +63,7 @@ STAGES = [
     ("mix", mix),
     ("token_output", token_output),
 ]
-#: Signatures, the learned list, hashed ranks and token ids are outside SQL; tests hold the stages against plain Python.
+#: Signatures, the learned list, hashed ranks and token ids are outside SQL; tests/llm/test_pipeline.py holds the stages and run() against plain Python.
 ORACLE_SQL = None
 
 
