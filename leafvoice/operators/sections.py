@@ -13,16 +13,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafvoice.functions import fixed
+from leafvoice.functions.spans import NONE, STATES, UNSURE, span_step
 from leafvoice.functions.text import (
     clean_for_speech, ends_terminal, ends_with_abbreviation, heading_title, is_named_heading, js_trim, let,
     next_continues, title_or_untitled, word_count,
 )
 from leafvoice.plans.anchored import anchored_marks
+from leafvoice.plans.automaton import states_before
 from leafvoice.plans.blocks import (
-    PAGES_PER_BLOCK, ROWS_PER_BLOCK, block_of, busy_partitions, has_long_keys, materialize, row_index, running,
+    PAGES_PER_BLOCK, ROWS_PER_BLOCK, block_of, busy_partitions, hand_out, has_long_keys, materialize, row_index, running,
 )
 
 BLOCK = ["doc_id", "block"]
+#: So many characters without marks lie further apart than any span of limited length reaches.
+FAR_CHARS = 1000
 
 
 @dataclass
@@ -51,8 +55,9 @@ def features(paragraphs: DataFrame) -> DataFrame:
         # Spans that cleaning may remove across paragraphs: unbounded ones, and ones of known length.
         (has("```") | has("\\(") | has("\\begin{")).alias("opens"),
         (has("$") | has("\\[")).alias("math"),
+        span_step(text).alias("span_step"),
         let(trimmed, lambda t: t.rlike("[a-z]{2}[.!?]\\z") & ~ends_with_abbreviation(t)).alias("ends"),
-        (F.length("text") >= 600).alias("long"),
+        F.length("text").alias("chars"),
         trimmed.rlike("^[A-Z][a-z]").alias("begins"),
     )
 
@@ -109,10 +114,16 @@ def mark_sections(paragraphs: DataFrame, outline: DataFrame | None = None, long_
     rows = features(paragraphs).repartition(*BLOCK)
     rows = pick_headings(heading_candidates(rows), long_keys).withColumn("kind", F.lit(1))
     prev = Window.partitionBy(*BLOCK).orderBy("para_idx")
-    rows = rows.withColumns({
-        "clean_before": F.lag("ends").over(prev) & F.col("begins"),
-        "far_before": F.lag(F.col("long") & ~F.col("math")).over(prev),
+    # Characters that stay between here and the last paragraph with a mark; repairs may take a third of them.
+    marks = F.sum((F.col("math") | F.col("span_step").isNotNull()).cast("int")).over(prev.rowsBetween(Window.unboundedPreceding, 0))
+    since = Window.partitionBy(*BLOCK, "_marks").orderBy("para_idx").rowsBetween(Window.unboundedPreceding, -1)
+    stays = F.when(~F.col("math") & F.col("span_step").isNull(), F.col("chars")).otherwise(0)
+    rows = rows.withColumn("_marks", marks).withColumns({
+        "clean_before": F.lag("ends").over(prev) & F.col("begins"), "_since": F.coalesce(F.sum(stays).over(since), F.lit(0)),
     })
+    # A paragraph with a mark begins a count of its own; what counts for it is the one before.
+    rows = rows.withColumn("far_before", F.when(F.col("math") | F.col("span_step").isNotNull(), F.lag(F.col("_since") + stays).over(prev))
+                           .otherwise(F.col("_since")) >= FAR_CHARS).drop("_marks", "_since")
     order = ["page", "kind", "para_idx"]
     if outline is None:
         rows = rows.withColumn("entry", F.lit(None).cast("int"))
@@ -134,7 +145,7 @@ def mark_sections(paragraphs: DataFrame, outline: DataFrame | None = None, long_
     rows = rows.withColumns({c: before(c) for c in ("last_open", "last_math", "open_page", "math_page")})
     return rows.where("kind = 1").select(
         "doc_id", "block", "page", "para_idx", "words", "title", "plain", "accepted", "heading_at", "entry_page",
-        "clean_before", "far_before", "last_open", "last_math", "open_page", "math_page",
+        "clean_before", "far_before", "last_open", "last_math", "open_page", "math_page", "span_step",
     )
 
 
@@ -178,25 +189,40 @@ def _parts(rows: DataFrame, max_words: int, long_keys: bool) -> DataFrame:
     )
 
 
-def _passages(rows: DataFrame, long_keys: bool = True) -> DataFrame:
-    """Cut long chapters: the first certain sentence end in every block after the document's first
-    starts a passage. Parts by word count are short by themselves."""
-    if not long_keys:
-        return rows.withColumn("passage", F.lit(-1).cast("bigint"))
-    first_block = rows.groupBy("doc_id").agg(F.min("block").alias("block"))
-    rows = rows.withColumn(
-        "safe",
-        F.coalesce("clean_before", F.lit(False)) & (F.col("detection_mode") != "wordSplit")
-        & _nothing_pending(F.col("detection_mode")),
-    )
-    cuts = (
-        rows.where("safe").groupBy(*BLOCK).agg(F.min("para_idx").alias("cut")).join(first_block, BLOCK, "left_anti")
-    )
-    out = rows.join(cuts, BLOCK, "left")
-    return running(
-        out, ["doc_id"], "block", ["para_idx"],
-        {"passage": ("max", F.when(F.col("para_idx") == F.col("cut"), F.col("para_idx")))},
-    ).withColumn("passage", F.coalesce("passage", F.lit(-1)).cast("bigint")).drop("safe", "cut")
+def _no_math_near() -> Column:
+    """No paragraph with a dollar sign or an open display formula is close before this one in the document."""
+    return F.col("last_math").isNull() | F.coalesce("far_before", F.lit(False))
+
+
+def passage_cuts(rows: DataFrame) -> DataFrame:
+    """``doc_id, block, cut, carried``: in every block after a document's first, the first place where a sentence certainly
+    ends and no span is open is where a passage begins; ``carried`` is the last such place before the block. ``rows`` are
+    members with what :func:`mark_sections` says of them; parts by word count are short and aren't cut."""
+    sizes = rows.groupBy(*BLOCK).agg(F.count("*").alias("n"))
+    longs = sizes.groupBy("doc_id").agg(F.min("block").alias("first"), F.count("*").alias("blocks")).where("blocks > 1")
+    body = hand_out(rows.where("detection_mode != 'wordSplit'"), longs.select("doc_id", "first"), ["doc_id"], "block")
+    chapter = ["doc_id", "chapter_key"]
+    # A formula that opens where display mathematics may still be open is one that can't be told.
+    opens = F.element_at("span_step", 1) != NONE
+    unsure = F.transform("span_step", lambda s: F.when(s % 4 == NONE, s).otherwise(s - s % 4 + UNSURE))
+    body = body.withColumn("span_step", F.when(opens & ~_no_math_near(), unsure).otherwise(F.col("span_step")))
+    states = states_before(body, chapter, "block", "para_idx", "span_step", STATES)
+    stepped = body.join(states, [*chapter, "block", "para_idx"], "left")
+    # Between paragraphs with marks the state is the one after the last of them.
+    after = F.when(F.col("state").isNotNull(), F.struct("para_idx", F.element_at("span_step", F.col("state") + 1).alias("state")))
+    stepped = running(stepped, chapter, "block", ["para_idx"], {"last_state": ("max", after)})
+    state = F.coalesce("state", "last_state.state", F.lit(NONE))
+    safe = F.coalesce("clean_before", F.lit(False)) & (state == NONE) & _no_math_near()
+    cuts = stepped.where(safe & (F.col("block") > F.col("first"))).groupBy(*BLOCK).agg(F.min("para_idx").alias("cut"))
+    ahead = Window.partitionBy("doc_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    places = sizes.join(longs, "doc_id", "left_semi").select(*BLOCK).join(cuts, BLOCK, "left")
+    return places.withColumn("carried", F.max("cut").over(ahead)).where("cut is not null or carried is not null")
+
+
+def _passages(rows: DataFrame, cuts: DataFrame) -> DataFrame:
+    """Adds ``passage``, the paragraph that begins it, or -1."""
+    own = F.when(F.col("para_idx") >= F.col("cut"), F.col("cut"))
+    return rows.join(cuts, BLOCK, "left").withColumn("passage", F.coalesce(own, "carried", F.lit(-1)).cast("bigint")).drop("cut", "carried")
 
 
 def _bodies(tier: str) -> Column:
@@ -248,19 +274,17 @@ def choose_sections(
         alive = alive.unionByName(by_entry.select(
             "doc_id", F.lit("outline").alias("detection_mode"), F.col("entry_page").cast("bigint").alias("chapter_key")
         ))
-    return _assemble(rows.where("chapter_key is not null"), marked, outline, alive, long_keys)
+    return _assemble(rows.where("chapter_key is not null"), marked, outline, alive)
 
 
 def _assemble(
-    rows: DataFrame, marked: DataFrame, outline: DataFrame | None, alive: DataFrame | None, long_keys: bool
+    rows: DataFrame, marked: DataFrame, outline: DataFrame | None, alive: DataFrame | None
 ) -> Sections:
     """Passages and numbered chapters from body paragraphs with their ``chapter_key``."""
-    members = materialize(
-        _passages(rows, long_keys).select(
-            "doc_id", "para_idx", "page", "detection_mode", "chapter_key", "passage"
-        ),
-        "members",
-    )
+    placed = materialize(rows.select(
+        *BLOCK, "para_idx", "page", "detection_mode", "chapter_key", "clean_before", "far_before", "last_math", "span_step"), "placed")
+    members = _passages(placed, materialize(passage_cuts(placed), "cuts")).select(
+        "doc_id", "para_idx", "page", "detection_mode", "chapter_key", "passage")
     found = members.groupBy("doc_id", "detection_mode", "chapter_key").agg(F.min("page").alias("first_page"))
     kept = found.where("detection_mode = 'wordSplit'")
     if alive is not None:
@@ -310,7 +334,7 @@ def _one_tier(paragraphs: DataFrame, outline: DataFrame | None, tier: str) -> Se
     alive = _survives(marked, paragraphs, key, _bodies(tier)).select(
         "doc_id", F.lit(tier).alias("detection_mode"), F.col(key).cast("bigint").alias("chapter_key")
     )
-    return _assemble(rows, marked, outline, alive, long_keys)
+    return _assemble(rows, marked, outline, alive)
 
 
 def sections_from_headings(paragraphs: DataFrame) -> Sections:
@@ -326,7 +350,7 @@ def sections_by_word_count(paragraphs: DataFrame, max_words: int = fixed.PART_WO
     marked = materialize(mark_sections(paragraphs, None, long_keys), "sections")
     parts = _parts(marked, max_words, long_keys).select(*BLOCK, "para_idx", F.col("marks_before").alias("chapter_key"))
     rows = marked.join(parts, [*BLOCK, "para_idx"]).withColumn("detection_mode", F.lit("wordSplit"))
-    return _assemble(rows, marked, None, None, long_keys)
+    return _assemble(rows, marked, None, None)
 
 
 def join_blocks(blocks: Column) -> Column:

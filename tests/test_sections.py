@@ -157,3 +157,72 @@ def test_sums_before(spark):
     for levels, chunk in ((0, 64), (1, 2), (3, 3), (3, 64)):
         for r in df.select("s", N.sums_before(F.col("s"), levels, chunk).alias("o")).collect():
             assert r.o == [sum(r.s[:k]) for k in range(len(r.s))]
+
+
+def spanning(rng, n):
+    """Paragraphs of one long chapter with spans that open and close, overlap, stay open or never could."""
+    marks = ["```", "``` x ```", "````", "\\( a", "b \\)", "\\(\\)", "\\begin{q}", "\\end{q}", "\\begin{}", "\\begin{q", "z} \\end{q", "\\[ a", "b \\]", "\\[ x \\]", "c ] d",
+             "$", "$a$", "\\( ``` \\)", "``` \\( ```", "\\[ \\( \\]", "\\begin{a} \\( \\end{a} \\)", "\\begin{a} x \\end{a} \\( y", "\\be- gin{q}", "\\( a\nb \\)", "x\ny"]
+    out = [(1, "Chapter 1", 20.0)]
+    for j in range(n):
+        near = rng.random()
+        if near < 0.10:
+            text = rng.choice(marks)
+        elif near < 0.2:
+            text = f"Words before {rng.choice(marks)} and {rng.choice(marks)} words after here."
+        else:
+            text = f"Sentence {j} runs on here and it goes on for a while. " * rng.choice([1, 1, 1, 25]) + "It ends well."
+        out.append((1 + j // 3, text, 11.0))
+    return out + [(400, "Chapter 2", 20.0), (400, "One more.", 11.0), (401, "Chapter 3", 20.0), (401, "Last one.", 11.0)]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_cuts_fall_where_no_span_is_open(spark, monkeypatch, seed):
+    monkeypatch.setattr(S, "PAGES_PER_BLOCK", 1)
+    rng = random.Random(seed + 50)
+    docs = {f"d{k}": spanning(rng, 60) for k in range(25)}
+    df, _ = frames(spark, docs, {"d": []})
+    got = collect(N.books_from_paragraphs(df, splitter="simple"))
+    for d, ps in docs.items():
+        assert got[d] == loops.chapters_of(ps), d
+
+
+def test_closed_fences_leave_short_passages(spark, monkeypatch):
+    """Code and formulas over several paragraphs: a chapter of 1,500 paragraphs is cut in nearly every block."""
+    monkeypatch.setattr(S, "PAGES_PER_BLOCK", 1)
+    paras = [(1, "Chapter 1", 20.0)]
+    for j in range(300):
+        paras += [(1 + j, t, 11.0) for t in ("```", "x = 1", "``` That is code.", "\\begin{eq} a", "= b \\end{eq} so there.", f"Sentence {j} runs on here.", "Then it goes on.")]
+    paras += [(900, "Chapter 2", 20.0), (900, "One more.", 11.0), (901, "Chapter 3", 20.0), (901, "Last one.", 11.0)]
+    df, _ = frames(spark, {"d": paras}, {"d": []})
+    assert S.choose_sections(df).members.select("passage").distinct().count() > 290
+    assert collect(N.books_from_paragraphs(df, splitter="simple"))["d"] == loops.chapters_of(paras)
+
+
+def test_open_fence_stops_cuts(spark, monkeypatch):
+    monkeypatch.setattr(S, "PAGES_PER_BLOCK", 1)
+    paras = [(1, "Chapter 1", 20.0)] + [(1 + j // 3, f"Sentence {j} runs on here." if j != 50 else "``` open", 11.0) for j in range(100)]
+    paras += [(90, "Chapter 2", 20.0), (90, "One more.", 11.0), (91, "Chapter 3", 20.0), (91, "Last one.", 11.0)]
+    df, _ = frames(spark, {"d": paras}, {"d": []})
+    cut = [r.passage for r in S.choose_sections(df).members.select("passage").distinct().collect()]
+    assert 14 < len([p for p in cut if 0 <= p <= 51]) and not [p for p in cut if 51 < p <= 100]
+    assert collect(N.books_from_paragraphs(df, splitter="simple"))["d"] == loops.chapters_of(paras)
+
+
+def test_states_before(spark, monkeypatch):
+    from leafvoice.plans import automaton
+
+    monkeypatch.setattr(automaton, "BLOCKS_PER_GROUP", 3)
+    rng = random.Random(8)
+    rows, want = [], {}
+    for k in range(30):
+        state = 1
+        for i in range(rng.randint(1, 200)):
+            f = [rng.randrange(4) for _ in range(4)] if rng.random() < 0.4 else None
+            rows.append((f"k{k}" if k else None, i // 5, i, f))
+            if f:
+                want[f"k{k}" if k else None, i] = state
+                state = f[state]
+    df = spark.createDataFrame(rows, "key string, block long, at long, f array<int>").where("key is not null").repartition(4)
+    got = automaton.states_before(df, ["key"], "block", "at", "f", 4, start=1)
+    assert {(r.key, r.at): r.state for r in got.collect()} == {k: v for k, v in want.items() if k[0]}
