@@ -28,9 +28,9 @@ from leafvoice.llm.buffers import mix, prefix_sums, span_hashes, text_slices
 from leafvoice.llm.tables import Steps, table
 from leafvoice.llm.tokens import byte_letters
 
-SEGMENT_BYTES = 3 << 19
+SEGMENT_BYTES = 1 << 20
 #: Texts are cut into pieces of about this size before they are encoded, so many bytes of them at once.
-PIECE_BYTES, ENCODED_BYTES = 128, 1 << 19
+PIECE_BYTES, ENCODED_BYTES = 128, 1 << 18
 #: Window alignments kept by a worker before it starts anew, in two generations of some 300 bytes each.
 CACHE_WINDOWS = 60_000
 #: Windows put together at once for a digest.
@@ -200,29 +200,26 @@ class Windows:
     def __init__(self, e: Encoder) -> None:
         self.e, self.young, self.old = e, {}, {}
 
-    def get(self, a: np.ndarray, b: np.ndarray, to_a: np.ndarray, to_b: np.ndarray, wanted: np.ndarray) -> list[tuple[bytes, bytes]]:
-        """Groups and links of the windows number ``wanted``; those that aren't remembered are aligned in one go."""
+    def get(self, a: np.ndarray, b: np.ndarray, to_a: np.ndarray, to_b: np.ndarray, wanted: np.ndarray, often: np.ndarray) -> list[tuple[bytes, bytes]]:
+        """Groups and links of the windows number ``wanted``. Those that aren't remembered are aligned in one go; what is not
+        ``often`` there isn't asked for nor remembered."""
         begin_a, begin_b = (np.concatenate([[0], x[:-1]])[wanted] for x in (to_a, to_b))
         size_a, size_b = to_a[wanted] - begin_a, to_b[wanted] - begin_b
+        out, known = [None] * len(wanted), np.flatnonzero(often)
         raw_a, raw_b = a.tobytes(), b.tobytes()
-        spans = zip(*((x * 4).tolist() for x in (begin_a, begin_a + size_a, begin_b, begin_b + size_b)))
-        keys = [(raw_a[w:x], raw_b[y:z]) for w, x, y, z in spans]
-        out = list(map(self.young.get, keys))
-        new = []
-        for i, x in enumerate(out):
-            if x is None:
-                x = out[i] = self.old.get(keys[i])
-                if x is None:
-                    new.append(i)
+        spans = zip(*((x[known] * 4).tolist() for x in (begin_a, begin_a + size_a, begin_b, begin_b + size_b)))
+        keys = {i: (raw_a[w:x], raw_b[y:z]) for i, (w, x, y, z) in zip(known.tolist(), spans)}
+        for i, key in keys.items():
+            out[i] = self.young.get(key) or self.old.get(key)
+        new = [i for i, x in enumerate(out) if x is None]
         if new:
             at = np.array(new)
             size_a, size_b = size_a[at], size_b[at]
-            found = list(zip(*align(self.e, gathered(a, begin_a[at], size_a), gathered(b, begin_b[at], size_b), np.cumsum(size_a), np.cumsum(size_b))))
-            for i, x in zip(new, found):
+            for i, x in zip(new, zip(*align(self.e, gathered(a, begin_a[at], size_a), gathered(b, begin_b[at], size_b), np.cumsum(size_a), np.cumsum(size_b)))):
                 out[i] = x
             if len(self.young) >= CACHE_WINDOWS:
                 self.old, self.young = self.young, {}
-            self.young.update(zip([keys[i] for i in new[:CACHE_WINDOWS]], found))
+            self.young.update([(keys[i], out[i]) for i in new if i in keys][:CACHE_WINDOWS])
         return out
 
 
@@ -256,7 +253,7 @@ def _segment(e: Encoder, memo: Windows, texts: list[bytes]) -> list:
     # One text follows the other; each begins with a space, so that its beginning is an anchor, too.
     to_a, to_b, shared = anchors(e, a, b)
     first, kind = kinds_of([(x, np.concatenate([[0], to[:-1]]), to) for x, to in ((a, to_a), (b, to_b))])
-    kinds = memo.get(a, b, to_a, to_b, first)
+    kinds = memo.get(a, b, to_a, to_b, first, np.bincount(kind) > 1)
     ends = np.cumsum(n_a[good])
     upto = np.searchsorted(to_a, ends) + 1
     sizes[good] = np.diff(upto, prepend=0)

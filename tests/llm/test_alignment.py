@@ -146,7 +146,7 @@ def test_memo_is_bounded(monkeypatch):
         a, b, _, _ = e.encode([text.encode()])
         to_a, to_b, _ = alignment.anchors(e, a, b)
         wanted = np.arange(len(to_a))
-        assert memo.get(a, b, to_a, to_b, wanted) == fresh(a, b, to_a, to_b, wanted)
+        assert memo.get(a, b, to_a, to_b, wanted, wanted % 2 == 0) == fresh(a, b, to_a, to_b, wanted, wanted < 0)
         assert len(memo.young) <= 9 and len(memo.old) <= 9
 
 
