@@ -82,6 +82,21 @@ LATEX_INLINE = r"\$[^$\n]{1,200}\$"
 BOX_DRAWING = "[│┃┄┈─━┆┇┊┋╌╍═║]+"
 SOFT_HYPHEN = "\u00ad"
 
+# --- fixed values: characters by their part in the Unicode sentence rules, as ranges of code points in hexadecimal
+SENTENCE_ENDS = (
+    "21 3F 589 61D-61F 6D4 700-702 7F9 837 839 83D-83E 964-965 104A-104B 1362 1367-1368 166E 1735-1736 17D4-17D5 1803 1809 "
+    "1944-1945 1AA8-1AAB 1B5A-1B5B 1B5E-1B5F 1B7D-1B7E 1C3B-1C3C 1C7E-1C7F 203C-203D 2047-2049 2E2E 2E3C 2E53-2E54 3002 A4FF "
+    "A60E-A60F A6F3 A6F7 A876-A877 A8CE-A8CF A92F A9C8-A9C9 AA5D-AA5F AAF0-AAF1 ABEB FE56-FE57 FF01 FF1F FF61 10A56-10A57 "
+    "10F55-10F59 10F86-10F89 11047-11048 110BE-110C1 11141-11143 111C5-111C6 111CD 111DE-111DF 11238-11239 1123B-1123C 112A9 "
+    "1144B-1144C 115C2-115C3 115C9-115D7 11641-11642 1173C-1173E 11944 11946 11A42-11A43 11A9B-11A9C 11C41-11C42 11EF7-11EF8 "
+    "11F43-11F44 16A6E-16A6F 16AF5 16B37-16B38 16B44 16E98 1BC9F 1DA88"
+)
+FULL_STOPS = "2E 2024 FE52 FF0E"
+SENTENCE_CONTINUES = (
+    "2C-2D 3A-3B 37E 55D 60C-60D 7F8 1802 1808 2013-2014 3001 FE10-FE11 FE13-FE14 FE31-FE32 FE50-FE51 FE54-FE55 FE58 FE63 "
+    "FF0C-FF0D FF1A-FF1B FF64"
+)
+
 # --- fixed values: numbers
 CHARS_PER_SEC = 14            # speaking rate at rate 1.0
 MIN_SENTENCE_SEC = 0.4

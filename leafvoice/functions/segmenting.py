@@ -8,12 +8,30 @@ from pyspark.sql import functions as F
 from leafvoice.functions import fixed
 from leafvoice.functions.text import MARK, WIDE_MARK, WS, clean_for_speech, col, ends_with_abbreviation, js_trim
 
-# Unicode sentence boundaries of cleaned English text (see README, "Sentence boundaries").
-_CLOSERS = "[\"'()\\[\\]{}‘’“”«»‹›]*"
+
+
+def _class(ranges: str) -> str:
+    """The inside of a character class."""
+    return "".join("-".join(f"\\x{{{x}}}" for x in r.split("-")) for r in ranges.split())
+
+
+# Unicode sentence boundaries (rules SB5 to SB11) of cleaned text, whose only white space is the plain blank, in all scripts.
+_TERM, _STOP, _GOES_ON = _class(fixed.SENTENCE_ENDS), _class(fixed.FULL_STOPS), _class(fixed.SENTENCE_CONTINUES)
+# SB5: marks and format characters belong to what stands before them.
+_MARKS = r"\p{M}\p{Cf}"
+_FEW = f"[{_MARKS}]{{0,8}}"
+_CLOSERS = r"\"'\p{Ps}\p{Pe}\p{Pi}\p{Pf}❛-❠\x{1F676}-\x{1F678}"
+_CASED, _CAPITAL = r"[\p{IsUppercase}\p{IsLowercase}\p{Lt}]", r"[\p{IsUppercase}\p{Lt}]"
+# SB9, SB10: closing marks and blanks stay with the sentence.
+_TAIL = f"[{_CLOSERS}{_MARKS}]*+[ {_MARKS}]*+"
 _BOUNDARY = (
-    f"((?:[.!?]*[!?]{_CLOSERS} *)(?![.!?,:;\\-–—])"
-    f"|(?:[.!?]*\\.{_CLOSERS} *)(?<!\\p{{L}}\\.(?=\\p{{Lu}}))(?![.!?,:;\\-–—])(?<!\\.(?=\\d))"
-    f"(?![^\\p{{L}}.!?]*\\p{{Ll}}))"
+    # Ordinary letters fail at the first test; a run of end marks is looked at once.
+    rf"((?=[!.?\x{{80}}-\x{{10FFFF}}])(?<![!.?])[{_TERM}{_STOP}][{_TERM}{_STOP}{_MARKS}]*+(?:(?<=[{_TERM}]{_FEW}){_TAIL}"
+    # SB6: no end before a digit; SB7: nor between a letter's full stop and a capital; SB8: nor if small letters go on.
+    rf"|(?<=[{_STOP}]{_FEW})(?!\p{{Nd}})(?!(?<={_CASED}{_FEW}[{_STOP}]{_FEW}){_CAPITAL}){_TAIL}"
+    rf"(?![{_MARKS}[^\p{{IsAlphabetic}}{_TERM}{_STOP}]]*+\p{{IsLowercase}}))"
+    # SB8a: nor before a mark that goes on, or another end mark.
+    rf"(?![{_TERM}{_STOP}{_GOES_ON}]))"
 )
 _SIMPLE_BOUNDARY = f"([.!?]\\.*)(?={WS}*[A-Z\"'(\\[])"
 

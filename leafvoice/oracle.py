@@ -115,16 +115,15 @@ def unicode_pieces(x: str) -> tuple[str, str]:
     closed = f"regexp_matches(p.s, {q('[.!?]' + CLOSERS + '* +$')}) OR regexp_matches(p.s, {q('[.!?]' + CLOSERS + '+ *$')})"
     joins = "regexp_matches(p.n, '^[.!?,:;\\-–—]')"
     strong = f"regexp_matches(p.s, {q('[!?]' + CLOSERS + '* *$')})"
+    # What goes on behind a mark is looked at behind all that closes it.
     ends = (
-        f"CASE WHEN p.n IS NULL THEN false WHEN {strong} THEN ({closed}) OR NOT {joins} "
+        f"CASE WHEN p.n IS NULL OR {joins} THEN false WHEN {strong} THEN true "
         f"WHEN regexp_matches(p.n, '^[^\\p{{L}}.!?]*\\p{{Ll}}') THEN false WHEN {closed} THEN true "
-        f"ELSE NOT ({joins} OR regexp_matches(p.n, '^[0-9]') OR (regexp_matches(p.s, '\\p{{L}}\\.$') AND regexp_matches(p.n, '^\\p{{Lu}}'))) END"
+        f"ELSE NOT (regexp_matches(p.n, '^[0-9]') OR (regexp_matches(p.s, '\\p{{L}}\\.$') AND regexp_matches(p.n, '^\\p{{Lu}}'))) END"
     )
-    # A joining mark right behind a closer takes the closer with it.
-    split_closer = f"{joins} AND regexp_matches(p.s, {q(CLOSERS + '$')})"
     pieces = (
         f"list_transform(list_transform(range(1, len(c) + 1), lambda i: {{'s': c[i], 'n': nullif(c[i + 1], '')}}), "
-        f"lambda p: CASE WHEN NOT ({ends}) THEN p.s WHEN {split_closer} THEN left(p.s, length(p.s) - 1) || {MARK} || right(p.s, 1) ELSE p.s || {MARK} END)"
+        f"lambda p: CASE WHEN {ends} THEN p.s || {MARK} ELSE p.s END)"
     )
     return pieces, candidates
 
@@ -525,6 +524,14 @@ simple_split("turn_split", "turns", "conv_id, turn", "text")
 capped("turn_cap", "turns", "conv_id, turn")
 unicode_split("turn_seg", "turns", "conv_id, turn", "text", merge=False)
 SQL["segment_sentences"] = with_("SELECT conv_id, turn, pos, text FROM turn_seg")
+CTE["foreign_pieces"] = f"""
+  SELECT conv_id, turn, i, p, sum(begins) OVER (PARTITION BY conv_id, turn ORDER BY i) AS g FROM (
+    SELECT conv_id, turn, i, p, CASE WHEN i > 0 AND regexp_matches(p, '^[。！؟,:;\\-–—]') THEN 0 ELSE 1 END AS begins FROM (
+      SELECT conv_id, turn, unnest(range(0, len(ps))) AS i, unnest(ps) AS p FROM (
+        SELECT conv_id, turn, string_split(regexp_replace(translate(text, '.!?', '。！؟'), {q('([。！؟]+' + CLOSERS + '* *)')}, '\\1' || {MARK}, 'g'), {MARK}) AS ps FROM turns)))"""
+CTE["foreign_groups"] = "SELECT conv_id, turn, g, trim(string_agg(p, '' ORDER BY i)) AS text FROM foreign_pieces GROUP BY conv_id, turn, g"
+SQL["segment_other_scripts"] = with_("""
+SELECT conv_id, turn, CAST(row_number() OVER (PARTITION BY conv_id, turn ORDER BY g) - 1 AS INTEGER) AS pos, text FROM foreign_groups WHERE text <> ''""")
 SQL["split_sentences_simple"] = with_("SELECT conv_id, turn, pos, text FROM turn_split")
 SQL["enforce_max_length"] = with_("SELECT conv_id, turn, CAST(row_number() OVER (PARTITION BY conv_id, turn ORDER BY part) - 1 AS INTEGER) AS pos, text FROM turn_cap")
 CTE["short_pieces"] = """

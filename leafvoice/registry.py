@@ -496,6 +496,14 @@ def split_sentences(spark, sf):
     return d.select("doc_id", F.posexplode(N.split_sentences("text", "simple")).alias("pos", "text"))
 
 
+@query
+def segment_other_scripts(spark, sf):
+    """Sentences of texts whose end marks are those of other scripts: a full stop of Chinese, an exclamation mark of
+    double width, an Arabic question mark."""
+    marked = F.translate("text", ".!?", "。！؟")
+    return _turns(spark, sf).select("conv_id", "turn", F.posexplode(N.segment_sentences(marked)).alias("pos", "text"))
+
+
 @query
 def split_sentences_unicode(spark, sf):
     d = A.spread(table(spark, sf, "documents"), "doc_id")

@@ -142,3 +142,31 @@ def test_measures(spark):
 @pytest.mark.parametrize("text,drop", [("12", True), ("iv", True), ("Did", True), ("mild", True), ("12345", False), ("a1", False)])
 def test_page_numbers(spark, text, drop):
     assert run(spark, [text], "t string", o=T.is_page_number("t"))[0].o is drop
+
+
+def test_sentences_of_all_scripts(spark):
+    """Against the rules one by one, on texts in several scripts and with marks and closers in odd places."""
+    rng = random.Random(12)
+    latin = ["The", "end", "a", "É", "Dr", "3", "U", "x́", "ª", "Ⅷ"]
+    scripts = [latin, ["漢字", "かな", "カナ", "3"], ["नमस्ते", "हिन्दी"], ["مرحبا", "سلام", "٣"], ["Привет", "мир"], ["Բարեւ", "աշխարհ"], ["မြန်မာ"], ["ሰላም"], latin + ["漢", "ǅ"]]
+    marks = [".", ". ", "!", "?! ", "...", "。", "！", "।", "॥ ", "؟", "۔ ", "։", "။", "።", "．", "‼", ".‍", "!́", "․ ", "｡"]
+    between = [" ", " ", " ", "", ", ", "、", "：", "; ", " (", ") ", "”", "’ ", "「", "」", "\" ", "' ", "–", "،", "#", " & "]
+    texts = []
+    for _ in range(1500):
+        words = rng.choice(scripts)
+        t = "".join(rng.choice(words) + (rng.choice(marks) if rng.random() < 0.5 else "") + rng.choice(between) for _ in range(rng.randint(1, 9)))
+        texts.append(" ".join(t.split()))
+    for t, r in zip(texts, run(spark, texts, "t string", s=N.segment_sentences("t"))):
+        cuts = [0, *loops.sentence_ends(t), len(t)]
+        want = [p for p in (t[a:b].strip() for a, b in zip(cuts, cuts[1:])) if p]
+        assert r.s == want, (t, r.s, want)
+
+
+def test_long_runs_of_marks(spark):
+    """Dot leaders and the like take a time in proportion to their length."""
+    import time
+
+    texts = ["." * 200_000 + " a", "!" * 200_000, "a." * 50_000, ") " * 50_000 + "." + ")" * 50_000 + " x", "…" * 1000]
+    begin = time.time()
+    run(spark, texts, "t string", s=F.size(N.segment_sentences("t")))
+    assert time.time() - begin < 20
