@@ -383,6 +383,9 @@ FROM docs LEFT JOIN (SELECT doc_id, sum(length(text) + 1)::DOUBLE AS c FROM line
 SQL["flatten_outline"] = """
 SELECT CAST(page_id // 10 AS VARCHAR) AS doc_id, row_number() OVER (PARTITION BY page_id // 10 ORDER BY page_id) - 1 AS entry_idx, url AS title,
   CAST(page_id % 10 + 1 AS INTEGER) AS page FROM pages WHERE page_id % 7 <> 3"""
+SQL["flatten_deep_outline"] = """
+SELECT CAST(page_id // 100 AS VARCHAR) AS doc_id, row_number() OVER (PARTITION BY page_id // 100 ORDER BY page_id) - 1 AS entry_idx, url AS title,
+  CAST(page_id % 100 + 1 AS INTEGER) AS page FROM pages WHERE page_id % 7 <> 3"""
 SQL["write_library"] = with_("""
 SELECT 'bk_' || substr(sha256(c.doc_id), 1, 11) AS book_id, c.doc_id, 'book ' || c.doc_id AS title, chapter_count, coalesce(n, 0) AS sentence_count, detection_mode, 'v1' AS voice,
   chapter_count AS chapters_stored, title_chars AS chapters_chars, n AS sentences_stored, chars AS sentences_chars

@@ -115,6 +115,18 @@ def flatten_outline(spark, sf):
     return R.flatten_outline(nodes)
 
 
+@query
+def flatten_deep_outline(spark, sf):
+    """Contents of hundred pages each, nested up to forty levels deep: every page stands below the one before it."""
+    p = F.col("page_id")
+    nodes = table(spark, sf, "pages").select(
+        F.floor(p / 100).cast("string").alias("doc_id"), p.cast("string").alias("node_id"),
+        F.when(p % 100 % 40 != 0, (p - 1).cast("string")).alias("parent_id"), (p % 100).cast("int").alias("ord"),
+        "url", F.when(p % 7 != 3, (p % 100 + 1).cast("int")).alias("page"),
+    )
+    return R.flatten_outline(nodes.withColumnRenamed("url", "title"))
+
+
 @query
 def write_library(spark, sf):
     """Build chapters and sentences, write them with their book rows, and read the library back."""

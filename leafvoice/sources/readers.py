@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from leafvoice import schema
@@ -67,26 +67,33 @@ def split_scanned(runs: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFram
     return rated.where(~F.col("scanned")), rated.where("scanned")
 
 
+def _climbed(nodes: DataFrame) -> DataFrame:
+    """Every node looks twice as far up: its path is put behind that of the node its own ends at. Nodes whose way up ends at
+    no node go."""
+    above = nodes.select("doc_id", F.col("node_id").alias("up"), F.col("up").alias("_up"), F.col("path").alias("_path"))
+    more = nodes.where("up is not null").join(above, ["doc_id", "up"]).select(
+        "doc_id", "node_id", F.col("_up").alias("up"), F.concat("_path", "path").alias("path"), "title", "page"
+    )
+    return nodes.where("up is null").unionByName(more)
+
+
 def flatten_outline(nodes: DataFrame) -> DataFrame:
     """Nested contents to ``(doc_id, entry_idx, title, page)`` in reading order; entries whose page is
-    unknown go, their children stay. One join per level of nesting, whatever the number of entries."""
-    level = nodes.where("parent_id is null").select(
-        "doc_id", "node_id", F.array("ord").alias("path"), "title", "page"
-    )
-    levels = []
+    unknown go, their children stay. Nodes below no root, as in a cycle, go, too.
+
+    By pointer doubling: after n rounds a node knows 4 ** n levels of the way up, so the number of rounds follows the
+    logarithm of the depth, whatever the number of entries."""
+    at = nodes.select("doc_id", "node_id", F.col("parent_id").alias("up"), F.array("ord").alias("path"), "title", "page")
+    most = nodes.groupBy("doc_id").count().agg(F.max("count")).first()[0] or 0
+    known = 1
     while True:
-        level = materialize(level, "outline")
-        if level.limit(1).isEmpty():
+        seen = Observation()
+        at = materialize(at.observe(seen, F.count_if(F.col("up").isNotNull()).alias("open")), "outline")
+        # No way up is longer than a document has nodes.
+        if not seen.get["open"] or known >= most:
             break
-        levels.append(level)
-        parents = level.select("doc_id", F.col("node_id").alias("parent_id"), F.col("path").alias("up"))
-        level = nodes.join(parents, ["doc_id", "parent_id"]).select(
-            "doc_id", "node_id", F.concat("up", F.array("ord")).alias("path"), "title", "page"
-        )
-    levels = levels or [level]
-    flat = levels[0]
-    for other in levels[1:]:
-        flat = flat.unionByName(other)
+        at, known = _climbed(_climbed(at)), known * 4
+    flat = at.where("up is null")
     kept = flat.where("page is not null").withColumn("block", F.col("path")[0])
     return row_index(kept, ["doc_id"], "block", ["path"], "entry_idx").select(
         "doc_id", "entry_idx", js_trim(F.coalesce("title", F.lit(""))).alias("title"), "page"

@@ -2,6 +2,7 @@ import datetime as dt
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from leafvoice import schema
 from leafvoice.operators import catalog as C, navigation as G, quality as Q, sentences as N
@@ -233,3 +234,49 @@ def test_book_without_chapters_is_kept(spark):
     chapters = spark.createDataFrame([("x", "outline")], "doc_id string, detection_mode string")
     got = book_rows(docs, book_counts(chapters, chapters.select("doc_id"))).collect()
     assert sorted((r.doc_id, r.chapter_count, r.sentence_count) for r in got) == [("x", 1, 1), ("y", 0, 0)]
+
+
+def plain_outline(nodes):
+    """(title, page) in reading order of (id, parent, ord, title, page)."""
+    out = []
+
+    def walk(parent):
+        for i, _, _, title, page in sorted((n for n in nodes if n[1] == parent), key=lambda n: n[2]):
+            if page is not None:
+                out.append((title.strip(), page))
+            walk(i)
+
+    walk(None)
+    return out
+
+
+def test_outlines_of_any_shape(spark):
+    rng = random.Random(6)
+    docs = {}
+    for d in range(25):
+        nodes = []
+        for k in range(rng.randint(0, 60)):
+            parent = None if not nodes or rng.random() < 0.2 else rng.choice(nodes[-3:] if d % 2 else nodes)[0]
+            nodes.append((f"n{k}", parent, k if rng.random() < 0.5 else 100 - k, f" t{k} ", rng.choice([k, k, None])))
+        # Below a node that isn't there, and in a cycle: no root leads here.
+        nodes += [("lost", "nowhere", 0, "lost", 1), ("below", "lost", 0, "below", 1), ("x", "y", 0, "x", 1), ("y", "x", 0, "y", 1), ("z", "z", 0, "z", 1)]
+        docs[f"d{d}"] = nodes
+    rows = [(d, *n) for d, ns in docs.items() for n in ns]
+    df = spark.createDataFrame(rows, "doc_id string, node_id string, parent_id string, ord int, title string, page int").repartition(4)
+    got = {}
+    for r in R.flatten_outline(df).orderBy("doc_id", "entry_idx").collect():
+        assert r.entry_idx == len(got.setdefault(r.doc_id, []))
+        got[r.doc_id].append((r.title, r.page))
+    assert got == {d: w for d, ns in docs.items() if (w := plain_outline(ns))}
+
+
+def test_deep_outline_takes_few_rounds(spark, monkeypatch):
+    written = []
+    real = R.materialize
+    monkeypatch.setattr(R, "materialize", lambda df, name: written.append(name) or real(df, name))
+    df = spark.range(500).select(F.lit("d").alias("doc_id"), F.col("id").cast("string").alias("node_id"),
+                                 F.when(F.col("id") > 0, (F.col("id") - 1).cast("string")).alias("parent_id"), F.lit(0).alias("ord"),
+                                 F.concat(F.lit("t"), "id").alias("title"), F.col("id").cast("int").alias("page"))
+    got = [r.page for r in R.flatten_outline(df).orderBy("entry_idx").collect()]
+    assert got == list(range(500)) and len(written) <= 6
+    assert R.flatten_outline(df.limit(0)).collect() == []
