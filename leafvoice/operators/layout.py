@@ -13,6 +13,7 @@ from leafvoice.functions import fixed
 from leafvoice.functions.measures import run_end, size_bucket
 from leafvoice.functions.text import is_continuation, is_drop_cap, is_page_number, is_whitespace_gap, js_trim
 from leafvoice.plans.blocks import PAGES_PER_BLOCK, block_of, materialize, row_index, with_halo
+from leafvoice.plans.folds import scan
 
 PAGE = ["doc_id", "block", "page"]
 
@@ -25,17 +26,15 @@ def by_page_block(df: DataFrame) -> DataFrame:
 def _drifting_lines(items: Column, tolerance: float) -> Column:
     """Line number of every run where the height drifts: a run belongs to the open line while its height
     is within ``tolerance`` of that line's first run."""
-    start = F.struct(
-        F.lit(0).alias("line"), items[0]["y"].alias("anchor"), F.array().cast("array<int>").alias("out")
-    )
+    start = F.struct(F.lit(0).alias("line"), items[0]["y"].alias("anchor"))
 
-    def step(acc: Column, it: Column) -> Column:
-        stays = F.abs(acc["anchor"] - it["y"]) <= tolerance
-        line = F.when(stays, acc["line"]).otherwise(acc["line"] + 1)
-        anchor = F.when(stays, acc["anchor"]).otherwise(it["y"])
-        return F.struct(line.alias("line"), anchor.alias("anchor"), F.concat(acc["out"], F.array(line)).alias("out"))
+    def step(state: Column, it: Column) -> Column:
+        stays = F.abs(state["anchor"] - it["y"]) <= tolerance
+        line = F.when(stays, state["line"]).otherwise(state["line"] + 1)
+        anchor = F.when(stays, state["anchor"]).otherwise(it["y"])
+        return F.struct(F.struct(line.alias("line"), anchor.alias("anchor")).alias("s"), line.alias("o"))
 
-    return F.aggregate(items, start, step, lambda acc: acc["out"])
+    return scan(items, start, step, "int")
 
 
 def group_lines(runs: DataFrame, tolerance: float = fixed.LINE_TOLERANCE) -> DataFrame:
@@ -124,29 +123,23 @@ def _join_wrapped(lines: Column) -> Column:
 def _block_of_line(lines: Column, gap: float, share: float) -> Column:
     """Paragraph number of every line of a page, -1 for a blank line."""
     none = F.lit(None).cast("double")
-    start = F.struct(
-        F.lit(-1).alias("para"), none.alias("y"), none.alias("size"), F.array().cast("array<int>").alias("out")
-    )
+    start = F.struct(F.lit(-1).alias("para"), none.alias("y"), none.alias("size"))
 
-    def step(acc: Column, ln: Column) -> Column:
+    def step(state: Column, ln: Column) -> Column:
         height = F.when(ln["font_size"] * fixed.LINE_HEIGHT_EM == 0, F.lit(fixed.DEFAULT_LINE_HEIGHT)).otherwise(
             ln["font_size"] * fixed.LINE_HEIGHT_EM
         )
-        far = F.coalesce(F.abs(acc["y"] - ln["y"]) > height * gap, F.lit(False))
-        resized = (acc["size"] > 0) & (
-            F.abs(ln["font_size"] - acc["size"]) > F.greatest(F.lit(fixed.SIZE_CHANGE_MIN), acc["size"] * share)
-        )
-        opens = acc["size"].isNull() | far | resized
-        para = F.when(~ln["blank"] & opens, acc["para"] + 1).otherwise(acc["para"])
-        size = F.when(ln["blank"], none).when(opens, ln["font_size"]).otherwise(acc["size"])
-        return F.struct(
-            para.alias("para"),
-            F.when(ln["blank"], none).otherwise(ln["y"]).alias("y"),
-            size.alias("size"),
-            F.concat(acc["out"], F.array(F.when(ln["blank"], F.lit(-1)).otherwise(para))).alias("out"),
+        far = F.coalesce(F.abs(state["y"] - ln["y"]) > height * gap, F.lit(False))
+        resized = (state["size"] > 0) & (
+            F.abs(ln["font_size"] - state["size"]) > F.greatest(F.lit(fixed.SIZE_CHANGE_MIN), state["size"] * share)
         )
+        opens = state["size"].isNull() | far | resized
+        para = F.when(~ln["blank"] & opens, state["para"] + 1).otherwise(state["para"])
+        size = F.when(ln["blank"], none).when(opens, ln["font_size"]).otherwise(state["size"])
+        after = F.struct(para.alias("para"), F.when(ln["blank"], none).otherwise(ln["y"]).alias("y"), size.alias("size"))
+        return F.struct(after.alias("s"), F.when(ln["blank"], F.lit(-1)).otherwise(para).alias("o"))
 
-    return F.aggregate(lines, start, step, lambda acc: acc["out"])
+    return scan(lines, start, step, "int")
 
 
 def lines_to_paragraphs(

@@ -84,3 +84,45 @@ def test_one_hot_document(spark):
     got = out.agg(F.count("*").alias("n"), F.max("para_idx").alias("m"), F.count_distinct("para_idx").alias("u"),
                   F.max(F.col("text") == "Header line").alias("h")).first()
     assert (got.n, got.m, got.u, got.h) == (2 * 699, 2 * 699 - 1, 2 * 699, False)
+
+
+def test_scan_in_chunks(spark):
+    from leafvoice.plans.folds import scan
+
+    rng = random.Random(2)
+    rows = [[rng.randint(0, 9) for _ in range(n)] for n in (0, 1, 2, 3, 4, 8, 9, 10, 26, 27, 28, 81, 200)]
+    df = spark.createDataFrame([(r,) for r in rows], "xs array<int>")
+    step = lambda s, x: F.struct((s * 3 + x).cast("long").alias("s"), (s % 7 + x).alias("o"))
+    for chunk in (2, 3, 64):
+        for r in df.select("xs", scan(F.col("xs"), F.lit(1).cast("long"), lambda s, x: F.struct(((s * 3 + x) % 1009).alias("s"), (s % 7 + x).alias("o")), "bigint", chunk).alias("o")).collect():
+            state, want = 1, []
+            for x in r.xs:
+                want.append(state % 7 + x)
+                state = (state * 3 + x) % 1009
+            assert r.o == want
+
+
+def test_pages_of_many_runs_take_linear_time(spark):
+    """Drifting heights on one page, and lines to be put into paragraphs: four times the runs in about four times the time."""
+    import time
+
+    def once(n):
+        ys = [1000.0 - 0.4 * (i % 5) - i * 0.02 for i in range(n)]
+        runs = spark.createDataFrame([("d", 1, i, "word", 11.0, 0.0, y, 20.0) for i, y in enumerate(ys)], schema.RUNS)
+        lined = [r.line for r in L.group_lines(runs).orderBy("run_idx").collect()]
+        line, anchor, want = 0, ys[0], []
+        for y in ys:
+            line, anchor = (line, anchor) if abs(anchor - y) <= 1.5 else (line + 1, y)
+            want.append(line)
+        assert lined == want
+        lines = spark.createDataFrame([("d", 0, 1, i, float(900 - 14 * i), f"line {i}.", 11.0 + i % 3) for i in range(n)],
+                                      "doc_id string, block long, page int, line int, y double, text string, font_size double")
+        assert L.lines_to_paragraphs(lines).count() > n / 2
+        start = time.time()
+        L.group_lines(runs).write.format("noop").mode("overwrite").save()
+        L.lines_to_paragraphs(lines).write.format("noop").mode("overwrite").save()
+        return time.time() - start
+
+    once(500)
+    few, many = once(4000), once(16000)
+    assert many < 10 * few + 2
