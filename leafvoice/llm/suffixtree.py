@@ -1,6 +1,6 @@
 """Language-model scores with a probabilistic suffix tree over words.
 
-States are contexts of up to ``DEPTH`` words before a token. A context is a candidate if it occurs ``LEAST_COUNT`` times; it
+States are contexts of up to ``depth`` words before a token. A context is a candidate if it occurs ``LEAST_COUNT`` times; it
 is kept if its next-word distribution diverges from that of its parent, the context without its first word, or if a
 longer kept one needs it. Distributions are smoothed towards the parent's, and a token is scored in the state of the
 longest kept suffix.
@@ -8,15 +8,19 @@ longest kept suffix.
 Every word is a symbol of its own, and so is the end of a text. Words that were never seen are one symbol, with the share
 that words seen once suggest.
 
-Contexts and their next words are tables keyed by 64-bit fingerprints, and grow with the corpus. With W =
-``PARENT_WEIGHT`` a state c with n occurrences gives p(x | c) = (n(c, x) + W p(x | parent)) / (n + W). So a token's score
-is a sum: log p(x), and for each kept suffix c the log of W / (n + W), and for each (c, x) that was seen what the ratio of
+Smoothing takes one from each count and gives what it took to the parent: a state c with n occurrences and k different next
+words gives p(x | c) = (max(n(c, x) - 1, 0) + k p(x | parent)) / n. So next words that followed once have no rows of their
+own; how many there are is all that counts.
+
+Contexts and their next words are tables keyed by 64-bit fingerprints, and grow with the corpus. A token's score
+is a sum: log p(x), and for each kept suffix c the log of k / n, and for each (c, x) that was seen twice what the ratio of
 p(x | c) to p(x | parent) is above that. These summands are what the tables hold; a text's are found by one join.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,20 +35,18 @@ DEPTH = 3
 LEAST_COUNT = 32
 #: Bits by which the next symbol of a state must diverge from its parent's.
 LEAST_DIVERGENCE = 0.02
-#: Weight of the parent's distribution in a state's, as so many occurrences.
-PARENT_WEIGHT = 20.0
-#: Words of at least this share of all tokens are looked up where the text is: at most 1 / COMMON_SHARE of them (1 MB).
-COMMON_SHARE = 1.5e-5
+#: Words of at least this share of all tokens are looked up where the text is: at most 1 / COMMON_SHARE of them (8 MB).
+COMMON_SHARE = 2e-6
 #: The same for contexts and for contexts with a next word, of each length (at most 8 MB each); all others by the join.
 COMMON_CONTEXT_SHARE = 2e-6
 #: Bits of the filter that says of most contexts that they are none of a table's. What passes it is decided by the table.
-FILTER_BITS = 1 << 26
+FILTER_BITS = 1 << 25
 #: Large joins are made in so many parts, one after the other, so that their exchanges take less disk.
 PARTS = 4
 SLICE = 4 << 20
 _U = np.uint64
-#: As words: the end of a text (which stands before a text, too), and any word.
-_END, _ANY = (int(mix(np.array([x], _U)).view(np.int64)[0]) for x in (0x656E64, 0x616E79))
+#: As words: the end of a text (which stands before a text, too), any word, and words that followed once.
+_END, _ANY, _ONCE = (int(mix(np.array([x], _U)).view(np.int64)[0]) for x in (0x656E64, 0x616E79, 0x6F6E6365))
 
 
 def _step(h: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -128,9 +130,10 @@ def passes(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
 
 
 def _pair_counts(shared, length: int):
-    """(context, next, count) over a task's texts of the contexts that pass the filter, summed up as far as memory allows."""
+    """(context, next, count) over a task's texts of the contexts that pass the filter, summed up as far as memory allows. What
+    follows the parent once in the corpus, by the second filter, is only counted."""
     def run(batches):
-        bits = shared.value
+        bits, repeated = shared.value
         held, n = [], 0
 
         def merged():
@@ -145,9 +148,11 @@ def _pair_counts(shared, length: int):
 
         for _, data, offsets in text_slices(batches, most=SLICE):
             s, at, *_ = symbols_of(data, offsets)
-            *_, (ids, ok) = context_ids(s, at, length)
-            ok = ok & passes(bits, ids)
-            held.append((ids[ok], s[ok], np.ones(int(ok.sum()), np.int64)))
+            *above, (ids, ok) = context_ids(s, at, length)
+            ok = np.flatnonzero(ok & passes(bits, ids))
+            x = s[ok]
+            of_parent = pair_hash(above[-1][0][ok], x) if above else x
+            held.append((ids[ok], np.where(passes(repeated, of_parent), x, np.int64(_ONCE).view(_U)), np.ones(len(ok), np.int64)))
             n += len(held[-1][0])
             if n > 1_500_000:
                 held = [merged()]
@@ -164,76 +169,73 @@ def _part(df: DataFrame, column: str, part: int, parts: int) -> DataFrame:
     return df.where(F.pmod(F.col(column), F.lit(parts)) == part) if parts > 1 else df
 
 
-def _union(tables: list[DataFrame]) -> DataFrame:
-    out = tables[0]
-    for t in tables[1:]:
-        out = out.union(t)
-    return out
-
-
 @dataclass
 class SuffixTree:
-    """``summands`` (key, value, n): of contexts with any word, and of contexts with a next word that was seen, per length;
-    ``filters`` of the kept contexts per length; keys (sorted) and values of the common ones."""
+    """``summands`` (key, value, n): of contexts with any word, and of contexts with a next word that was seen twice, per length;
+    ``filters`` of the kept contexts and of these pairs, per length; keys (sorted) and values of the common ones."""
 
     summands: list[DataFrame]
-    filters: list[np.ndarray]
+    filters: list[tuple[np.ndarray, np.ndarray]]
     keys: np.ndarray
     values: np.ndarray
 
 
-def grow(docs: DataFrame, v: Vocabulary, counts: DataFrame, steps: Steps) -> SuffixTree:
-    """One pass over all texts per length. ``counts``: word, n of all of ``docs``."""
-    spark, w = docs.sparkSession, PARENT_WEIGHT
+def _count_pairs(docs: DataFrame, contexts: DataFrame, repeated: np.ndarray, length: int, steps: Steps) -> DataFrame:
+    """``c, x, n`` of what followed a context twice or more; x null: how many words followed it once."""
+    shared = docs.sparkSession.sparkContext.broadcast((make_filter(contexts), repeated))
+    counted = docs.select("text").mapInArrow(_pair_counts(shared, length), "c long, x long, n long").groupBy("c", "x").agg(F.sum("n").alias("n"))
+    twice = F.when((F.col("n") > 1) & (F.col("x") != _ONCE), F.col("x")).alias("x")
+    out = steps.keep(counted.select("c", twice, "n").groupBy("c", "x").agg(F.sum("n").alias("n")), "pairs")
+    shared.destroy()
+    return out
+
+
+def grow(docs: DataFrame, v: Vocabulary, counts: DataFrame, steps: Steps, depth: int = DEPTH) -> SuffixTree:
+    """One pass over all texts per length, as long as there are candidates. ``counts``: word, n of all of ``docs``."""
+    spark = docs.sparkSession
     n_all = float(max(1, v.tokens))
     end = spark.range(1 if v.ends else 0).select(F.lit(_END).alias("word"), F.lit(v.ends).cast("long").alias("n"))
     words = counts.select("word", "n").union(end)
-    before = words.select(F.col("word").alias("up"), (F.col("n") * ((1 - v.unseen) / n_all)).alias("q"))
-    contexts = steps.keep(words.where(F.col("n") >= LEAST_COUNT).select(F.col("word").alias("c"), F.lit(None).cast("long").alias("parent"), F.col("n").alias("total")), "contexts")
-    parent_p = (F.col("p") * (F.col("total") + w) - F.col("n")) / w
+    above = words.where("n > 1").select(F.col("word").alias("up"), (F.col("n") * ((1 - v.unseen) / n_all)).alias("q"))
+    contexts = steps.keep(words.where(F.col("n") >= LEAST_COUNT).select(F.col("word").alias("c"), F.lit(None).cast("long").alias("parent")), "contexts")
     levels = []
-    for length in range(1, DEPTH + 1):
-        bits = make_filter(contexts)
-        if not bits.any():
+    for length in range(1, depth + 1):
+        if contexts.limit(1).isEmpty():
             break
-        shared = spark.sparkContext.broadcast(bits)
-        counted = steps.keep(docs.select("text").mapInArrow(_pair_counts(shared, length), "c long, x long, n long").groupBy("c", "x").agg(F.sum("n").alias("n")), "counted")
-        shared.destroy()
+        pairs = _count_pairs(docs, contexts, make_filter(above.select(F.col("up").alias("c"))), length, steps)
+        stats = pairs.groupBy("c").agg(F.sum("n").alias("total"), F.sum(F.when(F.col("x").isNull(), F.col("n")).otherwise(1)).alias("kinds"))
+        facts = steps.keep(contexts.join(stats, "c"), "facts")
         up = F.col("x") if length == 1 else F.xxhash64("parent", "x")
-        longer = F.when((F.col("n") >= LEAST_COUNT) & (F.col("x") != _END), up)
-        p = (F.col("n") + w * F.col("q")) / (F.col("total") + w)
-        parts, pairs = PARTS if length == 1 else 1, []
-        for part in range(parts):
-            known = _part(counted, "x", part, parts).join(contexts, "c").select("c", F.xxhash64("c", "x").alias("key"), longer.alias("longer"), "n", "total", up.alias("up"))
-            # What follows a context has followed its parent, too.
-            q = _part(before, "up", part, parts)
-            pairs.append(steps.keep(known.join(q, "up").select("c", "key", F.col("longer").alias("up"), "n", "total", p.alias("p")), "pairs"))
-        steps.free(counted)
-        one = _union(pairs)
-        # Next words that were not seen have w / (total + w) of what the parent gives them.
-        share = w / (F.max("total") + w)
-        ratio = F.sum(F.col("p") * F.log2(F.col("p") / parent_p)) + share * F.greatest(1 - F.sum(parent_p), F.lit(0.0)) * F.log2(share)
-        judged = one.groupBy("c").agg((ratio >= LEAST_DIVERGENCE).alias("kept"), F.max("total").alias("total"))
-        judged = steps.keep(judged.join(contexts.select("c", "parent"), "c"), "judged")
-        levels.append((pairs, judged))
-        before = one.select(F.col("key").alias("up"), F.col("p").alias("q"))
+        known = pairs.where("x is not null").join(facts, "c").select(
+            "c", F.xxhash64("c", "x").alias("key"), up.alias("up"), "n", "total", "kinds", (F.col("x") == _END).alias("last"))
+        # What follows a context twice has followed its parent twice, too.
+        p = (F.col("n") - 1 + F.col("kinds") * F.col("q")) / F.col("total")
+        level = steps.keep(known.join(above, "up").select("c", "key", "up", "n", "q", p.alias("p"), "last"), "level")
+        steps.free(pairs, contexts)
+        # All other words have k / n of what the parent gives them.
+        share = F.col("kinds") / F.col("total")
+        sums = level.groupBy("c").agg(F.sum(F.col("p") * F.log2(F.col("p") / F.col("q"))).alias("seen"), F.sum("q").alias("q"))
+        diverges = F.col("seen") + share * F.greatest(1 - F.col("q"), F.lit(0.0)) * F.log2(share) >= LEAST_DIVERGENCE
+        judged = steps.keep(facts.join(sums, "c").select("c", "parent", "total", F.log10(share).alias("alone"), diverges.alias("kept")), "judged")
+        steps.free(facts)
+        levels.append((level, judged))
+        above = level.select(F.col("key").alias("up"), F.col("p").alias("q"))
         # w1 .. wk x is as frequent as x after w1 .. wk; its parent leaves out w1.
-        contexts = steps.keep(one.where("up is not null").select(F.col("key").alias("c"), F.col("up").alias("parent"), F.col("n").alias("total")), "contexts")
+        longer = level.where((F.col("n") >= LEAST_COUNT) & ~F.col("last")).select(F.col("key").alias("c"), F.col("up").alias("parent"))
+        contexts = steps.keep(longer, "contexts")
     summands, filters, needed = [], [], None
-    for pairs, judged in reversed(levels):
+    for level, judged in reversed(levels):
         kept = judged.where("kept")
         if needed is not None:
             kept = judged.join(needed.withColumn("needed", F.lit(True)), "c", "left").where("kept or needed")
-        kept = steps.keep(kept.select("c", "parent", "total"), "kept")
+        kept = steps.keep(kept.select("c", "parent", "total", "alone"), "kept")
         needed = kept.select(F.col("parent").alias("c")).where("c is not null").distinct()
-        filters.append(make_filter(kept))
-        alone = F.log10(w / (F.col("total") + w))
-        summands.append(steps.keep(kept.select(F.xxhash64("c", F.lit(_ANY)).alias("key"), alone.alias("value"), F.col("total").alias("n")), "summands"))
-        for one in pairs:
-            seen = one.join(kept.select("c"), "c", "left_semi").select("key", (F.log10(F.col("p") / parent_p) - alone).alias("value"), "n")
-            summands.append(steps.keep(seen, "summands"))
-            steps.free(one)
-        steps.free(judged)
+        alone = kept.select(F.xxhash64("c", F.lit(_ANY)).alias("key"), F.col("alone").alias("value"), F.col("total").alias("n"), F.lit(False).alias("pair"))
+        seen = level.join(kept.select("c", "alone"), "c").select("key", (F.log10(F.col("p") / F.col("q")) - F.col("alone")).alias("value"), "n", F.lit(True).alias("pair"))
+        own = steps.keep(alone.union(seen), "summands")
+        steps.free(level, judged)
+        filters.append((make_filter(kept), make_filter(own.where("pair").select(F.col("key").alias("c")))))
+        summands.append(own)
     common = [d.where(F.col("n") >= max(1.0, COMMON_CONTEXT_SHARE * v.tokens)).select("key", "value").toArrow() for d in summands]
     keys = np.concatenate([np.zeros(0, np.int64), *(np.asarray(c.column(0)) for c in common)]).view(_U)
     values = np.concatenate([np.zeros(0), *(np.asarray(c.column(1)) for c in common)])
@@ -278,15 +280,16 @@ def _scored(shared):
             sums = lambda values: np.bincount(own[common], values[i[common]], n).astype(float) if common.any() else np.zeros(n)
             tree = np.zeros(n)
             rows, keys = [own[~common]], [h[~common]]
-            for bits, (ids, ok) in zip(filters, context_ids(s, at, len(filters))):
+            for (bits, pair_bits), (ids, ok) in zip(filters, context_ids(s, at, len(filters))):
                 at_ = np.flatnonzero(ok & passes(bits, ids))
                 c = ids[at_]
-                for x in (s[at_], np.full(len(c), _ANY, np.int64).view(_U)):
-                    key = pair_hash(c, x)
+                pair = pair_hash(c, s[at_])
+                seen = passes(pair_bits, pair)
+                for of, key in ((at_, pair_hash(c, np.full(len(c), _ANY, np.int64).view(_U))), (at_[seen], pair[seen])):
                     j, there = lookup(tree_keys, key)
                     if there.any():
-                        tree += np.bincount(row[at_[there]], tree_values[j[there]], n)
-                    rows.append(row[at_[~there]])
+                        tree += np.bincount(row[of[there]], tree_values[j[there]], n)
+                    rows.append(row[of[~there]])
                     keys.append(key[~there])
             rows, keys = np.concatenate(rows), np.concatenate(keys)
             order = np.lexsort((keys, rows))
@@ -316,7 +319,7 @@ def learn_vocabulary(docs: DataFrame, counts: DataFrame) -> Vocabulary:
     return Vocabulary(words[order], often[order], tokens, t["v"] + (ends > 0), ends, float(np.clip(t["once"] / max(1, tokens), 1e-6, 0.5)))
 
 
-def score_documents(docs: DataFrame, learn_from: DataFrame) -> DataFrame:
+def score_documents(docs: DataFrame, learn_from: DataFrame, depth: int = DEPTH) -> DataFrame:
     """``doc_id, n_tokens, n_known, train_tokens, base_score, score`` of each row of ``docs`` (doc_id, text), learnt from all
     rows of ``learn_from`` (text).
 
@@ -328,7 +331,7 @@ def score_documents(docs: DataFrame, learn_from: DataFrame) -> DataFrame:
     steps = Steps(spark, "suffixtree")
     counts = steps.keep(learn_from.select("text").mapInArrow(_word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
     v = learn_vocabulary(learn_from, counts)
-    tree = grow(learn_from, v, counts, steps)
+    tree = grow(learn_from, v, counts, steps, depth)
     shared = spark.sparkContext.broadcast((v, tree.filters, tree.keys, tree.values))
     scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scored(shared), _SCORED)
     scored = steps.keep(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
@@ -339,7 +342,7 @@ def score_documents(docs: DataFrame, learn_from: DataFrame) -> DataFrame:
     times = lambda c: F.sum(F.col("often") * F.col(c)).alias(c)
     found = [steps.keep(_part(asked, "key", part, PARTS).join(_part(weights, "key", part, PARTS), "key").groupBy("row").agg(times("more"), times("value"), times("word")), "found")
              for part in range(PARTS)]
-    found = _union(found).groupBy("row").agg(*(F.sum(c).alias(c) for c in ("more", "value", "word")))
+    found = reduce(DataFrame.union, found).groupBy("row").agg(*(F.sum(c).alias(c) for c in ("more", "value", "word")))
     steps.free(*tree.summands)
     log = lambda x: float(np.log10(x)) if x > 0 else 0.0
     number = lambda c: F.coalesce(F.col(c), F.lit(0))

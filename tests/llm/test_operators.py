@@ -364,21 +364,22 @@ def test_suffix_tree_learns_contexts(spark):
     assert got[1].score > got[1].base_score and got[1].score > got[2].score + 5
 
 
-def plain_tree(texts, w=20.0):
+def plain_tree(texts, depth=3):
     """A function of text: the suffix tree's score by counts of word tuples, contexts of any number."""
     rows = [[None, *words((t or "").translate(LOW)), None] for t in texts]
     single = Counter(x for r in rows for x in r[1:])
-    n, grams = sum(single.values()), Counter(tuple(r[i: j + 1]) for r in rows for j in range(1, len(r)) for i in range(max(0, j - 3), j))
-    total = Counter()
+    n, grams = sum(single.values()), Counter(tuple(r[i: j + 1]) for r in rows for j in range(1, len(r)) for i in range(max(0, j - depth), j))
+    total, kinds = Counter(), Counter()
     for g, k in grams.items():
         total[g[:-1]] += k
+        kinds[g[:-1]] += 1
     unseen = min(0.5, max(1e-6, sum(k == 1 for x, k in single.items() if x is not None) / n))
     candidates = {c for c in total if total[c] >= suffixtree.LEAST_COUNT}
 
     def p(c, x):
         if not c:
             return (1 - unseen) * single[x] / n if x in single else unseen
-        return (grams[(*c, x)] + w * p(c[1:], x)) / (total[c] + w)
+        return (max(grams[(*c, x)] - 1, 0) + kinds[c] * p(c[1:], x)) / total[c]
 
     everything, kept = [*single, "never seen"], set()
     for c in sorted(candidates, key=len, reverse=True):
@@ -388,7 +389,7 @@ def plain_tree(texts, w=20.0):
 
     def score(t):
         r = [None, *words((t or "").translate(LOW)), None]
-        return sum(math.log10(p(next((c for i in range(max(0, j - 3), j) if (c := tuple(r[i:j])) in kept), ()), r[j])) for j in range(1, len(r)))
+        return sum(math.log10(p(next((c for i in range(max(0, j - depth), j) if (c := tuple(r[i:j])) in kept), ()), r[j])) for j in range(1, len(r)))
     return score, kept
 
 
@@ -397,13 +398,20 @@ def test_suffix_tree_keeps_all_frequent_contexts(spark, monkeypatch, share):
     """Scores equal plain counting, also of words and contexts of less than 4e-4 of all tokens, looked up or joined."""
     monkeypatch.setattr(suffixtree, "COMMON_CONTEXT_SHARE", share)
     texts = [prose(i, 700, 3000) for i in range(250)] + ["rare pair of words " * 2 + f"u{i}" for i in range(20)] + [None, ""]
-    rows = [(i, t) for i, t in enumerate(["rare pair of words rare", "Pair of words of rare never", None, texts[0][:900]])]
+    texts += [f"k{i % 2} m m m m e{i % 2}" for i in range(80)]
+    rows = [(i, t) for i, t in enumerate(["rare pair of words rare", "k1 m m m m e1 m m e0", "Pair of words of rare never", None, texts[0][:900]])]
     rows += [(i, t) for i, t in TEXTS if i is not None and len(t or "") < 3000]
     score, kept = plain_tree(texts)
-    assert ("rare", "pair", "of") in kept and 40 < 4e-4 * sum(len(words(t)) for t in texts)
+    assert ("rare",) in kept and ("pair",) in kept and 40 < 4e-4 * sum(len(words(t)) for t in texts)
     learn = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
-    got = suffixtree.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), learn).collect()
+    asked = spark.createDataFrame(rows, "doc_id long, text string")
+    got = suffixtree.score_documents(asked, learn).collect()
     assert Counter((r.doc_id, round(r.score, 5)) for r in got) == Counter((i, round(score(t), 5)) for i, t in rows)
+    if share < 1:
+        score, kept = plain_tree(texts, 6)
+        assert ("k1", "m", "m", "m", "m") in kept
+        got = suffixtree.score_documents(asked, learn, depth=6).collect()
+        assert Counter((r.doc_id, round(r.score, 5)) for r in got) == Counter((i, round(score(t), 5)) for i, t in rows)
 
 
 def test_pair_hash_is_sparks(spark):
