@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from leafvoice.functions import fixed
 from leafvoice.functions.measures import est_sentence_seconds
 from leafvoice.functions.segmenting import split_cleaned
-from leafvoice.functions.text import clean_for_speech, split_keeping_gaps
+from leafvoice.functions.text import clean_for_speech, is_english_voice, split_keeping_gaps
 from leafvoice.operators.layout import to_paragraphs
 from leafvoice.operators.sections import Sections, chapter_passages, choose_sections
 from leafvoice.plans.blocks import ROWS_PER_BLOCK, block_of, materialize, running
@@ -41,10 +41,19 @@ def split_passages(
 
 def chapter_sentences(
     paragraphs: DataFrame, sections: Sections, splitter: str = "unicode",
-    max_chars: int = fixed.MAX_SENTENCE_CHARS, repair: bool = True,
+    max_chars: int = fixed.MAX_SENTENCE_CHARS, repair: bool = True, languages: DataFrame | None = None,
 ) -> DataFrame:
-    """``(doc_id, chapter_key, passage, sentences)``: one array per passage."""
-    return split_passages(chapter_passages(paragraphs, sections.members), splitter, max_chars, repair)
+    """``(doc_id, chapter_key, passage, sentences)``: one array per passage. ``languages`` (doc_id, language) says which
+    documents are English: only these are repaired then, an unlisted one isn't."""
+    passages = chapter_passages(paragraphs, sections.members)
+    if languages is None or not repair:
+        return split_passages(passages, splitter, max_chars, repair)
+    keys = ["doc_id", "chapter_key", "passage"]
+    # The language meets a document's passages by their own keys, on which the texts are dealt already.
+    english = languages.groupBy("doc_id").agg(F.bool_or(is_english_voice("language")).alias("_english"))
+    places = sections.members.select(*keys).distinct().join(english, "doc_id", "left")
+    known = passages.join(places.select(*keys, F.coalesce("_english", F.lit(False)).alias("_english")), keys, "left")
+    return split_passages(known, splitter, max_chars, F.col("_english")).drop("_english")
 
 
 def counted(passages: DataFrame) -> DataFrame:
@@ -138,19 +147,22 @@ def chapter_durations(passages: DataFrame, chapters: DataFrame) -> DataFrame:
 def books_from_paragraphs(
     paragraphs: DataFrame, outline: DataFrame | None = None, splitter: str = "unicode",
     max_words: int = fixed.PART_WORDS, max_chars: int = fixed.MAX_SENTENCE_CHARS, repair: bool = True,
+    languages: DataFrame | None = None,
 ) -> Books:
     sections = choose_sections(paragraphs, outline, max_words)
-    passages = materialize(counted(chapter_sentences(paragraphs, sections, splitter, max_chars, repair)), "passages")
+    passages = materialize(counted(chapter_sentences(paragraphs, sections, splitter, max_chars, repair, languages)), "passages")
     return Books(sections.chapters, passages, number_sentences(passages, sections.chapters))
 
 
 def build_chapters(
     runs: DataFrame, outline: DataFrame | None = None, splitter: str = "unicode",
     max_words: int = fixed.PART_WORDS, max_chars: int = fixed.MAX_SENTENCE_CHARS, repair: bool = True,
+    languages: DataFrame | None = None,
 ) -> Books:
-    """Text runs to chapters and sentences, end to end."""
+    """Text runs to chapters and sentences, end to end. With ``languages`` (doc_id, language) broken words are repaired in
+    English documents only."""
     paragraphs = materialize(to_paragraphs(runs), "paragraphs")
-    return books_from_paragraphs(paragraphs, outline, splitter, max_words, max_chars, repair)
+    return books_from_paragraphs(paragraphs, outline, splitter, max_words, max_chars, repair, languages)
 
 
 def book_content(books: Books) -> DataFrame:

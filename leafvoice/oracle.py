@@ -321,12 +321,13 @@ def joined(pre: str, src: str, members: str) -> None:
       GROUP BY doc_id, key"""
 
 
-def sentence_rows(pre: str, splitter=None, base: str | None = None) -> None:
-    """Defines ``{pre}_sentences`` from the text and chapters of ``base``."""
+def sentence_rows(pre: str, splitter=None, base: str | None = None, repaired: str | None = None) -> None:
+    """Defines ``{pre}_sentences`` from the text and chapters of ``base``; ``repaired`` selects the documents to repair."""
     base = base or pre
-    CTE[f"{pre}_hyph"] = f"SELECT doc_id, key, {hyphens('text')} AS text FROM {base}_text"
+    CTE[f"{pre}_hyph"] = f"SELECT doc_id, key, {hyphens('text')} AS text FROM {base}_text" + (f" WHERE doc_id IN ({repaired})" if repaired else "")
     ligatures(f"{pre}_lig", f"{pre}_hyph", "doc_id, key", "text")
-    CTE[f"{pre}_clean"] = f"SELECT doc_id, key, {strip('text')} AS text FROM {pre}_lig"
+    rest = f" UNION ALL SELECT doc_id, key, text FROM {base}_text WHERE doc_id NOT IN ({repaired})" if repaired else ""
+    CTE[f"{pre}_clean"] = f"SELECT doc_id, key, {strip('text')} AS text FROM (SELECT doc_id, key, text FROM {pre}_lig{rest})"
     (splitter or simple_split)(f"{pre}_split", f"{pre}_clean", "doc_id, key", "text")
     capped(f"{pre}_cap", f"{pre}_split", "doc_id, key, pos")
     CTE[f"{pre}_sentences"] = f"""
@@ -514,6 +515,8 @@ SELECT c.doc_id, c.chapter_idx, c.chapter_id, c.title, c.start_page, c.detection
   coalesce(string_agg(s.text, chr(10) ORDER BY s.sentence_idx), '') AS text
 FROM book_chapters c LEFT JOIN book_sentences s ON s.doc_id = c.doc_id AND s.chapter_idx = c.chapter_idx GROUP BY ALL""")
 SQL["build_chapters_unicode"] = with_("SELECT * FROM unibook_sentences")
+sentence_rows("mixed", None, "text", "SELECT CAST(doc_id AS VARCHAR) FROM documents WHERE lang = 'en'")
+SQL["build_mixed_language_chapters"] = with_("SELECT * FROM mixed_sentences")
 SQL["narration_chapters"] = with_("""
 SELECT c.doc_id, c.chapter_idx, c.chapter_id, c.title, c.start_page, c.detection_mode, count(s.text) AS sentence_count,
   round(coalesce(sum(greatest(0.4, length(s.text) / 14::DOUBLE)), 0), 6) AS est_seconds

@@ -472,6 +472,13 @@ def narration_chapters(spark, sf):
     return out.withColumn("est_seconds", r6(F.col("est_seconds")))
 
 
+@query
+def build_mixed_language_chapters(spark, sf):
+    """Chapters of a corpus in several languages: broken words are repaired in English documents only."""
+    languages = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.col("lang").alias("language"))
+    return X.books_from_paragraphs(lines(spark, sf), splitter="simple", languages=languages).sentences
+
+
 # --- sentences -------------------------------------------------------------------------------
 
 

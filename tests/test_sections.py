@@ -226,3 +226,14 @@ def test_states_before(spark, monkeypatch):
     df = spark.createDataFrame(rows, "key string, block long, at long, f array<int>").where("key is not null").repartition(4)
     got = automaton.states_before(df, ["key"], "block", "at", "f", 4, start=1)
     assert {(r.key, r.at): r.state for r in got.collect()} == {k: v for k, v in want.items() if k[0]}
+
+
+def test_only_english_documents_are_repaired(spark):
+    text = "The con dence of le Havre was pur- suit of ash."
+    docs = {d: [(1, text, 11.0)] for d in ("en", "us", "fr", "none", "unlisted")}
+    df, _ = frames(spark, docs, {"x": []})
+    languages = spark.createDataFrame([("en", "en"), ("us", "en-US"), ("fr", "fr"), ("none", None)], "doc_id string, language string")
+    got = {d: " ".join(cs[0][2]) for d, (_, cs) in collect(N.books_from_paragraphs(df, splitter="simple", languages=languages)).items()}
+    whole = " ".join(loops.chapters_of(docs["en"])[1][0][2])
+    assert got["en"] == got["us"] == whole != text
+    assert got["fr"] == got["none"] == got["unlisted"] == text
