@@ -1,8 +1,8 @@
 """Playback events in batch: the rules of the streaming operators over stored events.
 
 A session or a reader may be of any size, so events are ordered within slices of time and only the last
-state of a slice is carried to the next. The slice is chosen so that no key has more than
-``ROWS_PER_SLICE`` events in one, which is counted, not assumed.
+state of a slice is carried to the next. A hot key's slices are chosen so that none has more than
+``ROWS_PER_SLICE`` of its events, which is counted, not assumed; other keys are one slice.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from leafvoice.functions import fixed
 from leafvoice.functions.measures import round_half_up
 from leafvoice.plans.anchored import anchored_marks
-from leafvoice.plans.blocks import previous, running
+from leafvoice.plans.blocks import materialize, previous, running
 
 ROWS_PER_SLICE = 8192
 #: A key that is silent for longer starts anew.
@@ -24,30 +24,35 @@ def millis(ts: str) -> Column:
     return F.unix_millis(F.col(ts).cast("timestamp"))
 
 
-def fit_slice(df: DataFrame, keys: list[str], ts: str, max_rows: int | None = None) -> int | None:
-    """Length in ms of the slices of time, or None when every key fits into one."""
+def fit_slices(df: DataFrame, keys: list[str], ts: str, max_rows: int | None = None) -> DataFrame:
+    """Keys with more than ``max_rows`` events, and the length ``slice_ms`` of slices of time that hold no more each. A key's
+    slices become shorter until its fullest one fits; what one instant holds can't be cut."""
     max_rows = max_rows or ROWS_PER_SLICE
     rows = df.select(*keys, millis(ts).alias("ms"))
-    per_key = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min("ms").alias("lo"), F.max("ms").alias("hi"))
-    most = per_key.agg(F.max("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).first()
-    if (most.n or 0) <= max_rows:
-        return None
-    slice_ms = max(1, (most.hi - most.lo) * max_rows // most.n)
-    while slice_ms > 1:
-        slices = rows.groupBy(*keys, F.floor(F.col("ms") / slice_ms).alias("s")).count()
-        fullest = slices.agg(F.max("count").alias("n")).first().n
-        if fullest <= max_rows:
-            break
+    per_key = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min("ms").alias("lo"), F.max("ms").alias("hi")).where(F.col("n") > max_rows)
+    even = F.floor((F.col("hi") - F.col("lo")) / F.col("n") * max_rows)
+    hot = materialize(per_key.select(*keys, F.greatest(F.lit(1), even).cast("bigint").alias("slice_ms")), "hot")
+    while True:
+        slices = rows.join(hot, keys).groupBy(*keys, "slice_ms", F.floor(F.col("ms") / F.col("slice_ms")).alias("s")).count()
+        fullest = slices.groupBy(*keys, "slice_ms").agg(F.max("count").alias("n"))
+        over = (F.col("n") > max_rows) & (F.col("slice_ms") > 1)
+        if fullest.where(over).limit(1).isEmpty():
+            return hot
         # Events come in bursts: shrink by how far the fullest slice is over.
-        slice_ms = max(1, slice_ms * max_rows // (2 * fullest))
-    return slice_ms
+        shorter = F.greatest(F.lit(1), F.floor(F.col("slice_ms") * max_rows / (2 * F.col("n"))))
+        hot = materialize(fullest.select(*keys, F.when(over, shorter).otherwise(F.col("slice_ms")).cast("bigint").alias("slice_ms")), "hot")
 
 
-def _sliced(df: DataFrame, keys: list[str], ts: str, slice_ms: int | None) -> tuple[DataFrame, bool]:
-    """Rows with ``ms`` and ``block``, and whether a key may have several blocks."""
-    slice_ms = slice_ms or fit_slice(df, keys, ts)
-    block = F.floor(F.col("ms") / slice_ms) if slice_ms else F.lit(0)
-    return df.withColumn("ms", millis(ts)).withColumn("block", block.cast("bigint")), slice_ms is not None
+def _sliced(df: DataFrame, keys: list[str], ts: str, slice_ms: int | None) -> tuple[DataFrame, DataFrame | None]:
+    """Rows with ``ms`` and ``block``, and the keys that may have several blocks (None: all). Only hot keys are cut, each into
+    slices of its own length; ``slice_ms`` cuts all."""
+    rows = df.withColumn("ms", millis(ts))
+    if slice_ms:
+        return rows.withColumn("block", F.floor(F.col("ms") / slice_ms).cast("bigint")), None
+    hot = fit_slices(df, keys, ts)
+    own = hot.withColumnRenamed("slice_ms", "_slice_ms")
+    block = F.coalesce(F.floor(F.col("ms") / F.col("_slice_ms")), F.lit(0)).cast("bigint")
+    return rows.join(own, keys, "left").withColumn("block", block).drop("_slice_ms").select(*df.columns, "ms", "block"), hot.select(*keys)
 
 
 def coalesce_updates(
@@ -80,7 +85,7 @@ def coalesce_updates(
     )
 
 
-def _after_silence(rows: DataFrame, keys: list[str], idle_ms: int | None, long: bool) -> DataFrame:
+def _after_silence(rows: DataFrame, keys: list[str], idle_ms: int | None, long: DataFrame | None) -> DataFrame:
     """Adds ``fresh``: 1 at a row that comes more than ``idle_ms`` after the one before it, else 0."""
     if idle_ms is None:
         return rows.withColumn("fresh", F.lit(0))

@@ -21,7 +21,7 @@ from leafvoice.functions.text import (
 from leafvoice.plans.anchored import anchored_marks
 from leafvoice.plans.automaton import states_before
 from leafvoice.plans.blocks import (
-    PAGES_PER_BLOCK, ROWS_PER_BLOCK, block_of, busy_partitions, hand_out, has_long_keys, materialize, row_index, running,
+    PAGES_PER_BLOCK, ROWS_PER_BLOCK, block_of, busy_partitions, hand_out, long_documents, materialize, row_index, running,
 )
 
 BLOCK = ["doc_id", "block"]
@@ -77,11 +77,11 @@ def weighted_median_size(rows: DataFrame) -> DataFrame:
     )
 
 
-def pick_headings(rows: DataFrame, long_keys: bool = True) -> DataFrame:
+def pick_headings(rows: DataFrame, long: DataFrame | None = None) -> DataFrame:
     """Accept a candidate that is at least two paragraphs after the last accepted one: within a run of
     candidates that is every other one. Adds ``accepted`` from ``candidate``."""
     last_other = ("max", F.when(~F.col("candidate"), F.col("para_idx")))
-    out = running(rows, ["doc_id"], "block", ["para_idx"], {"_other": last_other}, long_keys)
+    out = running(rows, ["doc_id"], "block", ["para_idx"], {"_other": last_other}, long)
     place = F.col("para_idx") - F.coalesce("_other", F.lit(-1)) - 1
     return out.withColumn("accepted", F.col("candidate") & (place % 2 == 0)).drop("_other")
 
@@ -109,10 +109,10 @@ def outline_entries(outline: DataFrame, min_entries: int = fixed.MIN_SECTIONS) -
     )
 
 
-def mark_sections(paragraphs: DataFrame, outline: DataFrame | None = None, long_keys: bool = True) -> DataFrame:
+def mark_sections(paragraphs: DataFrame, outline: DataFrame | None = None, long: DataFrame | None = None) -> DataFrame:
     """Features plus, per paragraph, the heading and the outline page it falls under."""
     rows = features(paragraphs).repartition(*BLOCK)
-    rows = pick_headings(heading_candidates(rows), long_keys).withColumn("kind", F.lit(1))
+    rows = pick_headings(heading_candidates(rows), long).withColumn("kind", F.lit(1))
     prev = Window.partitionBy(*BLOCK).orderBy("para_idx")
     # Characters that stay between here and the last paragraph with a mark; repairs may take a third of them.
     marks = F.sum((F.col("math") | F.col("span_step").isNotNull()).cast("int")).over(prev.rowsBetween(Window.unboundedPreceding, 0))
@@ -138,7 +138,7 @@ def mark_sections(paragraphs: DataFrame, outline: DataFrame | None = None, long_
         "heading_at": at("accepted"), "entry_page": ("max", F.col("entry")),
         "last_open": at("opens"), "last_math": at("math"),
         "open_page": at("opens", "page"), "math_page": at("math", "page"),
-    }, long_keys)
+    }, long)
     # Pending is what the rows before opened; at the first row of a block the row itself counts too.
     held = Window.partitionBy(*BLOCK).orderBy(*order)
     before = lambda c: F.when(F.row_number().over(held) == 1, F.col(c)).otherwise(F.lag(c).over(held))
@@ -181,11 +181,11 @@ def _survives(marked: DataFrame, paragraphs: DataFrame, key: str, bodies: Column
     return sure.unionByName(kept)
 
 
-def _parts(rows: DataFrame, max_words: int, long_keys: bool) -> DataFrame:
+def _parts(rows: DataFrame, max_words: int, long: DataFrame) -> DataFrame:
     """Part number per paragraph: whole paragraphs until ``max_words`` are reached, then a new part."""
-    counted = running(rows, ["doc_id"], "block", ["para_idx"], {"cum_words": ("sum", F.col("words"))}, long_keys)
+    counted = running(rows, ["doc_id"], "block", ["para_idx"], {"cum_words": ("sum", F.col("words"))}, long)
     return anchored_marks(
-        counted, ["doc_id"], "block", "para_idx", F.col("cum_words"), max_words, start=0, long_keys=long_keys
+        counted, ["doc_id"], "block", "para_idx", F.col("cum_words"), max_words, start=0, long=long
     )
 
 
@@ -236,8 +236,8 @@ def choose_sections(
     min_sections: int = fixed.MIN_SECTIONS,
 ) -> Sections:
     """The outline if it gives enough chapters with text, else the headings, else parts by word count."""
-    long_keys = has_long_keys(paragraphs, "page", PAGES_PER_BLOCK)
-    marked = materialize(mark_sections(paragraphs, outline, long_keys), "sections")
+    long = long_documents(paragraphs, "page", PAGES_PER_BLOCK)
+    marked = materialize(mark_sections(paragraphs, outline, long), "sections")
     docs = marked.groupBy(*BLOCK).agg(F.count_if("accepted").alias("headings"))
     per_doc = docs.groupBy("doc_id").agg(F.sum("headings").alias("headings"))
 
@@ -262,7 +262,7 @@ def choose_sections(
     block_modes = docs.select(*BLOCK).join(modes, "doc_id")
     rows = marked.repartition(*BLOCK).join(block_modes, BLOCK)
     worded = rows.where("detection_mode = 'wordSplit'")
-    parts = _parts(worded, max_words, long_keys).select(*BLOCK, "para_idx", F.col("marks_before").alias("part"))
+    parts = _parts(worded, max_words, long).select(*BLOCK, "para_idx", F.col("marks_before").alias("part"))
     rows = rows.join(parts, [*BLOCK, "para_idx"], "left").withColumn(
         "chapter_key",
         F.when(F.col("detection_mode") == "outline", F.when(_bodies("outline"), F.col("entry_page")))
@@ -321,8 +321,8 @@ def renumber_chapters(chapters: DataFrame) -> DataFrame:
 
 
 def _one_tier(paragraphs: DataFrame, outline: DataFrame | None, tier: str) -> Sections:
-    long_keys = has_long_keys(paragraphs, "page", PAGES_PER_BLOCK)
-    marked = materialize(mark_sections(paragraphs, outline, long_keys), "sections")
+    long = long_documents(paragraphs, "page", PAGES_PER_BLOCK)
+    marked = materialize(mark_sections(paragraphs, outline, long), "sections")
     key = "heading_at" if tier == "heading" else "entry_page"
     rows = marked
     if tier == "heading":
@@ -346,9 +346,9 @@ def sections_from_outline(paragraphs: DataFrame, outline: DataFrame) -> Sections
 
 
 def sections_by_word_count(paragraphs: DataFrame, max_words: int = fixed.PART_WORDS) -> Sections:
-    long_keys = has_long_keys(paragraphs, "page", PAGES_PER_BLOCK)
-    marked = materialize(mark_sections(paragraphs, None, long_keys), "sections")
-    parts = _parts(marked, max_words, long_keys).select(*BLOCK, "para_idx", F.col("marks_before").alias("chapter_key"))
+    long = long_documents(paragraphs, "page", PAGES_PER_BLOCK)
+    marked = materialize(mark_sections(paragraphs, None, long), "sections")
+    parts = _parts(marked, max_words, long).select(*BLOCK, "para_idx", F.col("marks_before").alias("chapter_key"))
     rows = marked.join(parts, [*BLOCK, "para_idx"]).withColumn("detection_mode", F.lit("wordSplit"))
     return _assemble(rows, marked, None, None)
 

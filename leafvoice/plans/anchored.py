@@ -4,8 +4,7 @@
 Where a window starts depends on the one before it, so a plain running total cannot express it. Inside
 a block the rule is a short fold. Between blocks only the last mark matters, so every block of a long
 key is reduced to a small table "first mark here → last mark here": tables are chained per group of
-blocks and then per key, and each block is folded again from its true entry. Keys of one block skip
-all of that.
+blocks and then per key, and each block is folded again from its true entry. Keys of one block take no part in that.
 """
 
 from __future__ import annotations
@@ -15,6 +14,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leafvoice.plans.blocks import only_long
+from leafvoice.plans.folds import scan
+
 BLOCKS_PER_GROUP = 256
 
 
@@ -54,11 +56,12 @@ def _rows(pdf: pd.DataFrame):
 _TABLE = "first array<bigint>, last array<bigint>, count array<bigint>"
 
 
-def _entries(arrays: DataFrame, keys: list[str], block: str, width: int, start: int | None) -> DataFrame:
+def _entries(arrays: DataFrame, keys: list[str], block: str, width: int, start: int | None, known: DataFrame | None) -> DataFrame:
     """``(keys, block, _anchor, _before)`` for the blocks of keys that have more than one."""
     types = dict(arrays.dtypes)
     key_ddl = ", ".join(f"`{k}` {types[k]}" for k in [*keys, block])
     group_ddl = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", _group bigint"
+    arrays = only_long(arrays, known)
     long = arrays.groupBy(*keys).count().where("count > 1").select(*keys)
     blocks = arrays.join(long, keys, "left_semi").select(
         *keys, block, F.transform("_items", lambda i: i["pos"]).alias("pos")
@@ -114,36 +117,31 @@ def _entries(arrays: DataFrame, keys: list[str], block: str, width: int, start:
 
 def anchored_marks(
     rows: DataFrame, keys: list[str], block: str, order: str, pos: Column, width: int,
-    start: int | None = None, extra: list[str] | None = None, long_keys: bool = True,
+    start: int | None = None, extra: list[str] | None = None, long: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``marked`` (the row is a mark) and ``marks_before`` (marks earlier in the key).
 
     ``pos`` must not fall along ``order``; ``start`` is the position of a mark before the first row, or
     None when the first row is always a mark. Returns keys, block, order, ``extra`` columns and the two.
-    ``long_keys=False`` says that no key has more than one block, as the caller has checked.
+    ``long`` as for :func:`leafvoice.plans.blocks.running`.
     """
     extra = extra or []
     item = F.struct(F.col(order), pos.cast("bigint").alias("pos"), *[F.col(c) for c in extra])
     arrays = rows.groupBy(*keys, block).agg(F.array_sort(F.collect_list(item)).alias("_items"))
-    if long_keys:
-        at = arrays.join(_entries(arrays, keys, block, width, start), [*keys, block], "left").withColumns({
-            "_anchor": F.coalesce("_anchor", F.lit(start).cast("bigint")),
-            "_before": F.coalesce("_before", F.lit(0).cast("bigint")),
-        })
-    else:
-        at = arrays.withColumns({"_anchor": F.lit(start).cast("bigint"), "_before": F.lit(0).cast("bigint")})
+    at = arrays.join(_entries(arrays, keys, block, width, start, long), [*keys, block], "left").withColumns({
+        "_anchor": F.coalesce("_anchor", F.lit(start).cast("bigint")),
+        "_before": F.coalesce("_before", F.lit(0).cast("bigint")),
+    })
 
     # One running count per row; a row is a mark where it grows.
-    begin = F.struct(F.col("_anchor").alias("a"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("out"))
+    begin = F.struct(F.col("_anchor").alias("a"), F.lit(0).alias("n"))
 
-    def step(acc: Column, it: Column) -> Column:
-        hit = F.coalesce(it["pos"] >= acc["a"] + width, F.lit(True))
-        n = acc["n"] + hit.cast("int")
-        return F.struct(
-            F.when(hit, it["pos"]).otherwise(acc["a"]).alias("a"), n.alias("n"), F.concat(acc["out"], F.array(n)).alias("out")
-        )
+    def step(state: Column, it: Column) -> Column:
+        hit = F.coalesce(it["pos"] >= state["a"] + width, F.lit(True))
+        n = state["n"] + hit.cast("int")
+        return F.struct(F.struct(F.when(hit, it["pos"]).otherwise(state["a"]).alias("a"), n.alias("n")).alias("s"), n.alias("o"))
 
-    counted = at.withColumn("_counts", F.aggregate("_items", begin, step, lambda acc: acc["out"]))
+    counted = at.withColumn("_counts", scan(F.col("_items"), begin, step, "int"))
     shifted = F.concat(F.array(F.lit(0)), F.slice("_counts", F.lit(1), F.size("_counts") - 1))
     rows_out = F.arrays_zip(F.col("_items").alias("it"), F.col("_counts").alias("n"), shifted.alias("m"))
     return counted.select(*keys, block, "_before", F.explode(rows_out).alias("_r")).select(

@@ -25,21 +25,19 @@ def block_of(index: str, size: int) -> Column:
 
 def running(
     df: DataFrame, keys: list[str], block: str, order: list, specs: dict[str, tuple[str, Column]],
-    long_keys: bool = True,
+    long: DataFrame | None = None,
 ) -> DataFrame:
     """Add running totals along ``order`` inside ``keys``, the current row included.
 
     ``specs`` maps an output name to ``("sum" | "max", value)``; nulls are skipped. ``block`` must grow
-    along the order. ``long_keys=False`` says that no key has more than one block, as the caller has
-    checked: then there is nothing to carry over.
+    along the order. ``long``, a small table of some of ``keys``, says which keys may have more than one block: only
+    these carry anything over. Without it all may.
     """
     values = {f"_v_{name}": value for name, (_, value) in specs.items()}
     base = df.withColumns(values)
     within = Window.partitionBy(*keys, block).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = base.withColumns({n: _LOCAL[kind](f"_v_{n}").over(within) for n, (kind, _) in specs.items()})
-    if not long_keys:
-        return local.drop(*values)
-    totals = base.groupBy(*keys, block).agg(*[_LOCAL[kind](f"_v_{n}").alias(f"_c_{n}") for n, (kind, _) in specs.items()])
+    totals = only_long(base, long).groupBy(*keys, block).agg(*[_LOCAL[kind](f"_v_{n}").alias(f"_c_{n}") for n, (kind, _) in specs.items()])
     before = Window.partitionBy(*keys).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
     carry = totals.select(
         *keys, block, *[_LOCAL[kind](f"_c_{n}").over(before).alias(f"_c_{n}") for n, (kind, _) in specs.items()]
@@ -54,24 +52,22 @@ def running(
 
 
 def row_index(
-    df: DataFrame, keys: list[str], block: str, order: list, name: str, long_keys: bool = True
+    df: DataFrame, keys: list[str], block: str, order: list, name: str, long: DataFrame | None = None
 ) -> DataFrame:
     """Dense index from 0 along ``order`` inside ``keys``."""
-    return running(df, keys, block, order, {name: ("sum", F.lit(1))}, long_keys).withColumn(
+    return running(df, keys, block, order, {name: ("sum", F.lit(1))}, long).withColumn(
         name, (F.col(name) - 1).cast("bigint")
     )
 
 
 def previous(
-    df: DataFrame, keys: list[str], block: str, order: list[str], cols: list[str], name: str, long_keys: bool = True
+    df: DataFrame, keys: list[str], block: str, order: list[str], cols: list[str], name: str, long: DataFrame | None = None
 ) -> DataFrame:
     """Add ``name``: a struct of ``cols`` of the row before, null at the first row of a key."""
     row = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], F.struct(*cols).alias("v"))
     base = df.withColumn("_row", row)
     within = Window.partitionBy(*keys, block).orderBy(*order)
-    if not long_keys:
-        return df.withColumn(name, F.lag(F.struct(*cols)).over(within))
-    ends = base.groupBy(*keys, block).agg(F.max_by("_row", F.struct(*order)).alias("_end"))
+    ends = only_long(base, long).groupBy(*keys, block).agg(F.max_by("_row", F.struct(*order)).alias("_end"))
     before = Window.partitionBy(*keys).orderBy(block)
     carry = ends.select(*keys, block, F.lag("_end").over(before).alias("_end"))
     local = base.withColumn("_prev", F.lag("_row").over(within))
@@ -101,9 +97,16 @@ def with_halo(df: DataFrame, index: str, reach: int, size: int = ROWS_PER_BLOCK)
     )
 
 
-def has_long_keys(df: DataFrame, index: str, size: int) -> bool:
-    """Whether any index (from 0 or 1) leaves the first block. One pruned scan that stops at a hit."""
-    return not df.where(F.col(index) >= size).limit(1).isEmpty()
+def long_documents(df: DataFrame, index: str, size: int) -> DataFrame:
+    """``doc_id`` of the documents with an index (from 0 or 1) past the first block, written. A pruned scan of what lies
+    there; most corpora have few such documents or none."""
+    return materialize(df.where(F.col(index) >= size).select("doc_id").distinct(), "long")
+
+
+def only_long(rows: DataFrame, long: DataFrame | None) -> DataFrame:
+    """The rows whose key is in ``long``. Adaptive execution broadcasts a small table of keys, and drops what hangs on an
+    empty one before it runs."""
+    return rows if long is None else rows.join(long, long.columns, "left_semi")
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:

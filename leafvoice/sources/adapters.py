@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafvoice.plans.blocks import PAGES_PER_BLOCK, block_of, row_index, spread
@@ -51,9 +51,8 @@ def pages_as_paragraphs(pages: DataFrame) -> DataFrame:
         F.when(head, HEAD_SIZE).otherwise(BODY_SIZE).alias("font_size"), block_of("page", PAGES_PER_BLOCK).alias("block"),
     ).where("text != ''")
     # Ten pages are one block.
-    return row_index(rows, ["doc_id"], "block", ["page", "i"], "para_idx", long_keys=False).select(
-        "doc_id", "para_idx", "page", "text", "font_size"
-    )
+    place = Window.partitionBy("doc_id", "block").orderBy("page", "i")
+    return rows.select("doc_id", (F.row_number().over(place) - 1).cast("bigint").alias("para_idx"), "page", "text", "font_size")
 
 
 def pages_as_outline(paragraphs: DataFrame) -> DataFrame:

@@ -79,13 +79,33 @@ def test_positions_and_stalls(spark, slice_ms):
 
 
 def test_slices_fit(spark):
-    """A burst makes the slices shorter until none is overfull."""
-    rows = [("hot", 1000 * i) for i in range(400)] + [("hot", 200_000 + i) for i in range(300)] + [("cold", 5)]
+    """A burst makes a hot key's slices shorter until none is overfull; other keys aren't cut."""
+    rows = [("hot", 1000 * i) for i in range(400)] + [("hot", 200_000 + i) for i in range(300)] + [("cold", 5)] + [("even", 500 * i) for i in range(100)]
     df = spark.createDataFrame([(k, at(m)) for k, m in rows], "key string, ts timestamp")
-    assert P.fit_slice(df, ["key"], "ts") is None
-    s = P.fit_slice(df, ["key"], "ts", 50)
-    n = df.groupBy("key", F.floor(P.millis("ts") / s)).count().agg(F.max("count")).first()[0]
-    assert 1 < s and n <= 50
+    assert P.fit_slices(df, ["key"], "ts").collect() == []
+    slices = P.fit_slices(df, ["key"], "ts", 50)
+    assert sorted(r.key for r in slices.collect()) == ["even", "hot"]
+    n = df.join(slices, "key").groupBy("key", F.floor(P.millis("ts") / F.col("slice_ms")).alias("s")).count().agg(F.max("count")).first()[0]
+    assert n <= 50 and slices.agg(F.min("slice_ms")).first()[0] >= 1
+
+
+def test_hot_and_cold_keys_in_one_plan(spark, monkeypatch):
+    """Some keys are cut into slices and others aren't: results are those of the loops."""
+    monkeypatch.setattr(P, "ROWS_PER_SLICE", 10)
+    ev = update_events(random.Random(21))
+    df = spark.createDataFrame([(k, at(m), i, kind, v) for k, rows in ev.items() for m, i, kind, v in rows],
+                               "key string, ts timestamp, event_id long, kind string, value double").repartition(4)
+    assert 0 < P.fit_slices(df, ["key"], "ts").count() < len(ev)
+    got = {}
+    for r in P.coalesce_updates(df, ["key"], 3000).orderBy("key", "fired_at_ms", "event_id").collect():
+        got.setdefault(r.key, []).append((r.fired_at_ms - BASE, r.updates, r.event_id, r.value))
+    assert got == {k: w for k, rows in ev.items() if (w := loops.debounced(rows, 3000))}
+    plays = late_rows(random.Random(22))
+    df = spark.createDataFrame([(k, i, at(m), r[0], r[-1]) for k, rows in plays.items() for m, i, *r in rows],
+                               "key string, event_id long, ts timestamp, kind string, position int")
+    row = lambda r: (r.key, r.started_ms - BASE, r.ended_ms - BASE, r.events, r.plays, r.listened_sec, r.furthest)
+    want = sorted((k, *s) for k, rows in plays.items() for s in loops.sessions([(m, i, kind, p) for m, i, kind, *_, p in rows], 8000))
+    assert sorted(row(r) for r in P.playback_sessions(df, ["key"], 8000).collect()) == want
 
 
 def test_monotonic(spark):
