@@ -42,7 +42,7 @@ COMMON_CONTEXT_SHARE = 2e-6
 #: Bits of the filter that says of most contexts that they are none of a table's. What passes it is decided by the table.
 FILTER_BITS = 1 << 25
 #: Large joins are made in so many parts, one after the other, so that their exchanges take less disk.
-PARTS = 4
+PARTS = 8
 SLICE = 4 << 20
 _U = np.uint64
 #: As words: the end of a text (which stands before a text, too), any word, and words that followed once.
@@ -78,10 +78,12 @@ class Vocabulary:
 
 
 def lookup(sorted_: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Place of each key, and whether it is there."""
-    if not len(sorted_):
+    """Place of each key, and whether it is there. Keys in order walk through the memory once."""
+    if not len(sorted_) or not len(keys):
         return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-    i = np.minimum(np.searchsorted(sorted_, keys), len(sorted_) - 1)
+    order = np.argsort(keys)
+    i = np.empty(len(keys), np.int64)
+    i[order] = np.minimum(np.searchsorted(sorted_, keys[order]), len(sorted_) - 1)
     return i, sorted_[i] == keys
 
 
@@ -292,7 +294,8 @@ def _scored(shared):
                     rows.append(row[of[~there]])
                     keys.append(key[~there])
             rows, keys = np.concatenate(rows), np.concatenate(keys)
-            order = np.lexsort((keys, rows))
+            order = np.argsort(keys)
+            order = order[np.argsort(rows[order], kind="stable")]
             rows, keys = rows[order], keys[order]
             new = np.ones(len(keys), bool)
             new[1:] = (rows[1:] != rows[:-1]) | (keys[1:] != keys[:-1])
