@@ -8,7 +8,6 @@ from __future__ import annotations
 import re
 
 from leafvoice.functions import fixed
-from leafvoice.functions.text import _PAIRS, _TAILS
 
 CTE: dict[str, str] = {}
 SQL: dict[str, str] = {}
@@ -60,10 +59,6 @@ def strip(x: str) -> str:
     return f"trim(regexp_replace({x}, '\\s+', ' ', 'g'))"
 
 
-def values(groups: dict[str, list[str]]) -> str:
-    return "VALUES " + ", ".join(f"({q(k)}, {q(lig)})" for lig, ks in groups.items() for k in ks)
-
-
 def ligatures(name: str, src: str, keys: str, x: str) -> None:
     """Defines ``name(keys, text)``: ``x`` of ``src`` with lost ligatures restored."""
     CTE[f"{name}_tok"] = f"""
@@ -157,8 +152,19 @@ def capped(name: str, src: str, keys: str, x: str = "text") -> None:
 
 # --- inputs ----------------------------------------------------------------------------------
 
-CTE["ligature_pairs"] = f"SELECT col0 AS pair, col1 AS lig FROM ({values(_PAIRS)})"
-CTE["ligature_tails"] = f"SELECT col0 AS tail, col1 AS lig FROM ({values(_TAILS)})"
+# What a lost ligature leaves of each listed word; of several ligatures the first in the list repairs it.
+CTE["listed_words"] = "SELECT col0 AS word FROM (VALUES " + ", ".join(f"({q(w)})" for w in sorted(set(fixed.LIGATURE_WORDS))) + ")"
+CTE["listed_ligatures"] = "SELECT col0 AS lig, col1 AS ord FROM (VALUES " + ", ".join(f"({q(x)}, {i})" for i, x in enumerate(fixed.LIGATURES)) + ")"
+CTE["never_tails"] = "SELECT col0 AS word FROM (VALUES " + ", ".join(f"({q(w)})" for w in sorted(set(fixed.NEVER_EXTEND))) + ")"
+CTE["word_cuts"] = """
+  SELECT lig, ord, left(word, i) AS head, substr(word, i + length(lig) + 1) AS tail
+  FROM (SELECT word, lig, ord, unnest(range(0, length(word))) AS i FROM listed_words, listed_ligatures) WHERE substr(word, i + 1, length(lig)) = lig"""
+CTE["ligature_pairs"] = """
+  SELECT head || ' ' || tail AS pair, arg_min(lig, ord) AS lig FROM word_cuts
+  WHERE head <> '' AND tail <> '' AND tail NOT IN (SELECT word FROM never_tails) GROUP BY 1"""
+CTE["ligature_tails"] = """
+  SELECT tail, arg_min(lig, ord) AS lig FROM word_cuts
+  WHERE head = '' AND tail <> '' AND tail NOT IN (SELECT word FROM never_tails) AND tail NOT IN (SELECT word FROM listed_words) GROUP BY 1"""
 CTE["lines"] = """
   SELECT CAST(doc_id AS VARCHAR) AS doc_id, CAST(i - 1 AS BIGINT) AS para_idx, CAST((i - 1) // 20 + 1 AS INTEGER) AS page, ls[i] AS text
   FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (
