@@ -630,11 +630,13 @@ SQL["integrity_checks"] = with_("SELECT case_id, bool_and(found = wanted) AS pas
 SQL["punctuation_checks"] = with_("SELECT doc_id, bool_or(contains(text, '..')) AS doubled_period, bool_or(contains(text, ' .')) AS blank_before_period FROM spoken GROUP BY doc_id")
 CTE["placed_runs"] = "SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY run_idx) - 1 AS pos FROM word_runs"
 CTE["run_hits"] = """
-  SELECT doc_id, page, pos, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page, pos) AS INTEGER) AS match FROM placed_runs WHERE contains(text, 'tion')
-  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY page, pos) <= 3"""
+  SELECT doc_id, page, pos, match FROM (
+    SELECT doc_id, page, pos, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page, pos) AS INTEGER) AS match FROM placed_runs WHERE contains(text, 'tion'))
+  WHERE match <= 3"""
+CTE["run_places"] = " UNION ALL ".join(f"SELECT doc_id, page, match, pos AS hit_pos, pos + ({k}) AS pos FROM run_hits" for k in range(-3, 4))
 SQL["runs_in_context"] = with_("""
-SELECT r.doc_id, match, r.page, CAST(r.pos AS INTEGER) AS pos, r.pos = h.pos AS is_match, text, x FROM (SELECT *, unnest(range(pos - 3, pos + 4)) AS near FROM run_hits) h JOIN placed_runs r
-ON r.doc_id = h.doc_id AND r.page = h.page AND r.pos = h.near""")
+SELECT r.doc_id, h.match, r.page, CAST(r.pos AS INTEGER) AS pos, r.pos = h.hit_pos AS is_match, r.text, r.x
+FROM run_places h JOIN placed_runs r ON r.doc_id = h.doc_id AND r.page = h.page AND r.pos = h.pos""").replace(RECURSIVE, "WITH ", 1)
 SQL["detection_mode_summary"] = with_("""
 SELECT detection_mode, count(DISTINCT c.doc_id) AS documents, count(*) AS chapters, sum(coalesce(n, 0))::BIGINT AS sentences FROM book_chapters c
 LEFT JOIN (SELECT doc_id, chapter_idx, count(*) AS n FROM book_sentences GROUP BY ALL) s ON s.doc_id = c.doc_id AND s.chapter_idx = c.chapter_idx GROUP BY detection_mode""")
