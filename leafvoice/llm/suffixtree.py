@@ -43,7 +43,7 @@ COMMON_CONTEXT_SHARE = 2e-6
 FILTER_BITS = 1 << 25
 #: Large joins are made in so many parts, one after the other, so that their exchanges take less disk.
 PARTS = 8
-SLICE = 4 << 20
+SLICE = 2 << 20
 _U = np.uint64
 #: As words: the end of a text (which stands before a text, too), any word, and words that followed once.
 _END, _ANY, _ONCE = (int(mix(np.array([x], _U)).view(np.int64)[0]) for x in (0x656E64, 0x616E79, 0x6F6E6365))
@@ -156,10 +156,10 @@ def _pair_counts(shared, length: int):
             of_parent = pair_hash(above[-1][0][ok], x) if above else x
             held.append((ids[ok], np.where(passes(repeated, of_parent), x, np.int64(_ONCE).view(_U)), np.ones(len(ok), np.int64)))
             n += len(held[-1][0])
-            if n > 1_500_000:
+            if n > 1_000_000:
                 held = [merged()]
                 n = len(held[0][0])
-                if n > 1_000_000:
+                if n > 700_000:
                     yield out(held[0])
                     held, n = [], 0
         if n:
@@ -259,7 +259,7 @@ def _word_counts(batches):
     for _, data, offsets in text_slices(batches, most=SLICE):
         held.append(np.unique(word_hashes(data, offsets, lower=True)[0], return_counts=True))
         n += len(held[-1][0])
-        if n > 1_500_000:
+        if n > 1_000_000:
             held = [merged()]
             n = len(held[0][0])
             if n > 1_000_000:
