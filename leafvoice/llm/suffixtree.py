@@ -24,7 +24,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafvoice.llm.buffers import lists, mix, rows_of, text_slices, word_hashes
@@ -41,8 +41,8 @@ COMMON_SHARE = 2e-6
 COMMON_CONTEXT_SHARE = 2e-6
 #: Bits of the filter that says of most contexts that they are none of a table's. What passes it is decided by the table.
 FILTER_BITS = 1 << 25
-#: Large joins are made in so many parts, one after the other, so that their exchanges take less disk.
-PARTS = 8
+#: Documents are scored in so many parts, one after the other, so that their keys take less disk.
+PARTS = 4
 SLICE = 2 << 20
 _U = np.uint64
 #: As words: the end of a text (which stands before a text, too), any word, and words that followed once.
@@ -167,8 +167,8 @@ def _pair_counts(shared, length: int):
     return run
 
 
-def _part(df: DataFrame, column: str, part: int, parts: int) -> DataFrame:
-    return df.where(F.pmod(F.col(column), F.lit(parts)) == part) if parts > 1 else df
+def _part(df: DataFrame, by: Column, part: int, parts: int) -> DataFrame:
+    return df.where(F.pmod(by, F.lit(parts)) == part)
 
 
 @dataclass
@@ -336,26 +336,28 @@ def score_documents(docs: DataFrame, learn_from: DataFrame, depth: int = DEPTH)
     v = learn_vocabulary(learn_from, counts)
     tree = grow(learn_from, v, counts, steps, depth)
     shared = spark.sparkContext.broadcast((v, tree.filters, tree.keys, tree.values))
-    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scored(shared), _SCORED)
-    scored = steps.keep(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
     weights = counts.select(F.col("word").alias("key"), F.log10(F.col("n") + 1.0).alias("more"), F.log10("n").alias("value"), F.lit(1).alias("word"))
     for d in tree.summands:
         weights = weights.union(d.select("key", F.lit(0.0).alias("more"), "value", F.lit(0).alias("word")))
-    asked = scored.select("row", F.inline(F.arrays_zip("keys", "often"))).withColumnRenamed("keys", "key")
-    times = lambda c: F.sum(F.col("often") * F.col(c)).alias(c)
-    found = [steps.keep(_part(asked, "key", part, PARTS).join(_part(weights, "key", part, PARTS), "key").groupBy("row").agg(times("more"), times("value"), times("word")), "found")
-             for part in range(PARTS)]
-    found = reduce(DataFrame.union, found).groupBy("row").agg(*(F.sum(c).alias(c) for c in ("more", "value", "word")))
-    steps.free(*tree.summands)
     log = lambda x: float(np.log10(x)) if x > 0 else 0.0
     number = lambda c: F.coalesce(F.col(c), F.lit(0))
+    times = lambda c: F.sum(F.col("often") * F.col(c)).alias(c)
     # The end counts as a word here.
     known = F.col("n_common") + number("word") + int(v.ends > 0)
     score = F.col("plain") + log(v.ends) + F.col("tree") + number("value") + known * log((1 - v.unseen) / max(1, v.tokens)) + (F.col("n_tokens") - known) * log(v.unseen)
-    return scored.drop("keys", "often").join(found, "row", "left").select(
-        "doc_id", "n_tokens", known.cast("long").alias("n_known"), F.lit(v.tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + number("more") + log(v.ends + 1.0) - F.col("n_tokens") * log(v.tokens + v.kinds + 1.0)).alias("base_score"),
-        score.alias("score"))
+    out = []
+    for part in range(PARTS):
+        own = _part(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), F.xxhash64("doc_id", "text"), part, PARTS)
+        scored = steps.keep(own.mapInArrow(_scored(shared), _SCORED).withColumn("row", F.monotonically_increasing_id()), "scored")
+        asked = scored.select("row", F.inline(F.arrays_zip("keys", "often"))).withColumnRenamed("keys", "key")
+        found = asked.join(weights, "key").groupBy("row").agg(times("more"), times("value"), times("word"))
+        out.append(steps.keep(scored.drop("keys", "often").join(found, "row", "left").select(
+            "doc_id", "n_tokens", known.cast("long").alias("n_known"), F.lit(v.tokens).cast("long").alias("train_tokens"),
+            (F.col("base") + number("more") + log(v.ends + 1.0) - F.col("n_tokens") * log(v.tokens + v.kinds + 1.0)).alias("base_score"),
+            score.alias("score")), "scores"))
+        steps.free(scored)
+    steps.free(counts, *tree.summands)
+    return reduce(DataFrame.union, out)
 
 
 def op10_suffix_tree_scores(spark, sf_dir):
