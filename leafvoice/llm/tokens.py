@@ -40,6 +40,8 @@ CACHE_WORDS = 500_000
 
 
 _PLAIN = re.compile("[a-zß-öø-ÿ]+")
+#: Letters of Latin-1 have one small letter each, the same for the tokenizer.
+_LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+[^\\w\\s]*", re.ASCII)
 _PLAIN_AND_MARKS = re.compile("([a-zß-öø-ÿ]+)([^'\\w\\s]+)", re.ASCII)
 
 
@@ -73,7 +75,7 @@ class WordEncoder(dict):
         out = self.old.get(piece)
         if out is None:
             # The tokenizer finds its added tokens before it lower-cases, so only letters are lower-cased here.
-            low = piece.lower() if piece.isascii() else piece
+            low = piece.lower() if piece.isascii() or _LATIN.fullmatch(piece) else piece
             if _PLAIN.fullmatch(low):
                 out = self._plain(low)
             elif (m := _PLAIN_AND_MARKS.fullmatch(low)) and m[2].isascii():
