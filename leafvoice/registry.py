@@ -835,27 +835,28 @@ def interpolate_position(spark, sf):
     return P.interpolate_position(A.events_as_speech(table(spark, sf, "events")), ["session_id"]).select("event_id", "position")
 
 
-def _arrivals(spark, sf, late_ms: int, batches: int = 4) -> DataFrame:
-    """The events as a stream of several micro-batches into which they come out of order, up to ``late_ms`` after their
-    time. Last comes another reader's event long after all others, which moves the watermark past every timer."""
+def _arriving(spark, sf, late_ms: int, stream: Callable[[DataFrame], DataFrame], name: str, batches: int = 4) -> DataFrame:
+    """What ``stream`` writes of the events as they arrive: in several micro-batches, out of order, up to ``late_ms`` after
+    their time. Each batch is put there and then worked off by the same query, which goes on from its checkpoint. Last
+    comes another reader's event long after all others, which moves the watermark past every timer."""
     events = table(spark, sf, "events")
-    types, root = events.schema, f"{run_folder(spark)}/arrivals-{uuid4().hex}"
-    arrival = P.millis("ts") + F.pmod(F.xxhash64("event_id"), F.lit(late_ms))
-    rows = events.withColumn("_arrival", arrival)
+    types, root = events.schema, f"{run_folder(spark)}/{name}-{uuid4().hex}"
+    rows = events.withColumn("_arrival", P.millis("ts") + F.pmod(F.xxhash64("event_id"), F.lit(late_ms)))
     span = rows.agg(F.min("_arrival").alias("low"), F.max("_arrival").alias("high")).first()
-    if span["low"] is not None:
-        step = (span["high"] - span["low"]) // batches + 1
-        batch = F.floor((F.col("_arrival") - span["low"]) / step)
-        # Files are read in the order in which they were written.
-        for n in range(batches):
-            rows.where(batch == n).drop("_arrival").coalesce(1).write.mode("append").parquet(root)
-        last = events.agg(F.max_by(F.struct(*events.columns), F.struct("ts", "event_id")).alias("r")).select("r.*")
-        last.withColumns({
-            "ts": (F.col("ts") + F.expr("interval 400 days")).cast(types["ts"].dataType), "user_id": F.lit(-1).cast(types["user_id"].dataType),
-        }).coalesce(1).write.mode("append").parquet(root)
-    else:
-        events.limit(0).write.parquet(root)
-    return spark.readStream.schema(types).option("maxFilesPerTrigger", 1).parquet(root)
+    step = ((span["high"] or 0) - (span["low"] or 0)) // batches + 1
+    parts = [rows.where(F.floor((F.col("_arrival") - (span["low"] or 0)) / step) == n).drop("_arrival") for n in range(batches)]
+    last = events.agg(F.max_by(F.struct(*events.columns), F.struct("ts", "event_id")).alias("r")).where("r is not null").select("r.*")
+    parts.append(last.withColumns({
+        "ts": (F.col("ts") + F.expr("interval 400 days")).cast(types["ts"].dataType), "user_id": F.lit(-1).cast(types["user_id"].dataType)}))
+    for part in parts:
+        part.write.mode("append").parquet(f"{root}/in")
+        out = stream(spark.readStream.schema(types).parquet(f"{root}/in"))
+        q = (
+            out.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/log")
+            .trigger(availableNow=True).start()
+        )
+        q.awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{root}/out")
 
 
 def _in_utc(spark) -> None:
@@ -877,8 +878,9 @@ def interpolate_position_late(spark, sf):
 def interpolate_position_stream(spark, sf):
     """The same from a stream of several micro-batches whose events come up to two days late."""
     _in_utc(spark)
-    ev = A.events_as_speech(_arrivals(spark, sf, TWO_DAYS)).withColumn("ts", F.col("ts").cast("timestamp"))
-    return _drain(spark, ST.interpolate_position(ev, ["session_id"], idle_ms=SIX_HOURS, lateness="2 days"), "positions").select("event_id", "position")
+    timed = lambda ev: A.events_as_speech(ev).withColumn("ts", F.col("ts").cast("timestamp"))
+    out = _arriving(spark, sf, TWO_DAYS, lambda ev: ST.interpolate_position(timed(ev), ["session_id"], idle_ms=SIX_HOURS, lateness="2 days"), "positions")
+    return out.select("event_id", "position")
 
 
 @query
@@ -886,8 +888,8 @@ def monotonic_position_stream(spark, sf):
     """The furthest position of a book at each event, from a stream whose events come up to two days late; the last reader's
     event, which ends the stream, isn't passed by the watermark."""
     _in_utc(spark)
-    ev = A.events_as_playback(_arrivals(spark, sf, TWO_DAYS)).withColumn("ts", F.col("ts").cast("timestamp")).withColumn("reported", F.col("position"))
-    out = _drain(spark, ST.monotonic_position(ev, ["session_id", "book_id"], idle_ms=None, lateness="2 days"), "furthest")
+    timed = lambda ev: A.events_as_playback(ev).withColumn("ts", F.col("ts").cast("timestamp")).withColumn("reported", F.col("position"))
+    out = _arriving(spark, sf, TWO_DAYS, lambda ev: ST.monotonic_position(timed(ev), ["session_id", "book_id"], idle_ms=None, lateness="2 days"), "furthest")
     return out.select("event_id", "position")
 
 
@@ -900,8 +902,8 @@ def playback_sessions(spark, sf):
 def playback_sessions_stream(spark, sf):
     """Sessions with listened seconds, from a stream whose events, pauses too, come up to two days late."""
     _in_utc(spark)
-    ev = A.events_as_playback(_arrivals(spark, sf, TWO_DAYS)).withColumn("ts", F.col("ts").cast("timestamp"))
-    out = _drain(spark, ST.playback_sessions(ev, ["session_id"], SIX_HOURS, "2 days"), "spells")
+    timed = lambda ev: A.events_as_playback(ev).withColumn("ts", F.col("ts").cast("timestamp"))
+    out = _arriving(spark, sf, TWO_DAYS, lambda ev: ST.playback_sessions(timed(ev), ["session_id"], SIX_HOURS, "2 days"), "spells")
     return out.withColumn("listened_sec", r6(F.col("listened_sec")))
 
 
