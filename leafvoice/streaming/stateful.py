@@ -8,15 +8,19 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import chain
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import ListState
 
 from leafvoice.functions import fixed
 from leafvoice.operators.playback import IDLE_MS
 
+#: Groups of keys whose rows are put in order together.
+PARTS = 2048
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -180,6 +184,9 @@ class InOrder(StatefulProcessor):
     A row waits in the state until the watermark has passed it; then nothing older can come any more, and the rows that
     are due go through ``step`` one by one. After a silence of more than ``idle_ms`` the key starts anew: ``end`` says what is
     written then, and a timer drops the state of a key that sends no more. Without ``idle_ms`` a key never ends.
+
+    A call to the state store costs far more than a step, and most keys have a few rows. So a group is a part of the keys,
+    chosen by hash; its rows and states are read and written at once, and it keeps one timer, the first of its keys'.
     """
 
     #: Fields of a row, ``ms`` and ``event_id`` first, and of the state, with the last row's ``ms`` first.
@@ -187,12 +194,13 @@ class InOrder(StatefulProcessor):
 
     def __init__(self, keys: list[str], idle_ms: int | None):
         self.keys, self.idle_ms = keys, idle_ms
+        self.key_types: list[str] = []
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.fields = [f.split()[0] for f in self.EVENT.split(", ")]
-        self.waiting = handle.getListState("waiting", self.EVENT)
-        self.state = handle.getValueState("state", self.STATE)
+        own = ", ".join(f"k{i} {t}" for i, t in enumerate(self.key_types))
+        self.waiting = handle.getListState("waiting", f"{own}, {self.EVENT}")
+        self.state = handle.getListState("state", f"{own}, {self.STATE}")
 
     def step(self, state: tuple | None, row: tuple) -> tuple[tuple | None, dict | None]:
         """The state after ``row``, and what the row writes."""
@@ -202,69 +210,83 @@ class InOrder(StatefulProcessor):
         """What is written when the key falls silent."""
         return None
 
-    def _advance(self, key, watermark: int) -> Iterator[pd.DataFrame]:
-        rows = sorted((tuple(r) for r in self.waiting.get()), key=lambda r: (r[0], r[1] is not None, r[1]))
-        due = next((i for i, r in enumerate(rows) if r[0] >= watermark), len(rows))
-        state, out = (tuple(self.state.get()) if self.state.exists() else None), []
-        for row in rows[:due]:
-            if self._over(state, row[0]):
-                out.append(self.end(state))
-                state = None
-            state, written = self.step(state, row)
-            out.append(written)
+    def _advance(self, come: list[tuple], watermark: int) -> Iterator[Row]:
+        n, due, rest = len(self.keys), {}, []
+        for row in chain(self.waiting.get(), come):
+            if row[n] >= watermark:
+                rest.append(row)
+            else:
+                due.setdefault(row[:n], []).append(row[n:])
+        # Without rows that are due only a silence changes a state.
+        states = {r[:n]: r[n:] for r in self.state.get()} if due or self.idle_ms is not None else {}
+        changed = bool(due)
+        for key, rows in due.items():
+            state = states.pop(key, None)
+            for row in sorted(rows, key=lambda r: (r[0], r[1] is not None, r[1])):
+                if self._over(state, row[0]):
+                    yield from self._written(key, self.end(state))
+                    state = None
+                state, written = self.step(state, row)
+                yield from self._written(key, written)
+            if state is not None:
+                states[key] = state
         # Whatever is still to come is not older than the watermark.
-        if self._over(state, watermark):
-            out.append(self.end(state))
-            state = None
-        self._keep(state, rows[due:], due > 0)
-        out = [dict(zip(self.keys, key)) | r for r in out if r is not None]
-        if out:
-            yield pd.DataFrame(out).astype(object)
+        for key in [k for k, state in states.items() if self._over(state, watermark)]:
+            yield from self._written(key, self.end(states.pop(key)))
+            changed = True
+        if due:
+            self._store(self.waiting, rest)
+        elif come:
+            self.waiting.appendList(come)
+        if changed:
+            self._store(self.state, [key + state for key, state in states.items()])
+        self._wake([r[n] + 1 for r in rest] + [s[0] + self.idle_ms + 1 for s in states.values() if self.idle_ms is not None])
+
+    def _written(self, key: tuple, row: dict | None) -> list[Row]:
+        return [] if row is None else [Row(**dict(zip(self.keys, key)), **row)]
 
     def _over(self, state: tuple | None, ms: int) -> bool:
         return state is not None and self.idle_ms is not None and ms - state[0] > self.idle_ms
 
-    def _keep(self, state: tuple | None, rest: list[tuple], fewer: bool) -> None:
-        if not rest:
-            self.waiting.clear()
-        elif fewer:
-            self.waiting.put(rest)
-        if state is None:
-            self.state.clear()
+    def _store(self, kept: ListState, rows: list[tuple]) -> None:
+        if rows:
+            kept.put(rows)
         else:
-            self.state.update(state)
-        for at in list(self.handle.listTimers()):
-            self.handle.deleteTimer(at)
-        next_ = [rest[0][0] + 1] if rest else []
-        if state is not None and self.idle_ms is not None:
-            next_.append(state[0] + self.idle_ms + 1)
-        if next_:
-            self.handle.registerTimer(min(next_))
+            kept.clear()
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        for pdf in rows:
-            columns = [[None if pd.isna(v) else getattr(v, "item", lambda v=v: v)() for v in pdf[f]] for f in self.fields]
-            self.waiting.appendList([self._typed(r) for r in zip(*columns)])
-        yield from self._advance(key, timerValues.getCurrentWatermarkInMs())
+    def _wake(self, moments: list[int]) -> None:
+        """Keep exactly one timer, at the first of ``moments``."""
+        next_, timers = min(moments, default=None), list(self.handle.listTimers())
+        for at in timers:
+            if at != next_:
+                self.handle.deleteTimer(at)
+        if next_ is not None and next_ not in timers:
+            self.handle.registerTimer(next_)
 
-    def _typed(self, row: tuple) -> tuple:
-        """A column with nulls comes as floats."""
-        return tuple(int(v) if isinstance(v, float) and " bigint" in f else v for v, f in zip(row, self.EVENT.split(", ")))
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        # A NaN is no value.
+        come = [tuple(None if v != v else v for v in row[2:]) for row in rows]
+        yield from self._advance(come, timerValues.getCurrentWatermarkInMs())
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield from self._advance(key, timerValues.getCurrentWatermarkInMs())
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        yield from self._advance([], timerValues.getCurrentWatermarkInMs())
 
     def close(self) -> None:
         pass
 
 
-def _in_order(events: DataFrame, processor: InOrder, lateness: str, output: str) -> DataFrame:
-    """``events`` through ``processor``; rows that come more than ``lateness`` after newer ones are dropped by Spark."""
+def _in_order(events: DataFrame, processor: InOrder, lateness: str, output: str, parts: int) -> DataFrame:
+    """``events`` through ``processor``; rows that come more than ``lateness`` after newer ones are dropped by Spark. The keys
+    are dealt into ``parts``: take more where a part's keys and waiting rows would be too many for a task; the number is part
+    of the checkpoint."""
     keys = processor.keys
-    types = ", ".join([f"`{k}` {events.schema[k].dataType.simpleString()}" for k in keys] + [output])
+    processor.key_types = [events.schema[k].dataType.simpleString() for k in keys]
+    types = ", ".join([f"`{k}` {t}" for k, t in zip(keys, processor.key_types)] + [output])
     fields = [f.split()[0] for f in processor.EVENT.split(", ")[1:]]
-    rows = events.where("ts is not null").withWatermark("ts", lateness).select(*keys, "ts", F.unix_millis("ts").alias("ms"), *(F.col(f) for f in fields))
-    return rows.groupBy(*keys).transformWithStateInPandas(processor, outputStructType=types, outputMode="Append", timeMode="EventTime")
+    part = F.pmod(F.xxhash64(*keys), F.lit(parts)).alias("_part")
+    rows = events.where("ts is not null").withWatermark("ts", lateness).select(
+        part, "ts", *(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.unix_millis("ts").alias("ms"), *(F.col(f) for f in fields))
+    return rows.groupBy("_part").transformWithState(processor, outputStructType=types, outputMode="Append", timeMode="EventTime")
 
 
 class InterpolatePosition(InOrder):
@@ -296,12 +318,12 @@ class InterpolatePosition(InOrder):
 
 def interpolate_position(
     events: DataFrame, keys: list[str], chars_per_sec: int = fixed.CHARS_PER_SEC, drift: int = fixed.MAX_DRIFT_CHARS,
-    idle_ms: int | None = IDLE_MS, lateness: str = "10 seconds",
+    idle_ms: int | None = IDLE_MS, lateness: str = "10 seconds", parts: int = PARTS,
 ) -> DataFrame:
     """Stream form of ``playback.interpolate_position``: keys, ``event_id`` and ``position`` of each tick, once the watermark has
     passed it. State per key: its rows of the last ``lateness``, and one anchor until it has been silent for ``idle_ms``."""
     rows = events.where("kind = 'tick' or char is not null").withColumn("char", F.col("char").cast("bigint")).withColumn("text_len", F.col("text_len").cast("bigint"))
-    return _in_order(rows, InterpolatePosition(keys, idle_ms, chars_per_sec, drift), lateness, InterpolatePosition.OUTPUT)
+    return _in_order(rows, InterpolatePosition(keys, idle_ms, chars_per_sec, drift), lateness, InterpolatePosition.OUTPUT, parts)
 
 
 class FurthestSoFar(InOrder):
@@ -318,10 +340,10 @@ class FurthestSoFar(InOrder):
         return (ms, position), {"event_id": event_id, "position": position}
 
 
-def monotonic_position(boundaries: DataFrame, keys: list[str], idle_ms: int | None = IDLE_MS, lateness: str = "10 seconds") -> DataFrame:
+def monotonic_position(boundaries: DataFrame, keys: list[str], idle_ms: int | None = IDLE_MS, lateness: str = "10 seconds", parts: int = PARTS) -> DataFrame:
     """Stream form of ``playback.monotonic_position``: one row per boundary with the furthest offset so far in event time."""
     rows = boundaries.withColumn("reported", F.col("reported").cast("bigint"))
-    return _in_order(rows, FurthestSoFar(keys, idle_ms), lateness, FurthestSoFar.OUTPUT)
+    return _in_order(rows, FurthestSoFar(keys, idle_ms), lateness, FurthestSoFar.OUTPUT, parts)
 
 
 class PlaybackSessions(InOrder):
@@ -344,8 +366,8 @@ class PlaybackSessions(InOrder):
         return {"started_ms": started, "ended_ms": last, "events": events, "plays": plays, "listened_sec": listened / 1000, "furthest": furthest}
 
 
-def playback_sessions(events: DataFrame, keys: list[str], gap_ms: int = IDLE_MS, lateness: str = "10 seconds") -> DataFrame:
+def playback_sessions(events: DataFrame, keys: list[str], gap_ms: int = IDLE_MS, lateness: str = "10 seconds", parts: int = PARTS) -> DataFrame:
     """Stream form of ``playback.playback_sessions``: a session is written when the watermark is ``gap_ms`` past its last event. A
     pause that comes late, but within ``lateness``, is counted in its place."""
     rows = events.withColumn("position", F.col("position").cast("bigint"))
-    return _in_order(rows, PlaybackSessions(keys, gap_ms), lateness, PlaybackSessions.OUTPUT)
+    return _in_order(rows, PlaybackSessions(keys, gap_ms), lateness, PlaybackSessions.OUTPUT, parts)

@@ -312,3 +312,15 @@ def test_silent_keys_leave_no_state(spark, tmp):
     left = spark.read.format("statestore").option("stateVarName", "state").load(f"{tmp}/cp-left")
     waiting = spark.read.format("statestore").option("stateVarName", "waiting").load(f"{tmp}/cp-left")
     assert left.count() == 0 and waiting.select("key").distinct().count() == 1
+
+
+def test_many_keys_share_a_group(spark, tmp):
+    """Thousands of keys of a few rows each are a few groups of the state store, a null key is one of its own."""
+    ST.use_rocksdb(spark)
+    ev = {k: [(1000 * i, 10 * n + i, "boundary", None, None, None, (7 * n + 3 * i) % 11) for i in range(2)] for n, k in enumerate([None, *map(str, range(60))])}
+    src = arriving(spark, tmp, ev, 30_000, 2, 5)
+    out = drain(spark, ST.monotonic_position(src, ["key"], None, "30 seconds", parts=4), "append", tmp, "parts")
+    want = {(k, r[1]): max(x[6] for x in rows[: n + 1]) for k, rows in ev.items() for n, r in enumerate(rows)}
+    assert {(r.key, r.event_id): r.position for r in out.collect()} == want
+    kept = spark.read.format("statestore").option("stateVarName", "state").load(f"{tmp}/cp-parts")
+    assert kept.count() == 61 and kept.select("key").distinct().count() <= 4
