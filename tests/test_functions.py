@@ -170,3 +170,24 @@ def test_long_runs_of_marks(spark):
     begin = time.time()
     run(spark, texts, "t string", s=F.size(N.segment_sentences("t")))
     assert time.time() - begin < 20
+
+
+def test_quick_tests_leave_the_patterns_results(spark):
+    """The range that tells ordinary letters first changes no match, whatever blanks and marks stand around."""
+    import random
+
+    from leafvoice.functions import fixed
+
+    rng = random.Random(5)
+    bits = ["con dence", "rst", "rst,", "“rst”", "é", "nal", " ", "﻿", "　", " ", " ", "  ", "\n", "\t", "(", "x", "of ce", "$a$", "$", "\\(b\\)", "\\[", "\\]", "­"]
+    rows = [(i, "".join(rng.choice(bits) for _ in range(rng.randint(0, 14)))) for i in range(400)] + [(400, None)]
+    df = spark.createDataFrame(rows, "i int, text string")
+    plain = lambda f: lambda c: F.regexp_replace(c, f, " ")
+    shell, nws, ws = T._SHELL, T.NWS, T.WS
+    marked = lambda c: F.regexp_replace(c, f"(?i)(?<!{nws})({shell})(?={T._all(T._TAILS)}(?![A-Za-z]){shell}(?!{nws}))", f"$1{T.FRAGMENT}")
+    out = df.select(
+        F.trim(plain(f" *[{T.BLANKS}&&[^ ]]{ws}*| {{2,}}{ws}*")("text")).alias("w0"), T.collapse_whitespace("text").alias("w1"),
+        plain(fixed.LATEX_INLINE)(plain(fixed.LATEX_BLOCK)("text")).alias("l0"), T.strip_latex("text").alias("l1"),
+        (F.regexp_count(marked("text"), F.lit(T.FRAGMENT)) > 0).alias("m0"), (F.regexp_replace("text", " {2,}", " ") != T.repair_ligature_initials("text")).alias("m1"),
+    ).collect()
+    assert all((r.w0, r.l0, r.m0) == (r.w1, r.l1, r.m1) for r in out) and any(r.m0 for r in out) and out[400].l1 is None

@@ -126,3 +126,15 @@ def test_pages_of_many_runs_take_linear_time(spark):
     once(500)
     few, many = once(4000), once(16000)
     assert many < 10 * few + 2
+
+
+def test_words_of_a_line_are_split_once(spark):
+    """A line's words are counted where they are split, not again for each of them."""
+    from leafvoice.sources.adapters import paragraphs_as_raw_items
+
+    text = " ".join(f"w{i}" for i in range(3000)) + "  "
+    rows = paragraphs_as_raw_items(spark.createDataFrame([("a", 1, 0, text), ("a", 1, 3, "x y"), ("b", 1, 4, " z")], "doc_id string, page int, para_idx long, text string"))
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+    got = {(r.doc_id, r.item_idx): (r.str, r.has_eol) for r in rows.collect()}
+    assert len(got) == 3003 and [k for k, v in got.items() if v[1]] == [("a", 2999), ("b", 40000)]
+    assert got["a", 2999][0] == "w2999" and got["a", 30001] == ("y", False) and got["b", 40000][0] == "z"
