@@ -15,6 +15,9 @@ own; how many there are is all that counts.
 Contexts and their next words are tables keyed by 64-bit fingerprints, and grow with the corpus. A token's score
 is a sum: log p(x), and for each kept suffix c the log of k / n, and for each (c, x) that was seen twice what the ratio of
 p(x | c) to p(x | parent) is above that. These summands are what the tables hold; a text's are found by one join.
+
+What is one row per token or so is exchanged as blocks: a task's rows for one part of the fingerprints are a row of byte
+strings. The number of parts follows the corpus, so a part's blocks fit a task's memory.
 """
 
 from __future__ import annotations
@@ -24,10 +27,11 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafvoice.llm.buffers import lists, mix, rows_of, text_slices, word_hashes
+from leafvoice.llm.buffers import mix, rows_of, text_slices, word_hashes
 from leafvoice.llm.tables import Steps, fold_of, table
 
 DEPTH = 3
@@ -44,6 +48,10 @@ FILTER_BITS = 1 << 25
 #: Documents are scored in so many parts, one after the other, so that their keys take less disk.
 PARTS = 4
 SLICE = 2 << 20
+#: Tokens and bytes of text per part of the fingerprints, by which pairs are counted and keys are looked up.
+PART_TOKENS, PART_BYTES = 250_000, 1_500_000
+#: The next words of a context that occurs so often are dealt over the parts.
+HOT_CONTEXT = 50_000
 _U = np.uint64
 #: As words: the end of a text (which stands before a text, too), any word, and words that followed once.
 _END, _ANY, _ONCE = (int(mix(np.array([x], _U)).view(np.int64)[0]) for x in (0x656E64, 0x616E79, 0x6F6E6365))
@@ -131,22 +139,84 @@ def passes(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return (bits[(ids & _U(FILTER_BITS - 1)) >> _U(6)] >> (ids & _U(63))) & _U(1) > 0
 
 
-def _pair_counts(shared, length: int):
-    """(context, next, count) over a task's texts of the contexts that pass the filter, summed up as far as memory allows. What
-    follows the parent once in the corpus, by the second filter, is only counted."""
+def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
+    """Ranges of fingerprints, in their order; ``_spark_part_of`` in numpy."""
+    return ((keys >> _U(32)) * _U(parts) >> _U(32)).astype(np.int64)
+
+
+def _spark_part_of(key: Column, parts: int) -> Column:
+    return F.shiftright(F.shiftrightunsigned(key, 32) * F.lit(parts).cast("long"), 32)
+
+
+def _borders(part: np.ndarray) -> np.ndarray:
+    """Where each part begins, and the end."""
+    return np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])[: len(part)]), len(part))
+
+
+def packed(values: np.ndarray, begin: np.ndarray) -> pa.Array:
+    """Byte strings of the values from one of ``begin`` to the next."""
+    offsets = (begin * values.dtype.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(begin) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def unpacked(column, dtype) -> tuple[np.ndarray, np.ndarray]:
+    """The values of all byte strings of a column, and how many each row has."""
+    rows = [np.frombuffer(b, dtype) for b in column.to_pylist() if b is not None]
+    return (np.concatenate(rows) if rows else np.zeros(0, dtype)), np.array([len(r) for r in rows], np.int64)
+
+
+def runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order of the keys, and where each different one begins in it."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    return order, np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+
+
+def sums(values: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Sums of the values from each beginning to the next."""
+    return np.add.reduceat(values, begin) if len(begin) else values[:0]
+
+
+def narrow(values: np.ndarray) -> np.ndarray:
+    return values.astype(np.uint16 if values.max(initial=0) < 1 << 16 else np.uint32)
+
+
+def widened(column, sizes: np.ndarray) -> np.ndarray:
+    """The values of byte strings that were made narrow, each by its own width; ``sizes``: how many each has."""
+    return np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(b, f"u{len(b) // k}").astype(np.int64) for b, k in zip(column.to_pylist(), sizes) if k)])
+
+
+def _merged_pairs(c: np.ndarray, x: np.ndarray, often: np.ndarray):
+    order, begin = runs(pair_hash(c, x))
+    first = order[begin]
+    return c[first], x[first], sums(often.astype(np.int64)[order], begin)
+
+
+def _pair_counts(shared, length: int, parts: int):
+    """Blocks of (context, next, count) over a task's texts of the contexts that pass the filter, summed up as far as memory
+    allows. What follows the parent once in the corpus, by the second filter, is only counted. A context's rows are for one part,
+    a hot one's are dealt by the next words."""
     def run(batches):
-        bits, repeated = shared.value
+        bits, repeated, hot = shared.value
         held, n = [], 0
 
         def merged():
-            c, x, often = (np.concatenate([h[k] for h in held]) for k in range(3))
-            _, first, inv = np.unique(pair_hash(c, x), return_index=True, return_inverse=True)
-            # Equal contexts in a row take less room in the exchange.
-            order = np.argsort(c[first])
-            return c[first][order], x[first][order], np.bincount(inv, often, len(first)).astype(np.int64)[order]
+            return _merged_pairs(*(np.concatenate([h[k] for h in held]) for k in range(3)))
 
         def out(rows):
-            return pa.RecordBatch.from_arrays([pa.array(rows[0].view(np.int64)), pa.array(rows[1].view(np.int64)), pa.array(rows[2])], names=["c", "x", "n"])
+            c, x, often = rows
+            # Equal contexts in a row take less room in the exchange.
+            order = np.argsort(c)
+            c, x, often = c[order], x[order], often[order]
+            own = mix(c)
+            dealt = lookup(hot, c)[1]
+            own[dealt] = mix(pair_hash(c[dealt], x[dealt]))
+            part = part_of(own, parts)
+            order = np.argsort(part.astype(np.uint16) if parts < 1 << 16 else part, kind="stable")
+            part = part[order]
+            begin = _borders(part)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(part[begin[:-1]]), packed(c[order], begin), packed(x[order], begin), packed(often[order].astype(np.uint32), begin)], names=["part", "c", "x", "n"])
 
         for _, data, offsets in text_slices(batches, most=SLICE):
             s, at, *_ = symbols_of(data, offsets)
@@ -167,6 +237,19 @@ def _pair_counts(shared, length: int):
     return run
 
 
+def _repeated_pairs(blocks: pa.Table) -> pa.Table:
+    """A part's pairs that were seen twice; and for each context (x null) how often it was followed, and by how many words."""
+    c, x, n = _merged_pairs(unpacked(blocks["c"], _U)[0], unpacked(blocks["x"], _U)[0], unpacked(blocks["n"], np.uint32)[0])
+    twice = (n > 1) & (x != np.int64(_ONCE).view(_U))
+    order, begin = runs(c)
+    own, total, kinds = c[order[begin]], sums(n[order], begin), sums(np.where(twice, 1, n)[order], begin)
+    c, x, n = c[twice], x[twice], n[twice]
+    null = lambda size: pa.nulls(size, pa.int64())
+    return pa.table({
+        "c": np.concatenate([c, own]).view(np.int64), "x": pa.chunked_array([pa.array(x.view(np.int64)), null(len(own))]),
+        "n": np.concatenate([n, total]), "kinds": pa.chunked_array([null(len(c)), pa.array(kinds)])})
+
+
 def _part(df: DataFrame, by: Column, part: int, parts: int) -> DataFrame:
     return df.where(F.pmod(by, F.lit(parts)) == part)
 
@@ -182,12 +265,12 @@ class SuffixTree:
     values: np.ndarray
 
 
-def _count_pairs(docs: DataFrame, contexts: DataFrame, repeated: np.ndarray, length: int, steps: Steps) -> DataFrame:
-    """``c, x, n`` of what followed a context twice or more; x null: how many words followed it once."""
-    shared = docs.sparkSession.sparkContext.broadcast((make_filter(contexts), repeated))
-    counted = docs.select("text").mapInArrow(_pair_counts(shared, length), "c long, x long, n long").groupBy("c", "x").agg(F.sum("n").alias("n"))
-    twice = F.when((F.col("n") > 1) & (F.col("x") != _ONCE), F.col("x")).alias("x")
-    out = steps.keep(counted.select("c", twice, "n").groupBy("c", "x").agg(F.sum("n").alias("n")), "pairs")
+def _count_pairs(docs: DataFrame, contexts: DataFrame, repeated: np.ndarray, length: int, parts: int, steps: Steps) -> DataFrame:
+    """``c, x, n`` of what followed a context twice or more; x null: ``n`` words of so many ``kinds`` followed it in one part."""
+    hot = np.sort(np.asarray(contexts.where(F.col("often") >= HOT_CONTEXT).select("c").toArrow().column(0)).view(_U))
+    shared = docs.sparkSession.sparkContext.broadcast((make_filter(contexts), repeated, hot))
+    blocks = docs.select("text").mapInArrow(_pair_counts(shared, length, parts), "part long, c binary, x binary, n binary")
+    out = steps.keep(blocks.groupBy("part").applyInArrow(_repeated_pairs, "c long, x long, n long, kinds long"), "pairs")
     shared.destroy()
     return out
 
@@ -199,16 +282,17 @@ def grow(docs: DataFrame, v: Vocabulary, counts: DataFrame, steps: Steps, depth:
     end = spark.range(1 if v.ends else 0).select(F.lit(_END).alias("word"), F.lit(v.ends).cast("long").alias("n"))
     words = counts.select("word", "n").union(end)
     above = words.where("n > 1").select(F.col("word").alias("up"), (F.col("n") * ((1 - v.unseen) / n_all)).alias("q"))
-    contexts = steps.keep(words.where(F.col("n") >= LEAST_COUNT).select(F.col("word").alias("c"), F.lit(None).cast("long").alias("parent")), "contexts")
+    contexts = steps.keep(words.where(F.col("n") >= LEAST_COUNT).select(F.col("word").alias("c"), F.lit(None).cast("long").alias("parent"), F.col("n").alias("often")), "contexts")
+    parts = 1 + v.tokens // PART_TOKENS
     levels = []
     for length in range(1, depth + 1):
         if contexts.limit(1).isEmpty():
             break
-        pairs = _count_pairs(docs, contexts, make_filter(above.select(F.col("up").alias("c"))), length, steps)
-        stats = pairs.groupBy("c").agg(F.sum("n").alias("total"), F.sum(F.when(F.col("x").isNull(), F.col("n")).otherwise(1)).alias("kinds"))
-        facts = steps.keep(contexts.join(stats, "c"), "facts")
+        pairs = _count_pairs(docs, contexts, make_filter(above.select(F.col("up").alias("c"))), length, parts, steps)
+        stats = pairs.where("x is null").groupBy("c").agg(F.sum("n").alias("total"), F.sum("kinds").alias("kinds"))
+        facts = steps.keep(contexts.drop("often").join(stats, "c"), "facts")
         up = F.col("x") if length == 1 else F.xxhash64("parent", "x")
-        known = pairs.where("x is not null").join(facts, "c").select(
+        known = pairs.where("x is not null").drop("kinds").join(facts, "c").select(
             "c", F.xxhash64("c", "x").alias("key"), up.alias("up"), "n", "total", "kinds", (F.col("x") == _END).alias("last"))
         # What follows a context twice has followed its parent twice, too.
         p = (F.col("n") - 1 + F.col("kinds") * F.col("q")) / F.col("total")
@@ -223,7 +307,7 @@ def grow(docs: DataFrame, v: Vocabulary, counts: DataFrame, steps: Steps, depth:
         levels.append((level, judged))
         above = level.select(F.col("key").alias("up"), F.col("p").alias("q"))
         # w1 .. wk x is as frequent as x after w1 .. wk; its parent leaves out w1.
-        longer = level.where((F.col("n") >= LEAST_COUNT) & ~F.col("last")).select(F.col("key").alias("c"), F.col("up").alias("parent"))
+        longer = level.where((F.col("n") >= LEAST_COUNT) & ~F.col("last")).select(F.col("key").alias("c"), F.col("up").alias("parent"), F.col("n").alias("often"))
         contexts = steps.keep(longer, "contexts")
     summands, filters, needed = [], [], None
     for level, judged in reversed(levels):
@@ -269,46 +353,97 @@ def _word_counts(batches):
         yield out(merged())
 
 
-def _scored(shared):
-    """Per document: tokens; of common words: how many, sum of log10(c + 1) and of log10 c; the common summands of the tree;
-    and how often each other word and each other context occurs, alone and with its next word."""
+def _counted(rows: np.ndarray, keys: np.ndarray):
+    """The different pairs of row and key with how often each occurs; keys are and stay in order."""
+    # Rows ascend among equal keys.
+    same = keys[1:] == keys[:-1]
+    at = np.flatnonzero(np.append(same, False) | np.append(False, same)[: len(keys)]) if len(keys) else np.zeros(0, np.int64)
+    rows[at] = rows[at][np.lexsort((rows[at], keys[at]))]
+    start = np.flatnonzero(np.append(True, (rows[1:] != rows[:-1]) | (keys[1:] != keys[:-1]))[: len(keys)])
+    return rows[start], keys[start], np.diff(np.append(start, len(keys)))
+
+
+def _scored(shared, parts: int):
+    """Blocks of a slice's keys: of each other than common word and context, alone and with its next word, the row and how often
+    it occurs there. One more block holds the rows themselves: doc_id and whether there is one, tokens; of common words: how
+    many, sum of log10(c + 1) and of log10 c; the common summands of the tree."""
     def run(batches):
         v, filters, tree_keys, tree_values = shared.value
         logs, plain = np.log10(v.counts + 1.0), np.log10(np.maximum(v.counts, 1))
-        for batch, data, offsets in text_slices(batches, most=SLICE):
+        task = TaskContext.get().partitionId() << 32
+        for number, (batch, data, offsets) in enumerate(text_slices(batches, most=SLICE)):
             s, at, h, first = symbols_of(data, offsets)
             own, row, n = rows_of(first), rows_of(at), len(first) - 1
             i, common = lookup(v.words, h)
-            sums = lambda values: np.bincount(own[common], values[i[common]], n).astype(float) if common.any() else np.zeros(n)
-            tree = np.zeros(n)
-            rows, keys = [own[~common]], [h[~common]]
+            of_common = lambda values: np.bincount(own[common], values[i[common]], n).astype(float) if common.any() else np.zeros(n)
+            rows, keys = [], []
             for (bits, pair_bits), (ids, ok) in zip(filters, context_ids(s, at, len(filters))):
                 at_ = np.flatnonzero(ok & passes(bits, ids))
                 c = ids[at_]
                 pair = pair_hash(c, s[at_])
                 seen = passes(pair_bits, pair)
-                for of, key in ((at_, pair_hash(c, np.full(len(c), _ANY, np.int64).view(_U))), (at_[seen], pair[seen])):
-                    j, there = lookup(tree_keys, key)
-                    if there.any():
-                        tree += np.bincount(row[of[there]], tree_values[j[there]], n)
-                    rows.append(row[of[~there]])
-                    keys.append(key[~there])
-            rows, keys = np.concatenate(rows), np.concatenate(keys)
+                rows += [row[at_], row[at_[seen]]]
+                keys += [pair_hash(c, np.full(len(c), _ANY, np.int64).view(_U)), pair[seen]]
+            rows, keys = np.concatenate([own[~common], *rows]), np.concatenate([h[~common], *keys])
             order = np.argsort(keys)
-            order = order[np.argsort(rows[order], kind="stable")]
             rows, keys = rows[order], keys[order]
-            new = np.ones(len(keys), bool)
-            new[1:] = (rows[1:] != rows[:-1]) | (keys[1:] != keys[:-1])
-            start = np.flatnonzero(new)
-            begin = np.searchsorted(rows[start], np.arange(n + 1))
+            j = np.minimum(np.searchsorted(tree_keys, keys), max(0, len(tree_keys) - 1))
+            there = tree_keys[j] == keys if len(tree_keys) else np.zeros(len(keys), bool)
+            tree = np.bincount(rows[there], tree_values[j[there]], n).astype(float)
+            rows, keys, often = _counted(rows[~there], keys[~there])
+            part = part_of(keys, parts)
+            begin = _borders(part)
+            ids = batch.column(0).cast(pa.int64())
+            docs = np.stack([np.asarray(ids.fill_null(0)), np.asarray(ids.is_valid()).astype(np.int64), np.diff(at), np.bincount(own[common], minlength=n),
+                             of_common(logs).view(np.int64), of_common(plain).view(np.int64), tree.view(np.int64)])
+            size = len(begin) - 1
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int64()), pa.array(np.diff(at)), pa.array(np.bincount(own[common], minlength=n)), pa.array(sums(logs)), pa.array(sums(plain)),
-                 pa.array(tree), lists(pa.array(keys[start].view(np.int64)), begin), lists(pa.array(np.diff(np.append(start, len(keys))).astype(np.int32)), begin)],
-                names=["doc_id", "n_tokens", "n_common", "base", "plain", "tree", "keys", "often"])
+                [pa.array(np.append(part[begin[:-1]], number % parts)), pa.array(np.full(size + 1, task + number)),
+                 *(pa.concat_arrays([packed(a, begin), pa.array([b""])]) for a in (keys, narrow(rows), narrow(often))),
+                 pa.array([None] * size + [docs.tobytes()], pa.binary())],
+                names=["part", "slice", "keys", "rows", "often", "docs"])
     return run
 
 
-_SCORED = "doc_id long, n_tokens long, n_common long, base double, plain double, tree double, keys array<long>, often array<int>"
+def _packed_weights(rows: pa.Table) -> pa.Table:
+    """One row per part, its keys in order."""
+    keys = rows["key"].to_numpy().view(_U)
+    order = np.argsort(keys)
+    one = lambda values: packed(values[order], np.array([0, len(order)]))
+    return pa.table({"part": rows["part"][:1], "keys": one(keys), "values": one(rows["value"].to_numpy()), "counts": one(rows["n"].to_numpy())})
+
+
+def _summed(blocks: pa.Table, weights: pa.Table) -> pa.Table:
+    """What a part's weights (a word has a count) add to the rows of each slice; blocks of rows themselves pass."""
+    keys, sizes = unpacked(blocks["keys"], _U)
+    of, often = widened(blocks["rows"], sizes), widened(blocks["often"], sizes)
+    i, there = lookup(unpacked(weights["keys"], _U)[0], keys)
+    # A row of a block: their numbers side by side.
+    row = (np.repeat(np.arange(len(sizes)), sizes)[there] << 32) + of[there]
+    order, first = runs(row)
+    row, i, often = row[order[first]], i[there][order], often[there][order]
+    values, counts = unpacked(weights["values"], np.float64)[0], unpacked(weights["counts"], np.int64)[0]
+    more, word = np.where(counts > 0, np.log10(counts + 1.0), 0.0), (counts > 0).astype(np.int64)
+    total = lambda w: sums(w[i] * often, first)
+    begin = np.searchsorted(row, np.arange(len(sizes) + 1) << 32)
+    return pa.table({
+        "slice": blocks["slice"], "rows": packed((row & 0xFFFFFFFF).astype(np.uint32), begin), "more": packed(total(more), begin),
+        "value": packed(total(values), begin), "word": packed(total(word).astype(np.uint32), begin), "docs": blocks["docs"]})
+
+
+def _documents(blocks: pa.Table) -> pa.Table:
+    """The rows of one slice with all that was added to them."""
+    docs = np.frombuffer(next(b for b in blocks["docs"].to_pylist() if b is not None), np.int64).reshape(7, -1)
+    rows = unpacked(blocks["rows"], np.uint32)[0]
+    total = lambda name, dtype: np.bincount(rows, unpacked(blocks[name], dtype)[0], docs.shape[1]).astype(float)
+    return pa.table({
+        "doc_id": pa.array(docs[0], mask=docs[1] == 0), "n_tokens": docs[2], "n_common": docs[3], "base": docs[4].view(float), "plain": docs[5].view(float),
+        "tree": docs[6].view(float), "more": total("more", float), "value": total("value", float), "word": total("word", np.uint32).astype(np.int64)})
+
+
+_BLOCKS = "part long, slice long, keys binary, rows binary, often binary, docs binary"
+_SUMMED = "slice long, rows binary, more binary, value binary, word binary, docs binary"
+_DOCUMENTS = "doc_id long, n_tokens long, n_common long, base double, plain double, tree double, more double, value double, word long"
 
 
 def learn_vocabulary(docs: DataFrame, counts: DataFrame) -> Vocabulary:
@@ -336,27 +471,34 @@ def score_documents(docs: DataFrame, learn_from: DataFrame, depth: int = DEPTH)
     v = learn_vocabulary(learn_from, counts)
     tree = grow(learn_from, v, counts, steps, depth)
     shared = spark.sparkContext.broadcast((v, tree.filters, tree.keys, tree.values))
-    weights = counts.select(F.col("word").alias("key"), F.log10(F.col("n") + 1.0).alias("more"), F.log10("n").alias("value"), F.lit(1).alias("word"))
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)).alias("bytes")).first()["bytes"]
+    parts = 1 + size // PART_BYTES
+    weights = counts.select(F.col("word").alias("key"), F.log10("n").alias("value"), "n")
     for d in tree.summands:
-        weights = weights.union(d.select("key", F.lit(0.0).alias("more"), "value", F.lit(0).alias("word")))
+        weights = weights.union(d.select("key", "value", F.lit(0).cast("long").alias("n")))
+    weights = weights.withColumn("part", _spark_part_of(F.col("key"), parts))
+    weights = steps.keep(weights.groupBy("part").applyInArrow(_packed_weights, "part long, keys binary, values binary, counts binary"), "weights")
+    steps.free(counts, *tree.summands)
     log = lambda x: float(np.log10(x)) if x > 0 else 0.0
-    number = lambda c: F.coalesce(F.col(c), F.lit(0))
-    times = lambda c: F.sum(F.col("often") * F.col(c)).alias(c)
     # The end counts as a word here.
-    known = F.col("n_common") + number("word") + int(v.ends > 0)
-    score = F.col("plain") + log(v.ends) + F.col("tree") + number("value") + known * log((1 - v.unseen) / max(1, v.tokens)) + (F.col("n_tokens") - known) * log(v.unseen)
-    out = []
-    for part in range(PARTS):
+    known = F.col("n_common") + F.col("word") + int(v.ends > 0)
+    score = F.col("plain") + log(v.ends) + F.col("tree") + F.col("value") + known * log((1 - v.unseen) / max(1, v.tokens)) + (F.col("n_tokens") - known) * log(v.unseen)
+
+    def scores_of(part: int) -> DataFrame:
         own = _part(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), F.xxhash64("doc_id", "text"), part, PARTS)
-        scored = steps.keep(own.mapInArrow(_scored(shared), _SCORED).withColumn("row", F.monotonically_increasing_id()), "scored")
-        asked = scored.select("row", F.inline(F.arrays_zip("keys", "often"))).withColumnRenamed("keys", "key")
-        found = asked.join(weights, "key").groupBy("row").agg(times("more"), times("value"), times("word"))
-        out.append(steps.keep(scored.drop("keys", "often").join(found, "row", "left").select(
+        asked = own.mapInArrow(_scored(shared, parts), _BLOCKS)
+        found = asked.groupBy("part").cogroup(weights.groupBy("part")).applyInArrow(_summed, _SUMMED)
+        return steps.keep(found.groupBy("slice").applyInArrow(_documents, _DOCUMENTS).select(
             "doc_id", "n_tokens", known.cast("long").alias("n_known"), F.lit(v.tokens).cast("long").alias("train_tokens"),
-            (F.col("base") + number("more") + log(v.ends + 1.0) - F.col("n_tokens") * log(v.tokens + v.kinds + 1.0)).alias("base_score"),
-            score.alias("score")), "scores"))
-        steps.free(scored)
-    steps.free(counts, *tree.summands)
+            (F.col("base") + F.col("more") + log(v.ends + 1.0) - F.col("n_tokens") * log(v.tokens + v.kinds + 1.0)).alias("base_score"),
+            score.alias("score")), "scores")
+
+    out = []
+    for part in range(PARTS):
+        out.append(scores_of(part))
+        # The part's exchanges are of no more use, and no frame holds them now.
+        steps.collect()
+    steps.free(weights)
     return reduce(DataFrame.union, out)
 
 

@@ -59,10 +59,13 @@ class Steps:
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = (out, path)
-        # Shuffle files go when the driver collects its garbage; the exchanges behind a written table are done.
+        self.collect()
+        return out
+
+    def collect(self) -> None:
+        """Shuffle files go when the driver collects its garbage; the exchanges behind a written table are done."""
         gc.collect()
         self.spark._jvm.System.gc()
-        return out
 
     def free(self, *tables: DataFrame) -> None:
         for t in tables:

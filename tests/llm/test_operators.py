@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from leafvoice.llm import chat, decontaminate, fmindex, graph, minhash, mixing, quality, rules, suffixarray, suffixtree, tokens
@@ -393,6 +394,33 @@ def plain_tree(texts, depth=3):
     return score, kept
 
 
+def test_suffix_tree_blocks(spark, monkeypatch):
+    """Neither the number of parts nor dealing hot contexts changes a score; a task's pairs leave it as one row per part."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{k}" for k in rng.zipf(1.4, 300) % 40) for _ in range(20)]
+    learn = spark.createDataFrame([(t,) for t in texts * 2], "text string")
+    asked = spark.createDataFrame([(None, texts[0]), (1, "new " + texts[1]), (1, None), (2, ""), (3, texts[2]), (3, texts[2])], "doc_id long, text string")
+    key = lambda r: (r.doc_id is None, r.doc_id or 0, r.n_tokens)
+    want = sorted(suffixtree.score_documents(asked, learn).collect(), key=key)
+    for name, value in (("PART_TOKENS", 500), ("PART_BYTES", 50), ("HOT_CONTEXT", 100), ("COMMON_CONTEXT_SHARE", 1.0), ("COMMON_SHARE", 1.0)):
+        monkeypatch.setattr(suffixtree, name, value)
+    got = sorted(suffixtree.score_documents(asked, learn).collect(), key=key)
+    assert [r[:4] for r in got] == [r[:4] for r in want] and len(got) == 6
+    assert np.allclose([r[4:] for r in got], [r[4:] for r in want], rtol=1e-9)
+
+    class Shared:
+        value = np.full(suffixtree.FILTER_BITS >> 6, ~np.uint64(0)), np.full(suffixtree.FILTER_BITS >> 6, ~np.uint64(0)), np.zeros(0, np.uint64)
+
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    blocks = pa.Table.from_batches(list(suffixtree._pair_counts(Shared, 2, 3)([batch])))
+    assert sorted(blocks["part"].to_pylist()) == [0, 1, 2]
+    split = [["</s>", *t.split(), "</s>"] for t in texts]
+    counts = Counter(tuple(t[i: i + 3]) for t in split for i in range(len(t) - 2))
+    out = suffixtree._repeated_pairs(blocks)
+    assert sorted(n for x, n in zip(out["x"].to_pylist(), out["n"].to_pylist()) if x is not None) == sorted(n for n in counts.values() if n > 1)
+    assert sum(n for x, n in zip(out["x"].to_pylist(), out["n"].to_pylist()) if x is None) == sum(counts.values())
+
+
 @pytest.mark.parametrize("share", [2e-6, 2.0])
 def test_suffix_tree_keeps_all_frequent_contexts(spark, monkeypatch, share):
     """Scores equal plain counting, also of words and contexts of less than 4e-4 of all tokens, looked up or joined."""
