@@ -17,7 +17,8 @@ is a sum: log p(x), and for each kept suffix c the log of k / n, and for each (c
 p(x | c) to p(x | parent) is above that. These summands are what the tables hold; a text's are found by one join.
 
 What is one row per token or so is exchanged as blocks: a task's rows for one part of the fingerprints are a row of byte
-strings. The number of parts follows the corpus, so a part's blocks fit a task's memory.
+strings. The number of parts follows the corpus, so a part's blocks fit a task's memory. The summands are one table in
+buckets of these parts, so that only the texts' keys are exchanged.
 """
 
 from __future__ import annotations
@@ -49,7 +50,7 @@ FILTER_BITS = 1 << 25
 PARTS = 4
 SLICE = 2 << 20
 #: Tokens and bytes of text per part of the fingerprints, by which pairs are counted and keys are looked up.
-PART_TOKENS, PART_BYTES = 250_000, 1_500_000
+PART_TOKENS, PART_BYTES = 500_000, 4_000_000
 #: The next words of a context that occurs so often are dealt over the parts.
 HOT_CONTEXT = 50_000
 _U = np.uint64
@@ -197,7 +198,8 @@ def _pair_counts(shared, length: int, parts: int):
     allows. What follows the parent once in the corpus, by the second filter, is only counted. A context's rows are for one part,
     a hot one's are dealt by the next words."""
     def run(batches):
-        bits, repeated, hot = shared.value
+        bits, repeated, hot, *common = shared.value
+        common = common[0] if common else np.zeros(0, _U)
         held, n = [], 0
 
         def merged():
@@ -205,7 +207,7 @@ def _pair_counts(shared, length: int, parts: int):
 
         def out(rows):
             c, x, often = rows
-            # Equal contexts in a row take less room in the exchange.
+            # Equal contexts in a row are sent once.
             order = np.argsort(c)
             c, x, often = c[order], x[order], often[order]
             own = mix(c)
@@ -213,10 +215,16 @@ def _pair_counts(shared, length: int, parts: int):
             own[dealt] = mix(pair_hash(c[dealt], x[dealt]))
             part = part_of(own, parts)
             order = np.argsort(part.astype(np.uint16) if parts < 1 << 16 else part, kind="stable")
-            part = part[order]
+            c, x, often, part = c[order], x[order], often[order], part[order]
             begin = _borders(part)
+            first = np.flatnonzero(np.append(True, (c[1:] != c[:-1]) | (part[1:] != part[:-1])))
+            i, there = lookup(common, x)
+            rare = np.flatnonzero(~there)
+            of_c = np.searchsorted(first, begin)
             return pa.RecordBatch.from_arrays(
-                [pa.array(part[begin[:-1]]), packed(c[order], begin), packed(x[order], begin), packed(often[order].astype(np.uint32), begin)], names=["part", "c", "x", "n"])
+                [pa.array(part[begin[:-1]]), pa.array(np.diff(begin)), packed(c[first], of_c), packed(narrow(np.diff(np.append(first, len(c)))), of_c),
+                 packed(narrow(np.where(there, i, len(common))), begin), packed(x[rare], np.searchsorted(rare, begin)), packed(narrow(often), begin)],
+                names=["part", "size", "c", "repeats", "x", "rare", "n"])
 
         for _, data, offsets in text_slices(batches, most=SLICE):
             s, at, *_ = symbols_of(data, offsets)
@@ -237,9 +245,15 @@ def _pair_counts(shared, length: int, parts: int):
     return run
 
 
-def _repeated_pairs(blocks: pa.Table) -> pa.Table:
-    """A part's pairs that were seen twice; and for each context (x null) how often it was followed, and by how many words."""
-    c, x, n = _merged_pairs(unpacked(blocks["c"], _U)[0], unpacked(blocks["x"], _U)[0], unpacked(blocks["n"], np.uint32)[0])
+def _repeated_pairs(blocks: pa.Table, common: np.ndarray = np.zeros(0, _U)) -> pa.Table:
+    """A part's pairs that were seen twice; and for each context (x null) how often it was followed, and by how many words.
+    Next words are places in ``common``; a place past its end stands for the next one of the rare."""
+    sizes = blocks["size"].to_numpy()
+    c, contexts = unpacked(blocks["c"], _U)
+    place = widened(blocks["x"], sizes)
+    x, there = np.empty(len(place), _U), place < len(common)
+    x[there], x[~there] = common[place[there]], unpacked(blocks["rare"], _U)[0]
+    c, x, n = _merged_pairs(np.repeat(c, widened(blocks["repeats"], contexts)), x, widened(blocks["n"], sizes))
     twice = (n > 1) & (x != np.int64(_ONCE).view(_U))
     order, begin = runs(c)
     own, total, kinds = c[order[begin]], sums(n[order], begin), sums(np.where(twice, 1, n)[order], begin)
@@ -265,12 +279,14 @@ class SuffixTree:
     values: np.ndarray
 
 
-def _count_pairs(docs: DataFrame, contexts: DataFrame, repeated: np.ndarray, length: int, parts: int, steps: Steps) -> DataFrame:
-    """``c, x, n`` of what followed a context twice or more; x null: ``n`` words of so many ``kinds`` followed it in one part."""
+def _count_pairs(docs: DataFrame, contexts: DataFrame, repeated: np.ndarray, common: np.ndarray, length: int, parts: int, steps: Steps) -> DataFrame:
+    """``c, x, n`` of what followed a context twice or more; x null: ``n`` words of so many ``kinds`` followed it in one part.
+    ``common`` (sorted) are the words that are exchanged as their places there."""
     hot = np.sort(np.asarray(contexts.where(F.col("often") >= HOT_CONTEXT).select("c").toArrow().column(0)).view(_U))
-    shared = docs.sparkSession.sparkContext.broadcast((make_filter(contexts), repeated, hot))
-    blocks = docs.select("text").mapInArrow(_pair_counts(shared, length, parts), "part long, c binary, x binary, n binary")
-    out = steps.keep(blocks.groupBy("part").applyInArrow(_repeated_pairs, "c long, x long, n long, kinds long"), "pairs")
+    shared = docs.sparkSession.sparkContext.broadcast((make_filter(contexts), repeated, hot, common))
+    blocks = docs.select("text").mapInArrow(_pair_counts(shared, length, parts), "part long, size long, c binary, repeats binary, x binary, rare binary, n binary")
+    repeated_pairs = lambda rows: _repeated_pairs(rows, shared.value[3])
+    out = steps.keep(blocks.groupBy("part").applyInArrow(repeated_pairs, "c long, x long, n long, kinds long"), "pairs")
     shared.destroy()
     return out
 
@@ -284,11 +300,12 @@ def grow(docs: DataFrame, v: Vocabulary, counts: DataFrame, steps: Steps, depth:
     above = words.where("n > 1").select(F.col("word").alias("up"), (F.col("n") * ((1 - v.unseen) / n_all)).alias("q"))
     contexts = steps.keep(words.where(F.col("n") >= LEAST_COUNT).select(F.col("word").alias("c"), F.lit(None).cast("long").alias("parent"), F.col("n").alias("often")), "contexts")
     parts = 1 + v.tokens // PART_TOKENS
+    common_words = np.sort(np.append(v.words, np.array([_END, _ONCE], np.int64).view(_U)))
     levels = []
     for length in range(1, depth + 1):
         if contexts.limit(1).isEmpty():
             break
-        pairs = _count_pairs(docs, contexts, make_filter(above.select(F.col("up").alias("c"))), length, parts, steps)
+        pairs = _count_pairs(docs, contexts, make_filter(above.select(F.col("up").alias("c"))), common_words, length, parts, steps)
         stats = pairs.where("x is null").groupBy("c").agg(F.sum("n").alias("total"), F.sum("kinds").alias("kinds"))
         facts = steps.keep(contexts.drop("often").join(stats, "c"), "facts")
         up = F.col("x") if length == 1 else F.xxhash64("parent", "x")
@@ -377,11 +394,16 @@ def _scored(shared, parts: int):
             i, common = lookup(v.words, h)
             of_common = lambda values: np.bincount(own[common], values[i[common]], n).astype(float) if common.any() else np.zeros(n)
             rows, keys = [], []
+            # What the tree has of a context it has of the parent, too, so what the parent's filters rule out needs no key.
+            kept = paired = np.ones(len(s), bool)
             for (bits, pair_bits), (ids, ok) in zip(filters, context_ids(s, at, len(filters))):
-                at_ = np.flatnonzero(ok & passes(bits, ids))
+                kept = kept & ok & passes(bits, ids)
+                at_ = np.flatnonzero(kept)
                 c = ids[at_]
                 pair = pair_hash(c, s[at_])
-                seen = passes(pair_bits, pair)
+                seen = paired[at_] & passes(pair_bits, pair)
+                paired = np.zeros(len(s), bool)
+                paired[at_[seen]] = True
                 rows += [row[at_], row[at_[seen]]]
                 keys += [pair_hash(c, np.full(len(c), _ANY, np.int64).view(_U)), pair[seen]]
             rows, keys = np.concatenate([own[~common], *rows]), np.concatenate([h[~common], *keys])
@@ -406,10 +428,9 @@ def _scored(shared, parts: int):
 
 
 def _packed_weights(rows: pa.Table) -> pa.Table:
-    """One row per part, its keys in order."""
+    """One row per part."""
     keys = rows["key"].to_numpy().view(_U)
-    order = np.argsort(keys)
-    one = lambda values: packed(values[order], np.array([0, len(order)]))
+    one = lambda values: packed(values, np.array([0, len(keys)]))
     return pa.table({"part": rows["part"][:1], "keys": one(keys), "values": one(rows["value"].to_numpy()), "counts": one(rows["n"].to_numpy())})
 
 
@@ -417,32 +438,43 @@ def _summed(blocks: pa.Table, weights: pa.Table) -> pa.Table:
     """What a part's weights (a word has a count) add to the rows of each slice; blocks of rows themselves pass."""
     keys, sizes = unpacked(blocks["keys"], _U)
     of, often = widened(blocks["rows"], sizes), widened(blocks["often"], sizes)
-    i, there = lookup(unpacked(weights["keys"], _U)[0], keys)
+    own = unpacked(weights["keys"], _U)[0]
+    in_order = np.argsort(own)
+    i, there = lookup(own[in_order], keys)
     # A row of a block: their numbers side by side.
     row = (np.repeat(np.arange(len(sizes)), sizes)[there] << 32) + of[there]
     order, first = runs(row)
-    row, i, often = row[order[first]], i[there][order], often[there][order]
+    row, i, often = row[order[first]], in_order[i[there][order]], often[there][order]
     values, counts = unpacked(weights["values"], np.float64)[0], unpacked(weights["counts"], np.int64)[0]
-    more, word = np.where(counts > 0, np.log10(counts + 1.0), 0.0), (counts > 0).astype(np.int64)
     total = lambda w: sums(w[i] * often, first)
+    word = total((counts > 0).astype(np.int64))
+    more = total(np.where(counts > 0, np.log10(counts + 1.0), 0.0))
     begin = np.searchsorted(row, np.arange(len(sizes) + 1) << 32)
+    row = narrow(row & 0xFFFFFFFF)
+    # Few rows have a rare word here.
+    has = np.flatnonzero(word)
+    of_word = np.searchsorted(has, begin)
     return pa.table({
-        "slice": blocks["slice"], "rows": packed((row & 0xFFFFFFFF).astype(np.uint32), begin), "more": packed(total(more), begin),
-        "value": packed(total(values), begin), "word": packed(total(word).astype(np.uint32), begin), "docs": blocks["docs"]})
+        "slice": blocks["slice"], "rows": packed(row, begin), "value": packed(total(values), begin), "word_rows": packed(row[has], of_word),
+        "more": packed(more[has], of_word), "word": packed(word[has].astype(np.uint32), of_word), "docs": blocks["docs"]})
 
 
 def _documents(blocks: pa.Table) -> pa.Table:
     """The rows of one slice with all that was added to them."""
     docs = np.frombuffer(next(b for b in blocks["docs"].to_pylist() if b is not None), np.int64).reshape(7, -1)
-    rows = unpacked(blocks["rows"], np.uint32)[0]
-    total = lambda name, dtype: np.bincount(rows, unpacked(blocks[name], dtype)[0], docs.shape[1]).astype(float)
+
+    def total(rows, name, dtype):
+        values, sizes = unpacked(blocks[name], dtype)
+        return np.bincount(widened(blocks[rows], sizes), values, docs.shape[1]).astype(float)
+
     return pa.table({
         "doc_id": pa.array(docs[0], mask=docs[1] == 0), "n_tokens": docs[2], "n_common": docs[3], "base": docs[4].view(float), "plain": docs[5].view(float),
-        "tree": docs[6].view(float), "more": total("more", float), "value": total("value", float), "word": total("word", np.uint32).astype(np.int64)})
+        "tree": docs[6].view(float), "more": total("word_rows", "more", float), "value": total("rows", "value", float),
+        "word": total("word_rows", "word", np.uint32).astype(np.int64)})
 
 
 _BLOCKS = "part long, slice long, keys binary, rows binary, often binary, docs binary"
-_SUMMED = "slice long, rows binary, more binary, value binary, word binary, docs binary"
+_SUMMED = "slice long, rows binary, value binary, word_rows binary, more binary, word binary, docs binary"
 _DOCUMENTS = "doc_id long, n_tokens long, n_common long, base double, plain double, tree double, more double, value double, word long"
 
 
@@ -473,12 +505,21 @@ def score_documents(docs: DataFrame, learn_from: DataFrame, depth: int = DEPTH)
     shared = spark.sparkContext.broadcast((v, tree.filters, tree.keys, tree.values))
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)).alias("bytes")).first()["bytes"]
     parts = 1 + size // PART_BYTES
-    weights = counts.select(F.col("word").alias("key"), F.log10("n").alias("value"), "n")
-    for d in tree.summands:
-        weights = weights.union(d.select("key", "value", F.lit(0).cast("long").alias("n")))
-    weights = weights.withColumn("part", _spark_part_of(F.col("key"), parts))
-    weights = steps.keep(weights.groupBy("part").applyInArrow(_packed_weights, "part long, keys binary, values binary, counts binary"), "weights")
-    steps.free(counts, *tree.summands)
+
+    def weights_of(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("part", _spark_part_of(F.col("key"), parts)).groupBy("part").applyInArrow(
+            _packed_weights, "part long, keys binary, values binary, counts binary")
+
+    def all_weights():
+        # The largest first, so that least is left when the table is whole.
+        for d in reversed(tree.summands):
+            yield weights_of(d.select("key", "value", F.lit(0).cast("long").alias("n")))
+            steps.free(d)
+        yield weights_of(counts.select(F.col("word").alias("key"), F.log10("n").alias("value"), "n"))
+        steps.free(counts)
+
+    steps.collect()
+    weights = steps.bucketed(all_weights(), "weights", "part")
     log = lambda x: float(np.log10(x)) if x > 0 else 0.0
     # The end counts as a word here.
     known = F.col("n_common") + F.col("word") + int(v.ends > 0)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -62,6 +63,19 @@ class Steps:
         self.collect()
         return out
 
+    def bucketed(self, tables: Iterable[DataFrame], name: str, by: str) -> DataFrame:
+        """One table, in buckets by ``by``, of all ``tables``, which are written one after the other: what groups by this column
+        later needs no exchange of it. There are as many buckets as an exchange has partitions."""
+        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        table = f"leafvoice_{self.name}_{name}_{uuid.uuid4().hex}"
+        path = f"{run_folder(self.spark)}/{table}"
+        for df in tables:
+            df.write.format("parquet").mode("append").option("path", path).bucketBy(buckets, by).saveAsTable(table)
+            self.collect()
+        out = self.spark.table(table)
+        self.paths[id(out)] = (out, path, table)
+        return out
+
     def collect(self) -> None:
         """Shuffle files go when the driver collects its garbage; the exchanges behind a written table are done."""
         gc.collect()
@@ -69,4 +83,7 @@ class Steps:
 
     def free(self, *tables: DataFrame) -> None:
         for t in tables:
-            remove(self.spark, self.paths.pop(id(t))[1])
+            _, path, *named = self.paths.pop(id(t))
+            for table in named:
+                self.spark.sql(f"DROP TABLE {table}")
+            remove(self.spark, path)

@@ -1,7 +1,9 @@
 """The training-data operators against plain Python, on awkward rows: nulls, empty and long texts, ties, repeated rows,
 empty tables, and extra columns with clashing names."""
 
+import contextlib
 import hashlib
+import io
 import math
 import re
 import zlib
@@ -421,6 +423,49 @@ def test_suffix_tree_blocks(spark, monkeypatch):
     assert sum(n for x, n in zip(out["x"].to_pylist(), out["n"].to_pylist()) if x is None) == sum(counts.values())
 
 
+def test_suffix_tree_exchanges_little(spark):
+    """A pair of common words takes less than one word's fingerprint did; weights stay where they are; what the parent's filter
+    rules out sends no key."""
+    rng = np.random.default_rng(6)
+    texts = [" ".join([f"w{k}" for k in rng.zipf(1.3, 400) % 50] + [f"rare{i} rare{i % 7} rare{i}"]) for i in range(30)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    every, u = np.full(suffixtree.FILTER_BITS >> 6, ~np.uint64(0)), np.uint64
+    h = suffixtree.word_hashes(*suffixtree.text_slices([batch]).__next__()[1:], lower=True)[0]
+    words_, counts = np.unique(h, return_counts=True)
+
+    class Shared:
+        value = every, every, np.zeros(0, u), words_[counts > 20]
+
+    plain = type("Plain", (), {"value": Shared.value[:3]})
+    tables = []
+    for shared, common in ((Shared, Shared.value[3]), (plain, np.zeros(0, u))):
+        blocks = pa.Table.from_batches(list(suffixtree._pair_counts(shared, 1, 3)([batch])))
+        pairs = sum(blocks["size"].to_pylist())
+        out = suffixtree._repeated_pairs(blocks, common)
+        tables.append((sorted(zip(*(c.to_pylist() for c in out.select(["c", "n", "kinds"]).columns)), key=str), sum(len(b or b"") for name in blocks.schema.names[2:] for b in blocks[name].to_pylist()) / pairs))
+    assert tables[0][0] == tables[1][0] and tables[0][1] < 8
+
+    steps = Steps(spark, "test")
+    rows = spark.range(100).selectExpr("id % 10 AS part", "id AS k")
+    kept = steps.bucketed(iter([rows, rows.where("k < 50")]), "rows", "part")
+    both = rows.groupBy("part").cogroup(kept.groupBy("part")).applyInArrow(lambda a, b: pa.table({"part": a["part"][:1], "n": [len(b)]}), "part long, n long")
+    assert Counter((r.part, r.n) for r in both.collect()) == Counter((i, 15) for i in range(10))
+    with contextlib.redirect_stdout(io.StringIO()) as told:
+        both.explain()
+    assert told.getvalue().split("== Initial Plan ==")[0].count("Exchange hashpartitioning") == 1
+    steps.free(kept)
+
+    # No context of one word is kept: none of two has a key, though its filter lets all pass.
+    none = np.zeros_like(every)
+    vocabulary = suffixtree.Vocabulary(words_, counts, int(counts.sum()), len(words_), 30, 0.1)
+    asked = pa.RecordBatch.from_arrays([pa.array(range(30)), pa.array(texts)], names=["doc_id", "text"])
+    for first, sent in ((none, False), (every, True)):
+        value = vocabulary, [(first, first), (every, every)], np.zeros(0, u), np.zeros(0)
+        run = suffixtree._scored(type("Given", (), {"value": value}), 3)
+        got = spark.createDataFrame([(1,)], "x int").mapInArrow(lambda _: (pa.RecordBatch.from_pydict({"n": [sum(map(len, b["keys"].to_pylist()))]}) for b in run([asked])), "n long").collect()
+        assert (got[0].n > 0) == sent
+
+
 @pytest.mark.parametrize("share", [2e-6, 2.0])
 def test_suffix_tree_keeps_all_frequent_contexts(spark, monkeypatch, share):
     """Scores equal plain counting, also of words and contexts of less than 4e-4 of all tokens, looked up or joined."""
