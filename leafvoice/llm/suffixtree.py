@@ -47,7 +47,7 @@ COMMON_CONTEXT_SHARE = 2e-6
 #: Bits of the filter that says of most contexts that they are none of a table's. What passes it is decided by the table.
 FILTER_BITS = 1 << 25
 #: Documents are scored in so many parts, one after the other, so that their keys take less disk.
-PARTS = 4
+PARTS = 6
 SLICE = 2 << 20
 #: Tokens and bytes of text per part of the fingerprints, by which pairs are counted and keys are looked up.
 PART_TOKENS, PART_BYTES = 500_000, 4_000_000
@@ -334,7 +334,8 @@ def grow(docs: DataFrame, v: Vocabulary, counts: DataFrame, steps: Steps, depth:
         kept = steps.keep(kept.select("c", "parent", "total", "alone"), "kept")
         needed = kept.select(F.col("parent").alias("c")).where("c is not null").distinct()
         alone = kept.select(F.xxhash64("c", F.lit(_ANY)).alias("key"), F.col("alone").alias("value"), F.col("total").alias("n"), F.lit(False).alias("pair"))
-        seen = level.join(kept.select("c", "alone"), "c").select("key", (F.log10(F.col("p") / F.col("q")) - F.col("alone")).alias("value"), "n", F.lit(True).alias("pair"))
+        gains = level.select("c", "key", "n", F.log10(F.col("p") / F.col("q")).alias("gain"))
+        seen = gains.join(kept.select("c", "alone"), "c").select("key", (F.col("gain") - F.col("alone")).alias("value"), "n", F.lit(True).alias("pair"))
         own = steps.keep(alone.union(seen), "summands")
         steps.free(level, judged)
         filters.append((make_filter(kept), make_filter(own.where("pair").select(F.col("key").alias("c")))))
