@@ -116,6 +116,33 @@ def test_word_offsets(spark):
         assert r.k == max(1, len(t.split()))
 
 
+def test_letters_are_all_but_blanks(spark):
+    rows = spark.range(1, 0x30000).where("id not between 55296 and 57343").select(F.expr("decode(unhex(lpad(hex(id), 8, '0')), 'UTF-32')").alias("c"))
+    one = lambda cls: F.col("c").rlike(f"^{cls}\\z")
+    got = rows.agg(F.count_if(one(T.NWS) != one(T.LETTER)).alias("other"), F.count_if(~one(T.LETTER)).alias("blanks")).first()
+    assert got.other == 0 and got.blanks == len(T.BLANK_CHARS)
+
+
+def test_words_are_found_without_asking_each_letter_for_all_blanks(spark):
+    """The word functions against a negated class of all blanks, which each letter is held against as a whole."""
+    import time
+
+    df = spark.createDataFrame([("The quiet harbour lay under a low grey sky until noon. " * 40,)] * 500, "t string").repartition(2).cache()
+    df.count()
+
+    def seconds(*cols):
+        def once():
+            start = time.time()
+            df.select(*cols).write.format("noop").mode("overwrite").save()
+            return time.time() - start
+
+        return min(once() for _ in range(4))
+
+    pieces = F.regexp_extract_all("t", F.lit(f"({T.NWS}+|{T.WS}+)"), F.lit(1))
+    old = seconds(F.regexp_count("t", F.lit(f"{T.NWS}+")), F.transform(pieces, lambda p: F.struct(p, p.rlike(f"^{T.NWS}"))))
+    assert seconds(T.word_index_at_char("t", F.lit(900)), T.split_keeping_gaps("t")) < 0.8 * old
+
+
 def test_labels(spark):
     titles = ["", "The Long Quiet", "Ünïcode", "emoji 😀 title", "z" * 300]
     got = run(spark, titles, "t string", h=T.title_hash_bucket("t"), ini=T.title_initial("t"))
